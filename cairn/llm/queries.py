@@ -4,6 +4,11 @@ from __future__ import annotations
 
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import crc_mod
+
+QUALITY_KEPT = 0.3
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,5 +27,30 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {"op3_token_output": op3_token_output}
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id
+
+    docs = _read(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(crc_mod("doc_id", 5) != 0))
+    held = docs.select("doc_id", "text")
+    return language_id.predict(held, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> dict:
+    from . import quality
+
+    learn = crc_mod("doc_id", 5) != 0
+    return quality.train(docs.where(learn), labels.where(learn))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = _read(spark, sf_dir, "documents")
+    model = quality_model(docs, _read(spark, sf_dir, "labels"))
+    out = quality.scored(docs.select(F.col("doc_id").cast("long"), "text"), model)
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_KEPT).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op3_token_output": op3_token_output, "op9_quality": op9_quality}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,8 +1,8 @@
 """Vectorised text primitives over Arrow buffers: words, word hashes, shingles.
 
 Words are the runs of bytes other than 0x20 and 0x09-0x0D, so that UTF-8 needs no decoding. All functions work on one
-``Chunk``: consecutive texts whose bytes lie together. A chunk holds whole texts and about ``CHUNK_BYTES`` bytes, more
-only where a single text is longer.
+``Chunk``: consecutive texts whose bytes lie together. A chunk holds whole texts, ``CHUNK_ROWS`` at most, and
+about ``CHUNK_BYTES`` bytes, more only where a single text is longer.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 512
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,7 +79,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
+        hi = min(lo + CHUNK_ROWS, max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1))
         yield Chunk(lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
         lo = hi
 
