@@ -36,6 +36,24 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(held, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import token_counts
+
+    return token_counts(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import preference, reply_pairs
+
+    return preference(reply_pairs(_read(spark, sf_dir, "conversations")))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    return mixed(_read(spark, sf_dir, "documents")).select("doc_id", "source", "mix_pass", "mix_place")
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> dict:
     from . import quality
 
@@ -52,5 +70,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_KEPT).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_token_output": op3_token_output, "op9_quality": op9_quality}
+QUERIES = {"op1_language_id": op1_language_id, "op3_token_output": op3_token_output, "op5_token_counts": op5_token_counts, "op6_chat_format": op6_chat_format, "op7_mixing": op7_mixing, "op9_quality": op9_quality}
 ORACLE_SQL: dict[str, str] = {}
