@@ -35,9 +35,10 @@ def _selectors(bits: np.ndarray, left: np.ndarray) -> np.ndarray:
         for j in range(done, COUNTS[s]):
             np.maximum(widest, padded[j : j + n], out=widest)
         done = int(COUNTS[s])
-        best[(widest <= BITS[s]) & (left >= done)] = s
-        if s == 5 and not (widest <= BITS[s]).any():
+        fits = widest <= BITS[s]
+        if not fits.any():  # nor will any longer run fit in fewer bits
             break
+        best[fits & (left >= done)] = s
     best[bits > 60] = ESCAPE
     return best
 

@@ -20,15 +20,19 @@ _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
 _powers: dict[str, np.ndarray] = {}
 END_TOKEN = np.uint64(0x5851F42D4C957F2D)
 """The hash that stands for the end of a text."""
 
 
+def _space(data: np.ndarray) -> np.ndarray:
+    return (data == 0x20) | (data - np.uint8(0x09) < 5)
+
+
+def _letter(data: np.ndarray) -> np.ndarray:
+    return (data | np.uint8(0x20)) - np.uint8(0x61) < 26
+
+
 def _power(kind: str, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
@@ -94,28 +98,56 @@ class Words:
     of: np.ndarray
 
 
-def words(chunk: Chunk, lower: bool = True) -> Words:
-    """Splits the texts at white space; with ``lower``, A-Z count as a-z."""
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys, where one of each stands, and for each key its place among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return data + ((data - np.uint8(0x41) < 26).view(np.uint8) << np.uint8(5))
+
+
+def before_punctuation(data: np.ndarray) -> np.ndarray:
+    """Where an ASCII letter is followed by an ASCII character that is neither letter, digit nor white space."""
+    out = np.zeros(len(data), bool)
+    letter = _letter(data)
+    out[1:] = letter[:-1] & ~letter[1:] & (data[1:] - np.uint8(0x21) < 94) & ~(data[1:] - np.uint8(0x30) < 10)
+    return out
+
+
+def words(chunk: Chunk, lower: bool = True, cut: np.ndarray | None = None) -> Words:
+    """Splits the texts at white space, and before the bytes marked in ``cut``; with ``lower``, A-Z count as a-z."""
     data, at = chunk.data, chunk.at
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, np.zeros(0, np.uint64), np.zeros(len(at), np.int64))
-    inside = ~_SPACE[data]
+    inside = ~_space(data)
     first = np.empty(n + 1, bool)
     first[0] = first[n] = True
     first[1:n] = ~inside[:-1]
     first[at] = True
+    if cut is not None:
+        first[:n] |= cut
     start = np.flatnonzero(inside & first[:n])
     last = np.empty(n, bool)
     last[n - 1] = True
     last[:-1] = ~inside[1:]
     cuts = at[1:] - 1
     last[cuts[cuts >= 0]] = True
+    if cut is not None:
+        last[:-1] |= cut[1:]
     end = np.flatnonzero(inside & last) + 1
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE[_LOWER[data] if lower else data] * _power("up", n)[:n], out=sums[1:])
+    np.cumsum(_BYTE[lowered(data) if lower else data] * _power("up", n)[:n], out=sums[1:])
     hashes = mix((sums[end] - sums[start]) * _power("down", n)[start])
     return Words(start, end, hashes, np.searchsorted(start, at))
 

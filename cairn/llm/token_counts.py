@@ -145,7 +145,7 @@ class WordCounts:
     def totals(self, chunk: textvec.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Tokens and words of each text of the chunk."""
         w = textvec.words(chunk, lower=False)
-        distinct, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
+        distinct, first, which = textvec.distinct(w.hash)
         if len(self.known) > CACHED_WORDS:
             self.known, self.count = self.known[:0], self.count[:0]
         place = np.searchsorted(self.known, distinct)

@@ -14,6 +14,7 @@ hash of their text. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,9 @@ NULL_ID = -(2**63)
 class WordEncoder:
     """Ids of white-space-separated words by the tokenizers library, each distinct word encoded once.
 
-    Right for tokenizers that never merge or match across ASCII white space, and that drop it.
+    Right for tokenizers that never merge or match across ASCII white space, and that drop it. For one that also lowers
+    case and marks word ends, a run of letters is one piece whatever punctuation follows it: words are then cut before
+    their punctuation and lowered first, and runs of letters are encoded together, told apart by the marked ends.
     """
 
     def __init__(self, path: str):
@@ -45,6 +48,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        self.special = [x["content"].encode() for x in spec["added_tokens"]]
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.marked = bool(suffix) and '"Lowercase"' in json.dumps(spec["normalizer"])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, at in self.tokenizer.get_vocab().items():
+            self.ends[at] = piece.endswith(suffix)
         self.forget()
 
     def forget(self) -> None:
@@ -52,23 +62,38 @@ class WordEncoder:
         self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((y for x in ids for y in x), np.uint32, int(count.sum()))
-        if self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(flat), self.used), np.uint32)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        place = np.searchsorted(self.known, hashes)
-        self.begin = np.insert(self.begin, place, self.used + np.cumsum(count) - count)
-        self.count = np.insert(self.count, place, count)
-        self.known = np.insert(self.known, place, hashes)
-        self.used += len(flat)
+        return np.fromiter((y for x in ids for y in x), np.uint32, int(count.sum())), count
+
+    def together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of words that are runs of letters."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(np.concatenate([[0], ends]))) if len(ends) == len(words) else self.one_by_one(words)
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        alpha = np.fromiter((self.marked and x.isalpha() for x in words), bool, len(words))
+        for some, encode in ((np.flatnonzero(alpha), self.together), (np.flatnonzero(~alpha), self.one_by_one)):
+            if not len(some):
+                continue
+            flat, count = encode([words[i] for i in some])
+            if self.used + len(flat) > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(flat), self.used), np.uint32)])
+            self.flat[self.used : self.used + len(flat)] = flat
+            place = np.searchsorted(self.known, hashes[some])
+            self.begin = np.insert(self.begin, place, self.used + np.cumsum(count) - count)
+            self.count = np.insert(self.count, place, count)
+            self.known = np.insert(self.known, place, hashes[some])
+            self.used += len(flat)
 
     def encode(self, chunk: textvec.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a chunk's texts, and the ids of each text."""
-        w = textvec.words(chunk, lower=False)
-        distinct, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
+        raw = chunk.data.tobytes()
+        cut = self.marked and not any(x in raw for x in self.special)
+        w = textvec.words(chunk, lower=cut, cut=textvec.before_punctuation(chunk.data) if cut else None)
+        distinct, first, which = textvec.distinct(w.hash)
         if len(self.known) > CACHED_WORDS:
             self.forget()
         place = np.searchsorted(self.known, distinct)
@@ -76,8 +101,8 @@ class WordEncoder:
         here = place < len(self.known)
         new[here] = self.known[place[here]] != distinct[here]
         if new.any():
-            raw = chunk.data.tobytes()
-            self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(w.start[first[new]], w.end[first[new]], strict=True)])
+            raw = textvec.lowered(chunk.data).tobytes() if cut else raw
+            self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)])
             place = np.searchsorted(self.known, distinct)
         place = place[which]
         count = self.count[place]
