@@ -21,6 +21,7 @@ import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 #: Units that make a slot after a number.
@@ -30,7 +31,7 @@ BLOCK_WINDOWS = 200_000
 
 
 def canonical_words(text: Column) -> Column:
-    """The words of a text, slots marked; an empty array for a null text."""
+    """The words of a text, slots marked; one empty word for a null text."""
     text = F.coalesce(text, F.lit(""))
     named = F.regexp_replace(text, r"[A-ZÀ-Þ](?<=[a-zß-ÿ,;] [A-ZÀ-Þ])[a-zß-ÿ]+", NAME + "$0")
     joined = F.regexp_replace(named, r"(?<=[0-9])[.,](?=[0-9])", "")
@@ -38,7 +39,7 @@ def canonical_words(text: Column) -> Column:
     united = F.regexp_replace(numbered, rf"({NUMBER}[0-9]+ +)((?i:{UNITS}))(?![\p{{L}}0-9])", "$1" + UNIT + "$2")
     slotted = F.when(text.rlike("[0-9]"), united).otherwise(named)
     clean = F.trim(F.lower(F.regexp_replace(slotted, r"[^\p{L}\p{N}\x01-\x03]+", " ")))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    return F.split(clean, " ")
 
 
 def _is_slot(word: Column) -> Column:
@@ -57,21 +58,26 @@ def _hashes(words: Column) -> tuple[Column, Column]:
 
 def benchmark_windows(benchmark: DataFrame, width: int, least: int) -> DataFrame:
     """item_id, k, anchor, offset, size, template, plain, item_words, n_windows (of the item)."""
-    items = benchmark.select("item_id", canonical_words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
+    items = benchmark.select("item_id", canonical_words(F.col("text")).alias("words")).distinct()
     items = items.withColumn("text_id", F.xxhash64(F.array_join("words", " ")))
     count = F.greatest(F.size("words") - width + 1, F.lit(1))
-    rows = items.select("item_id", "text_id", count.alias("n_windows"), "words", F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
+    rows = items.select("item_id", "text_id", "words", F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
     rows = rows.withColumn("item_words", F.slice("words", F.col("k") + 1, F.lit(width)))
     usable = F.transform("item_words", lambda w, i: F.struct((-F.when(_is_slot(w), 0).otherwise(F.char_length(w))).alias("short"), w.alias("word"), i.alias("offset")))
     best = F.array_min(usable)
     template, plain = _hashes(F.col("item_words"))
-    rows = rows.where(F.size(F.filter("item_words", lambda w: ~_is_slot(w))) >= least)
+    rows = rows.where(F.size(F.filter("item_words", lambda w: ~_is_slot(w) & (w != ""))) >= least)
+    rows = rows.withColumn("n_windows", F.count("*").over(Window.partitionBy("item_id", "text_id")))
     return rows.select("item_id", "text_id", "k", "n_windows", best["word"].alias("anchor"), best["offset"].alias("offset"), F.size("item_words").alias("size"), template.alias("template"), plain.alias("plain"), "item_words")
 
 
 def _matches(words: DataFrame, windows: DataFrame) -> DataFrame:
     """Aligned windows of documents and items whose templates, or plain forms, are equal."""
-    hits = words.join(F.broadcast(windows), "anchor").withColumn("at", F.col("place") - F.col("offset"))
+    # One row for each anchor: the join has no further condition and stays in the stage that explodes the words, so that
+    # a document's array of words is copied for hits alone.
+    by_anchor = windows.groupBy("anchor").agg(F.collect_list(F.struct(*(c for c in windows.columns if c != "anchor"))).alias("windows"))
+    hits = words.join(F.broadcast(by_anchor), "anchor").select("doc_id", "doc_key", "words", "place", F.explode("windows").alias("w"))
+    hits = hits.select("doc_id", "doc_key", "words", "w.*", (F.col("place") - F.col("w.offset")).alias("at"))
     hits = hits.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.size("words")))
     hits = hits.withColumn("own", F.slice("words", F.col("at") + 1, F.col("size")))
     template, plain = _hashes(F.col("own"))
@@ -85,7 +91,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: i
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = docs.select("doc_id", F.xxhash64("doc_id", text).alias("doc_key"), canonical_words(F.col("text")).alias("words"))
-    words = parts.select("doc_id", "doc_key", "words", F.posexplode("words").alias("place", "anchor"))
+    words = parts.select("doc_id", "doc_key", "words", F.posexplode_outer("words").alias("place", "anchor"))
     block = F.pmod(F.xxhash64("item_id", "k", "text_id"), F.lit(blocks))
     found = functools.reduce(DataFrame.unionByName, (_matches(words, windows.where(block == i)) for i in range(blocks)))
     slots = F.filter(F.zip_with("item_words", "own", lambda a, b: F.struct(a.alias("item"), b.alias("own"))), lambda p: _is_slot(p["item"]))
