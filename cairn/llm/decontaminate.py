@@ -71,15 +71,16 @@ def benchmark_windows(benchmark: DataFrame, width: int, least: int) -> DataFrame
     return rows.select("item_id", "text_id", "k", "n_windows", best["word"].alias("anchor"), best["offset"].alias("offset"), F.size("item_words").alias("size"), template.alias("template"), plain.alias("plain"), "item_words")
 
 
-def _matches(words: DataFrame, windows: DataFrame) -> DataFrame:
+def _matches(words: DataFrame, windows: DataFrame, width: int) -> DataFrame:
     """Aligned windows of documents and items whose templates, or plain forms, are equal."""
     # One row for each anchor: the join has no further condition and stays in the stage that explodes the words, so that
     # a document's array of words is copied for hits alone.
     by_anchor = windows.groupBy("anchor").agg(F.collect_list(F.struct(*(c for c in windows.columns if c != "anchor"))).alias("windows"))
-    hits = words.join(F.broadcast(by_anchor), "anchor").select("doc_id", "doc_key", "words", "place", F.explode("windows").alias("w"))
-    hits = hits.select("doc_id", "doc_key", "words", "w.*", (F.col("place") - F.col("w.offset")).alias("at"))
-    hits = hits.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.size("words")))
-    hits = hits.withColumn("own", F.slice("words", F.col("at") + 1, F.col("size")))
+    begin = F.greatest(F.col("place") - (width - 1), F.lit(0))
+    hits = words.join(F.broadcast(by_anchor), "anchor").select("doc_id", "doc_key", "place", begin.alias("begin"), F.slice("words", begin + 1, F.lit(2 * width - 1)).alias("around"), "windows")
+    hits = hits.select("doc_id", "doc_key", "begin", "around", "place", F.explode("windows").alias("w")).select("doc_id", "doc_key", "begin", "around", "w.*", (F.col("place") - F.col("w.offset")).alias("at"))
+    hits = hits.where(F.col("at") >= 0).withColumn("own", F.slice("around", F.col("at") - F.col("begin") + 1, F.col("size")))
+    hits = hits.where(F.size("own") == F.col("size"))
     template, plain = _hashes(F.col("own"))
     hits = hits.withColumns({"same_plain": plain == F.col("plain"), "same_template": template == F.col("template")})
     return hits.where("same_plain or same_template").select("doc_id", "doc_key", "item_id", "text_id", "n_windows", "k", (F.col("at") - F.col("k")).alias("shift"), "same_plain", "own", "item_words")
@@ -93,7 +94,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: i
     parts = docs.select("doc_id", F.xxhash64("doc_id", text).alias("doc_key"), canonical_words(F.col("text")).alias("words"))
     words = parts.select("doc_id", "doc_key", "words", F.posexplode_outer("words").alias("place", "anchor"))
     block = F.pmod(F.xxhash64("item_id", "k", "text_id"), F.lit(blocks))
-    found = functools.reduce(DataFrame.unionByName, (_matches(words, windows.where(block == i)) for i in range(blocks)))
+    found = functools.reduce(DataFrame.unionByName, (_matches(words, windows.where(block == i), width) for i in range(blocks)))
     slots = F.filter(F.zip_with("item_words", "own", lambda a, b: F.struct(a.alias("item"), b.alias("own"))), lambda p: _is_slot(p["item"]))
     keys = ["doc_id", "doc_key", "item_id", "text_id", "n_windows"]
     aligned = found.withColumn("slots", slots).groupBy(*keys, "shift").agg(
