@@ -66,6 +66,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(_read(spark, sf_dir, "documents")).select("doc_id", "source", "mix_pass", "mix_place")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import embedding_dedup
+
+    return embedding_dedup(_read(spark, sf_dir, "embeddings"))
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> dict:
     from . import quality
 
@@ -82,5 +88,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_KEPT).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_jaccard_join": op2_jaccard_join, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_token_counts": op5_token_counts, "op6_chat_format": op6_chat_format, "op7_mixing": op7_mixing, "op9_quality": op9_quality}
+QUERIES = {"op1_language_id": op1_language_id, "op2_jaccard_join": op2_jaccard_join, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_token_counts": op5_token_counts, "op6_chat_format": op6_chat_format, "op7_mixing": op7_mixing, "op8_embedding_dedup": op8_embedding_dedup, "op9_quality": op9_quality}
 ORACLE_SQL: dict[str, str] = {}
