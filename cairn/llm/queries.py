@@ -88,5 +88,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_KEPT).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_jaccard_join": op2_jaccard_join, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_token_counts": op5_token_counts, "op6_chat_format": op6_chat_format, "op7_mixing": op7_mixing, "op8_embedding_dedup": op8_embedding_dedup, "op9_quality": op9_quality}
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_model
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod("doc_id", 7) == 2
+    model = language_model.train(docs.where(~held_out).select("text"))
+    return language_model.scored(docs, model, held_out)
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_jaccard_join": op2_jaccard_join, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_token_counts": op5_token_counts, "op6_chat_format": op6_chat_format, "op7_mixing": op7_mixing, "op8_embedding_dedup": op8_embedding_dedup, "op9_quality": op9_quality, "op10_language_model": op10_language_model}
 ORACLE_SQL: dict[str, str] = {}
