@@ -6,8 +6,9 @@ proportional share of it. So each block is range-joined under its share: its spa
 own cell and visits those that its range touches. The union of the blocks' candidates is verified on the vectors
 themselves, in double precision; a pair counts in the first block that admits it, so in one place only.
 
-Equal vectors form a class and are compared once. A cell of many vectors is dealt out as pairs of parts. Links are counted
-where they are found and reduced to stars; the pairs themselves go nowhere.
+Equal vectors form a class and are compared once. The vectors of a cell are packed in parts of bounded size, and pairs of
+parts are compared, each pair in one task. A label of few vectors is one cell, in which all blocks are joined side by side.
+Links are counted where they are found and reduced to stars; the pairs themselves go nowhere.
 
 Rows: a null label or vector, one with null or non-finite components, an empty and a zero vector link with nothing, as do
 vectors of different lengths. Repeated rows of one vec_id are one vector of each value they have; a null vec_id is left out.
@@ -19,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +28,8 @@ from .components import components, forest
 
 BLOCKS = 8
 PART = 1024
-"""Vectors of a cell and side that one task compares with another part's."""
-CELL = 4096
+"""About so many vectors a part."""
+CELL = 1 << 16
 """A label of more classes than this is cut in cells, by one more dimension of each block for each doubling."""
 STRIPE = 128
 SLACK = 1e-6
@@ -102,91 +102,103 @@ def cells(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
             )
 
 
-def compare(left: tuple, right: tuple, block: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links from the home vectors of left to right: for each of left the vectors linked (copies counted), and edges.
+def compare(left: tuple, right: tuple | None, block: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links between two parts, or within one: for each vector of both at home here the vectors linked, and edges.
 
-    Sides are (ids, vectors, copies). block -1: all blocks are joined here, over all pairs of the two sides.
+    Parts are (ids, home, copies, vectors). Block -1: all blocks are joined here. Returns ids, counts, edges (a, b).
     """
-    ids, x, _ = left
-    others, z, copies = right
+    ids, home, copies, x = left
+    others, home_z, copies_z, z = left if right is None else right
     ux, uz = unit(x), unit(z)
     yx, yz = rotated(ux), rotated(uz)
     at = bounds(x.shape[1])
     share = 2 * (1 - threshold) * np.diff(at) / x.shape[1] + SLACK
-    counts, a, b = np.zeros(len(ids), np.int64), [], []
+    n, n_z, a, b = np.zeros(len(ids), np.int64), np.zeros(len(others), np.int64), [], []
     rough = {j: (yz[:, at[j] : at[j + 1]], (yz[:, at[j] : at[j + 1]] ** 2).sum(1)) for j in (range(len(share)) if block < 0 else (block,))}
     for lo in range(0, len(ids), STRIPE):
         rows = slice(lo, lo + STRIPE)
         near = np.zeros((len(ids[rows]), len(others)), bool)
         for j, (part, square) in rough.items():
             mine = yx[rows, at[j] : at[j + 1]]
-            near |= (mine * mine).sum(1)[:, None] + square - 2 * mine @ part.T <= share[j] + 1e-9
+            near |= ((mine * mine).sum(1) - share[j] - 1e-9)[:, None] + square <= (2 * mine) @ part.T
         i, k = np.nonzero(near)
-        if block > 0:  # not if an earlier block admits the pair
-            keep = np.ones(len(i), bool)
-            for j in range(block):
-                live = np.flatnonzero(keep)
-                d = yx[lo + i[live], at[j] : at[j + 1]] - yz[k[live], at[j] : at[j + 1]]
-                keep[live[(d * d).sum(1) <= share[j]]] = False
+        if right is None:
+            i, k = i[i + lo < k], k[i + lo < k]
+        for j in range(block):  # not if an earlier block admits the pair
+            d = yx[lo + i, at[j] : at[j + 1]] - yz[k, at[j] : at[j + 1]]
+            keep = (d * d).sum(1) > share[j]
             i, k = i[keep], k[keep]
-        if block >= 0 and len(i):  # exactly, as other tasks decide on it
+        if block >= 0:  # exactly, as other tasks decide on it
             d = yx[lo + i, at[block] : at[block + 1]] - yz[k, at[block] : at[block + 1]]
             keep = (d * d).sum(1) <= share[block]
             i, k = i[keep], k[keep]
-        for s in range(0, len(i), 1 << 16):
-            p, q = i[s : s + (1 << 16)] + lo, k[s : s + (1 << 16)]
+        for start in range(0, len(i), 1 << 16):
+            p, q = i[start : start + (1 << 16)] + lo, k[start : start + (1 << 16)]
             cosine = (x[p] * z[q]).sum(1) / np.sqrt((x[p] * x[p]).sum(1) * (z[q] * z[q]).sum(1))
-            good = (cosine >= threshold) & (ids[p] != others[q])
+            good = (cosine >= threshold) & (ids[p] != others[q]) & (home[p] | home_z[q])
             p, q = p[good], q[good]
-            counts += np.bincount(p, copies[q], len(ids)).astype(np.int64)
+            n += np.bincount(p, copies_z[q] * home[p], len(ids)).astype(np.int64)
+            n_z += np.bincount(q, copies[p] * home_z[q], len(others)).astype(np.int64)
             a.append(ids[p])
             b.append(others[q])
     a, b = forest(np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
-    return counts, a, b
+    return np.concatenate([ids, others]), np.concatenate([n, n_z]), a, b
+
+
+def packed(group: pa.Table) -> pa.Table:
+    """A part as one row of arrays."""
+    one = lambda x: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
+    own = {c: group[c].slice(0, 1) for c in ("space", "block", "cell", "part", "parts")}
+    return pa.table(own | {c: one(x) for c, x in (("ids", group["rep"].to_numpy()), ("home", group["home"].to_numpy(zero_copy_only=False)), ("copies", group["copies"].to_numpy()), ("vectors", matrix(group["vector"])))})
+
+
+def found(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Tasks of one or two parts: links as rep, other, n: counts of a vector (other is itself), and edges with n 0."""
+    now, block, parts = None, 0, []
+
+    def done() -> pa.RecordBatch:
+        ids, counts, a, b = compare(parts[0], parts[1] if len(parts) > 1 else None, block, threshold)
+        seen = counts > 0
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((ids[seen], a), (ids[seen], b), (counts[seen], np.zeros(len(a), np.int64)))], ["rep", "other", "n"])
+
+    for batch in batches:
+        for task, which, *blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:], strict=True):
+            if task != now and now is not None:
+                yield done()
+                parts = []
+            now, block = task, which
+            ids, home, copies, vectors = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(blobs, (np.int64, bool, np.int64, np.float64), strict=True))
+            parts.append((ids, home, copies, vectors.reshape(len(ids), -1)))
+    if now is not None:
+        yield done()
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept of vectors (vec_id, embedding, label)."""
-    rows = vectors.where("vec_id is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), "label")
+    rows = vectors.where("vec_id is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("label"))
     sound = F.col("label").isNotNull() & F.coalesce(F.size("vector") > 0, F.lit(False))
     sound &= F.coalesce(F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
     sound &= F.coalesce(F.exists("vector", lambda v: v != 0), F.lit(False))
-    usable = rows.where(sound).select("vec_id", "vector", F.col("label").cast("string").alias("label"))
-    classes = usable.distinct().groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = rows.where(sound).distinct().groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = stored(classes.withColumns({"space": F.xxhash64("label", F.size("vector")), "dims": F.size("vector")}), "vectors")
     depth = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / F.lit(float(CELL))))).cast("int")
     spaces = classes.groupBy("space").agg(depth.alias("depth"))
     placed = classes.join(spaces, "space").select("rep", "space", "dims", "depth", "vector", "copies")
-    placed = stored(placed.mapInArrow(lambda it: cells(it, threshold), "rep long, space long, vector array<double>, copies long, block int, cell long, home boolean"), "cells")
+    placed = placed.mapInArrow(lambda it: cells(it, threshold), "rep long, space long, vector array<double>, copies long, block int, cell long, home boolean")
     key = ["space", "block", "cell"]
-    parts = placed.groupBy(*key).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    dealt = placed.join(parts, key).withColumn("part", part)
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    left = dealt.where("home").select(*key, "rep", "vector", "copies", F.lit(True).alias("asks"), "part", F.explode(every).alias("with"))
-    right = dealt.select(*key, "rep", "vector", "copies", F.lit(False).alias("asks"), F.explode(every).alias("part"), F.col("part").alias("with"))
-    tasks = left.unionByName(right).withColumn("task", F.xxhash64(*key, "part", "with"))
-
-    def join(group: pa.Table) -> pa.Table:
-        def side(asks: bool) -> tuple:
-            t = group.filter(pc.equal(group["asks"], asks))
-            return t["rep"].to_numpy(), matrix(t["vector"]) if len(t) else np.zeros((0, 1)), t["copies"].to_numpy()
-
-        left, right = side(True), side(False)
-        if len(left[0]) and len(right[0]):
-            counts, a, b = compare(left, right, group["block"][0].as_py(), threshold)
-        else:
-            counts, a, b = np.zeros(len(left[0]), np.int64), left[0][:0], left[0][:0]
-        seen = counts > 0
-        ids = np.concatenate([left[0][seen], a])
-        return pa.table({"rep": ids, "other": pa.array(np.concatenate([left[0][seen], b])), "n": pa.array(np.concatenate([counts[seen], np.zeros(len(a), np.int64)]))})
-
-    found = stored(tasks.groupBy("task").applyInArrow(join, "rep long, other long, n long"), "links")
-    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    roots = components(found.where("rep != other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    placed = stored(placed, "cells")
+    counted = placed.groupBy(*key).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = placed.join(counted, key).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    blobs = dealt.groupBy(*key, "part").applyInArrow(packed, "space long, block int, cell long, part int, parts int, ids binary, home binary, copies binary, vectors binary")
+    tasks = stored(blobs, "parts").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tasks = tasks.withColumn("task", F.xxhash64(*key, F.least("part", "with"), F.greatest("part", "with")))
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks.select("task", "block", "ids", "home", "copies", "vectors").repartition(partitions, "task").sortWithinPartitions("task")
+    links = stored(tasks.mapInArrow(lambda it: found(it, threshold), "rep long, other long, n long"), "links")
+    counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
+    roots = components(links.where("rep != other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     of_class = classes.join(counts, "rep", "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     of_class = of_class.select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    typed = rows.where(sound).select("vec_id", F.col("label").cast("string").alias("label"), "vector")
-    out = typed.distinct().join(of_class, ["label", "vector"]).select("vec_id", "n_links", "component_id")
+    out = rows.where(sound).distinct().join(of_class, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
