@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 def to_long(cells: DataFrame, x: str = "x", keys: tuple[str, ...] = ("cell", "state", "stage")) -> DataFrame:
     """One row for each entry; genes are numbered from 1."""
-    return cells.select(*keys, F.posexplode(x).alias("at", "v")).select(*keys, (F.col("at") + 1).alias("gene"), "v")
+    return cells.select(*keys, F.posexplode(x).alias("at", "v")).select(*keys, (F.col("at") + 1).cast("long").alias("gene"), "v")
 
 
 def to_wide(entries: DataFrame, keys: tuple[str, ...] = ("cell", "state", "stage")) -> DataFrame:

@@ -36,9 +36,9 @@ def shares(df: DataFrame, by: list[str], within: list[str] | None = None, weight
 def smoothed_log_step(before: DataFrame, after: DataFrame, key: str, alpha: float, strength: float, limit: float) -> DataFrame:
     """Clipped log ratio of Dirichlet-smoothed shares. Sides: key, n."""
     both = before.select(key, F.col("n").alias("n0")).join(after.select(key, F.col("n").alias("n1")), key, "full").fillna(0, ["n0", "n1"])
-    whole = both.agg(F.sum("n0").alias("N0"), F.sum("n1").alias("N1"), F.count("*").alias("K"))
+    whole = both.agg(F.sum("n0").alias("sum0"), F.sum("n1").alias("sum1"), F.count("*").alias("K"))
     rows = both.crossJoin(F.broadcast(whole))
-    p0, p1 = ((F.col(n) + alpha) / (F.col(big) + alpha * F.col("K")) for n, big in (("n0", "N0"), ("n1", "N1")))
+    p0, p1 = ((F.col(n) + alpha) / (F.col(big) + alpha * F.col("K")) for n, big in (("n0", "sum0"), ("n1", "sum1")))
     step = F.least(F.greatest(strength * F.log(p1 / p0), F.lit(-limit)), F.lit(limit))
     return rows.select(key, p0.alias("p0"), p1.alias("p1"), step.alias("step"))
 
@@ -46,9 +46,9 @@ def smoothed_log_step(before: DataFrame, after: DataFrame, key: str, alpha: floa
 def centred_log_ratio(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """log((n + 1/2) / (N + S/2)) after minus before, less its mean over keys."""
     both = before.select(key, F.col("n").alias("n0")).join(after.select(key, F.col("n").alias("n1")), key, "full").fillna(0, ["n0", "n1"])
-    whole = both.agg(F.sum("n0").alias("N0"), F.sum("n1").alias("N1"), F.count("*").alias("S"))
+    whole = both.agg(F.sum("n0").alias("sum0"), F.sum("n1").alias("sum1"), F.count("*").alias("S"))
     rows = both.crossJoin(F.broadcast(whole))
-    ratio = F.log((F.col("n1") + 0.5) / (F.col("N1") + 0.5 * F.col("S"))) - F.log((F.col("n0") + 0.5) / (F.col("N0") + 0.5 * F.col("S")))
+    ratio = F.log((F.col("n1") + 0.5) / (F.col("sum1") + 0.5 * F.col("S"))) - F.log((F.col("n0") + 0.5) / (F.col("sum0") + 0.5 * F.col("S")))
     rows = rows.select(key, ratio.alias("raw"))
     return rows.crossJoin(F.broadcast(rows.agg(F.avg("raw").alias("_m")))).select(key, (F.col("raw") - F.col("_m")).alias("log_ratio"))
 

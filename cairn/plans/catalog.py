@@ -1,7 +1,13 @@
-"""Registered queries over the driver's tables and the DuckDB SQL that each of them equals."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import (  # noqa: F401  registered on import
+    matrix_queries,
+    moment_queries,
+)
+from .registry import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "x2_stage_shift"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
