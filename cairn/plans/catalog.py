@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (  # noqa: F401  registered on import
     matrix_queries,
     moment_queries,
+    rank_queries,
 )
 from .registry import ORACLE_SQL, QUERIES
 
