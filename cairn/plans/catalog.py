@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (  # noqa: F401  registered on import
     join_queries,
     matrix_queries,
+    metric_queries,
     moment_queries,
     rank_queries,
 )
