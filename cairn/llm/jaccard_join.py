@@ -3,10 +3,11 @@
 A document is the set of 64-bit hashes of its distinct word windows. Documents of equal sets form a class, represented by
 the smallest doc_id; only classes are compared. Two sets link when ``den * intersection >= num * union``.
 
-1. Routing. Linked sets differ in few elements, d at most for their sizes. The hash range is cut into more than d + s
-   segments, so linked sets agree on more than s whole segments; with at most s empty ones in either set, on one that isn't
-   empty. Classes meet where the hash of a segment is equal; segments that one class alone has end there. What meets is
-   joined to clusters, of which a link never leaves one.
+1. Routing. In an order common to all sets, elements from rare to frequent, linked sets share one of their first
+   n - ceil(n * num / den) + 1 elements. The order is by the number of classes that have the element (up to 255), then by its
+   hash; elements of one class alone come first and meet nothing. Sets whose sizes allow a link meet at such elements, and
+   what meets is joined to clusters, of which a link never leaves one. Counting needs no exact identity: 32 bits of the
+   hashes do, as chance meetings cost time alone.
 2. Signature trees. The sets of a cluster are dealt out in blocks, the top nodes of the cluster's tree. A node holds the OR
    and the AND of its members' bitmaps and their size range. Pairs of nodes are traversed together, blocks in the DataFrame,
    smaller nodes within a task, and pruned if the sizes, or the most that members can overlap given the bitmaps, exclude a
@@ -22,14 +23,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import stored
+from .common import stored, tidy, worker_keeps
 from .components import components, forest
 
 BLOCK = 192
@@ -37,59 +40,24 @@ BLOCK = 192
 LEAVES = 16
 WORDS = 8
 """64-bit words of a bitmap."""
-BUCKETS = 8
-"""Buckets of segment hashes for each partition of a shuffle."""
+BUCKETS = 4
+"""Buckets of elements for each partition of a shuffle."""
+SLICE_ELEMENTS, SLICE_SETS = 1_500_000, 60_000
+CROWD = 64
+"""Sets of a slice that share an element from which on it is sent once."""
 _U = np.uint64
 
 
-class Segments:
-    """The cutting of the hash range for sets of each size, by families of sizes."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.starts = [1]
-        while self.starts[-1] < 1 << 40:
-            self.starts.append(max(self.starts[-1] + 1, math.ceil(self.starts[-1] * (den / num) ** 3)))
-        self.cuts: dict[int, tuple[np.ndarray, int]] = {}
-
-    def family(self, n: int) -> int:
-        return int(np.searchsorted(self.starts, n, "right")) - 1
-
-    def of(self, family: int) -> tuple[np.ndarray, int]:
-        """Where the segments begin, and how many of a set may be empty without those counting."""
-        if family not in self.cuts:
-            low, high = self.starts[family], self.starts[family + 1] - 1
-            d = 2 * high * (self.den - self.num) // (self.den + self.num)
-            spare = 0
-            while spare < 8 and d > 0:
-                k = d + 1 + spare
-                mean = k * math.exp(-low / k)
-                if 1 - math.exp(-mean) * math.fsum(mean**i / math.factorial(i) for i in range(spare + 1)) < 1e-3:
-                    break
-                spare += 1
-            k = d + 1 + spare
-            self.cuts[family] = (np.array([(j << 64) // k for j in range(k)], np.uint64), spare)
-        return self.cuts[family]
-
-    def families(self, n: int) -> list[int]:
-        """Those that a set of n elements is in: its own, and the next if a link can reach there. Sets so small that a
-        single element excludes a link are in none: equal sets are one class already."""
-        own = self.family(n)
-        both = [own] if n * self.den < self.starts[own + 1] * self.num else [own, own + 1]
-        return [f for f in both if len(self.of(f)[0]) > 1]
-
-    def keys(self, ordered: np.ndarray) -> np.ndarray:
-        """The routing keys of a set, given as sorted hashes."""
-        out = []
-        sums = np.zeros(len(ordered) + 1, np.uint64)
-        np.cumsum(textvec.mix(ordered ^ _U(0xA0761D6478BD642F)), out=sums[1:])
-        for f in self.families(len(ordered)):
-            begins, spare = self.of(f)
-            at = np.append(np.searchsorted(ordered, begins), len(ordered))
-            empty = np.diff(at) == 0
-            part = textvec.mix((sums[at[1:]] - sums[at[:-1]]) + textvec.mix(np.arange(len(begins), dtype=np.uint64) + _U(f << 32)))
-            out.append(part if empty.sum() > spare else part[~empty])
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+@dataclass(frozen=True)
+class Rule:
+    """When two sets link: ``den * intersection >= num * union``."""
+
+    num: int
+    den: int
+
+    def prefix(self, n: np.ndarray) -> np.ndarray:
+        """Elements of which linked sets share one."""
+        return n - -(-n * self.num // self.den) + 1
 
 
 def sets(chunk: textvec.Chunk, width: int) -> Iterator[np.ndarray]:
@@ -124,6 +92,7 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, c1, c2 (the class of the set)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps(None)
         for batch in batches:
             found = [(len(h), *(_class(h) if len(h) else (0, 0))) for _, h in _rows(batch, width)]
             n, c1, c2 = (pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ((), (), ())))
@@ -132,56 +101,168 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, c1 long, c2 long")
 
 
-def meetings(docs: DataFrame, width: int, segments: Segments) -> DataFrame:
-    """Edges (a, b) between classes (c1) that share a routing key, a star for each key, reduced within tasks."""
+def _bucket(element: np.ndarray, buckets: int) -> np.ndarray:
+    return ((element.astype(np.uint64) * _U(buckets)) >> _U(32)).astype(np.int32)
+
+
+def _pieces(bucket: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each run of a bucket: its number, and a blob of its part of the columns (their length first)."""
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(cut, len(bucket))
+    blobs = [np.array([j - i], np.int64).tobytes() + b"".join(c[i:j].tobytes() for c in columns) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    return bucket[cut], blobs
+
+
+def _columns(blob: pa.Scalar | memoryview, *kinds: type) -> list[np.ndarray]:
+    """What ``_pieces`` packed."""
+    data = memoryview(blob.as_buffer()) if isinstance(blob, pa.Scalar) else blob
+    n, at, out = int(np.frombuffer(data[:8], np.int64)[0]), 8, []
+    for kind in kinds:
+        size = n * np.dtype(kind).itemsize
+        out.append(np.frombuffer(data[at : at + size], kind))
+        at += size
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
+    """Rows by their first column, whose equal values follow one another."""
+    now, rows = None, []
+    for batch in batches:
+        for key, *values in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+            if key != now and now is not None:
+                yield now, rows
+                rows = []
+            now = key
+            rows.append(values)
+    if now is not None:
+        yield now, rows
+
+
+def meetings(docs: DataFrame, width: int, rule: Rule) -> DataFrame:
+    """Edges (a, b) between classes (c1) that meet, reduced within tasks.
+
+    Texts are read in slices. A slice sends (element, document) to the element's bucket, and gets back how many classes
+    have it if not the document's alone. Elements that many of the slice's own documents have are sent once with their
+    count, and answered once, so that no frequent element gathers the corpus in one bucket.
+    """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = partitions * BUCKETS
 
-    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps(None)
+        part, count, seen = TaskContext.get().partitionId(), 0, set()
+        held, owners, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal count
+            sizes = np.array([len(h) for h in held], np.int64)
+            element = (np.concatenate(held) >> _U(32)).astype(np.uint32)
+            doc = np.repeat(np.arange(len(held)), sizes).astype(np.uint16)
+            order = np.argsort(element, kind="stable")
+            element, doc = element[order], doc[order]
+            first = np.flatnonzero(np.append(True, element[1:] != element[:-1]))
+            often = np.diff(np.append(first, len(element)))
+            crowd = np.repeat(often >= CROWD, often)
+            top = first[often >= CROWD]
+            one, blobs = _pieces(_bucket(element[~crowd], buckets), element[~crowd], doc[~crowd])
+            two, totals = _pieces(_bucket(element[top], buckets), element[top], often[often >= CROWD].astype(np.uint32))
+            facts = [np.array([len(held)], np.int64).tobytes() + np.array(owners, np.int64).tobytes() + sizes.tobytes(), np.array([int(crowd.sum())], np.int64).tobytes() + element[crowd].tobytes() + doc[crowd].tobytes()]
+            bucket = np.concatenate([one, two, [-1, -1]]).astype(np.int32)
+            kind = np.repeat(np.array([0, 1, 2, 3], np.int32), [len(one), len(two), 1, 1])
+            slice_id = (part << 32) + count
+            count += 1
+            held.clear()
+            owners.clear()
+            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), slice_id)), pa.array(kind), pa.array([*blobs, *totals, *facts], pa.binary())], ["bucket", "slice", "kind", "blob"])
+
         for batch in batches:
-            keys, owners, sizes = [], [], []
             for _, h in _rows(batch, width):
                 if not len(h) or (c := _class(h)[0]) in seen:
                     continue
+                if len(seen) >= 200_000:  # which only saves repeated work
+                    seen.clear()
                 seen.add(c)
-                own = segments.keys(h)
-                keys.append(own)
+                held.append(h)
                 owners.append(c)
-                sizes.append(len(own))
-                if len(seen) > 2_000_000:  # only saves repeated work
-                    seen.clear()
-            if not keys:
+                size += len(h)
+                if size >= SLICE_ELEMENTS or len(held) >= SLICE_SETS:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+        tidy()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Answers to slices: kind 4: element, document, count of classes; kind 5: element, count."""
+        for _, rows in _groups(batches):
+            single, crowds = [], []
+            for slice_id, kind, blob in rows:
+                (crowds if kind.as_py() else single).append((slice_id.as_py(), *_columns(blob, np.uint32, np.uint32 if kind.as_py() else np.uint16)))
+            element = np.concatenate([np.zeros(0, np.uint32), *(e for _, e, _ in single), *(e for _, e, _ in crowds)])
+            weight = np.concatenate([np.ones(sum(len(e) for _, e, _ in single), np.int64), *(n.astype(np.int64) for _, _, n in crowds)])
+            order = np.argsort(element, kind="stable")
+            ordered = element[order]
+            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+            total = np.minimum(np.add.reduceat(weight[order], first), 255)
+            have = np.empty(len(element), np.uint8)
+            have[order] = np.repeat(total, np.diff(np.append(first, len(ordered))))
+            slices, kinds, blobs, at = [], [], [], 0
+            for code, part in ((4, single), (5, crowds)):
+                for slice_id, e, other in part:
+                    n = have[at : at + len(e)]
+                    at += len(e)
+                    keep = n > 1
+                    columns = (e[keep], other[keep], n[keep]) if code == 4 else (e, n)
+                    if len(columns[0]):
+                        slices.append(slice_id)
+                        kinds.append(code)
+                        blobs.append(_pieces(np.zeros(len(columns[0]), np.int32), *columns)[1][0])
+            yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "kind", "blob"])
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each slice's sets the shared elements among their first ones: to the element's bucket."""
+        for _, rows in _groups(batches):
+            parts: dict[int, list] = {}
+            for kind, blob in rows:
+                parts.setdefault(kind.as_py(), []).append(blob)
+            owner, size = _columns(parts[2][0], np.int64, np.int64)
+            crowd, crowd_doc = _columns(parts[3][0], np.uint32, np.uint16)
+            answers = [_columns(b, np.uint32, np.uint16, np.uint8) for b in parts.get(4, [])]
+            known = [_columns(b, np.uint32, np.uint8) for b in parts.get(5, [])]
+            if known:
+                e, n = (np.concatenate(x) for x in zip(*known, strict=True))
+                order = np.argsort(e)
+                answers.append([crowd, crowd_doc, n[order][np.searchsorted(e[order], crowd)]])
+            if not answers:
                 continue
-            key, owner = np.concatenate(keys), np.repeat(np.array(owners, np.int64), sizes)
-            bucket = (key % _U(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            key, owner, bucket = key[order], owner[order], bucket[order]
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            ends = np.append(cut, len(key))
-            blobs = [key[a:b].tobytes() + owner[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            element, doc, n = (np.concatenate(x) for x in zip(*answers, strict=True))
+            order = np.lexsort((element, n, doc))
+            element, doc = element[order], doc[order].astype(np.int64)
+            shared = np.bincount(doc, minlength=len(size))
+            begin = np.cumsum(shared) - shared
+            wanted = rule.prefix(size) - (size - shared)
+            keep = np.arange(len(doc)) - begin[doc] < wanted[doc]
+            element, doc = element[keep], doc[keep]
+            order = np.argsort(element, kind="stable")
+            element, doc = element[order], doc[order]
+            bucket, blobs = _pieces(_bucket(element, buckets), element, owner[doc], size[doc].astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for batch in batches:
-            for blob in batch.column(1):
-                data = np.frombuffer(blob.as_buffer(), np.uint64)
-                keys.append(data[: len(data) // 2])
-                owners.append(data[len(data) // 2 :].view(np.int64))
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        keys, owners = None, None
-        order = np.argsort(key)
-        key, owner = key[order], owner[order]
-        first = np.flatnonzero(np.diff(key, prepend=~key[:1])) if len(key) else np.zeros(0, np.int64)
-        hub = np.repeat(owner[first], np.diff(np.append(first, len(key))))
-        apart = hub != owner
-        a, b = forest(owner[apart], hub[apart])
-        for i in range(0, len(a), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], ["a", "b"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emitted, "bucket int, blob binary")
-    return rows.repartition(partitions, "bucket").mapInArrow(met, "a long, b long")
+        for _, rows in _groups(batches):
+            element, owner, size = (np.concatenate(x) for x in zip(*(_columns(b, np.uint32, np.int64, np.uint32) for (b,) in rows), strict=True))
+            order = np.lexsort((owner, size, element))
+            element, owner, size = element[order], owner[order], size[order].astype(np.int64)
+            near = (element[1:] == element[:-1]) & (owner[1:] != owner[:-1]) & (size[:-1] * rule.den >= size[1:] * rule.num)
+            a, b = forest(owner[1:][near], owner[:-1][near])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    read = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sliced, "bucket int, slice long, kind int, blob binary")
+    slices = stored(read, "slices")
+    answers = slices.where("bucket >= 0").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(counted, "slice long, kind int, blob binary")
+    facts = slices.where("bucket < 0").select("slice", "kind", "blob")
+    routes = facts.unionByName(answers).repartition(partitions, "slice").sortWithinPartitions("slice").mapInArrow(routed, "bucket int, blob binary")
+    return routes.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(met, "a long, b long")
 
 
 class Tree:
@@ -282,12 +363,12 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int,
     return found
 
 
-def _blocks(members: DataFrame, segments: Segments) -> tuple[DataFrame, DataFrame]:
+def _blocks(members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Members with their block, and the pairs of blocks that can hold links.
 
     Blocks of a cluster are cut by size first, so that only neighbouring sizes meet, then evenly by hash.
     """
-    num, den = segments.num, segments.den
+    num, den = rule.num, rule.den
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(den / num)).cast("int")
     banded = members.withColumn("band", band)
     counts = banded.groupBy("cluster", "band").agg(F.count("*").alias("n"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
@@ -304,10 +385,10 @@ def _blocks(members: DataFrame, segments: Segments) -> tuple[DataFrame, DataFram
     return placed.withColumn("part", F.pmod(F.xxhash64("c1"), F.col("parts")).cast("int")), pairs
 
 
-def links(docs: DataFrame, members: DataFrame, width: int, segments: Segments) -> DataFrame:
+def links(docs: DataFrame, members: DataFrame, width: int, rule: Rule) -> DataFrame:
     """Edges (a, b) between representatives that connect whatever links. members: rep, c1, n_shingles, cluster."""
-    num, den = segments.num, segments.den
-    placed, pairs = _blocks(members, segments)
+    num, den = rule.num, rule.den
+    placed, pairs = _blocks(members, rule)
     pairs = stored(pairs.withColumn("task", F.xxhash64("cluster", "band_key", "part", "band_key_2", "part_2")), "pairs")
     sides = pairs.select("cluster", "band_key", "part", "task", F.lit(0).alias("side")).unionByName(
         pairs.where("band_key != band_key_2 or part != part_2").select("cluster", F.col("band_key_2").alias("band_key"), F.col("part_2").alias("part"), "task", F.lit(1).alias("side"))
@@ -323,6 +404,7 @@ def links(docs: DataFrame, members: DataFrame, width: int, segments: Segments) -
                     blobs.append(h.tobytes())
             kept = batch.take(pa.array(right, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(blobs, pa.binary()), *kept.columns[3:]], ["rep", "blob", "cluster", "band_key", "part"])
+        tidy()
 
     held = text.select("rep", "text", "c1", "cluster", "band_key", "part").mapInArrow(encoded, "rep long, blob binary, cluster long, band_key int, part int")
     dealt = stored(held, "sets").join(sides, ["cluster", "band_key", "part"]).select("task", "side", "rep", "blob")
@@ -354,15 +436,15 @@ def links(docs: DataFrame, members: DataFrame, width: int, segments: Segments) -
 
 def jaccard_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id of the same set), component_id (smallest doc_id reachable by links)."""
-    segments = Segments(num, den)
+    rule = Rule(num, den)
     docs = docs.where("doc_id is not null")
     all_ = stored(classes(docs, width), "classes")
     full = all_.where("n_shingles > 0")
     reps = stored(full.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
-    cluster = components(meetings(docs, width, segments)).select(F.col("node").alias("c1"), F.col("root").alias("cluster"))
+    cluster = components(meetings(docs, width, rule)).select(F.col("node").alias("c1"), F.col("root").alias("cluster"))
     inner = cluster.unionByName(cluster.select(F.col("cluster").alias("c1"), "cluster").distinct())
     members = stored(reps.join(inner, "c1").select("rep", "c1", "n_shingles", "cluster"), "members")
-    joined = components(links(docs, members, width, segments)).select(F.col("node").alias("rep"), F.col("root"))
+    joined = components(links(docs, members, width, rule)).select(F.col("node").alias("rep"), F.col("root"))
     roots = reps.join(joined, "rep", "left").select("c1", "c2", "n_shingles", "rep", F.coalesce("root", "rep").alias("component"))
     out = all_.join(roots, ["c1", "c2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
