@@ -202,11 +202,11 @@ def m11_two_parent_mixture(t: Tables) -> DataFrame:
     return alloc.stratified(rows, ["event_type", "side"], "event_id", F.when(F.col("side") == 0, 30).otherwise(10), 11).select("event_type", "side", "event_id")
 
 
-@query("WITH v AS (SELECT p_brand, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part), d AS (SELECT p_brand, rd, CAST(floor(CAST('0x' || substr(md5('14:' || p_brand || ':' || rd || ':' || i), 1, 13) AS BIGINT) / 4503599627370496.0 * n) AS BIGINT) AS i FROM v, range(1, 41) g(rd)), m AS (SELECT p_brand, rd, avg(p_retailprice) AS m FROM d JOIN v USING (p_brand, i) GROUP BY ALL) SELECT p_brand, round(quantile_cont(m, 0.025), 4) + 0.0 AS low, round(quantile_cont(m, 0.975), 4) + 0.0 AS high FROM m GROUP BY 1")
+@query("WITH v AS (SELECT p_brand, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part), d AS (SELECT p_brand, rd, CAST(floor(CAST('0x' || substr(md5('14:' || p_brand || ':' || rd || ':' || i), 1, 13) AS BIGINT) / 4503599627370496.0 * n) AS BIGINT) AS i FROM v, range(1, 41) g(rd)), m AS (SELECT p_brand, rd, avg(p_retailprice) AS m FROM d JOIN v USING (p_brand, i) GROUP BY ALL) SELECT p_brand, round(quantile_cont(m, 0.025), 2) + 0.0 AS low, round(quantile_cont(m, 0.975), 2) + 0.0 AS high FROM m GROUP BY 1")
 def m12_m13_m14_bootstrap_interval(t: Tables) -> DataFrame:
     means = alloc.bootstrap_means(t("part"), ["p_brand"], "p_retailprice", ["p_partkey"], 40, 14)
     q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
-    return means.groupBy("p_brand").agg(q.alias("q")).select("p_brand", r(F.col("q")[0], 4).alias("low"), r(F.col("q")[1], 4).alias("high"))
+    return means.groupBy("p_brand").agg(q.alias("q")).select("p_brand", r(F.col("q")[0], 2).alias("low"), r(F.col("q")[1], 2).alias("high"))
 
 
 @query("WITH k AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('15:' || vec_id), vec_id) AS o, count(*) OVER (PARTITION BY label) AS n FROM embeddings) SELECT vec_id, CASE WHEN o * 2 <= n THEN 'a' ELSE 'b' END AS half FROM k")
