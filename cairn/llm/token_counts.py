@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .common import tidy, worker_keeps
 
 MARK = "▁".encode()
 PENALTY = -40.0
@@ -130,8 +131,11 @@ def trie_counts(vocabulary: Vocabulary, words: list[bytes]) -> np.ndarray:
         count.append(tokens)
         ends = np.flatnonzero(size == depth)
         out[np.array(short)[ends]] = tokens[index[ends]]
-        if depth >= vocabulary.longest:
-            above[depth - vocabulary.longest] = score[depth - vocabulary.longest] = count[depth - vocabulary.longest] = node[:0]
+        done = depth - vocabulary.longest  # no piece reaches back to it any more
+        if done >= 0:
+            score[done] = count[done] = node[:0]
+        if done >= 1:
+            above[done - 1] = node[:0]
     return out
 
 
@@ -161,17 +165,15 @@ class WordCounts:
         return np.diff(upto[w.of]), np.diff(w.of)
 
 
-_stores: dict[str, WordCounts] = {}
-
-
 def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_words, n_tokens of each text; one pass without a shuffle."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = _stores.get(model_path) or _stores.setdefault(model_path, WordCounts(Vocabulary(load_pieces(model_path))))
+        store = worker_keeps(("counts", model_path), lambda: WordCounts(Vocabulary(load_pieces(model_path))))
         for batch in batches:
             for chunk in textvec.chunks(batch.column(1)):
                 tokens, words = store.totals(chunk)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, len(words)), pa.array(words), pa.array(tokens)], ["doc_id", "n_words", "n_tokens"])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_words long, n_tokens long")
