@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .common import tidy, worker_keeps
 
 GRAM_BITS = 15
 SHAPES = 64
@@ -142,9 +143,11 @@ def scored(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
     at = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps(None)
         for batch in batches:
             for chunk in textvec.chunks(batch.column(at)):
                 part = batch.slice(chunk.lo, chunk.hi - chunk.lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score(held.value, chunk))], schema.names)
+        tidy()
 
     return docs.mapInArrow(rows, schema)

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b, textvec
-from .common import fresh_path, shared_dir
+from .common import fresh_path, shared_dir, small_batches, tidy, worker_keeps
 
 MAGIC = b"S8B1"
 HEAD = np.dtype([("magic", "S4"), ("docs", "<u4"), ("ids", "<u8"), ("blocks", "<u4"), ("words", "<u4")])
 SEGMENT_IDS = 1 << 17
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 1_000_000
 """Distinct words that a worker keeps encoded; beyond these it forgets them all and begins again. Results don't differ."""
 NULL_ID = -(2**63)
 
@@ -59,8 +59,8 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
-        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.count = np.zeros(0, np.uint32), np.zeros(0, np.uint16)
+        self.flat, self.used = np.zeros(1 << 20, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32), 0
 
     def one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -80,11 +80,13 @@ class WordEncoder:
                 continue
             flat, count = encode([words[i] for i in some])
             if self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(flat), self.used), np.uint32)])
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(flat), self.used // 4), self.flat.dtype)])
             self.flat[self.used : self.used + len(flat)] = flat
             place = np.searchsorted(self.known, hashes[some])
-            self.begin = np.insert(self.begin, place, self.used + np.cumsum(count) - count)
-            self.count = np.insert(self.count, place, count)
+            if len(count) and count.max() > 0xFFFF:  # a word of tens of thousands of ids
+                self.count = self.count.astype(np.uint32)
+            self.begin = np.insert(self.begin, place, (self.used + np.cumsum(count) - count).astype(np.uint32))
+            self.count = np.insert(self.count, place, count.astype(self.count.dtype))
             self.known = np.insert(self.known, place, hashes[some])
             self.used += len(flat)
 
@@ -105,8 +107,8 @@ class WordEncoder:
             self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)])
             place = np.searchsorted(self.known, distinct)
         place = place[which]
-        count = self.count[place]
-        ids = self.flat[textvec.ragged(self.begin[place], count)]
+        count = self.count[place].astype(np.int64)
+        ids = self.flat[textvec.ragged(self.begin[place].astype(np.int64), count)]
         upto = np.concatenate([[0], np.cumsum(count)])
         return ids, np.diff(upto[w.of])
 
@@ -139,14 +141,11 @@ def unpack(data: memoryview | bytes) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield doc_ids, lengths, simple8b.decode(words, offsets, int(head["ids"]))
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> str:
     """Writes the ids of ``docs`` (doc_id, text) under ``path``, in files whose names follow the order of doc_id."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
+        encoder = worker_keeps(("encoder", tokenizer_path), lambda: WordEncoder(tokenizer_path))
         held: list[tuple] = []
         size = 0
 
@@ -160,7 +159,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> s
             for chunk in textvec.chunks(batch.column(1)):
                 ids, lengths = encoder.encode(chunk)
                 ends = np.cumsum(lengths)
-                ids = np.insert(ids, ends, np.uint32(end_id))
+                ids = np.insert(ids.astype(np.uint32), ends, np.uint32(end_id))
                 held.append((doc_ids[chunk.lo : chunk.hi], lengths + 1, ids))
                 size += len(ids)
                 if size >= SEGMENT_IDS:
@@ -168,11 +167,13 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> s
                     size = 0
         if held:
             yield flush()
+        tidy()
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     rows = rows.mapInArrow(segments, "value binary")
-    rows.select(F.col("value").cast("string").alias("value")).write.text(path)
+    with small_batches(docs.sparkSession):
+        rows.select(F.col("value").cast("string").alias("value")).write.text(path)
     return path
 
 
