@@ -6,6 +6,7 @@ from . import (  # noqa: F401  registered on import
     join_queries,
     matrix_queries,
     metric_queries,
+    model_queries,
     moment_queries,
     rank_queries,
 )
