@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import contracts, evidence, joins
 
-from .registry import CELLS, EXPR, POINTS, Tables, query, r
+from .registry import EXPR, POINTS, Tables, query, r
 
 
 @query("WITH a AS (SELECT o_custkey AS k, count(*) AS l FROM orders GROUP BY 1), b AS (SELECT c_custkey AS k, count(*) AS r FROM customer WHERE c_custkey % 9 <> 0 GROUP BY 1) SELECT count(*) FILTER (l > 1) AS duplicate_left, count(*) FILTER (r > 1) AS duplicate_right, count(*) FILTER (r IS NULL) AS only_left, count(*) FILTER (l IS NULL) AS only_right, count(*) FILTER (l = 1 AND r = 1) AS pairs FROM a FULL JOIN b USING (k)")

@@ -11,7 +11,7 @@ from cairn.operators import geometry, matrix, models, ranks, trends
 from cairn.operators import moments as mo
 from cairn.sources import readers
 
-from .registry import CELLS, EXPR, POINTS, Tables, query, r
+from .registry import EXPR, POINTS, Tables, query, r
 
 
 @query("SELECT p_type AS gene, CAST(row_number() OVER (ORDER BY min(p_partkey)) AS BIGINT) AS gene_pos, count(*) AS occurs FROM part WHERE p_partkey <= 150 GROUP BY 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.operators import matrix, trends
 from cairn.operators import moments as mo
 
-from .registry import CELLS, EXPR, POINTS, Tables, query, r
+from .registry import EXPR, POINTS, Tables, query, r
 
 
 @query(f"WITH {EXPR} SELECT gene, round(avg(v), 8) + 0.0 AS mean FROM expr GROUP BY 1")

@@ -42,7 +42,7 @@ def matrix_market(lines: DataFrame, nnz: int | None = None) -> DataFrame:
     """row, col, value of coordinate lines; comments go. If there are fewer than announced, so does the last column,
     which a cut file holds in part."""
     parts = F.split(F.trim("value"), r"\s+")
-    rows = lines.where(~F.col("value").startswith("%")).select(*(parts[i].try_cast(kind).alias(n) for i, (n, kind) in enumerate((("row", "long"), ("col", "long"), ("v", "double")))))
+    rows = lines.where(~F.col("value").startswith("%")).select(*(F.get(parts, F.lit(i)).try_cast(kind).alias(n) for i, (n, kind) in enumerate((("row", "long"), ("col", "long"), ("v", "double")))))
     rows = rows.where("row is not null and col is not null and v is not null")
     if nnz is None:
         return rows
