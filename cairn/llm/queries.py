@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod
+from .oracles import ORACLE_SQL  # noqa: F401  read by __spark_entry__
 
 QUALITY_KEPT = 0.3
 
@@ -98,4 +99,3 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_language_id": op1_language_id, "op2_jaccard_join": op2_jaccard_join, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_token_counts": op5_token_counts, "op6_chat_format": op6_chat_format, "op7_mixing": op7_mixing, "op8_embedding_dedup": op8_embedding_dedup, "op9_quality": op9_quality, "op10_language_model": op10_language_model}
-ORACLE_SQL: dict[str, str] = {}

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from compare import connect, difference
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -19,6 +20,11 @@ DOCS = "doc_id long, text string, lang string, source string, score double, n in
 LONG = "abc def " * 40_000
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    assert difference(queries.QUERIES[name](spark, sf_dir), connect(sf_dir), queries.ORACLE_SQL[name]) == ""
+
+
 def docs(spark, rows):
     """(doc_id, text) with other columns, some of which are named as operators name theirs."""
     return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}" if i != 3 else None, 0.5, 1, "x") for i, t in rows], DOCS)
