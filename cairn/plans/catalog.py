@@ -9,6 +9,7 @@ from . import (  # noqa: F401  registered on import
     model_queries,
     moment_queries,
     rank_queries,
+    solver_queries,
     transform_queries,
 )
 from .registry import ORACLE_SQL, QUERIES

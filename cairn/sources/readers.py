@@ -121,3 +121,38 @@ def published(df: DataFrame, path: str) -> DataFrame:
     if lost["lost"] or lost["added"]:
         raise ValueError(f"{path}: {lost['lost']} rows lost, {lost['added']} added")
     return back
+
+
+def archived(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """archive, name, text of the members of zip and tar archives whose name matches; archives inside archives are opened."""
+    import re
+
+    def members(batches):
+        import io
+        import tarfile
+        import zipfile
+
+        import pandas as pd
+
+        def walk(content: bytes, archive: str):
+            stream = io.BytesIO(content)
+            if zipfile.is_zipfile(stream):
+                z = zipfile.ZipFile(stream)
+                inner = [(n, z.read(n)) for n in z.namelist()]
+            else:
+                try:
+                    t = tarfile.open(fileobj=io.BytesIO(content))
+                except tarfile.ReadError:
+                    return
+                inner = [(m.name, t.extractfile(m).read()) for m in t.getmembers() if m.isfile()]
+            for name, data in inner:
+                if re.search(r"\.(zip|tar|tgz|tar\.gz)$", name):
+                    yield from walk(data, archive)
+                elif re.search(pattern, name):
+                    yield archive, name, data.decode("utf-8", "replace")
+
+        for batch in batches:
+            rows = [r for p, c in zip(batch["path"], batch["content"], strict=True) for r in walk(c, p.rsplit("/", 1)[-1])]
+            yield pd.DataFrame(rows, columns=["archive", "name", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, name string, text string")

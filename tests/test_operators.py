@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cairn.operators import alloc, evidence, geometry, matrix, ranks, trends
+from cairn.operators import alloc, evidence, geometry, matrix, ranks, solvers, trends
 
 
 def long(spark, rows):
@@ -92,3 +92,36 @@ def test_sinkhorn_marginals_and_bures(n, seed):
     ca, cb = x @ x.T / 9 + np.eye(3) * 0.1, y @ y.T / 9 + np.eye(3) * 0.1
     m = geometry.bures_map(ca, cb)
     assert np.allclose(m @ ca @ m.T, cb, atol=1e-8)
+
+
+def test_rigid_em_recovers_a_motion():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((40, 3)) * [3, 2, 1]
+    a = 0.2
+    turn = np.array([[np.cos(a), -np.sin(a), 0], [np.sin(a), np.cos(a), 0], [0, 0, 1]])
+    got, shift = solvers.rigid_em(x, rng.permutation(x @ turn + [1, 2, 3]))
+    assert np.abs(x @ got + shift - (x @ turn + [1, 2, 3])).max() < 0.05
+
+
+def test_swaps_only_gain_and_stay_a_permutation():
+    rng = np.random.default_rng(1)
+    z, graph = rng.standard_normal((20, 3)), np.stack([rng.choice(20, 4, replace=False) for _ in range(20)])
+    desired = rng.standard_normal((20, 3))
+    loss = lambda at: ((z[at[graph]].mean(1) - desired[at]) ** 2).sum()
+    at = solvers.swapped_pairing(z, desired, graph)
+    assert sorted(at.tolist()) == list(range(20)) and loss(at) < loss(np.arange(20))
+
+
+def test_fused_coupling_of_equal_structures():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((6, 2)) * 3
+    c = ((x[:, None] - x[None]) ** 2).sum(2)
+    p = np.full(6, 1 / 6)
+    plan = solvers.fused_coupling(c, c, c, p, p, 0.5, 0.2)
+    assert np.abs(plan.sum(0) - p).max() < 1e-6 and (plan.argmax(1) == np.arange(6)).all()
+
+
+def test_counterfactual_keeps_residuals(spark):
+    df = spark.createDataFrame([(1.0, 5.0, 7.0)], "a double, b double, c double")
+    out = solvers.counterfactual(df, "a", 0.0, {"b": {"a": 2.0}, "c": {"a": 1.0, "b": 0.5}}).first()
+    assert tuple(out) == (0.0, 3.0, 5.0)

@@ -71,3 +71,17 @@ def test_published_once(spark, tmp_path):
     assert readers.published(df, str(tmp_path / "out")).count() == 3
     with pytest.raises(Exception, match="(?i)exist"):
         readers.published(df, str(tmp_path / "out"))
+
+
+def test_nested_archive(spark, tmp_path):
+    import io
+    import zipfile
+
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("meta/cells.csv", "k,v\n1,2\n")
+        z.writestr("other.bin", "x")
+    with zipfile.ZipFile(tmp_path / "outer.zip", "w") as z:
+        z.writestr("deep.zip", inner.getvalue())
+    rows = readers.archived(spark, str(tmp_path / "outer.zip"), r"cells\.csv$").collect()
+    assert [tuple(r) for r in rows] == [("outer.zip", "meta/cells.csv", "k,v\n1,2\n")]
