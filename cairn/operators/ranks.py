@@ -43,28 +43,28 @@ def arc_length(df: DataFrame, by: list[str], order: list[str], x: str, y: str, o
     return df.withColumn("_s", F.coalesce(step, F.lit(0.0))).withColumn(out, F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
 
 
-def interpolated(values: Column, u: Column) -> Column:
-    """The quantile function of a sorted array whose i-th value stands at (i + 1/2) / n, clamped at the ends."""
-    n = F.size(values)
-    at = F.least(F.greatest(u * n - 0.5, F.lit(0.0)), (n - 1).cast("double"))
-    low = F.floor(at).cast("int")
-    high = F.least(low + 1, n - 1)
-    a, b = F.get(values, low), F.get(values, high)
-    return a + (at - low) * (b - a)
+def at_quantile(rows: DataFrame, values: DataFrame, by: list[str], u: str, out: str) -> DataFrame:
+    """The quantile function of a group's values ``v`` at u: the i-th of n stands at (i + 1/2) / n, ends are clamped.
 
-
-def sorted_values(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """A sorted array for each group; groups are those of one state and gene."""
-    return df.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias(out))
+    The two values around a place are met by joins on group and rank, so no group is ever held as an array. Rows of groups
+    without values go.
+    """
+    ranked = values.select(*by, "v", (F.row_number().over(Window.partitionBy(*by).orderBy("v")) - 1).cast("long").alias("_k"))
+    sizes = values.groupBy(*by).agg(F.count("*").alias("_n"))
+    at = F.least(F.greatest(F.col(u) * F.col("_n") - 0.5, F.lit(0.0)), (F.col("_n") - 1).cast("double"))
+    placed = rows.join(sizes, by).withColumn("_at", at).withColumn("_lo", F.floor("_at")).withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
+    low, high = (ranked.select(*by, F.col("_k").alias(k), F.col("v").alias(v)) for k, v in (("_lo", "_a"), ("_hi", "_b")))
+    met = placed.join(low, [*by, "_lo"]).join(high, [*by, "_hi"])
+    return met.withColumn(out, F.col("_a") + (F.col("_at") - F.col("_lo")) * (F.col("_b") - F.col("_a"))).drop("_n", "_at", "_lo", "_hi", "_a", "_b")
 
 
 def quantile_bridge(entries: DataFrame, lam: float) -> DataFrame:
     """Entries of stage 0 moved to the blend, at their own rank, of the quantile functions of stages 0 and 1."""
     by = ["state", "gene"]
-    left = sorted_values(entries.where("stage = 0"), by, "v", "l")
-    right = sorted_values(entries.where("stage = 1"), by, "v", "r")
-    rows = entries.where("stage = 0").withColumn("u", normalised_rank("v", by)).join(left, by).join(right, by)
-    return rows.withColumn("bridged", F.greatest((1 - lam) * interpolated(F.col("l"), F.col("u")) + lam * interpolated(F.col("r"), F.col("u")), F.lit(0.0))).drop("l", "r")
+    rows = entries.where("stage = 0").withColumn("u", normalised_rank("v", by))
+    rows = at_quantile(rows, entries.where("stage = 0"), by, "u", "_l")
+    rows = at_quantile(rows, entries.where("stage = 1"), by, "u", "_r")
+    return rows.withColumn("bridged", F.greatest((1 - lam) * F.col("_l") + lam * F.col("_r"), F.lit(0.0))).drop("_l", "_r")
 
 
 def rank_rebuilt(entries: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranks import interpolated, sorted_values
+from .ranks import at_quantile
 
 
 def positive_transport(entries: DataFrame, grid: list[float], limit: float) -> DataFrame:
@@ -33,8 +33,7 @@ def zero_aware_transport(entries: DataFrame) -> DataFrame:
     a = entries.where("stage = 0")
     at = F.row_number().over(w.orderBy("v", "library", "cell"))
     n = F.count("*").over(w)
-    right = sorted_values(entries.where("stage = 1"), by, "v", "r")
-    return a.withColumn("u", (at - 0.5) / n).join(right, by).withColumn("moved", interpolated(F.col("r"), F.col("u"))).drop("r")
+    return at_quantile(a.withColumn("u", (at - 0.5) / n), entries.where("stage = 1"), by, "u", "moved")
 
 
 def hurdle_margins(entries: DataFrame, lam: float) -> DataFrame:
@@ -46,12 +45,13 @@ def hurdle_margins(entries: DataFrame, lam: float) -> DataFrame:
     w = Window.partitionBy(*by)
     share = lambda s: F.avg(F.when(F.col("stage") == s, (F.col("v") > 0).cast("double")))
     p = entries.groupBy(*by).agg(((1 - lam) * share(0) + lam * share(1)).alias("p"))
-    left, right = (sorted_values(entries.where((F.col("stage") == s) & (F.col("v") > 0)), by, "v", n) for s, n in ((0, "l"), (1, "r")))
-    rows = entries.where("stage = 0").join(p, by).join(left, by).join(right, by)
-    rows = rows.withColumns({"_k": F.row_number().over(w.orderBy(F.desc("v"), F.desc("library"), "cell")), "_n": F.count("*").over(w)}).withColumn("_m", F.round(F.col("p") * F.col("_n")))
-    u = (F.col("_m") - F.col("_k") + 0.5) / F.col("_m")
-    value = (1 - lam) * interpolated(F.col("l"), u) + lam * interpolated(F.col("r"), u)
-    return rows.withColumn("decoded", F.when(F.col("_k") <= F.col("_m"), value).otherwise(0.0)).drop("_k", "_n", "_m", "l", "r", "p")
+    rows = entries.where("stage = 0").join(p, by)
+    rows = rows.withColumns({"_k": F.row_number().over(w.orderBy(F.desc("v"), F.desc("library"), "cell")), "_c": F.count("*").over(w)}).withColumn("_m", F.round(F.col("p") * F.col("_c")))
+    rows = rows.withColumn("_u", F.when(F.col("_k") <= F.col("_m"), (F.col("_m") - F.col("_k") + 0.5) / F.col("_m")).otherwise(0.0))
+    for s, name in ((0, "_l"), (1, "_r")):
+        rows = at_quantile(rows, entries.where((F.col("stage") == s) & (F.col("v") > 0)), by, "_u", name)
+    value = (1 - lam) * F.col("_l") + lam * F.col("_r")
+    return rows.withColumn("decoded", F.when(F.col("_k") <= F.col("_m"), value).otherwise(0.0)).drop("_k", "_c", "_m", "_l", "_r", "_u", "p")
 
 
 def displaced(df: DataFrame, by: list[str], value: str, delta: str, floor: float, tie: str) -> DataFrame:
@@ -96,12 +96,12 @@ def layers(edges: DataFrame, roots: DataFrame, depth: int, parents: int) -> Data
 
 def axis_warp(points: DataFrame, axis: str, lam: float) -> DataFrame:
     """Stage 0 along one axis at the blend of both stages' quantile functions."""
-    left, right = (sorted_values(points.where(F.col("stage") == s).withColumn("one", F.lit(1)), ["one"], axis, n) for s, n in ((0, "l"), (1, "r")))
-    rows = points.where("stage = 0").withColumn("one", F.lit(1))
-    n = F.count("*").over(Window.partitionBy("one"))
-    u = (F.row_number().over(Window.partitionBy("one").orderBy(axis, "cell")) - 0.5) / n
-    rows = rows.withColumn("u", u).join(F.broadcast(left), "one").join(F.broadcast(right), "one")
-    return rows.withColumn("warped", (1 - lam) * interpolated(F.col("l"), F.col("u")) + lam * interpolated(F.col("r"), F.col("u"))).drop("one", "l", "r", "u")
+    one = points.withColumn("one", F.lit(1)).withColumn("v", F.col(axis))
+    w = Window.partitionBy("one")
+    rows = one.where("stage = 0").withColumn("u", (F.row_number().over(w.orderBy(axis, "cell")) - 0.5) / F.count("*").over(w))
+    for s, name in ((0, "_l"), (1, "_r")):
+        rows = at_quantile(rows, one.where(F.col("stage") == s), ["one"], "u", name)
+    return rows.withColumn("warped", (1 - lam) * F.col("_l") + lam * F.col("_r")).drop("one", "v", "_l", "_r", "u")
 
 
 def held_trend(df: DataFrame, by: list[str], x: str, y: str, at: float, low: float, high: float) -> DataFrame:

@@ -1 +1 @@
-"""streaming of the engine."""
+"""Empty: no operator of the inventory streams."""
