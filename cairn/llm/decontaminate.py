@@ -113,5 +113,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: i
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item contaminates, all columns as they are."""
-    bad = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad.withColumnRenamed("doc_id", "bad_id"), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")

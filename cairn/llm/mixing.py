@@ -153,25 +153,29 @@ def _source() -> Column:
     return F.coalesce(F.col("source"), F.lit("null"))
 
 
-def scheduled(docs: DataFrame, mix: dict, seed: int) -> DataFrame:
-    """Each document as often as its source's budget says, without a shuffle: adds mix_pass and mix_place (0 to 1).
+def scheduled(docs: DataFrame, mix: dict, seed: int, places: bool = True) -> DataFrame:
+    """Each document as often as its source's budget says, without a shuffle.
 
-    Ordered by mix_place, the passes of every source are spread evenly over the whole.
+    With places adds mix_pass and mix_place (0 to 1), in place of columns of these names; ordered by mix_place, the passes of
+    every source are spread evenly over the whole.
     """
+    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), _source().alias("mix_source"), "doc_id")
     if not mix:
-        return docs.withColumns({"mix_pass": F.lit(0), "mix_place": F.lit(0.0)}).limit(0)
-    rows = docs.withColumn("mix_source", _source())
-    full = _by_source(mix, "full", "int")
-    more = (_key(full, seed) <= _by_source(mix, "last", "long")).cast("int")
-    rows = rows.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), full + more - 1)))
-    place = (F.col("mix_pass") + _key(F.col("mix_pass"), seed) / F.lit(float(1 << 62))) / _by_source(mix, "repeats", "double")
-    return rows.withColumn("mix_place", F.least(place, F.lit(1.0))).drop("mix_source")
+        rows = packed.limit(0).withColumns({"mix_pass": F.lit(0), "mix_place": F.lit(0.0)})
+    else:
+        full = _by_source(mix, "full", "int")
+        more = (_key(full, seed) <= _by_source(mix, "last", "long")).cast("int")
+        rows = packed.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), full + more - 1)))
+        place = (F.col("mix_pass") + _key(F.col("mix_pass"), seed) / F.lit(float(1 << 62))) / _by_source(mix, "repeats", "double")
+        rows = rows.withColumn("mix_place", F.least(place, F.lit(1.0)))
+    own = ["mix_pass", "mix_place"] if places else []
+    return rows.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in own), *own)
 
 
-def mixed(docs: DataFrame, target_entropy: float = 0.93, max_repeats: float = 2.0, seed: int = 13) -> DataFrame:
-    """The mixture of docs (doc_id, text, source): every document, some repeated, with mix_pass and mix_place.
+def mixed(docs: DataFrame, target_entropy: float = 0.93, max_repeats: float = 2.0, seed: int = 13, places: bool = True) -> DataFrame:
+    """The mixture of docs (doc_id, text, source): every document, some repeated, with mix_pass and mix_place if asked.
 
     The budget is such that the source passed least is passed once, so that no document is lost.
     """
     counted = stored(slim(docs), "mixing")
-    return scheduled(docs, plan(counted, target_entropy, max_repeats, seed), seed)
+    return scheduled(docs, plan(counted, target_entropy, max_repeats, seed), seed, places)

@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> dict:
 
 
 def scored(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
-    """``docs`` with the score in a further column, in one pass without a shuffle."""
+    """``docs`` with the score in a further column, whose name must be new, in one pass without a shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.withColumn(column, F.lit(0.0)).schema
     at = docs.columns.index("text")

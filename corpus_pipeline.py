@@ -26,7 +26,10 @@ MIX_SEED = 13
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = queries.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model, "_quality").where(F.col("_quality") >= queries.QUALITY_KEPT).select(*docs.columns)
+    score = "_quality"
+    while score in docs.columns:
+        score += "_"
+    return quality.scored(docs, model, score).where(F.col(score) >= queries.QUALITY_KEPT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs, MIX_ENTROPY, MIX_REPEATS, MIX_SEED).select(*docs.columns)
+    return mixing.mixed(docs, MIX_ENTROPY, MIX_REPEATS, MIX_SEED, places=False)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

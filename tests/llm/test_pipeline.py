@@ -38,3 +38,20 @@ def test_rows_without_id_or_repeated_pass(spark, sf_dir):
     clean = pipeline.drop_contaminated(spark, left, sf_dir)
     mixed = pipeline.mix_sources(spark, clean, sf_dir)
     assert {r["doc_id"] for r in mixed.collect()} == {None, 1, 2} and mixed.columns == docs.columns
+
+
+def test_clashing_columns_are_kept(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30).selectExpr("*", "1 as _quality", "2 as mix_pass", "3 as mix_source", "4 as bad_id", "5 as _gone", "6 as score", "7 as row", "8 as component_id")
+    for _, stage in pipeline.STAGES[:-1]:
+        docs_out = stage(spark, docs, sf_dir)
+        assert docs_out.columns == docs.columns
+        assert {tuple(r) for r in docs_out.select(*docs.columns[5:]).collect()} <= {(1, 2, 3, 4, 5, 6, 7, 8)}
+        docs = docs_out
+    assert docs.count() > 0 and pipeline.token_ids(spark, docs, sf_dir).count() == docs.count()
+
+
+def test_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() == 0
