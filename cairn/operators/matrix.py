@@ -145,6 +145,12 @@ def tokens(text: Column, separator: str = ";") -> Column:
     return F.filter(F.transform(F.split(text, separator), lambda t: F.trim(t)), lambda t: t != "")
 
 
+def first_present(columns: list[str], names: list[str]) -> str | None:
+    """The first of the names that a table has, whatever their case, as the table spells it."""
+    own = {c.casefold(): c for c in reversed(columns)}
+    return next((own[n.casefold()] for n in names if n.casefold() in own), None)
+
+
 def lenient_bool(text: Column) -> Column:
     t = F.lower(F.trim(text))
     return F.when(t.isin("1", "true", "yes", "y"), True).when(t.isin("0", "false", "no", "n"), False)

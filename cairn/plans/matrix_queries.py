@@ -169,6 +169,13 @@ def p33_derived_seed(t: Tables) -> DataFrame:
     return t("nation").select("n_nationkey", matrix.derived_seed(F.lit(7), F.col("n_name")).alias("seed"))
 
 
+@query("SELECT count(*) AS n, max(c_acctbal) + 0.0 AS top FROM customer")
+def p30_column_by_alias(t: Tables) -> DataFrame:
+    rows = t("customer")
+    value = matrix.first_present(rows.columns, ["balance", "C_ACCTBAL", "c_custkey"])
+    return rows.agg(F.count("*").alias("n"), (F.max(value) + 0.0).alias("top"))
+
+
 @query("SELECT doc_id, lang FROM documents WHERE text IS NOT NULL AND regexp_matches(lower(text), '(^|[^a-z])the([^a-z]|$)') AND NOT regexp_matches(lower(text), 'license|copyright') AND lang IN ('en', 'de')")
 def f1_text_firewall(t: Tables) -> DataFrame:
     return filters.firewall(t("documents"), "text", required=r"(^|[^a-z])the([^a-z]|$)", forbidden="license|copyright").where(F.col("lang").isin("en", "de")).select("doc_id", "lang")
