@@ -167,9 +167,9 @@ def meetings(docs: DataFrame, width: int, rule: Rule) -> DataFrame:
             one, blobs = _pieces(_bucket(element[~crowd], buckets), element[~crowd], doc[~crowd])
             two, totals = _pieces(_bucket(element[top], buckets), element[top], often[often >= CROWD].astype(np.uint32))
             facts = [np.array([len(held)], np.int64).tobytes() + np.array(owners, np.int64).tobytes() + sizes.tobytes(), np.array([int(crowd.sum())], np.int64).tobytes() + element[crowd].tobytes() + doc[crowd].tobytes()]
-            bucket = np.concatenate([one, two, [-1, -1]]).astype(np.int32)
-            kind = np.repeat(np.array([0, 1, 2, 3], np.int32), [len(one), len(two), 1, 1])
             slice_id = (part << 32) + count
+            bucket = np.concatenate([one, two, [slice_id % buckets] * 2]).astype(np.int32)
+            kind = np.repeat(np.array([0, 1, 2, 3], np.int32), [len(one), len(two), 1, 1])
             count += 1
             held.clear()
             owners.clear()
@@ -193,20 +193,25 @@ def meetings(docs: DataFrame, width: int, rule: Rule) -> DataFrame:
         tidy()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Answers to slices: kind 4: element, document, count of classes; kind 5: element, count."""
+        """Answers to slices: kind 4: element, document, count of classes; kind 5: element, count. Facts go on as they are."""
         for _, rows in _groups(batches):
             single, crowds = [], []
+            slices, kinds, blobs, at = [], [], [], 0
             for slice_id, kind, blob in rows:
-                (crowds if kind.as_py() else single).append((slice_id.as_py(), *_columns(blob, np.uint32, np.uint32 if kind.as_py() else np.uint16)))
+                if kind.as_py() > 1:
+                    slices.append(slice_id.as_py())
+                    kinds.append(kind.as_py())
+                    blobs.append(blob.as_py())
+                else:
+                    (crowds if kind.as_py() else single).append((slice_id.as_py(), *_columns(blob, np.uint32, np.uint32 if kind.as_py() else np.uint16)))
             element = np.concatenate([np.zeros(0, np.uint32), *(e for _, e, _ in single), *(e for _, e, _ in crowds)])
             weight = np.concatenate([np.ones(sum(len(e) for _, e, _ in single), np.int64), *(n.astype(np.int64) for _, _, n in crowds)])
             order = np.argsort(element, kind="stable")
             ordered = element[order]
-            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-            total = np.minimum(np.add.reduceat(weight[order], first), 255)
+            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+            total = np.minimum(np.add.reduceat(weight[order], first), 255) if len(element) else weight
             have = np.empty(len(element), np.uint8)
             have[order] = np.repeat(total, np.diff(np.append(first, len(ordered))))
-            slices, kinds, blobs, at = [], [], [], 0
             for code, part in ((4, single), (5, crowds)):
                 for slice_id, e, other in part:
                     n = have[at : at + len(e)]
@@ -258,10 +263,8 @@ def meetings(docs: DataFrame, width: int, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     read = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sliced, "bucket int, slice long, kind int, blob binary")
-    slices = stored(read, "slices")
-    answers = slices.where("bucket >= 0").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(counted, "slice long, kind int, blob binary")
-    facts = slices.where("bucket < 0").select("slice", "kind", "blob")
-    routes = facts.unionByName(answers).repartition(partitions, "slice").sortWithinPartitions("slice").mapInArrow(routed, "bucket int, blob binary")
+    answers = read.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(counted, "slice long, kind int, blob binary")
+    routes = answers.repartition(partitions, "slice").sortWithinPartitions("slice").mapInArrow(routed, "bucket int, blob binary")
     return routes.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(met, "a long, b long")
 
 
