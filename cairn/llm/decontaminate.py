@@ -4,14 +4,15 @@ Texts become words without punctuation, in lower case. Numbers, units after numb
 follow a lower-case letter or a comma) are slots: a marker character for the type, then the value. A window is ``width``
 successive words of a benchmark item; its template has the markers alone, its plain form the values. Both are hashed, and a
 document's windows meet them in a hash join. For that, documents are exploded to words once, joined with one anchor word of
-each benchmark window (its longest word that is no slot), and only around hits are windows hashed.
+each benchmark window (its longest word, of a template its longest that is no slot), and only around hits are windows hashed.
 
 Hits of one alignment (a document, an item, the distance of their places) are checked for slot consistency: equal slots of
 the item have equal values in the document, and different ones different values. A document is contaminated by an item
-if the windows of consistent alignments cover ``coverage`` of the item's, or ``run`` of them are met in plain form.
+if the windows of consistent alignments cover ``coverage`` of the item's templates, or those met in plain form as much of all
+its windows, or ``run`` of them are met in plain form.
 
-Rows: null and empty texts match nothing. An item shorter than ``width`` is one window if it has ``least`` words that are no
-slots, which any window needs; other windows never match. Repeated documents and items are reported once for each pair of
+Rows: null and empty texts match nothing. An item shorter than ``width`` is one window. A window has a template if it has
+``least`` words that are no slots; any window is met in plain form, so that an item of one word is in all texts with the word. Repeated documents and items are reported once for each pair of
 ids. A null doc_id or item_id is reported as null. Other columns are ignored.
 """
 
@@ -50,25 +51,31 @@ def _plain(word: Column) -> Column:
     return F.ltrim(word, F.lit(NAME + NUMBER + UNIT))
 
 
-def _hashes(words: Column) -> tuple[Column, Column]:
-    """Of a window: its template's hash and its plain hash."""
-    template = F.transform(words, lambda w: F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w))
-    return F.xxhash64(F.array_join(template, " ")), F.xxhash64(F.array_join(F.transform(words, _plain), " "))
+def _template(words: Column) -> Column:
+    """Hash of a window whose slots have their markers alone."""
+    return F.xxhash64(F.array_join(F.transform(words, lambda w: F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w)), " "))
+
+
+def _verbatim(words: Column) -> Column:
+    """Hash of a window in plain form."""
+    return F.xxhash64(F.array_join(F.transform(words, _plain), " "))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, least: int) -> DataFrame:
-    """item_id, k, anchor, offset, size, template, plain, item_words, n_windows (of the item)."""
+    """item_id, text_id, k, n_windows and n_templates (of the item), anchor, offset, size, template (null with fewer than ``least`` words that are no slots), plain, item_words."""
     items = benchmark.select("item_id", canonical_words(F.col("text")).alias("words")).distinct()
-    items = items.withColumn("text_id", F.xxhash64(F.array_join("words", " ")))
+    items = items.where(F.array_max("words") != "").withColumn("text_id", F.xxhash64(F.array_join("words", " ")))
     count = F.greatest(F.size("words") - width + 1, F.lit(1))
     rows = items.select("item_id", "text_id", "words", F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
     rows = rows.withColumn("item_words", F.slice("words", F.col("k") + 1, F.lit(width)))
-    usable = F.transform("item_words", lambda w, i: F.struct((-F.when(_is_slot(w), 0).otherwise(F.char_length(w))).alias("short"), w.alias("word"), i.alias("offset")))
-    best = F.array_min(usable)
-    template, plain = _hashes(F.col("item_words"))
-    rows = rows.where(F.size(F.filter("item_words", lambda w: ~_is_slot(w) & (w != ""))) >= least)
-    rows = rows.withColumn("n_windows", F.count("*").over(Window.partitionBy("item_id", "text_id")))
-    return rows.select("item_id", "text_id", "k", "n_windows", best["word"].alias("anchor"), best["offset"].alias("offset"), F.size("item_words").alias("size"), template.alias("template"), plain.alias("plain"), "item_words")
+    templated = F.size(F.filter("item_words", lambda w: ~_is_slot(w))) >= least
+    rows = rows.withColumn("template", F.when(templated, _template(F.col("item_words"))))
+    # A template has its anchor among the words that are no slots.
+    length = lambda w: F.when(F.col("template").isNotNull() & _is_slot(w), 0).otherwise(F.char_length(_plain(w)))
+    best = F.array_min(F.transform("item_words", lambda w, i: F.struct((-length(w)).alias("short"), _plain(w).alias("word"), i.alias("offset"))))
+    item = Window.partitionBy("item_id", "text_id")
+    rows = rows.withColumns({"n_windows": F.count("*").over(item), "n_templates": F.count("template").over(item)})
+    return rows.select("item_id", "text_id", "k", "n_windows", "n_templates", best["word"].alias("anchor"), best["offset"].alias("offset"), F.size("item_words").alias("size"), "template", _verbatim(F.col("item_words")).alias("plain"), "item_words")
 
 
 def _matches(words: DataFrame, windows: DataFrame, width: int) -> DataFrame:
@@ -81,34 +88,42 @@ def _matches(words: DataFrame, windows: DataFrame, width: int) -> DataFrame:
     hits = hits.select("doc_id", "doc_key", "begin", "around", "place", F.explode("windows").alias("w")).select("doc_id", "doc_key", "begin", "around", "w.*", (F.col("place") - F.col("w.offset")).alias("at"))
     hits = hits.where(F.col("at") >= 0).withColumn("own", F.slice("around", F.col("at") - F.col("begin") + 1, F.col("size")))
     hits = hits.where(F.size("own") == F.col("size"))
-    template, plain = _hashes(F.col("own"))
-    hits = hits.withColumns({"same_plain": plain == F.col("plain"), "same_template": template == F.col("template")})
-    return hits.where("same_plain or same_template").select("doc_id", "doc_key", "item_id", "text_id", "n_windows", "k", (F.col("at") - F.col("k")).alias("shift"), "same_plain", "own", "item_words")
+    own = F.col("own")
+    hits = hits.withColumns({"same_plain": _verbatim(own) == F.col("plain"), "same_template": F.coalesce(_template(own) == F.col("template"), F.lit(False))})
+    return hits.where("same_plain or same_template").withColumn("shift", F.col("at") - F.col("k"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: int = 5, coverage: float = 0.5, run: int = 6) -> DataFrame:
-    """doc_id, item_id, n_matched, n_windows, reparameterised (a slot has another value), for contaminated documents."""
+    """doc_id, item_id, n_matched, n_windows, reparameterised (a slot has another value), for contaminated documents.
+
+    n_matched and n_windows are those of the item's templates or of its windows in plain form, whichever has the larger share."""
     windows = benchmark_windows(benchmark, width, least)
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = docs.select("doc_id", F.xxhash64("doc_id", text).alias("doc_key"), canonical_words(F.col("text")).alias("words"))
-    words = parts.select("doc_id", "doc_key", "words", F.posexplode_outer("words").alias("place", "anchor"))
+    words = parts.select("doc_id", "doc_key", "words", F.posexplode_outer("words").alias("place", "anchor")).withColumn("anchor", _plain(F.col("anchor")))
     block = F.pmod(F.xxhash64("item_id", "k", "text_id"), F.lit(blocks))
     found = functools.reduce(DataFrame.unionByName, (_matches(words, windows.where(block == i), width) for i in range(blocks)))
     slots = F.filter(F.zip_with("item_words", "own", lambda a, b: F.struct(a.alias("item"), b.alias("own"))), lambda p: _is_slot(p["item"]))
-    keys = ["doc_id", "doc_key", "item_id", "text_id", "n_windows"]
-    aligned = found.withColumn("slots", slots).groupBy(*keys, "shift").agg(
+    # A matched window counts in the form that has templates, if it has one, and in the plain form, if that is met.
+    templated = F.when(F.col("template").isNotNull(), F.struct(F.lit("template").alias("form"), F.col("n_templates").alias("n"), slots.alias("slots")))
+    plain = F.when(F.col("same_plain"), F.struct(F.lit("plain").alias("form"), F.col("n_windows").alias("n"), F.filter(slots, lambda p: F.lit(False)).alias("slots")))
+    keys = ["doc_id", "doc_key", "item_id", "text_id", "form", "n"]
+    found = found.withColumn("of", F.explode(F.array_compact(F.array(templated, plain)))).select("*", "of.*")
+    aligned = found.groupBy(*keys, "shift").agg(
         F.collect_set("k").alias("ks"), F.collect_set(F.when(F.col("same_plain"), F.col("k"))).alias("plain_ks"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     pairs = F.size("slots")
     sound = (F.size(F.array_distinct(F.transform("slots", lambda p: p["item"]))) == pairs) & (F.size(F.array_distinct(F.transform("slots", lambda p: p["own"]))) == pairs)
-    changed = F.exists("slots", lambda p: _plain(p["item"]) != _plain(p["own"]))
+    changed = F.when(F.col("form") != "plain", F.exists("slots", lambda p: _plain(p["item"]) != _plain(p["own"])))
     sound = aligned.withColumn("changed", changed).withColumn("ks", F.when(sound, F.col("ks")).otherwise(F.col("plain_ks")))
     whole = sound.groupBy(*keys).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ks")))).alias("n_matched"), F.size(F.array_distinct(F.flatten(F.collect_list("plain_ks")))).alias("n_plain"), F.min("changed").alias("changed")
     )
-    hit = (F.col("n_matched") >= F.lit(coverage) * F.col("n_windows")) | (F.col("n_plain") >= run)
-    return whole.where(hit).groupBy("doc_id", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_windows").alias("n_windows"), F.min("changed").alias("reparameterised"))
+    hit = (F.col("n_matched") >= F.lit(coverage) * F.col("n")) | (F.col("n_plain") >= run)
+    share = F.max(F.struct(F.col("n_matched") / F.col("n"), "n_matched", "n")).alias("share")
+    pairs = whole.groupBy("doc_id", "item_id").agg(F.max(hit).alias("hit"), share, F.coalesce(F.min("changed"), F.lit(False)).alias("reparameterised"))
+    return pairs.where("hit").select("doc_id", "item_id", F.col("share.n_matched"), F.col("share.n").alias("n_windows"), "reparameterised")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -224,6 +224,14 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, rows), items.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_and_dense_items(spark):
+    texts = ["What is 17 times 23?", "Who wrote Hamlet?", "Solve for x: 3x + 7 = 22.", "Compute 12 + 7 * 3 - 4 + 18 / 6 - 2 * 5 + 9.", "The Old Man Reads A Very Long Book In The Garden", "7"]
+    items = spark.createDataFrame(list(enumerate(texts[:5])) + [(8, " .!"), (9, None)], "item_id long, text string")
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10 + i, f"before it, {t.lower()} And after it.") for i, t in enumerate(texts)] + [(20, "What is 18 times 23?"), (21, "wrote Hamlet"), (22, ""), (23, None), (24, "?!")]
+    got = {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontaminate.contaminated(docs(spark, rows), items).collect()}
+    assert got == {(i, i % 10, False) for i in (0, 1, 2, 3, 4, 10, 11, 12, 13, 14)}
+
+
 def test_decontamination_finds_planted(spark, sf_dir):
     d, b = (spark.read.parquet(f"{sf_dir}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     want = brute_contaminated([(r["doc_id"], r["text"]) for r in d], [(r["item_id"], r["text"]) for r in b])
