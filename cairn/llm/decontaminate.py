@@ -1,18 +1,19 @@
 """Operator 4: benchmark decontamination by template canonicalisation, with DataFrame operations alone.
 
 Texts become words without punctuation, in lower case. Numbers, units after numbers, and names (capitalised words that
-follow a lower-case letter or a comma) are slots: a marker character for the type, then the value. A window is ``width``
+follow a lower-case letter or a comma) are slots: a marker character for the type, then the value. Other capitalised words,
+such as open a sentence, have a marker of their own and are names in the wide form of a template alone. A window is ``width``
 successive words of a benchmark item; its template has the markers alone, its plain form the values. Both are hashed, and a
 document's windows meet them in a hash join. For that, documents are exploded to words once, joined with one anchor word of
 each benchmark window (its longest word, of a template its longest that is no slot), and only around hits are windows hashed.
 
 Hits of one alignment (a document, an item, the distance of their places) are checked for slot consistency: equal slots of
 the item have equal values in the document, and different ones different values. A document is contaminated by an item
-if the windows of consistent alignments cover ``coverage`` of the item's templates, or those met in plain form as much of all
+if the windows of consistent alignments cover ``coverage`` of the item's templates, or of its wide ones, or those met in plain form as much of all
 its windows, or ``run`` of them are met in plain form.
 
 Rows: null and empty texts match nothing. An item shorter than ``width`` is one window. A window has a template if it has
-``least`` words that are no slots; any window is met in plain form, so that an item of one word is in all texts with the word. Repeated documents and items are reported once for each pair of
+``least`` words that are no slots, and a wide template goes on beyond ``width`` until it has them; any window is met in plain form, so that an item of one word is in all texts with the word. Repeated documents and items are reported once for each pair of
 ids. A null doc_id or item_id is reported as null. Other columns are ignored.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
+NAME, NUMBER, UNIT, MAYBE = "\x01", "\x02", "\x03", "\x04"
 #: Units that make a slot after a number.
 UNITS = "kg|g|mg|km|m|cm|mm|l|ml|lb|lbs|oz|mi|ft|in|mph|kmh|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent"
 BLOCK_WINDOWS = 200_000
@@ -33,27 +34,33 @@ BLOCK_WINDOWS = 200_000
 
 def canonical_words(text: Column) -> Column:
     """The words of a text, slots marked; one empty word for a null text."""
-    text = F.coalesce(text, F.lit(""))
+    text = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT + MAYBE, "    ")
     named = F.regexp_replace(text, r"[A-ZÀ-Þ](?<=[a-zß-ÿ,;] [A-ZÀ-Þ])[a-zß-ÿ]+", NAME + "$0")
+    named = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}{NAME}])[A-ZÀ-Þ][a-zß-ÿ]+", MAYBE + "$0")
     joined = F.regexp_replace(named, r"(?<=[0-9])[.,](?=[0-9])", "")
     numbered = F.regexp_replace(joined, r"(?<![\p{L}0-9])[0-9]+", " " + NUMBER + "$0 ")
-    united = F.regexp_replace(numbered, rf"({NUMBER}[0-9]+ +)((?i:{UNITS}))(?![\p{{L}}0-9])", "$1" + UNIT + "$2")
+    united = F.regexp_replace(numbered, rf"({NUMBER}[0-9]+ +){MAYBE}?((?i:{UNITS}))(?![\p{{L}}0-9])", "$1" + UNIT + "$2")
     slotted = F.when(text.rlike("[0-9]"), united).otherwise(named)
-    clean = F.trim(F.lower(F.regexp_replace(slotted, r"[^\p{L}\p{N}\x01-\x03]+", " ")))
+    clean = F.trim(F.lower(F.regexp_replace(slotted, r"[^\p{L}\p{N}\x01-\x04]+", " ")))
     return F.split(clean, " ")
 
 
-def _is_slot(word: Column) -> Column:
-    return word < F.lit("\x04")
+def _is_slot(word: Column, wide: bool = False) -> Column:
+    """Whether a word is a slot; in the wide form, any capitalised word is one."""
+    return word < F.lit("\x05" if wide else MAYBE)
 
 
 def _plain(word: Column) -> Column:
-    return F.ltrim(word, F.lit(NAME + NUMBER + UNIT))
+    return F.ltrim(word, F.lit(NAME + NUMBER + UNIT + MAYBE))
 
 
-def _template(words: Column) -> Column:
+def _kind(word: Column) -> Column:
+    return F.translate(F.substring(word, 1, 1), MAYBE, NAME)
+
+
+def _template(words: Column, wide: bool = False) -> Column:
     """Hash of a window whose slots have their markers alone."""
-    return F.xxhash64(F.array_join(F.transform(words, lambda w: F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w)), " "))
+    return F.xxhash64(F.array_join(F.transform(words, lambda w: F.when(_is_slot(w, wide), _kind(w)).otherwise(_plain(w))), " "))
 
 
 def _verbatim(words: Column) -> Column:
@@ -62,7 +69,9 @@ def _verbatim(words: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, least: int) -> DataFrame:
-    """item_id, text_id, k, n_windows and n_templates (of the item), anchor, offset, size, template (null with fewer than ``least`` words that are no slots), plain, item_words."""
+    """item_id, text_id, k, n_windows, n_templates and n_wides (of the item), anchor, offset, size, template (null with fewer than
+    ``least`` words that are no slots), wide, plain, item_words. The wide template is of wide_size words, as many as are needed
+    for ``least`` that are no slots in that form, and null if the item ends before."""
     items = benchmark.select("item_id", canonical_words(F.col("text")).alias("words")).distinct()
     items = items.where(F.array_max("words") != "").withColumn("text_id", F.xxhash64(F.array_join("words", " ")))
     count = F.greatest(F.size("words") - width + 1, F.lit(1))
@@ -70,60 +79,75 @@ def benchmark_windows(benchmark: DataFrame, width: int, least: int) -> DataFrame
     rows = rows.withColumn("item_words", F.slice("words", F.col("k") + 1, F.lit(width)))
     templated = F.size(F.filter("item_words", lambda w: ~_is_slot(w))) >= least
     rows = rows.withColumn("template", F.when(templated, _template(F.col("item_words"))))
-    # A template has its anchor among the words that are no slots.
-    length = lambda w: F.when(F.col("template").isNotNull() & _is_slot(w), 0).otherwise(F.char_length(_plain(w)))
-    best = F.array_min(F.transform("item_words", lambda w, i: F.struct((-length(w)).alias("short"), _plain(w).alias("word"), i.alias("offset"))))
+    solid = F.size(F.filter("item_words", lambda w: ~_is_slot(w, True)))
+    places = F.filter(F.sequence(F.col("k"), F.size("words") - 1), lambda i: ~_is_slot(F.get("words", i), True))
+    rows = rows.withColumn("wide_size", F.when(solid >= least, F.size("item_words")).when(solid > 0, F.get(places, F.lit(least - 1)) - F.col("k") + 1))
+    sized = F.coalesce("wide_size", F.size("item_words"))
+    rows = rows.withColumns({"size": F.size("item_words"), "item_words": F.slice("words", F.col("k") + 1, sized)})
+    rows = rows.withColumn("wide", F.when(F.col("wide_size").isNotNull(), _template(F.col("item_words"), True)))
+    # Templates have their anchor among the words that are no slots.
+    slot = lambda w: (F.col("wide").isNotNull() & _is_slot(w, True)) | (F.col("template").isNotNull() & _is_slot(w))
+    length = lambda w: F.when(slot(w), 0).otherwise(F.char_length(_plain(w)))
+    best = F.array_min(F.transform(F.slice("item_words", F.lit(1), F.col("size")), lambda w, i: F.struct((-length(w)).alias("short"), _plain(w).alias("word"), i.alias("offset"))))
     item = Window.partitionBy("item_id", "text_id")
-    rows = rows.withColumns({"n_windows": F.count("*").over(item), "n_templates": F.count("template").over(item)})
-    return rows.select("item_id", "text_id", "k", "n_windows", "n_templates", best["word"].alias("anchor"), best["offset"].alias("offset"), F.size("item_words").alias("size"), "template", _verbatim(F.col("item_words")).alias("plain"), "item_words")
+    rows = rows.withColumns({"n_windows": F.count("*").over(item), "n_templates": F.count("template").over(item), "n_wides": F.count("wide").over(item)})
+    plain = _verbatim(F.slice("item_words", F.lit(1), F.col("size")))
+    return rows.select("item_id", "text_id", "k", "n_windows", "n_templates", "n_wides", best["word"].alias("anchor"), best["offset"].alias("offset"), "size", "template", "wide", plain.alias("plain"), "item_words")
 
 
-def _matches(words: DataFrame, windows: DataFrame, width: int) -> DataFrame:
+def _matches(words: DataFrame, windows: DataFrame) -> DataFrame:
     """Aligned windows of documents and items whose templates, or plain forms, are equal."""
     # One row for each anchor: the join has no further condition and stays in the stage that explodes the words, so that
     # a document's array of words is copied for hits alone.
-    by_anchor = windows.groupBy("anchor").agg(F.collect_list(F.struct(*(c for c in windows.columns if c != "anchor"))).alias("windows"))
-    begin = F.greatest(F.col("place") - (width - 1), F.lit(0))
-    hits = words.join(F.broadcast(by_anchor), "anchor").select("doc_id", "doc_key", "place", begin.alias("begin"), F.slice("words", begin + 1, F.lit(2 * width - 1)).alias("around"), "windows")
+    reach = (F.max("offset").alias("back"), F.max(F.size("item_words") - F.col("offset")).alias("ahead"))
+    by_anchor = windows.groupBy("anchor").agg(F.collect_list(F.struct(*(c for c in windows.columns if c != "anchor"))).alias("windows"), *reach)
+    begin = F.greatest(F.col("place") - F.col("back"), F.lit(0))
+    hits = words.join(F.broadcast(by_anchor), "anchor").select("doc_id", "doc_key", "place", begin.alias("begin"), F.slice("words", begin + 1, F.col("place") - begin + F.col("ahead")).alias("around"), "windows")
     hits = hits.select("doc_id", "doc_key", "begin", "around", "place", F.explode("windows").alias("w")).select("doc_id", "doc_key", "begin", "around", "w.*", (F.col("place") - F.col("w.offset")).alias("at"))
-    hits = hits.where(F.col("at") >= 0).withColumn("own", F.slice("around", F.col("at") - F.col("begin") + 1, F.col("size")))
-    hits = hits.where(F.size("own") == F.col("size"))
-    own = F.col("own")
-    hits = hits.withColumns({"same_plain": _verbatim(own) == F.col("plain"), "same_template": F.coalesce(_template(own) == F.col("template"), F.lit(False))})
-    return hits.where("same_plain or same_template").withColumn("shift", F.col("at") - F.col("k"))
+    hits = hits.where(F.col("at") >= 0).withColumn("own", F.slice("around", F.col("at") - F.col("begin") + 1, F.size("item_words")))
+    hits = hits.where(F.size("own") >= F.col("size"))
+    own, first = F.col("own"), F.slice("own", F.lit(1), F.col("size"))
+    same = {"same_plain": _verbatim(first) == F.col("plain"), "same_template": _template(first) == F.col("template"), "same_wide": _template(own, True) == F.col("wide")}
+    hits = hits.withColumns({c: F.coalesce(v, F.lit(False)) for c, v in same.items()})
+    return hits.where("same_plain or same_template or same_wide").withColumn("shift", F.col("at") - F.col("k"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: int = 5, coverage: float = 0.5, run: int = 6) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, reparameterised (a slot has another value), for contaminated documents.
 
-    n_matched and n_windows are those of the item's templates or of its windows in plain form, whichever has the larger share."""
+    n_matched and n_windows are those of the item's templates, wide templates or windows in plain form, whichever has the largest share."""
     windows = benchmark_windows(benchmark, width, least)
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = docs.select("doc_id", F.xxhash64("doc_id", text).alias("doc_key"), canonical_words(F.col("text")).alias("words"))
     words = parts.select("doc_id", "doc_key", "words", F.posexplode_outer("words").alias("place", "anchor")).withColumn("anchor", _plain(F.col("anchor")))
     block = F.pmod(F.xxhash64("item_id", "k", "text_id"), F.lit(blocks))
-    found = functools.reduce(DataFrame.unionByName, (_matches(words, windows.where(block == i), width) for i in range(blocks)))
-    slots = F.filter(F.zip_with("item_words", "own", lambda a, b: F.struct(a.alias("item"), b.alias("own"))), lambda p: _is_slot(p["item"]))
-    # A matched window counts in the form that has templates, if it has one, and in the plain form, if that is met.
-    templated = F.when(F.col("template").isNotNull(), F.struct(F.lit("template").alias("form"), F.col("n_templates").alias("n"), slots.alias("slots")))
-    plain = F.when(F.col("same_plain"), F.struct(F.lit("plain").alias("form"), F.col("n_windows").alias("n"), F.filter(slots, lambda p: F.lit(False)).alias("slots")))
+    found = functools.reduce(DataFrame.unionByName, (_matches(words, windows.where(block == i)) for i in range(blocks)))
+    # A matched window counts in each form that it has.
+    def form(name: str, same: str, n: str, wide: bool = False) -> Column:
+        item, own = (F.slice(c, F.lit(1), F.when(F.col(same), F.size("item_words") if wide else F.col("size")).otherwise(F.col("size"))) for c in ("item_words", "own"))
+        pairs = F.filter(F.zip_with(item, own, lambda a, b: F.struct(a.alias("word"), F.concat(_kind(a), _plain(a)).alias("item"), F.concat(_kind(a), _plain(b)).alias("own"))), lambda p: _is_slot(p["word"], wide) & F.lit(name != "plain"))
+        return F.struct(F.lit(name).alias("form"), F.col(n).alias("n"), F.transform(pairs, lambda p: F.struct(p["item"].alias("item"), p["own"].alias("own"))).alias("slots"))
+
+    templated = F.when(F.col("template").isNotNull() & (F.col("same_template") | F.col("same_plain")), form("template", "same_template", "n_templates"))
+    widened = F.when(F.col("same_wide") | (F.col("wide").isNotNull() & F.col("same_plain")), form("wide", "same_wide", "n_wides", True))
+    plain = F.when(F.col("same_plain"), form("plain", "same_plain", "n_windows"))
     keys = ["doc_id", "doc_key", "item_id", "text_id", "form", "n"]
-    found = found.withColumn("of", F.explode(F.array_compact(F.array(templated, plain)))).select("*", "of.*")
+    found = found.withColumn("of", F.explode(F.array_compact(F.array(templated, widened, plain)))).select("*", "of.*")
     aligned = found.groupBy(*keys, "shift").agg(
         F.collect_set("k").alias("ks"), F.collect_set(F.when(F.col("same_plain"), F.col("k"))).alias("plain_ks"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     pairs = F.size("slots")
     sound = (F.size(F.array_distinct(F.transform("slots", lambda p: p["item"]))) == pairs) & (F.size(F.array_distinct(F.transform("slots", lambda p: p["own"]))) == pairs)
-    changed = F.when(F.col("form") != "plain", F.exists("slots", lambda p: _plain(p["item"]) != _plain(p["own"])))
+    changed = F.when(F.col("form") != "plain", F.exists("slots", lambda p: p["item"] != p["own"]))
     sound = aligned.withColumn("changed", changed).withColumn("ks", F.when(sound, F.col("ks")).otherwise(F.col("plain_ks")))
     whole = sound.groupBy(*keys).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ks")))).alias("n_matched"), F.size(F.array_distinct(F.flatten(F.collect_list("plain_ks")))).alias("n_plain"), F.min("changed").alias("changed")
     )
     hit = (F.col("n_matched") >= F.lit(coverage) * F.col("n")) | (F.col("n_plain") >= run)
     share = F.max(F.struct(F.col("n_matched") / F.col("n"), "n_matched", "n")).alias("share")
-    pairs = whole.groupBy("doc_id", "item_id").agg(F.max(hit).alias("hit"), share, F.coalesce(F.min("changed"), F.lit(False)).alias("reparameterised"))
-    return pairs.where("hit").select("doc_id", "item_id", F.col("share.n_matched"), F.col("share.n").alias("n_windows"), "reparameterised")
+    pairs = whole.where(hit).groupBy("doc_id", "item_id").agg(share, F.coalesce(F.min("changed"), F.lit(False)).alias("reparameterised"))
+    return pairs.select("doc_id", "item_id", F.col("share.n_matched"), F.col("share.n").alias("n_windows"), "reparameterised")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -232,6 +232,21 @@ def test_decontamination_of_short_and_dense_items(spark):
     assert got == {(i, i % 10, False) for i in (0, 1, 2, 3, 4, 10, 11, 12, 13, 14)}
 
 
+def test_decontamination_of_names_that_open_sentences(spark):
+    texts = [
+        "Mary has 12 apples. Mary gives 4 apples to John. John eats 2 apples. How many apples does Mary have?",
+        "Ken bought 7 books. Ken sold 3 books. Sue bought 5 books.\nSue lost 2 books. How many books are left?",
+        "Bob has 3 red pens. Amy has 9 blue pens. Bob gives Amy 2 pens. How many pens does each of them have?",
+    ]
+    new = {"Mary": "Julia", "John": "Peter", "Ken": "Tom", "Sue": "Ida", "Bob": "Max", "Amy": "Eva", "12": "15", "4": "6", "2": "8", "7": "11", "3": "1", "5": "10", "9": "14"}
+    other = [re.sub(r"\w+", lambda m: new.get(m[0], m[0]), t) for t in texts]
+    mixed = [re.sub(r"\w+", lambda m: new.get(m[0], m[0]) if m.start() % 3 else m[0], t.replace("Mary", "Julia", 1)) for t in texts[:1]]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = list(enumerate(texts)) + [(10 + i, t) for i, t in enumerate(other)] + [(20, mixed[0]), (31, texts[1].title()), (32, other[0].replace("apples", "pears"))]
+    got = {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontaminate.contaminated(docs(spark, rows), items).collect()}
+    assert got == {(0, 0, False), (1, 1, False), (2, 2, False), (10, 0, True), (11, 1, True), (12, 2, True), (31, 1, False)}
+
+
 def test_decontamination_finds_planted(spark, sf_dir):
     d, b = (spark.read.parquet(f"{sf_dir}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     want = brute_contaminated([(r["doc_id"], r["text"]) for r in d], [(r["item_id"], r["text"]) for r in b])
