@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import Column, DataFrame
@@ -69,15 +70,16 @@ def crosswalk(pairs: DataFrame, a: str, b: str, score: str, least: float) -> Dat
     return rows.select(a, F.when(F.col("_e") == 1, F.col("_h")).otherwise(F.col("_m")).alias("match"), status.alias("status"))
 
 
-def in_range(points: DataFrame, radius: float, by: list[str], ident: str = "cell") -> DataFrame:
+def in_range(points: DataFrame, radius: float, by: list[str], ident: str = "cell", sources: DataFrame | None = None) -> DataFrame:
     """Pairs of points of a group within a distance, by a grid: a point visits the cells around its own.
 
-    Rows grow with the points and their neighbours, not with the square of the points.
+    Rows grow with the points and their neighbours, not with the square of the points. ``sources``: the points that visit,
+    if not all.
     """
     grid = [F.floor(F.col(c) / radius).cast("long").alias(f"_{c}") for c in "xyz"]
     home = points.select(*by, F.col(ident).alias("dst"), *(F.col(c).alias(f"{c}2") for c in "xyz"), *grid)
     steps = F.array(*(F.struct(*(F.lit(d).alias(n) for n, d in zip("abc", s, strict=True))) for s in itertools.product((-1, 0, 1), repeat=3)))
-    visits = points.select(*by, F.col(ident).alias("src"), *"xyz", *grid, F.explode(steps).alias("_s"))
+    visits = (points if sources is None else sources).select(*by, F.col(ident).alias("src"), *"xyz", *grid, F.explode(steps).alias("_s"))
     visits = visits.select(*by, "src", *"xyz", *((F.col(f"_{c}") + F.col(f"_s.{n}")).alias(f"_{c}") for c, n in zip("xyz", "abc", strict=True)))
     d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"{c}2"), 2) for c in "xyz"), F.lit(0.0)))
     return visits.join(home, [*by, "_x", "_y", "_z"]).withColumn("dist", d).where(F.col("dist") <= radius).select(*by, "src", "dst", "dist")
@@ -92,6 +94,30 @@ def neighbours(points: DataFrame, k: int, radius: float, by: list[str], keep_sel
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def nearest(points: DataFrame, k: int, radius: float, by: list[str]) -> DataFrame:
+    """The k nearest of each point of a group, without the point, however far: src, dst, dist and ``rank`` from 1.
+
+    The radius is a first guess. Points with fewer than k within it look again within twice of it, until they have k or all
+    of their group. A point whose place is not finite is no one's neighbour.
+    """
+    finite = [F.abs(F.col(c)) < F.lit(float("inf")) for c in "xyz"]
+    points = points.where(finite[0] & finite[1] & finite[2]).persist()
+    need = points.groupBy(*by).agg(F.least(F.count("*") - 1, F.lit(k)).alias("_need"))
+    left = points.join(need, by).where("_need > 0").persist()
+    order = Window.partitionBy(*by, "src").orderBy(F.round("dist", 9), "dst")
+    parts = []
+    while not left.isEmpty():
+        pairs = in_range(points, radius, by, sources=left).where("src <> dst")
+        pairs = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).persist()
+        have = pairs.groupBy(*by, F.col("src").alias("cell")).agg(F.count("*").alias("_have"))
+        short = left.join(have, [*by, "cell"], "left").where(F.coalesce("_have", F.lit(0)) < F.col("_need")).drop("_have")
+        short = short.checkpoint() if points.sparkSession.sparkContext.getCheckpointDir() else short.localCheckpoint()
+        parts.append(pairs.join(short.select(*by, F.col("cell").alias("src")), [*by, "src"], "left_anti"))
+        left, radius = short, 2 * radius
+    none = in_range(points.limit(0), radius, by).withColumn("rank", F.lit(0))
+    return functools.reduce(DataFrame.unionByName, parts, none)
+
+
 def bracketed(events: DataFrame, marks: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
     """For each event the last mark at or before it, by one window over both tables in order of time."""
     a = events.select(*by, time, F.lit(1).alias("_k"), F.struct(*events.columns).alias("_e"), F.lit(None).cast(dict(marks.dtypes)[value]).alias("_v"))

@@ -190,10 +190,10 @@ def o4_o8_exact_plan(t: Tables) -> DataFrame:
 @query()
 def x18_label_propagation(t: Tables) -> DataFrame:
     """Labels spread over neighbours: 10 rounds of f = alpha S f + (1 - alpha) f0, S the row-normalised neighbour table."""
-    from cairn.operators.joins import neighbours
+    from cairn.operators.joins import nearest
 
     p = t.points().withColumn("all", F.lit(0))
-    n = neighbours(p, 6, 0.12, ["all"]).select("src", "dst")
+    n = nearest(p, 6, 0.12, ["all"]).select("src", "dst")
     n = n.join(n.groupBy("src").agg((1 / F.count("*")).alias("w")), "src").persist()
     f0 = p.select(F.col("cell").alias("dst"), (F.col("state") == 0).cast("double").alias("f0"))
     f = f0.withColumn("f", F.col("f0"))

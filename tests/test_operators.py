@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cairn.operators import alloc, evidence, geometry, matrix, ranks, solvers, trends
+from cairn.operators import alloc, evidence, geometry, joins, matrix, ranks, solvers, trends
 
 
 def long(spark, rows):
@@ -125,3 +125,14 @@ def test_counterfactual_keeps_residuals(spark):
     df = spark.createDataFrame([(1.0, 5.0, 7.0)], "a double, b double, c double")
     out = solvers.counterfactual(df, "a", 0.0, {"b": {"a": 2.0}, "c": {"a": 1.0, "b": 0.5}}).first()
     assert tuple(out) == (0.0, 3.0, 5.0)
+
+
+def test_nearest_are_k_however_far(spark):
+    at = [(0, 0, 0.0), (1, 0, 0.05), (2, 0, 0.11), (3, 0, 3.0), (4, 0, 40.0), (5, 1, 0.0), (6, 1, 9.0), (7, 2, 1.0), (8, 0, float("nan"))]
+    points = spark.createDataFrame([(c, g, x, 0.0, 0.0) for c, g, x in at], "cell long, state int, x double, y double, z double")
+    want = set()
+    for c, g, x in at[:-1]:
+        others = sorted((round(abs(x - v), 9), d) for d, h, v in at[:-1] if h == g and d != c)
+        want |= {(c, d, i + 1) for i, (_, d) in enumerate(others[:3])}
+    assert {(r["src"], r["dst"], r["rank"]) for r in joins.nearest(points, 3, 0.12, ["state"]).collect()} == want
+    assert joins.nearest(points.limit(0), 3, 0.12, ["state"]).count() == 0
