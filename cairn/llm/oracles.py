@@ -23,14 +23,14 @@ FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON id = doc_id
 
 EMBEDDING_DEDUP = f"""
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS raw, list_max(list_transform(raw, lambda x: abs(x))) AS top FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
 ), good AS (
-  SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+  SELECT vec_id, label, list_transform(raw, lambda x: x / top) AS e FROM v WHERE len(list_filter(raw, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND top > 0
 ), links AS (
   SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id < y.vec_id
   WHERE list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)) >= 0.98
 ), {_REACH}, n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY 1)
-SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) IS NOT DISTINCT FROM vec_id AS kept
 FROM embeddings LEFT JOIN roots ON roots.id = vec_id LEFT JOIN n ON n.id = vec_id
 """
 

@@ -347,7 +347,7 @@ def brute_vectors(rows, threshold):
             x = root[x]
         return x
 
-    good = [(i, np.asarray(v, float), lab) for i, v, lab in rows if lab is not None and v and None not in v and np.isfinite(np.asarray(v, float)).all() and np.any(v)]
+    good = [(i, np.asarray(v, float) / np.abs(v).max(), lab) for i, v, lab in rows if i is not None and lab is not None and v and None not in v and np.isfinite(np.asarray(v, float)).all() and np.any(v)]
     for k, (i, x, a) in enumerate(good):
         for j, y, b in good[k + 1 :]:
             if a == b and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= threshold:
@@ -358,20 +358,37 @@ def brute_vectors(rows, threshold):
     return {i: (n[i], find(i), find(i) == i) for i, _, _ in rows}
 
 
-@pytest.mark.parametrize(("cell", "part"), [(1 << 16, 1024), (16, 12)])
-def test_embedding_dedup_is_exact(spark, monkeypatch, cell, part):
-    monkeypatch.setattr(embedding_dedup, "CELL", cell)
+@pytest.mark.parametrize("part", [1 << 14, 12, 3])
+def test_embedding_dedup_is_exact(spark, monkeypatch, part):
     monkeypatch.setattr(embedding_dedup, "PART", part)
     rng = np.random.default_rng(4)
     centre = rng.standard_normal((12, 16))
     rows = [(i, (centre[i % 12] + rng.standard_normal(16) * rng.choice([0.02, 0.15, 0.5])).tolist(), int(i % 2)) for i in range(150)]
     rows += [(1000 + i, rows[i][1], rows[i][2]) for i in range(4)] + [(2000, [2 * x for x in rows[0][1]], rows[0][2]), (2001, None, 1), (2002, [0.0] * 16, 1), (2003, [float("nan")] * 16, 1), (2004, [None] * 16, 1), (2005, [], 1), (2006, rows[0][1], None), (2007, [1.0, 2.0], 0), (2008, [2.0, 4.0], 0)]
+    rows += [(3000, [1e200, 1e200], 0), (3001, [1e200, 1.0001e200], 0), (3002, [1e-200, 1e-200], 1), (3003, [1e-200, 1.0001e-200], 1), (3004, [5e-324, 5e-324], 1), (3005, [1.7e308, -1.7e308], 1), (None, rows[0][1], 0)]
     d = spark.createDataFrame([(i, v, lab, 7) for i, v, lab in rows], "vec_id long, embedding array<double>, label int, n_links int")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.embedding_dedup(d).collect()}
     assert got == brute_vectors(rows, 0.98)
+    assert got[3000][0] == got[3001][0] == 1 and got[3002][0] == got[3004][0] == 2
     assert embedding_dedup.embedding_dedup(d.limit(0)).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.sampled_from([1, 4, 8]), st.sampled_from([1, 50, 2000]), st.sampled_from([0.02, 0.2, 1.0]))
+def test_range_join_finds_each_pair_once(seed, dims, few, radius):
+    rng = np.random.default_rng(seed)
+    y, z = (rng.choice([rng.standard_normal((n, dims)), rng.integers(0, 2, (n, dims)).astype(float)]) * 0.3 for n in rng.integers(0, 150, 2).tolist())
+    before, embedding_dedup.FEW = embedding_dedup.FEW, few
+    try:
+        alone = [(i, k) for p, q in embedding_dedup.in_range(y, None, radius**2) for i, k in zip(p.tolist(), q.tolist(), strict=True)]
+        both = [(i, k) for p, q in embedding_dedup.in_range(y, z, radius**2) for i, k in zip(p.tolist(), q.tolist(), strict=True)]
+    finally:
+        embedding_dedup.FEW = before
+    near = lambda x, w: bool(embedding_dedup.square((x - w)[None])[0] <= radius**2)
+    assert sorted(tuple(sorted(p)) for p in alone) == [(i, k) for i in range(len(y)) for k in range(i + 1, len(y)) if near(y[i], y[k])]
+    assert sorted(both) == [(i, k) for i in range(len(y)) for k in range(len(z)) if near(y[i], z[k])]
+
+
 # 9
 
 
