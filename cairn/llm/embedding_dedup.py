@@ -233,7 +233,9 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.size("vector") > 0, F.lit(False))
     sound &= F.coalesce(F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
     sound &= F.coalesce(F.exists("vector", lambda v: v != 0), F.lit(False))
-    classes = rows.where(sound).distinct().groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    # The hash comes first among the keys, so that sorts hardly ever compare vectors.
+    own = rows.where(sound).select("vec_id", F.xxhash64("label", "vector").alias("hash"), "label", "vector").distinct()
+    classes = own.groupBy("hash", "label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = stored(classes.withColumns({"space": F.xxhash64("label", F.size("vector")), "dims": F.size("vector")}), "vectors")
     depth = F.greatest(F.lit(0), F.ceil(F.log(F.count("*") / F.lit(float(PART))) / float(np.log(THIN)))).cast("int")
     spaces = classes.groupBy("space").agg(depth.alias("depth"), F.count("*").alias("classes")).where("classes > 1")
@@ -253,7 +255,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     roots = components(links.where("rep != other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     of_class = classes.join(counts, "rep", "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    of_class = of_class.select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    out = rows.where(sound).distinct().join(of_class, ["label", "vector"]).select("vec_id", "n_links", "component_id")
+    of_class = of_class.select("hash", "label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    out = own.join(of_class, ["hash", "label", "vector"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
