@@ -6,7 +6,7 @@ that a loss covers: those of assistant turns' texts with their end marks.
 
 Turn rows: (conv_id, turn, role, text), a null role or text counts as empty. Turns are ordered by turn, role, text; nulls
 first; repeated rows are repeated turns. A conversation without turns, or a side that isn't there, is an empty one: the
-prefix is then empty. Identical sides have two empty completions, ``status`` says so. All turns of a conversation come
+prefix is then empty. Turns of a null conv_id belong to no conversation, and are left out. Identical sides have two empty completions, ``status`` says so. All turns of a conversation come
 together in one row, as its rendering is one text; conversations of one content or one opening share no task.
 """
 
@@ -46,7 +46,7 @@ def loss_spans(turns: Column) -> Column:
 
 
 def preference(pairs: DataFrame) -> DataFrame:
-    """Formats pairs (chosen, rejected: arrays of role, text; further columns are kept).
+    """Formats pairs (chosen, rejected: arrays of role, text; further columns are kept, but for those named as the ones added).
 
     Adds n_prefix, prompt, chosen_completion, rejected_completion, chosen_mask, rejected_mask (ranges within the
     completion), status: ``ok``, ``identical`` or ``one_sided`` (a side without turns).
@@ -69,14 +69,17 @@ def preference(pairs: DataFrame) -> DataFrame:
 def reply_pairs(turns: DataFrame) -> DataFrame:
     """Pairs made of conversations alone: rejected is the conversation with its last assistant turn replaced.
 
-    The replacement is the last assistant turn of the partner, the conversation of the same number but for the lowest bit.
-    Without a partner that has one, rejected is empty; without an assistant turn of its own, both sides are identical.
+    The replacement is the last assistant turn of the partner, the conversation of the same number but for the lowest bit
+    (of several whose conv_id is a text of one number, the least). Without a partner that has one, or with a conv_id that
+    is no whole number, rejected is empty; without an assistant turn of its own, both sides are identical.
     """
     conv = conversations(turns)
     numbered = F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i))
-    conv = conv.withColumn("last", F.array_max(numbered))
-    reply = conv.where("last is not null").select(F.expr("conv_id ^ 1").alias("conv_id"), F.element_at("turns", F.col("last") + 1).alias("reply"))
-    joined = conv.join(reply, "conv_id", "left")
+    conv = conv.withColumns({"last": F.array_max(numbered), "number": F.col("conv_id").try_cast("long")})
+    reply = conv.where("last is not null and number is not null").select(F.expr("number ^ 1").alias("number"), "conv_id", F.element_at("turns", F.col("last") + 1).alias("reply"))
+    if dict(turns.dtypes)["conv_id"] not in ("tinyint", "smallint", "int", "bigint"):  # otherwise a number has one conversation
+        reply = reply.groupBy("number").agg(F.min_by("reply", "conv_id").alias("reply"))
+    joined = conv.join(reply.drop("conv_id"), "number", "left")
     swapped = F.transform("turns", lambda t, i: F.when(i == F.col("last"), F.col("reply")).otherwise(t))
     rejected = F.when(F.col("last").isNull(), F.col("turns")).when(F.col("reply").isNotNull(), swapped)
     return joined.select("conv_id", F.col("turns").alias("chosen"), rejected.alias("rejected"))

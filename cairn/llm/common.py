@@ -16,9 +16,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests), a temporary one of this driver."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset and all runs on this machine (tests), a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="cairn-"))
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
@@ -36,14 +38,16 @@ BATCH_ROWS = 1024
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs run inside hand over at most ``BATCH_ROWS`` rows at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    """Jobs run inside hand over at most ``BATCH_ROWS`` rows at a time, and their shuffle files go when they end."""
+    rows, files = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(rows), spark.conf.get(files, "false")
+    spark.conf.set(rows, str(min(BATCH_ROWS, int(before[0])) if int(before[0]) > 0 else BATCH_ROWS))
+    spark.conf.set(files, "true")
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(rows, before[0])
+        spark.conf.set(files, before[1])
 
 
 _kept: dict = {}
@@ -88,6 +92,14 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores after it as make it unlike all the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -11,21 +11,25 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored_at
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: for each node with an edge to another the smallest node of its component. Nodes are of one ordered type."""
     pairs = edges.where((F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    pairs = stored(pairs, "edges")
+    spark = edges.sparkSession
+    pairs, path = stored_at(pairs, "edges")
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where(F.col("u") != F.col("v")).distinct(), "edges")
+        large, large_path = stored_at(large.where(F.col("u") != F.col("v")).distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        after = stored(small.where(F.col("u") != F.col("v")).distinct(), "edges")
+        after, after_path = stored_at(small.where(F.col("u") != F.col("v")).distinct(), "edges")
+        for old in (path, large_path):
+            discard(spark, old)
+        path = after_path
         # Done when all edges are stars with their least node at the centre: no node is both an end and a centre.
         ends = after.select("u").distinct()
         twice = after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()

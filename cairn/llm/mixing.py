@@ -5,12 +5,14 @@ bisected between 1 (as it is) and 0 (equal shares): downwards until the entropy
 further than the repetition limit allows. The weights become token budgets, and a budget is realised as permutations of
 the source's blocks: full passes over all its documents, then the head of one more permutation that fits the rest.
 
-A document's place in a pass is a hash of seed, pass and doc_id; blocks are ranges of that hash. Where a budget ends is
-found by token sums of ranges, from coarse to fine down to one block, and then by running sums inside that block. So no
-window holds a source, however large, and no document is shuffled: its passes follow from its hash.
+A document's block, and its place in the block, are a hash of seed and doc_id. Each pass permutes the numbers of a source's
+blocks by a keyed bijection; a document's key in the pass is its block's new number, then its place in the block. Where a
+budget ends is found by token sums of ranges of keys, from coarse to fine down to one block, and then by running sums inside
+that block. So no window holds a source, however large, and no document is shuffled: its passes follow from its key.
 
 Rows: a null source is a source of its own (``null``); a null text has no tokens; repeated rows are documents each, with one
-hash, and come or stay away together. Without tokens all weights are equal and every document comes once.
+hash, and come or stay away together; a null doc_id is hashed by its text instead. Without tokens all weights are equal and
+every document comes once.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import stored
 
 BLOCK_ROWS = 512
 """About so many documents a block."""
+BLOCK_BITS = 31
+"""A source has 2 to the power of this many blocks at most; larger blocks beyond."""
 LEVEL_BITS = 10
 """A range of keys is searched by parts, 2 to the power of this many at a time: what a window over one source holds."""
 
@@ -81,15 +85,37 @@ def temperature(tokens: dict, target_entropy: float, max_repeats: float, steps:
     return at_entropy if allowed(at_entropy) else max(at_entropy, bisected(allowed))
 
 
-def _key(passes: Column, seed: int) -> Column:
-    """A document's place in a pass, 62 bits."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), passes, F.col("doc_id")), 2)
+def _id() -> Column:
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+
+
+def _shift(direction: str, x: Column, bits: Column) -> Column:
+    return F.call_function(f"shift{direction}", x, bits)
+
+
+def permuted(block: Column, mask: Column, half: Column, *key: Column) -> Column:
+    """A bijection of the numbers up to ``mask`` (a power of two less one), one for each key: steps x * odd + any and x ^ x >> half."""
+    for k in range(3):
+        factor, step = (F.xxhash64(F.lit(2 * k + j), *key).bitwiseAND(F.lit((1 << 31) - 1)) for j in (0, 1))
+        block = (block * factor.bitwiseOR(F.lit(1)) + step).bitwiseAND(mask)
+        block = block.bitwiseXOR(_shift("right", block, half))
+    return block
+
+
+def _key(passes: Column, seed: int, mix: dict) -> Column:
+    """A document's place in a pass, 62 bits: its block's place, then its own in the block."""
+    bits = {s: x["bits"] for s, x in mix.items()}
+    of = lambda f, kind: _by_source({s: {"v": f(n)} for s, n in bits.items()}, "v", kind)
+    rest, mask = of(lambda n: 62 - n, "int"), of(lambda n: (1 << n) - 1, "long")
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("mix_id")), 2)
+    block = permuted(_shift("right", place, rest), mask, of(lambda n: (n + 1) // 2, "int"), F.lit(seed), passes, F.col("mix_source"))
+    return _shift("left", block, rest) + place.bitwiseAND(of(lambda n: (1 << (62 - n)) - 1, "long"))
 
 
 def plan(slim: DataFrame, target_entropy: float, max_repeats: float, seed: int) -> dict:
     """For each source: weight, repeats, full passes, and the last key of the further pass that its budget still holds.
 
-    ``slim``: mix_source, doc_id, mix_tokens. Sources are few: what is collected is a row for each of them.
+    ``slim``: mix_source, mix_id, mix_tokens. Sources are few: what is collected is a row for each of them.
     """
     known = {r["mix_source"]: r for r in slim.groupBy("mix_source").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("rows")).collect()}
     if not known:
@@ -100,12 +126,12 @@ def plan(slim: DataFrame, target_entropy: float, max_repeats: float, seed: int)
     out = {}
     for s, r in known.items():
         full = int(often[s] + 1e-9)
-        bits = max(0, math.ceil(math.log2(r["rows"] / BLOCK_ROWS))) if r["rows"] > BLOCK_ROWS else 0
+        bits = min(BLOCK_BITS, math.ceil(math.log2(r["rows"] / BLOCK_ROWS))) if r["rows"] > BLOCK_ROWS else 0
         out[s] = {"weight": weight[s], "repeats": often[s], "full": full, "rest": int((often[s] - full) * tokens[s]) if often[s] - full > 1e-9 else 0, "bits": bits, "last": -1}
     further = {s: x for s, x in out.items() if x["rest"] > 0}
     if further:
         rows = slim.where(F.col("mix_source").isin(list(further)))
-        key = _key(_by_source(further, "full", "int"), seed)
+        key = _key(_by_source(further, "full", "int"), seed, further)
         rows = rows.select("mix_source", key.alias("key"), "mix_tokens")
         cut = {s: (0, x["rest"]) for s, x in further.items()}  # the first key of a range, and the tokens left for it
         level = {s: 62 for s in further}
@@ -146,7 +172,7 @@ def _by_source(values: dict, name: str, kind: str) -> Column:
 
 
 def slim(docs: DataFrame) -> DataFrame:
-    return docs.select(_source().alias("mix_source"), "doc_id", n_tokens().alias("mix_tokens"))
+    return docs.select(_source().alias("mix_source"), _id().alias("mix_id"), n_tokens().alias("mix_tokens"))
 
 
 def _source() -> Column:
@@ -159,14 +185,14 @@ def scheduled(docs: DataFrame, mix: dict, seed: int, places: bool = True) -> Dat
     With places adds mix_pass and mix_place (0 to 1), in place of columns of these names; ordered by mix_place, the passes of
     every source are spread evenly over the whole.
     """
-    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), _source().alias("mix_source"), "doc_id")
+    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), _source().alias("mix_source"), _id().alias("mix_id"))
     if not mix:
         rows = packed.limit(0).withColumns({"mix_pass": F.lit(0), "mix_place": F.lit(0.0)})
     else:
         full = _by_source(mix, "full", "int")
-        more = (_key(full, seed) <= _by_source(mix, "last", "long")).cast("int")
+        more = (_key(full, seed, mix) <= _by_source(mix, "last", "long")).cast("int")
         rows = packed.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), full + more - 1)))
-        place = (F.col("mix_pass") + _key(F.col("mix_pass"), seed) / F.lit(float(1 << 62))) / _by_source(mix, "repeats", "double")
+        place = (F.col("mix_pass") + _key(F.col("mix_pass"), seed, mix) / F.lit(float(1 << 62))) / _by_source(mix, "repeats", "double")
         rows = rows.withColumn("mix_place", F.least(place, F.lit(1.0)))
     own = ["mix_pass", "mix_place"] if places else []
     return rows.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in own), *own)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import tidy, worker_keeps
+from .common import free_name, tidy, worker_keeps
 
 GRAM_BITS = 15
 SHAPES = 64
@@ -137,8 +137,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> dict:
 
 
 def scored(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
-    """``docs`` with the score in a further column, whose name must be new, in one pass without a shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """``docs`` with the score in a further column, the last one, in one pass without a shuffle.
+
+    Its name is ``column``, with underscores after it if docs has such a column already, which is kept.
+    """
+    held, column = docs.sparkSession.sparkContext.broadcast(model), free_name(docs.columns, column)
     schema = docs.withColumn(column, F.lit(0.0)).schema
     at = docs.columns.index("text")
 

@@ -87,12 +87,42 @@ def chain_count(vocabulary: Vocabulary, word: bytes) -> int:
     return best[n][1]
 
 
+def long_count(vocabulary: Vocabulary, word: bytes, step: int = 1 << 14) -> int:
+    """The same for a long word: pieces that end in a stretch of it are looked up together, and only those met one by one."""
+    data = np.frombuffer(word, np.uint8)
+    sums, back = _sums(data), vocabulary.longest
+    score, count = [0.0], [0]  # of the last ``back`` prefixes, the newest last
+    for lo in range(0, len(data), step):
+        hi = min(lo + step, len(data))
+        ends, lengths, gains = [], [], []
+        for length in range(1, min(back, hi) + 1):
+            end = np.arange(max(lo + 1, length), hi + 1)
+            found, value = vocabulary.find(_range_hash(sums, end - length, end))
+            ends.append(end[found])
+            lengths.append(np.full(len(found), length))
+            gains.append(value)
+        end, length, gain = np.concatenate(ends), np.concatenate(lengths), np.concatenate(gains)
+        order = np.argsort(end, kind="stable")
+        cut = np.searchsorted(end[order], np.arange(lo + 1, hi + 2)).tolist()
+        length, gain = length[order].tolist(), gain[order].tolist()
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            top, least = score[-1] + PENALTY, count[-1] + 1
+            for k in range(a, b):
+                total, pieces = score[-length[k]] + gain[k], count[-length[k]] + 1
+                if total > top or total == top and pieces < least:
+                    top, least = total, pieces
+            score.append(top)
+            count.append(least)
+        score, count = score[-back:], count[-back:]
+    return count[-1]
+
+
 def trie_counts(vocabulary: Vocabulary, words: list[bytes]) -> np.ndarray:
     """Tokens of distinct words (with their marks), by forward scores that are computed once per trie node."""
     out = np.zeros(len(words), np.int64)
     short = [i for i, w in enumerate(words) if len(w) <= LONG]
     for i in set(range(len(words))) - set(short):
-        out[i] = chain_count(vocabulary, words[i])
+        out[i] = long_count(vocabulary, words[i])
     short.sort(key=words.__getitem__)
     if not short:
         return out

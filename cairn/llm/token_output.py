@@ -1,14 +1,14 @@
 """Operator 3: token ids in binary files, Simple-8b coded, and their reading.
 
-``write_ids`` deals documents out by ranges of doc_id, encodes each partition in order and writes one file a partition
-through Spark's own writer and committer, so that a lost executor costs a repeated task, never a broken file.
+``write_ids`` deals documents out by ranges of doc_id, encodes each partition in order and writes it through Spark's own
+writer and committer, ``FILE_SEGMENTS`` segments a file, so that a lost executor costs a repeated task, never a broken file,
+and a reader holds a file of bounded size.
 
-File: segments, each followed by one newline byte. Segment, little-endian: ``S8B1``; u32 documents, u64 ids, u32 blocks
-of ids, u32 words of ids; i64 doc_id of each document; u32 ids of each document; u32 words before each block; u64 words.
+File: segments, each followed by one newline byte. Segment, little-endian: ``S8B2``; u32 documents, u32 of them, the first
+ones, without an id, u64 ids, u32 blocks of ids, u32 words of ids; i64 doc_id of each document; u32 ids of each document; u32 words before each block; u64 words.
 A segment holds whole documents and about ``SEGMENT_IDS`` ids, more only for a single longer document.
 
-Rows: a null text is an empty one, and has the end id alone; rows with a null doc_id come first, under ``NULL_ID``;
-repeated rows are written as often as they come; rows of one doc_id are ordered by a
+Rows: a null text is an empty one, and has the end id alone; rows with a null doc_id come first; repeated rows are written as often as they come; rows of one doc_id are ordered by a
 hash of their text. Other columns are ignored.
 """
 
@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from . import simple8b, textvec
 from .common import fresh_path, shared_dir, small_batches, tidy, worker_keeps
 
-MAGIC = b"S8B1"
-HEAD = np.dtype([("magic", "S4"), ("docs", "<u4"), ("ids", "<u8"), ("blocks", "<u4"), ("words", "<u4")])
+MAGIC = b"S8B2"
+HEAD = np.dtype([("magic", "S4"), ("docs", "<u4"), ("nulls", "<u4"), ("ids", "<u8"), ("blocks", "<u4"), ("words", "<u4")])
 SEGMENT_IDS = 1 << 17
+FILE_SEGMENTS = 256
 CACHED_WORDS = 1_000_000
 """Distinct words that a worker keeps encoded; beyond these it forgets them all and begins again. Results don't differ."""
-NULL_ID = -(2**63)
 
 
 class WordEncoder:
@@ -113,15 +113,15 @@ class WordEncoder:
         return ids, np.diff(upto[w.of])
 
 
-def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """One segment."""
+def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nulls: int = 0) -> bytes:
+    """One segment; its first ``nulls`` documents have no id."""
     words, offsets = simple8b.encode(ids)
-    head = np.array([(MAGIC, len(doc_ids), len(ids), len(offsets), len(words))], HEAD)
+    head = np.array([(MAGIC, len(doc_ids), nulls, len(ids), len(offsets), len(words))], HEAD)
     return b"".join(x.tobytes() for x in (head, doc_ids.astype("<i8"), lengths.astype("<u4"), offsets.astype("<u4"), words.astype("<u8")))
 
 
-def unpack(data: memoryview | bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each segment of a file: doc ids, lengths, ids."""
+def unpack(data: memoryview | bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For each segment of a file: doc ids, lengths, ids, and how many of its first documents have no id."""
     at, data = 0, memoryview(data)
 
     def take(kind: str, n: int) -> np.ndarray:
@@ -138,7 +138,7 @@ def unpack(data: memoryview | bytes) -> Iterator[tuple[np.ndarray, np.ndarray, n
         doc_ids, lengths = take("<i8", int(head["docs"])), take("<u4", int(head["docs"])).astype(np.int64)
         offsets, words = take("<u4", int(head["blocks"])), take("<u8", int(head["words"]))
         at += 1
-        yield doc_ids, lengths, simple8b.decode(words, offsets, int(head["ids"]))
+        yield doc_ids, lengths, simple8b.decode(words, offsets, int(head["ids"])), int(head["nulls"])
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> str:
@@ -150,17 +150,18 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> s
         size = 0
 
         def flush() -> pa.RecordBatch:
-            out = pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            doc_ids, lengths, ids, nulls = zip(*held, strict=True)
+            out = pack(*(np.concatenate(x) for x in (doc_ids, lengths, ids)), nulls=sum(nulls))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], ["value"])
 
         for batch in batches:
-            doc_ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            doc_ids, null = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for chunk in textvec.chunks(batch.column(1)):
                 ids, lengths = encoder.encode(chunk)
                 ends = np.cumsum(lengths)
                 ids = np.insert(ids.astype(np.uint32), ends, np.uint32(end_id))
-                held.append((doc_ids[chunk.lo : chunk.hi], lengths + 1, ids))
+                held.append((doc_ids[chunk.lo : chunk.hi], lengths + 1, ids, int(null[chunk.lo : chunk.hi].sum())))
                 size += len(ids)
                 if size >= SEGMENT_IDS:
                     yield flush()
@@ -173,7 +174,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> s
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     rows = rows.mapInArrow(segments, "value binary")
     with small_batches(docs.sparkSession):
-        rows.select(F.col("value").cast("string").alias("value")).write.text(path)
+        rows.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
     return path
 
 
@@ -183,25 +184,26 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                part = int(name.as_py().rsplit("/part-", 1)[1].split("-")[0])
+                name = name.as_py().rsplit("/part-", 1)[1]  # the partition, and the file's number within it
+                part = (int(name.split("-")[0]) << 32) + int(name.rsplit("-c", 1)[1].split(".")[0])
                 at = 0
-                for doc_ids, lengths, ids in unpack(memoryview(content.as_buffer())):
+                for doc_ids, lengths, ids, nulls in unpack(memoryview(content.as_buffer())):
                     upto = np.concatenate([[0], np.cumsum(lengths)])
                     raw = memoryview(ids.astype("<u4").tobytes())
                     crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(upto[:-1], upto[1:], strict=True)]
-                    arrays = [pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(np.full(len(doc_ids), part, np.int32)), pa.array(at + upto[:-1]), pa.array(lengths), pa.array(crc, pa.int64())]
+                    arrays = [pa.array(doc_ids, mask=np.arange(len(doc_ids)) < nulls), pa.array(np.full(len(doc_ids), part, np.int64)), pa.array(at + upto[:-1]), pa.array(lengths), pa.array(crc, pa.int64())]
                     yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "part", "at", "n_tokens", "ids_crc32"])
                     at += int(upto[-1])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(documents, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
+    return files.select("path", "content").mapInArrow(documents, "doc_id long, part long, at long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Writes the files to the shared folder, reads them back, and returns one row per document.
 
     doc_id, start (ids of all documents before it, in order of doc_id), n_tokens (with the end id), ids_crc32. What is
-    collected is one number per file, at most as many as there are partitions.
+    collected is one number per file, of some 30 million ids, or per partition, if that is less.
     """
     spark = docs.sparkSession
     shared_dir(spark)
@@ -212,6 +214,6 @@ def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataF
     for part, n in totals:
         before.append((part, upto))
         upto += n
-    offsets = spark.createDataFrame(before, "part int, before long")
+    offsets = spark.createDataFrame(before, "part long, before long")
     joined = read.join(F.broadcast(offsets), "part")
     return joined.select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -87,6 +87,51 @@ def test_language_of_edge_rows(spark):
     assert language_id.predict(docs(spark, []), model).count() == 0
 
 
+def test_language_equals_brute_force(spark):
+    """Vectors, document frequencies and cosines written out gram by gram; centroids as the means of what is nearest to them."""
+    learn = [(i, f"{t} {i}", lang) for i in range(40) for t, lang in (("The house AND the tree", "en"), ("das Haus  und der Baum", "de"), ("la maison, et l'arbre", "fr"))]
+    model = language_id.train(spark.createDataFrame(learn, "doc_id long, text string, lang string"), k=2)
+
+    def vector(text):
+        data = bytes(b | 0x20 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 0x20 for b in text.encode())
+        n: Counter = Counter()
+        for k in (2, 3):
+            for i in range(len(data) - k + 1):
+                gram = data[i : i + k]
+                if b"  " not in gram:
+                    n[((int.from_bytes(gram, "little") + k) * 0x9E3779B1 % 2**32 >> (32 - language_id.BITS)) + ((k - 2) << language_id.BITS)] += 1
+        return {g: np.log1p(c) for g, c in n.items()}
+
+    df: Counter = Counter(g for _, t, _ in learn for g in vector(t))
+    idf = {g: np.log((1 + len(learn)) / (1 + df[g])) + 1 for g in range(language_id.WIDTH)}
+    assert np.allclose(model["idf"], [idf[g] for g in range(language_id.WIDTH)], rtol=1e-5)
+
+    def unit(text):
+        out = np.zeros(language_id.WIDTH)
+        for g, v in vector(text).items():
+            out[g] = v * idf[g]
+        return out / (np.linalg.norm(out) or 1)
+
+    assert len(model["centres"]) == 6 and model["langs"] == ["de", "en", "fr"]
+    for at, lang in enumerate(model["langs"]):
+        mine, centres = np.array([unit(t) for _, t, x in learn if x == lang]), model["centres"][model["owner"] == at]
+        near = (mine @ centres.T).argmax(1)
+        for j in set(near.tolist()):
+            mean = mine[near == j].sum(0)
+            assert mean / np.linalg.norm(mean) @ centres[j] > 0.9999
+    asked = [(i, t) for i, t in EDGE] + [(50, "le chat ET la souris"), (51, "der Hund und das"), (52, "the tree of a house")]
+    for r in language_id.predict(docs(spark, asked), model).collect():
+        text = dict(asked)[r["doc_id"]] or ""
+        cosines = model["centres"] @ unit(text)
+        best = int(cosines.argmax())
+        if any(c.isalpha() for c in text):
+            assert abs(r["score"] - np.clip(cosines[best], 0, 1)) < 1e-4
+            assert r["lang_pred"] == model["langs"][model["owner"][best]] or abs(cosines[best] - max(cosines[model["owner"] == model["langs"].index(r["lang_pred"])])) < 1e-5
+            assert r["rejected"] == (r["score"] < model["floor"][model["langs"].index(r["lang_pred"])])
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+
+
 def test_language_held_out(spark, sf_dir):
     rows = queries.op1_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) >= 0.95
@@ -185,7 +230,7 @@ def test_token_output_round_trip(spark):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path("word_bpe_49k.json")
-    rows = [*EDGE, (10, "don't <|endoftext|> <|ENDOFTEXT|> a.b'c  É é word,"), (None, "null id")]
+    rows = [*EDGE, (10, "don't <|endoftext|> <|ENDOFTEXT|> a.b'c  É é word,"), (None, "null id"), (-(2**63), "the least id"), (11, "x" * 90_000 + "-" * 50_000)]
     got = token_output.token_output(docs(spark, rows).repartition(3), path).orderBy("start").collect()
     tok, start = Tokenizer.from_file(path), 0
     assert [r["doc_id"] for r in got] == [None, *sorted(i for i, _ in rows if i is not None)]
@@ -268,6 +313,11 @@ def test_token_counts_equal_the_chain(spark):
         assert r["n_words"] == len(own)
         assert r["n_tokens"] == sum(token_counts.chain_count(vocabulary, token_counts.MARK + w.encode()) for w in own)
     assert token_counts.token_counts(docs(spark, []), path).count() == 0
+    rng = np.random.default_rng(3)
+    for word in ("x" * 3000, "".join(rng.choice(list("etaoinshrdlé"), 20_000)), "".join(rng.choice(list("日本語の文字"), 3000))):
+        raw = token_counts.MARK + word.encode()
+        assert token_counts.long_count(vocabulary, raw, 700) == token_counts.chain_count(vocabulary, raw)
+        assert token_counts.trie_counts(vocabulary, [raw]).tolist() == [token_counts.long_count(vocabulary, raw)]
 
 
 @settings(max_examples=60, deadline=None)
@@ -306,6 +356,13 @@ def test_preference_formatting(spark):
     assert got[2]["status"] == "identical" and got[2]["chosen_completion"] == "" and got[2]["chosen_mask"] == []
     assert got[4]["status"] == "one_sided" and got[4]["rejected_completion"] == "" and got[4]["chosen_completion"].count("user\na") == 2
     assert chat_format.preference(chat_format.reply_pairs(turns.limit(0))).count() == 0
+    texts = turns.withColumn("conv_id", F.col("conv_id").cast("string")).unionByName(spark.createDataFrame([("new", 0, "assistant", "c", "extra"), ("00", 0, "assistant", "of 00", "extra")], turns.schema.simpleString()[7:-1].replace("conv_id:bigint", "conv_id:string").replace(":", " ")))
+    named = {r["conv_id"]: r for r in chat_format.preference(chat_format.reply_pairs(texts)).collect()}
+    assert set(named) == {"0", "1", "2", "3", "4", "new", "00"} and named["0"]["rejected_completion"] == a["rejected_completion"]
+    assert named["new"]["status"] == "one_sided" and "good" in named["1"]["rejected_completion"]
+    pairs = chat_format.reply_pairs(turns).selectExpr("*", "'mine' as prompt", "7 as n_prefix", "'kept' as note")
+    clash = {r["conv_id"]: r for r in chat_format.preference(pairs).collect()}
+    assert clash[0]["prompt"] == a["prompt"] and clash[0]["n_prefix"] == 3 and clash[0]["note"] == "kept"
 
 
 # 7
@@ -327,6 +384,62 @@ def test_mixing_meets_weights_and_loses_nothing(spark):
     assert mixing.mixed(d.limit(0)).count() == 0
 
 
+def brute_mix(rows, target, limit, seed, spark, block_rows):
+    """What a mixture holds, from the definition: blocks of hashed documents, permuted anew in each pass, until the budget ends."""
+    import math
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", mixing._id().alias("mix_id"))
+    place = {(r["doc_id"], r["text"], r["source"]): (r["h"] >> 2) & ((1 << 62) - 1) for r in frame.selectExpr("*", f"xxhash64({seed}, mix_id) as h").collect()}
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r[2] or "null", []).append(r)
+    size = {s: sum(len(words(r[1])) for r in x) for s, x in by.items()}
+    w = mixing.weights(size, mixing.temperature(size, target, limit))
+    often = {s: min(x, limit) for s, x in mixing.repeats(size, w).items()}
+    out: Counter = Counter()
+    for s, x in by.items():
+        bits = math.ceil(math.log2(len(x) / block_rows)) if len(x) > block_rows else 0
+        full = int(often[s] + 1e-9)
+        for r in x:
+            out[r[0]] += full
+        numbers = spark.range(1 << bits).select("id", mixing.permuted(F.col("id"), F.lit((1 << bits) - 1).cast("long"), F.lit((bits + 1) // 2), F.lit(seed), F.lit(full), F.lit(s)).alias("n"))
+        order = {r["id"]: r["n"] for r in numbers.collect()}
+        assert sorted(order.values()) == list(range(1 << bits))
+        left = int((often[s] - full) * size[s]) if often[s] - full > 1e-9 else -1
+        together: dict = {}  # documents of one place come together
+        for r in x:
+            h = place[r]
+            together.setdefault((order[h >> (62 - bits)], h & ((1 << (62 - bits)) - 1)), []).append(r)
+        for k in sorted(together):
+            left -= sum(len(words(r[1])) for r in together[k])
+            if left < 0:
+                break
+            for r in together[k]:
+                out[r[0]] += 1
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [4, 512])
+def test_mixing_equals_brute_force(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", block_rows)
+    rows = [(i, "w " * (i * i % 11), ("big", "big", "mid", "big", "small", None)[i % 6]) for i in range(600)]
+    rows += [(7, "w", "mid"), (7, "w", "mid"), (None, "a b", "mid"), (None, "c d e", "mid"), (9000, LONG, "big"), (9001, None, "small")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter(r["doc_id"] for r in mixing.mixed(d, 0.97, 2.5, 13).collect())
+    assert got == brute_mix(rows, 0.97, 2.5, 13, spark, block_rows)
+    assert max(got.values()) > 1
+
+
+def test_mixing_keeps_blocks_together(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 8)
+    d = spark.createDataFrame([(i, "w", "s" if i % 2 else "t") for i in range(256)], "doc_id long, text string, source string")
+    place = "shiftrightunsigned(xxhash64(13, xxhash64(doc_id)), 2)"
+    out = mixing.mixed(d, 0.93, 2.0, 13).selectExpr("*", f"shiftright({place}, 58) as block").where("mix_pass = 0 and source = 's'").orderBy("mix_place").collect()
+    blocks = [r["block"] for r in out]
+    runs = [b for i, b in enumerate(blocks) if not i or b != blocks[i - 1]]
+    assert len(runs) == len(set(runs)) == 16 and runs != sorted(runs)
+
+
 def test_temperature_and_limits():
     t = {"a": 900, "b": 90, "c": 10}
     a = mixing.temperature(t, 0.8, 1e9)
@@ -401,6 +514,57 @@ def test_quality_of_edge_rows(spark):
     assert all(r["own"] > 0.9 for r in quality.scored(d, one, "own").collect())
     assert quality.scored(docs(spark, []), one, "own").count() == 0
     assert quality.scored(d, one, "own").columns == [*d.columns, "own"]
+    clash = quality.scored(d.withColumnRenamed("n", "Score_"), one)
+    assert clash.columns == [*d.columns[:5], "Score_", "bucket", "score__"] and {r["score"] for r in clash.collect()} == {0.5}
+    tie = quality.train(d, spark.createDataFrame([(1, 0), (1, 1), (5, 1)], "doc_id long, quality int"))  # a mean of a half counts as 1
+    assert all(r["own"] > 0.9 for r in quality.scored(d, tie, "own").collect())
+
+
+def test_quality_equals_brute_force(spark):
+    """Features and ratios written out; the hinge loss within a few per cent of the optimum; scores from the model's own weights."""
+    rng = np.random.default_rng(6)
+    texts = [(i, " ".join(rng.choice(["good", "fine Words", "clear.", "and", "THE"] if i % 2 else ["bad", "xx", "1234", "BUY!", "the"], rng.integers(0, 12)))) for i in range(40)]
+    label = {i: i % 2 for i, _ in texts}
+
+    def features(text):
+        data = (text or "").encode()
+        out = {int.from_bytes(data[i : i + 3], "little") * 0x9E3779B1 % 2**32 >> (32 - quality.GRAM_BITS) for i in range(len(data) - 2)}
+        shapes, before = [], None
+        for w in re.findall(rb"[^\x20\x09-\x0D]+", data):
+            ups, lows = len(re.findall(rb"[A-Z]", w)), len(re.findall(rb"[a-z]", w))
+            kind = 0 if re.match(rb"[A-Za-z\x80-\xff]", w[-1:]) else 1 if w[-1:].isdigit() else 2 if w[-1:] in b".,;:?'\")" else 3
+            shapes.append((3 if ups > 1 and lows == 0 else ups > 0) + 4 * kind + 16 * (w == before) + 32 * (len(w) >= 12))
+            before = w
+        return out | {(1 << quality.GRAM_BITS) + a * quality.SHAPES + b for a, b in zip(shapes[:-1], shapes[1:], strict=True)}
+
+    chunk = next(textvec.chunks(pa.array([t for _, t in texts], pa.string())))
+    assert [set(np.flatnonzero(m).tolist()) for m in quality.marks(chunk)] == [features(t) for _, t in texts]
+    model = quality.train(docs(spark, texts), spark.createDataFrame(list(label.items()), "doc_id long, quality int"))
+    count = np.ones((2, quality.WIDTH))
+    for i, t in texts:
+        count[label[i], sorted(features(t))] += 1
+    assert np.allclose(model["ratio"], np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum()))
+    rows = [np.array(sorted(features(t)), int) for _, t in texts]
+    x = np.zeros((len(rows), quality.WIDTH))
+    for i, f in enumerate(rows):
+        x[i, f] = model["ratio"][f] / (np.sqrt((model["ratio"][f] ** 2).sum()) or 1)
+    x = np.hstack([x, np.ones((len(x), 1))])
+    sign = np.array([2 * label[i] - 1 for i, _ in texts])
+    beta, plain = 0.25, model["weight"][np.setdiff1d(np.arange(quality.WIDTH), np.concatenate(rows))[0]]
+    own = np.append((model["weight"] - plain) / beta, model["bias"] / beta)
+    assert abs(plain - (1 - beta) * np.abs(own[:-1]).mean()) < 1e-9
+    loss = lambda w: w @ w / 2 + np.maximum(1 - sign * (x @ w), 0).sum()
+    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
+    for _ in range(500):
+        for i in range(len(x)):
+            new = min(max(alpha[i] - (sign[i] * (x[i] @ w) - 1) / (x[i] @ x[i]), 0), 1)
+            w += (new - alpha[i]) * sign[i] * x[i]
+            alpha[i] = new
+    assert loss(own) <= 1.03 * loss(w)
+    for r in quality.scored(docs(spark, texts), model, "own").collect():
+        f = rows[r["doc_id"]]
+        margin = sum(model["weight"][f] * model["ratio"][f]) / (np.sqrt((model["ratio"][f] ** 2).sum()) or 1) + model["bias"]
+        assert abs(r["own"] - 1 / (1 + np.exp(-np.clip(model["slope"] * margin + model["shift"], -30, 30)))) < 1e-9
 
 
 def test_quality_held_out(spark, sf_dir):
