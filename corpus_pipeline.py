@@ -2,7 +2,8 @@
 
 1. quality: documents that the quality classifier rejects go.
 2. near_duplicates: of documents linked by 5-word windows at a Jaccard similarity of 0.8 or more, the one of the smallest
-   doc_id stays; rows that repeat a doc_id go.
+   doc_id stays. Rows of one doc_id are one document, which stays or goes with all its texts; of its rows that repeat a text
+   the one of the smallest hash of all columns stays.
 3. decontaminate: documents that a benchmark item contaminates go.
 4. mix: documents of sources whose budget exceeds their tokens come a second time; none is lost.
 5. token_ids: ids of what is left, written to files and read back.
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, jaccard_join, mixing, quality, queries, token_output
-from cairn.llm.common import stored
+from cairn.llm.common import free_name, stored
 
 MIX_ENTROPY = 0.88
 MIX_REPEATS = 2.0
@@ -26,20 +27,21 @@ MIX_SEED = 13
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = queries.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    score = "_quality"
-    while score in docs.columns:
-        score += "_"
-    return quality.scored(docs, model, score).where(F.col(score) >= queries.QUALITY_KEPT).select(*docs.columns)
+    scored = quality.scored(docs, model)
+    return scored.where(F.col(scored.columns[-1]) >= queries.QUALITY_KEPT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = jaccard_join.jaccard_join(docs, width=5, num=80, den=100)
     gone = joined.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left
+    text, row = F.xxhash64("text"), F.xxhash64(*docs.columns)
+    slim = docs.where("doc_id is not null").select(F.col("doc_id").alias("_id"), text.alias("_text"), row.alias("_row"))
+    repeated = slim.groupBy("_id", "_text").agg(F.count("*").alias("_n"), F.min("_row").alias("_row")).where("_n > 1")
+    same = (left["doc_id"] == repeated["_id"]) & (text == repeated["_text"])
+    name = free_name(docs.columns, "_key")
+    several = left.join(repeated, same & (row == repeated["_row"]), "left_semi").withColumn(name, text)
+    return left.join(repeated, same, "left_anti").unionByName(several.dropDuplicates(["doc_id", name]).drop(name))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
