@@ -1,14 +1,16 @@
 """Operator 4: benchmark decontamination by template canonicalisation, with DataFrame operations alone.
 
-Texts become words without punctuation, in lower case. Numbers, units after numbers, and names (capitalised words that
-follow a lower-case letter or a comma) are slots: a marker character for the type, then the value. Other capitalised words,
-such as open a sentence, have a marker of their own and are names in the wide form of a template alone. A window is ``width``
-successive words of a benchmark item; its template has the markers alone, its plain form the values. Both are hashed, and a
-document's windows meet them in a hash join. For that, documents are exploded to words once, joined with one anchor word of
-each benchmark window (its longest word, of a template its longest that is no slot), and only around hits are windows hashed.
+Texts become words without punctuation, in lower case. Numbers (digits, or English number words from two on), units after
+numbers, and names (capitalised words of any script that follow a lower-case letter or a comma) are slots: a marker character
+for the type, then the value. Other capitalised words, such as open a sentence, have a marker of their own and are names in
+the wide form of a template alone. A window is ``width`` successive words of a benchmark item; its template has the markers
+alone, its plain form the values. All are hashed, and documents' windows meet them in a hash join on form and hash. Only
+windows around anchors are hashed: documents are exploded to words once and joined with one word of each benchmark window
+(its longest word, of a template its longest that is no slot), which says where windows begin there.
 
 Hits of one alignment (a document, an item, the distance of their places) are checked for slot consistency: equal slots of
-the item have equal values in the document, and different ones different values. A document is contaminated by an item
+the item have equal values in the document, and different names and units different ones; different numbers may become equal
+ones, as a new question may well give two things one number. A document is contaminated by an item
 if the windows of consistent alignments cover ``coverage`` of the item's templates, or of its wide ones, or those met in plain form as much of all
 its windows, or ``run`` of them are met in plain form.
 
@@ -19,24 +21,26 @@ ids. A null doc_id or item_id is reported as null. Other columns are ignored.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import stored
+
 NAME, NUMBER, UNIT, MAYBE = "\x01", "\x02", "\x03", "\x04"
 #: Units that make a slot after a number.
 UNITS = "kg|g|mg|km|m|cm|mm|l|ml|lb|lbs|oz|mi|ft|in|mph|kmh|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent"
-BLOCK_WINDOWS = 200_000
-"""Benchmark windows that are broadcast at a time (about 100 bytes each); a larger benchmark is joined block by block."""
+#: Words that are numbers.
+NUMBERS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
+BROADCAST_BYTES = 32 << 20
+"""Anchors, and windows, of a benchmark are broadcast up to so many bytes; those of a larger one are joined by a shuffle."""
 
 
 def canonical_words(text: Column) -> Column:
     """The words of a text, slots marked; one empty word for a null text."""
     text = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT + MAYBE, "    ")
-    named = F.regexp_replace(text, r"[A-ZÀ-Þ](?<=[a-zß-ÿ,;] [A-ZÀ-Þ])[a-zß-ÿ]+", NAME + "$0")
-    named = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}{NAME}])[A-ZÀ-Þ][a-zß-ÿ]+", MAYBE + "$0")
+    named = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})\p{Ll}+", NAME + "$0")
+    named = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}{NAME}])\p{{Lu}}\p{{Ll}}+", MAYBE + "$0")
     joined = F.regexp_replace(named, r"(?<=[0-9])[.,](?=[0-9])", "")
     numbered = F.regexp_replace(joined, r"(?<![\p{L}0-9])[0-9]+", " " + NUMBER + "$0 ")
     united = F.regexp_replace(numbered, rf"({NUMBER}[0-9]+ +){MAYBE}?((?i:{UNITS}))(?![\p{{L}}0-9])", "$1" + UNIT + "$2")
@@ -47,7 +51,7 @@ def canonical_words(text: Column) -> Column:
 
 def _is_slot(word: Column, wide: bool = False) -> Column:
     """Whether a word is a slot; in the wide form, any capitalised word is one."""
-    return word < F.lit("\x05" if wide else MAYBE)
+    return (word < F.lit("\x05" if wide else MAYBE)) | _plain(word).isin(NUMBERS)
 
 
 def _plain(word: Column) -> Column:
@@ -55,7 +59,7 @@ def _plain(word: Column) -> Column:
 
 
 def _kind(word: Column) -> Column:
-    return F.translate(F.substring(word, 1, 1), MAYBE, NAME)
+    return F.when(_plain(word).isin(NUMBERS), F.lit(NUMBER)).otherwise(F.translate(F.substring(word, 1, 1), MAYBE, NAME))
 
 
 def _template(words: Column, wide: bool = False) -> Column:
@@ -69,8 +73,8 @@ def _verbatim(words: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, least: int) -> DataFrame:
-    """item_id, text_id, k, n_windows, n_templates and n_wides (of the item), anchor, offset, size, template (null with fewer than
-    ``least`` words that are no slots), wide, plain, item_words. The wide template is of wide_size words, as many as are needed
+    """item_id, text_id, k, n_windows, n_templates and n_wides (of the item), anchor, offset, size, span, template (null with fewer
+    than ``least`` words that are no slots), wide, plain, item_words. The wide template is of span words, as many as are needed
     for ``least`` that are no slots in that form, and null if the item ends before."""
     items = benchmark.select("item_id", canonical_words(F.col("text")).alias("words")).distinct()
     items = items.where(F.array_max("words") != "").withColumn("text_id", F.xxhash64(F.array_join("words", " ")))
@@ -92,40 +96,56 @@ def benchmark_windows(benchmark: DataFrame, width: int, least: int) -> DataFrame
     item = Window.partitionBy("item_id", "text_id")
     rows = rows.withColumns({"n_windows": F.count("*").over(item), "n_templates": F.count("template").over(item), "n_wides": F.count("wide").over(item)})
     plain = _verbatim(F.slice("item_words", F.lit(1), F.col("size")))
-    return rows.select("item_id", "text_id", "k", "n_windows", "n_templates", "n_wides", best["word"].alias("anchor"), best["offset"].alias("offset"), "size", "template", "wide", plain.alias("plain"), "item_words")
+    return rows.select("item_id", "text_id", "k", "n_windows", "n_templates", "n_wides", best["word"].alias("anchor"), best["offset"].alias("offset"), "size", F.size("item_words").alias("span"), "template", "wide", plain.alias("plain"), "item_words")
+
+
+def _small(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """``df`` with a broadcast hint if its rows come to ``BROADCAST_BYTES`` at most."""
+    size = df.agg(F.sum(row_bytes + 32).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def _forms(plain: Column, template: Column, wide: Column) -> Column:
+    """An array of (form, hash), without those whose hash is null."""
+    pairs = (("plain", plain), ("template", template), ("wide", wide))
+    return F.array_compact(F.array(*(F.when(h.isNotNull(), F.struct(F.lit(name).alias("form"), h.alias("hash"))) for name, h in pairs)))
 
 
 def _matches(words: DataFrame, windows: DataFrame) -> DataFrame:
-    """Aligned windows of documents and items whose templates, or plain forms, are equal."""
+    """Aligned windows of documents and items whose templates, or plain forms, are equal: doc_id, doc_key, own (the document's
+    words), the window's columns, same_plain, same_template, same_wide and shift (how far apart they begin)."""
     # One row for each anchor: the join has no further condition and stays in the stage that explodes the words, so that
     # a document's array of words is copied for hits alone.
-    reach = (F.max("offset").alias("back"), F.max(F.size("item_words") - F.col("offset")).alias("ahead"))
-    by_anchor = windows.groupBy("anchor").agg(F.collect_list(F.struct(*(c for c in windows.columns if c != "anchor"))).alias("windows"), *reach)
+    reach = (F.max("offset").alias("back"), F.max(F.col("span") - F.col("offset")).alias("ahead"))
+    by_anchor = windows.groupBy(F.xxhash64("anchor").alias("anchor")).agg(F.collect_set(F.struct("offset", "size", "span")).alias("places"), *reach)
     begin = F.greatest(F.col("place") - F.col("back"), F.lit(0))
-    hits = words.join(F.broadcast(by_anchor), "anchor").select("doc_id", "doc_key", "place", begin.alias("begin"), F.slice("words", begin + 1, F.col("place") - begin + F.col("ahead")).alias("around"), "windows")
-    hits = hits.select("doc_id", "doc_key", "begin", "around", "place", F.explode("windows").alias("w")).select("doc_id", "doc_key", "begin", "around", "w.*", (F.col("place") - F.col("w.offset")).alias("at"))
-    hits = hits.where(F.col("at") >= 0).withColumn("own", F.slice("around", F.col("at") - F.col("begin") + 1, F.size("item_words")))
-    hits = hits.where(F.size("own") >= F.col("size"))
-    own, first = F.col("own"), F.slice("own", F.lit(1), F.col("size"))
-    same = {"same_plain": _verbatim(first) == F.col("plain"), "same_template": _template(first) == F.col("template"), "same_wide": _template(own, True) == F.col("wide")}
-    hits = hits.withColumns({c: F.coalesce(v, F.lit(False)) for c, v in same.items()})
-    return hits.where("same_plain or same_template or same_wide").withColumn("shift", F.col("at") - F.col("k"))
+    around = F.slice("words", begin + 1, F.col("place") - begin + F.col("ahead"))
+    near = words.join(_small(by_anchor, F.size("places") * 24), "anchor").select("doc_id", "doc_key", "place", begin.alias("begin"), around.alias("around"), F.explode("places").alias("p"))
+    near = near.select("doc_id", "doc_key", "begin", "around", (F.col("place") - F.col("p.offset")).alias("at"), "p.size", "p.span").where("at >= 0")
+    near = near.withColumn("own", F.slice("around", F.col("at") - F.col("begin") + 1, F.col("span"))).where(F.size("own") >= F.col("size"))
+    first = F.slice("own", F.lit(1), F.col("size"))
+    near = near.select("doc_id", "doc_key", "at", "size", "span", "own", F.explode(_forms(_verbatim(first), _template(first), _template(F.col("own"), True))).alias("f")).select("*", "f.*").drop("f")
+    known = windows.withColumn("f", F.explode(_forms(F.col("plain"), F.col("template"), F.col("wide")))).select("*", "f.*").drop("f", "anchor", "offset", "plain")
+    hits = near.join(_small(known, F.size("item_words") * 16 + 64), ["form", "hash", "size", "span"])
+    same = [F.bool_or(F.col("form") == x).alias(f"same_{x}") for x in ("plain", "template", "wide")]
+    once = ["doc_id", "doc_key", "item_id", "text_id", "k", "at"]
+    hits = hits.groupBy(*once).agg(*same, *(F.first(c).alias(c) for c in ("n_windows", "n_templates", "n_wides", "size", "span", "template", "wide", "item_words", "own")))
+    return hits.withColumn("shift", F.col("at") - F.col("k"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: int = 5, coverage: float = 0.5, run: int = 6) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, reparameterised (a slot has another value), for contaminated documents.
 
     n_matched and n_windows are those of the item's templates, wide templates or windows in plain form, whichever has the largest share."""
-    windows = benchmark_windows(benchmark, width, least)
-    blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
+    windows = stored(benchmark_windows(benchmark, width, least), "windows")
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = docs.select("doc_id", F.xxhash64("doc_id", text).alias("doc_key"), canonical_words(F.col("text")).alias("words"))
-    words = parts.select("doc_id", "doc_key", "words", F.posexplode_outer("words").alias("place", "anchor")).withColumn("anchor", _plain(F.col("anchor")))
-    block = F.pmod(F.xxhash64("item_id", "k", "text_id"), F.lit(blocks))
-    found = functools.reduce(DataFrame.unionByName, (_matches(words, windows.where(block == i)) for i in range(blocks)))
+    words = parts.select("doc_id", "doc_key", "words", F.posexplode_outer("words").alias("place", "anchor")).withColumn("anchor", F.xxhash64(_plain(F.col("anchor"))))
+    found = _matches(words, windows)
+
     # A matched window counts in each form that it has.
     def form(name: str, same: str, n: str, wide: bool = False) -> Column:
-        item, own = (F.slice(c, F.lit(1), F.when(F.col(same), F.size("item_words") if wide else F.col("size")).otherwise(F.col("size"))) for c in ("item_words", "own"))
+        item, own = (F.slice(c, F.lit(1), F.when(F.col(same), F.col("span" if wide else "size")).otherwise(F.col("size"))) for c in ("item_words", "own"))
         pairs = F.filter(F.zip_with(item, own, lambda a, b: F.struct(a.alias("word"), F.concat(_kind(a), _plain(a)).alias("item"), F.concat(_kind(a), _plain(b)).alias("own"))), lambda p: _is_slot(p["word"], wide) & F.lit(name != "plain"))
         return F.struct(F.lit(name).alias("form"), F.col(n).alias("n"), F.transform(pairs, lambda p: F.struct(p["item"].alias("item"), p["own"].alias("own"))).alias("slots"))
 
@@ -137,8 +157,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: i
     aligned = found.groupBy(*keys, "shift").agg(
         F.collect_set("k").alias("ks"), F.collect_set(F.when(F.col("same_plain"), F.col("k"))).alias("plain_ks"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
-    pairs = F.size("slots")
-    sound = (F.size(F.array_distinct(F.transform("slots", lambda p: p["item"]))) == pairs) & (F.size(F.array_distinct(F.transform("slots", lambda p: p["own"]))) == pairs)
+    named = F.filter("slots", lambda p: ~p["item"].startswith(NUMBER))
+    sound = F.size(F.array_distinct(F.transform("slots", lambda p: p["item"]))) == F.size("slots")
+    sound &= F.size(F.array_distinct(F.transform(named, lambda p: p["own"]))) == F.size(named)
     changed = F.when(F.col("form") != "plain", F.exists("slots", lambda p: p["item"] != p["own"]))
     sound = aligned.withColumn("changed", changed).withColumn("ks", F.when(sound, F.col("ks")).otherwise(F.col("plain_ks")))
     whole = sound.groupBy(*keys).agg(

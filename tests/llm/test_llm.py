@@ -292,11 +292,133 @@ def test_decontamination_of_names_that_open_sentences(spark):
     assert got == {(0, 0, False), (1, 1, False), (2, 2, False), (10, 0, True), (11, 1, True), (12, 2, True), (31, 1, False)}
 
 
-def test_decontamination_finds_planted(spark, sf_dir):
-    d, b = (spark.read.parquet(f"{sf_dir}/{t}.parquet").collect() for t in ("documents", "benchmark"))
-    want = brute_contaminated([(r["doc_id"], r["text"]) for r in d], [(r["item_id"], r["text"]) for r in b])
-    got = {(r["doc_id"], r["item_id"]) for r in queries.op4_decontaminate(spark, sf_dir).collect()}
-    assert want <= got and len(got) <= len(want) + 2 and want
+def brute_templates(documents, items, width=8, least=5, coverage=0.5, run=6):
+    """(doc_id, item_id, n_matched, n_windows, reparameterised) by comparing every window of every document, slots included."""
+    import regex
+
+    number_words = set(decontaminate.NUMBERS)
+
+    def canonical(text):
+        t = regex.sub("[\x01-\x04]", " ", text or "")
+        t = regex.sub(r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})\p{Ll}+", lambda m: "\x01" + m[0], t)
+        t = regex.sub("(?<![\\p{L}\\p{N}\x01])\\p{Lu}\\p{Ll}+", lambda m: "\x04" + m[0], t)
+        if regex.search("[0-9]", text or ""):
+            t = regex.sub(r"(?<=[0-9])[.,](?=[0-9])", "", t)
+            t = regex.sub(r"(?<![\p{L}0-9])[0-9]+", lambda m: " \x02" + m[0] + " ", t)
+            t = regex.sub(f"(\x02[0-9]+ +)\x04?((?i:{decontaminate.UNITS}))(?![\\p{{L}}0-9])", lambda m: m[1] + "\x03" + m[2], t)
+        return regex.sub(r"[^\p{L}\p{N}\x01-\x04]+", " ", t).lower().strip(" ").split(" ")
+
+    plain = lambda w: w.lstrip("\x01\x02\x03\x04")
+
+    def kind(w):
+        return "\x02" if plain(w) in number_words else {"\x04": "\x01"}.get(w[0], w[0])
+
+    def slot(w, wide):
+        return plain(w) in number_words or w[:1] in (("\x01", "\x02", "\x03", "\x04") if wide else ("\x01", "\x02", "\x03")) or w == ""
+
+    def template(ws, wide):
+        return tuple(kind(w) if slot(w, wide) else plain(w) for w in ws)
+
+    known: dict = {}
+    for item, ws in {(i, tuple(canonical(t))) for i, t in items}:
+        if not any(ws):
+            continue
+        windows = []
+        for k in range(max(len(ws) - width + 1, 1)):
+            size = min(width, len(ws) - k)
+            own = ws[k : k + size]
+            solid = [j for j in range(k, len(ws)) if not slot(ws[j], True)]
+            within = sum(j < k + size for j in solid)
+            span = size if within >= least else solid[least - 1] - k + 1 if within and len(solid) >= least else None
+            windows.append((k, size, span, sum(not slot(w, False) for w in own) >= least))
+        n = {"plain": len(windows), "template": sum(w[3] for w in windows), "wide": sum(w[2] is not None for w in windows)}
+        for k, size, span, has in windows:
+            entry = (item, ws, k, size, span, has, tuple(n.items()))
+            for form, length, ok in (("plain", size, True), ("template", size, has), ("wide", span, span is not None)):
+                if ok:
+                    text = tuple(map(plain, ws[k : k + length])) if form == "plain" else template(ws[k : k + length], form == "wide")
+                    known.setdefault((form, length), {}).setdefault(text, []).append(entry)
+    out: dict = {}
+    for doc, text in {(i, t or "") for i, t in documents}:
+        dw, met = canonical(text), {}
+        for (form, length), table in known.items():
+            for at in range(len(dw) - length + 1):
+                own = dw[at : at + length]
+                for entry in table.get(tuple(map(plain, own)) if form == "plain" else template(own, form == "wide"), []):
+                    if at + entry[3] <= len(dw):
+                        met.setdefault((entry, at), set()).add(form)
+        aligned: dict = {}
+        for ((item, ws, k, size, span, has, n), at), forms in met.items():
+            for form, on in (("template", has and forms & {"template", "plain"}), ("wide", "wide" in forms or span is not None and "plain" in forms), ("plain", "plain" in forms)):
+                if not on:
+                    continue
+                length = span if form == "wide" and "wide" in forms else size
+                pairs = {(kind(a) + plain(a), kind(a) + plain(b)) for a, b in zip(ws[k : k + length], dw[at : at + length], strict=False) if form != "plain" and slot(a, form == "wide")}
+                a = aligned.setdefault((item, ws, form, dict(n)[form]), {}).setdefault(at - k, (set(), set(), set()))
+                a[0].add(k)
+                a[1].update({k} if "plain" in forms else ())
+                a[2].update(pairs)
+        for (item, _, form, n), shifts in aligned.items():
+            ks, plain_ks, changed = set(), set(), []
+            for windows, plains, pairs in shifts.values():
+                named = [p for p in pairs if p[0][0] != "\x02"]
+                sound = len({a for a, _ in pairs}) == len(pairs) and len({b for _, b in named}) == len(named)
+                ks |= windows if sound else plains
+                plain_ks |= plains
+                if form != "plain":
+                    changed.append(any(a != b for a, b in pairs))
+            if len(ks) >= coverage * n or len(plain_ks) >= run:
+                share, all_changed = out.get((doc, item), ((0, 0, 0), []))
+                out[doc, item] = max(share, (len(ks) / n, len(ks), n)), all_changed + ([min(changed)] if changed else [])
+    return {(d, i, share[1], share[2], min(c) if c else False) for (d, i), (share, c) in out.items()}
+
+
+def found_rows(documents, items):
+    return {tuple(r) for r in decontaminate.contaminated(documents, items).select("doc_id", "item_id", "n_matched", "n_windows", "reparameterised").collect()}
+
+
+def test_decontamination_equals_brute_force(spark, sf_dir):
+    tables = [[tuple(r) for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(i, "text").collect()] for t, i in (("documents", "doc_id"), ("benchmark", "item_id"))]
+    want = brute_templates(*tables)
+    assert {(r["doc_id"], r["item_id"], r["n_matched"], r["n_windows"], r["reparameterised"]) for r in queries.op4_decontaminate(spark, sf_dir).collect()} == want
+    assert {(d, i) for d, i, *_ in want} >= brute_contaminated(*tables) and want
+
+
+def test_reparameterised_questions_equal_brute_force(spark):
+    texts = [
+        "Yesterday Анна продала 12 kg муки and Пётр купил 7 kg обратно for three days in Москва before the market closed again",
+        "Mary has 12 apples and 5 pears in two baskets, and Mary gives John four of the apples at the old market. How many are left?",
+        "a quick study of rivers shows that slow water carries less sand than fast water does", "old one \x01new word \x02seven of them all in a row here", "x", "", None, "Bob. Bob! Bob? 3 3 3",
+    ]
+    names = ["Анна", "Пётр", "Москва", "Mary", "John", "Ирина", "Олег", "Тверь", "Julia", "Tom", "12", "7", "5", "4", "15", "two", "three", "four", "nine"]
+    rng = np.random.default_rng(11)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(9, "word " * 30_000 + texts[2])]
+    for n in range(160):
+        swap = dict(zip(names, rng.choice(names, len(names), replace=bool(n % 2)).tolist(), strict=True))
+        text = texts[n % 4]
+        for a in names:
+            text = re.sub(rf"(?<!\w){a}(?!\w)", f"<{a}>", text)
+        text = re.sub(r"<(.+?)>", lambda m: swap[m[1]] if rng.random() < 0.8 else m[1], text)
+        cut = text.split()
+        lo, hi = sorted(rng.integers(0, len(cut) + 1, 2).tolist()) if n % 3 == 0 else (0, len(cut))
+        rows.append((100 + n, " ".join(["Before it,", *cut[lo:hi], "and more."]) if n % 5 else text.replace("\x01", "")))
+    items = list(enumerate(texts)) + [(1, texts[1]), (20, "the " * 3000 + "end")]
+    want = brute_templates(rows, items)
+    assert found_rows(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")) == want
+    assert sum(c for *_, c in want) > 10 and len({d for d, *_ in want}) < len(rows) - 20
+
+
+def test_numbers_may_become_equal_but_names_may_not(spark):
+    item = "In a shop Anna had 12 apples and Peter had 5 pears, and later Anna and Peter shared all of the fruit"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item.replace("12", "4").replace("5", "4")), (2, item.replace("Peter", "Maria").replace("Anna", "Maria"))]
+    assert {r[0] for r in found_rows(docs(spark, rows), items)} == {1}
+
+
+def test_large_benchmark_is_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert found_rows(docs(spark, [(1, "so " + ITEM), (2, "no")]), items) == brute_templates([(1, "so " + ITEM), (2, "no")], [(1, ITEM)])
 
 
 # 5
