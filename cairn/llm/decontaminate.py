@@ -6,7 +6,8 @@ for the type, then the value. Other capitalised words, such as open a sentence,
 the wide form of a template alone. A window is ``width`` successive words of a benchmark item; its template has the markers
 alone, its plain form the values. All are hashed, and documents' windows meet them in a hash join on form and hash. Only
 windows around anchors are hashed: documents are exploded to words once and joined with one word of each benchmark window
-(its longest word, of a template its longest that is no slot), which says where windows begin there.
+(its longest word, of a template its longest that is no slot), which says where windows begin there, if the window's next
+longest word is in its place too.
 
 Hits of one alignment (a document, an item, the distance of their places) are checked for slot consistency: equal slots of
 the item have equal values in the document, and different names and units different ones; different numbers may become equal
@@ -49,9 +50,14 @@ def canonical_words(text: Column) -> Column:
     return F.split(clean, " ")
 
 
+def _counted(words: Column) -> Column:
+    """Words that are numbers, marked as such."""
+    return F.transform(words, lambda w: F.when(_plain(w).isin(NUMBERS), F.concat(F.lit(NUMBER), _plain(w))).otherwise(w))
+
+
 def _is_slot(word: Column, wide: bool = False) -> Column:
     """Whether a word is a slot; in the wide form, any capitalised word is one."""
-    return (word < F.lit("\x05" if wide else MAYBE)) | _plain(word).isin(NUMBERS)
+    return word < F.lit("\x05" if wide else MAYBE)
 
 
 def _plain(word: Column) -> Column:
@@ -59,24 +65,25 @@ def _plain(word: Column) -> Column:
 
 
 def _kind(word: Column) -> Column:
-    return F.when(_plain(word).isin(NUMBERS), F.lit(NUMBER)).otherwise(F.translate(F.substring(word, 1, 1), MAYBE, NAME))
+    return F.translate(F.substring(word, 1, 1), MAYBE, NAME)
 
 
 def _template(words: Column, wide: bool = False) -> Column:
     """Hash of a window whose slots have their markers alone."""
-    return F.xxhash64(F.array_join(F.transform(words, lambda w: F.when(_is_slot(w, wide), _kind(w)).otherwise(_plain(w))), " "))
+    return F.xxhash64(F.transform(words, lambda w: F.when(_is_slot(w, wide), _kind(w)).otherwise(_plain(w))))
 
 
 def _verbatim(words: Column) -> Column:
     """Hash of a window in plain form."""
-    return F.xxhash64(F.array_join(F.transform(words, _plain), " "))
+    return F.xxhash64(F.transform(words, _plain))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, least: int) -> DataFrame:
-    """item_id, text_id, k, n_windows, n_templates and n_wides (of the item), anchor, offset, size, span, template (null with fewer
-    than ``least`` words that are no slots), wide, plain, item_words. The wide template is of span words, as many as are needed
+    """item_id, text_id, k, n_windows, n_templates and n_wides (of the item), anchor, offset, second (one more word
+    that is no slot, and its offset; null without one), size, span, template (null with fewer than ``least`` words that are
+    no slots), wide, plain, item_words. The wide template is of span words, as many as are needed
     for ``least`` that are no slots in that form, and null if the item ends before."""
-    items = benchmark.select("item_id", canonical_words(F.col("text")).alias("words")).distinct()
+    items = benchmark.select("item_id", _counted(canonical_words(F.col("text"))).alias("words")).distinct()
     items = items.where(F.array_max("words") != "").withColumn("text_id", F.xxhash64(F.array_join("words", " ")))
     count = F.greatest(F.size("words") - width + 1, F.lit(1))
     rows = items.select("item_id", "text_id", "words", F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
@@ -92,11 +99,13 @@ def benchmark_windows(benchmark: DataFrame, width: int, least: int) -> DataFrame
     # Templates have their anchor among the words that are no slots.
     slot = lambda w: (F.col("wide").isNotNull() & _is_slot(w, True)) | (F.col("template").isNotNull() & _is_slot(w))
     length = lambda w: F.when(slot(w), 0).otherwise(F.char_length(_plain(w)))
-    best = F.array_min(F.transform(F.slice("item_words", F.lit(1), F.col("size")), lambda w, i: F.struct((-length(w)).alias("short"), _plain(w).alias("word"), i.alias("offset"))))
+    ranked = F.array_sort(F.transform(F.slice("item_words", F.lit(1), F.col("size")), lambda w, i: F.struct((-length(w)).alias("short"), _plain(w).alias("word"), i.alias("offset"))))
+    best, other = ranked[0], F.get(ranked, F.lit(1))
+    rows = rows.withColumn("second", F.when(other["short"] < 0, F.struct(other["offset"].alias("offset"), other["word"].alias("word"))))
     item = Window.partitionBy("item_id", "text_id")
     rows = rows.withColumns({"n_windows": F.count("*").over(item), "n_templates": F.count("template").over(item), "n_wides": F.count("wide").over(item)})
     plain = _verbatim(F.slice("item_words", F.lit(1), F.col("size")))
-    return rows.select("item_id", "text_id", "k", "n_windows", "n_templates", "n_wides", best["word"].alias("anchor"), best["offset"].alias("offset"), "size", F.size("item_words").alias("span"), "template", "wide", plain.alias("plain"), "item_words")
+    return rows.select("item_id", "text_id", "k", "n_windows", "n_templates", "n_wides", best["word"].alias("anchor"), best["offset"].alias("offset"), "second", "size", F.size("item_words").alias("span"), "template", "wide", plain.alias("plain"), "item_words")
 
 
 def _small(df: DataFrame, row_bytes: Column) -> DataFrame:
@@ -117,15 +126,18 @@ def _matches(words: DataFrame, windows: DataFrame) -> DataFrame:
     # One row for each anchor: the join has no further condition and stays in the stage that explodes the words, so that
     # a document's array of words is copied for hits alone.
     reach = (F.max("offset").alias("back"), F.max(F.col("span") - F.col("offset")).alias("ahead"))
-    by_anchor = windows.groupBy(F.xxhash64("anchor").alias("anchor")).agg(F.collect_set(F.struct("offset", "size", "span")).alias("places"), *reach)
+    by_anchor = windows.groupBy(F.xxhash64("anchor").alias("anchor")).agg(F.collect_set(F.struct("offset", "second", "size", "span")).alias("places"), *reach)
     begin = F.greatest(F.col("place") - F.col("back"), F.lit(0))
     around = F.slice("words", begin + 1, F.col("place") - begin + F.col("ahead"))
-    near = words.join(_small(by_anchor, F.size("places") * 24), "anchor").select("doc_id", "doc_key", "place", begin.alias("begin"), around.alias("around"), F.explode("places").alias("p"))
-    near = near.select("doc_id", "doc_key", "begin", "around", (F.col("place") - F.col("p.offset")).alias("at"), "p.size", "p.span").where("at >= 0")
-    near = near.withColumn("own", F.slice("around", F.col("at") - F.col("begin") + 1, F.col("span"))).where(F.size("own") >= F.col("size"))
+    near = words.join(_small(by_anchor, F.size("places") * 64), "anchor").select("doc_id", "doc_key", "place", begin.alias("begin"), around.alias("around"), "places")
+    near = near.select("doc_id", "doc_key", "begin", "around", "place", F.explode("places").alias("p"))  # apart, so that what is around is made once a hit
+    near = near.select("doc_id", "doc_key", "begin", "around", (F.col("place") - F.col("p.offset")).alias("at"), "p.*").where("at >= 0")
+    start = F.col("at") - F.col("begin")
+    near = near.where((F.size("around") - start >= F.col("size")) & (F.col("second").isNull() | (_plain(F.get("around", start + F.col("second.offset"))) == F.col("second.word"))))
+    near = near.withColumn("own", _counted(F.slice("around", start + 1, F.col("span"))))
     first = F.slice("own", F.lit(1), F.col("size"))
     near = near.select("doc_id", "doc_key", "at", "size", "span", "own", F.explode(_forms(_verbatim(first), _template(first), _template(F.col("own"), True))).alias("f")).select("*", "f.*").drop("f")
-    known = windows.withColumn("f", F.explode(_forms(F.col("plain"), F.col("template"), F.col("wide")))).select("*", "f.*").drop("f", "anchor", "offset", "plain")
+    known = windows.withColumn("f", F.explode(_forms(F.col("plain"), F.col("template"), F.col("wide")))).select("*", "f.*").drop("f", "anchor", "offset", "second", "plain")
     hits = near.join(_small(known, F.size("item_words") * 16 + 64), ["form", "hash", "size", "span"])
     same = [F.bool_or(F.col("form") == x).alias(f"same_{x}") for x in ("plain", "template", "wide")]
     once = ["doc_id", "doc_key", "item_id", "text_id", "k", "at"]
