@@ -37,11 +37,11 @@ BATCH_ROWS = 1024
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs run inside hand over at most ``BATCH_ROWS`` rows at a time, and their shuffle files go when they end."""
+def small_batches(spark: SparkSession, limit: int = BATCH_ROWS) -> Iterator[None]:
+    """Jobs run inside hand over at most ``limit`` rows at a time, and their shuffle files go when they end."""
     rows, files = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(rows), spark.conf.get(files, "false")
-    spark.conf.set(rows, str(min(BATCH_ROWS, int(before[0])) if int(before[0]) > 0 else BATCH_ROWS))
+    spark.conf.set(rows, str(min(limit, int(before[0])) if int(before[0]) > 0 else limit))
     spark.conf.set(files, "true")
     try:
         yield
@@ -73,11 +73,13 @@ def tidy() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written to the shared folder and read again, and where: lineage is cut, lost executors cost nothing."""
+def stored_at(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read again, and where: lineage is cut, lost executors cost nothing.
+
+    ``rows``: how many at most are handed to Python at a time, fewer where they are long."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    with small_batches(spark):
+    with small_batches(spark, rows):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -185,7 +185,7 @@ def test_jaccard_join_is_exact(spark, width, num):
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.jaccard_join(docs(spark, [])).count() == 0
     got = jaccard_join.jaccard_join(docs(spark, [(1, None), (2, ""), (None, "a b c")])).collect()
-    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(1, 0, 1), (2, 0, 2)}
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(1, 0, 1), (2, 0, 2), (None, 1, None)}
 
 
 def test_large_group_is_cut_in_blocks(spark, monkeypatch):
@@ -196,6 +196,20 @@ def test_large_group_is_cut_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_chance_meetings_cost_no_links(spark, monkeypatch):
+    """With few routing bits unlike sets share clusters of many blocks; the result is the same."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "_half", lambda hashes: (hashes & np.uint64(15)).astype(np.uint32))
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(5, 60)))) for i in range(120)]
+    rows += [(1000 + i, t.rsplit(" ", 1)[0]) for i, t in rows[::3]]
+    want, _ = brute_components(rows, 3, 90)
+    got = jaccard_join.jaccard_join(docs(spark, rows), 3, 90, 100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert 10 < len(set(want.values())) < len(rows)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10_000))
 def test_tree_finds_what_all_pairs_find(seed):
