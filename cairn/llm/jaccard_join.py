@@ -444,7 +444,8 @@ def _cut(members: DataFrame, rule: Rule) -> DataFrame:
 def _packed(docs: DataFrame, placed: DataFrame, width: int, rule: Rule) -> DataFrame:
     """A row for each block: cluster, block, low and high (sizes), any and all (bitmaps), ids, sizes and sets, and links within."""
     largest = placed.groupBy("cluster").agg(F.max("n_shingles").alias("largest"))
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(placed.join(largest, "cluster").select("rep", "c1", "cluster", "block", "largest"), "rep")
+    wanted = placed.join(largest, "cluster").select("rep", "c1", "cluster", "block", "largest").hint("merge")  # it grows with the input
+    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -511,7 +512,7 @@ def _verified(pairs: DataFrame, blocks: DataFrame, rule: Rule) -> DataFrame:
 
 
 def links(docs: DataFrame, members: DataFrame, width: int, rule: Rule) -> DataFrame:
-    """Edges (a, b) between representatives that connect whatever links. members: rep, c1, n_shingles, cluster, low."""
+    """node, root: for each representative that isn't the least of its component, that least one. members: rep, c1, n_shingles, cluster, low."""
     placed = stored(_cut(members, rule), "placed")
     blocks, _ = stored_at(_packed(docs, placed, width, rule), "blocks", rows=64)
     slim = blocks.select("cluster", "block", "low", "high", "any", "all")
@@ -541,7 +542,11 @@ def links(docs: DataFrame, members: DataFrame, width: int, rule: Rule) -> DataFr
     far = minor.join(other, "cluster").where((F.col("block") != F.col("block_y")) & once & apart).where(_can_link(rule)).select("block", "block_y")
     done = following.select("block", "block_y").unionByName(following.select(F.col("block_y").alias("block"), F.col("block").alias("block_y")))
     second, _ = stored_at(_verified(far.join(done, ["block", "block_y"], "left_anti"), blocks, rule), "links", rows=8)
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
+    # What the first links made one is one node from here on.
+    for side in ("a", "b"):
+        second = second.join(roots.select(F.col("node").alias(side), "root"), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+    further = stored(components(second), "roots").select(F.col("node").alias("root"), F.col("root").alias("least"))
+    return roots.join(further, "root", "left").select("node", F.coalesce("least", "root").alias("root")).unionByName(further.select(F.col("root").alias("node"), F.col("least").alias("root")))
 
 
 def jaccard_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -554,7 +559,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100)
     cluster = components(meetings(docs, width, rule)).select(F.col("node").alias("c1"), F.col("root").alias("cluster"))
     inner = cluster.unionByName(cluster.select(F.col("cluster").alias("c1"), "cluster").distinct())
     members = stored(reps.join(inner, "c1").select("rep", "c1", "n_shingles", "cluster", "low"), "members")
-    joined = components(links(docs, members, width, rule)).select(F.col("node").alias("rep"), F.col("root"))
+    joined = links(docs, members, width, rule).select(F.col("node").alias("rep"), "root")
     roots = reps.join(joined, "rep", "left").select("c1", "c2", "n_shingles", "rep", F.coalesce("root", "rep").alias("component"))
     out = all_.join(roots, ["c1", "c2", "n_shingles"], "left")
     of = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
