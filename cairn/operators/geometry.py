@@ -132,3 +132,61 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     out = np.zeros(n, int)
     out[owner[:m][owner[:m] >= 0]] = np.flatnonzero(owner[:m] >= 0)
     return out
+
+
+def greedy_pairs(plan: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One-to-one pairs of a plan's rows and columns: the largest masses first, ties to the lower row, then column."""
+    rows, columns = np.divmod(np.lexsort((np.tile(np.arange(plan.shape[1]), plan.shape[0]), np.repeat(np.arange(plan.shape[0]), plan.shape[1]), -plan.ravel())), max(plan.shape[1], 1))
+    free_row, free_column, out = np.ones(plan.shape[0], bool), np.ones(plan.shape[1], bool), []
+    for i, j in zip(rows.tolist(), columns.tolist(), strict=True):
+        if free_row[i] and free_column[j]:
+            free_row[i] = free_column[j] = False
+            out.append((i, j))
+            if len(out) == min(plan.shape):
+                break
+    out = np.array(out, int).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
+
+
+def exact_plan(cost: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cheapest plan with marginals a and b, as rows, columns and masses: successive shortest paths over potentials."""
+    n, m = cost.shape
+    left, right = a.astype(float).copy(), b.astype(float) * (a.sum() / b.sum() if len(b) and b.sum() else 1)
+    flow, u, v = np.zeros((n, m)), np.zeros(n), cost.min(0) if n else np.zeros(m)
+    tiny = 1e-12 * max(a.sum(), 1e-300)
+    for start in range(n):
+        while left[start] > tiny and (right > tiny).any():
+            # Distances to columns by reduced costs: from the row to columns directly, from a column back to rows that use it.
+            reached, back, done = cost[start] - u[start] - v, np.full(m, start), np.zeros(m, bool)
+            row_reached = np.full(n, np.inf)
+            row_reached[start] = 0.0
+            row_from = np.full(n, -1)
+            while True:
+                j = int(np.argmin(np.where(done, np.inf, reached)))
+                done[j] = True
+                if right[j] > tiny:
+                    break
+                for i in np.flatnonzero((flow[:, j] > tiny) & (row_reached > reached[j] + 1e-15)):
+                    row_reached[i], row_from[i] = reached[j], j
+                    other = reached[j] + cost[i] - u[i] - v
+                    better = ~done & (other < reached - 1e-15)
+                    reached[better], back[better] = other[better], i
+            far = reached[j]
+            rows = row_reached <= far
+            u[rows] += far - row_reached[rows]
+            columns = done & (reached <= far)
+            v[columns] -= far - reached[columns]
+            path, amount, at = [], min(left[start], right[j]), j
+            while True:
+                i = back[at]
+                path.append((i, at, 1))
+                if i == start:
+                    break
+                path.append((i, row_from[i], -1))
+                amount, at = min(amount, flow[i, row_from[i]]), row_from[i]
+            for i, k, sign in path:
+                flow[i, k] += sign * amount
+            left[start] -= amount
+            right[j] -= amount
+    i, j = np.nonzero(flow > tiny)
+    return i, j, flow[i, j]

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import settled
+
 
 def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """One row of checks: duplicate keys on either side, keys without a partner on either side, pairs."""
@@ -70,51 +72,60 @@ def crosswalk(pairs: DataFrame, a: str, b: str, score: str, least: float) -> Dat
     return rows.select(a, F.when(F.col("_e") == 1, F.col("_h")).otherwise(F.col("_m")).alias("match"), status.alias("status"))
 
 
-def in_range(points: DataFrame, radius: float, by: list[str], ident: str = "cell", sources: DataFrame | None = None) -> DataFrame:
+def in_range(points: DataFrame, radius: Column | float, by: list[str], ident: str = "cell", sources: DataFrame | None = None) -> DataFrame:
     """Pairs of points of a group within a distance, by a grid: a point visits the cells around its own.
 
-    Rows grow with the points and their neighbours, not with the square of the points. ``sources``: the points that visit,
-    if not all.
+    Rows grow with the points and their neighbours, not with the square of the points. ``radius`` is one number for each
+    group. ``sources``: the points that visit, if not all.
     """
+    radius = F.lit(radius) if isinstance(radius, float) else radius
     grid = [F.floor(F.col(c) / radius).cast("long").alias(f"_{c}") for c in "xyz"]
     home = points.select(*by, F.col(ident).alias("dst"), *(F.col(c).alias(f"{c}2") for c in "xyz"), *grid)
     steps = F.array(*(F.struct(*(F.lit(d).alias(n) for n, d in zip("abc", s, strict=True))) for s in itertools.product((-1, 0, 1), repeat=3)))
-    visits = (points if sources is None else sources).select(*by, F.col(ident).alias("src"), *"xyz", *grid, F.explode(steps).alias("_s"))
-    visits = visits.select(*by, "src", *"xyz", *((F.col(f"_{c}") + F.col(f"_s.{n}")).alias(f"_{c}") for c, n in zip("xyz", "abc", strict=True)))
+    visits = (points if sources is None else sources).select(*by, F.col(ident).alias("src"), *"xyz", radius.alias("_radius"), *grid, F.explode(steps).alias("_s"))
+    visits = visits.select(*by, "src", *"xyz", "_radius", *((F.col(f"_{c}") + F.col(f"_s.{n}")).alias(f"_{c}") for c, n in zip("xyz", "abc", strict=True)))
     d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"{c}2"), 2) for c in "xyz"), F.lit(0.0)))
-    return visits.join(home, [*by, "_x", "_y", "_z"]).withColumn("dist", d).where(F.col("dist") <= radius).select(*by, "src", "dst", "dist")
+    return visits.join(home, [*by, "_x", "_y", "_z"]).withColumn("dist", d).where(F.col("dist") <= F.col("_radius")).select(*by, "src", "dst", "dist", "_radius")
+
+
+def neighbours(points: DataFrame, k: int, by: list[str], keep_self: bool = False) -> DataFrame:
+    """The k nearest of each point of a group, as ``neighbours_among`` finds them; with keep_self a point is its own first neighbour."""
+    found = neighbours_among(points, points, k - 1 if keep_self else k, by)
+    if keep_self:
+        own = points.where(_finite()).select(*by, F.col("cell").alias("src"), F.col("cell").alias("dst"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank"))
+        found = own.unionByName(found.withColumn("rank", F.col("rank") + 1))
+    return found
 
 
-def neighbours(points: DataFrame, k: int, radius: float, by: list[str], keep_self: bool = False) -> DataFrame:
-    """The k nearest within a radius; ``rank`` counts from 1. With keep_self a point is its own first neighbour."""
-    pairs = in_range(points, radius, by)
-    if not keep_self:
-        pairs = pairs.where("src <> dst")
-    order = Window.partitionBy("src").orderBy((F.col("src") != F.col("dst")).cast("int"), F.round("dist", 9), "dst")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _finite() -> Column:
+    return functools.reduce(lambda a, b: a & b, (F.abs(F.col(c)) < F.lit(float("inf")) for c in "xyz"))
 
 
-def nearest(points: DataFrame, k: int, radius: float, by: list[str]) -> DataFrame:
-    """The k nearest of each point of a group, without the point, however far: src, dst, dist and ``rank`` from 1.
+def neighbours_among(sources: DataFrame, points: DataFrame, others: int, by: list[str]) -> DataFrame:
+    """For each source the nearest points of its group, itself left out, however far, ties to the lower name: src, dst, dist and
+    ``rank`` from 1.
 
-    The radius is a first guess. Points with fewer than k within it look again within twice of it, until they have k or all
-    of their group. A point whose place is not finite is no one's neighbour.
+    The spread and size of a group's points give a first radius; sources with fewer sure neighbours within it than asked for
+    look again within twice of it, until they have them or all points of their group. What has no finite place has no
+    neighbours and is no one's.
     """
-    finite = [F.abs(F.col(c)) < F.lit(float("inf")) for c in "xyz"]
-    points = points.where(finite[0] & finite[1] & finite[2]).persist()
-    need = points.groupBy(*by).agg(F.least(F.count("*") - 1, F.lit(k)).alias("_need"))
-    left = points.join(need, by).where("_need > 0").persist()
+    points, sources = points.where(_finite()), sources.where(_finite())
+    spread = F.sqrt(sum((F.coalesce(F.var_pop(c), F.lit(0.0)) for c in "xyz"), F.lit(0.0)))
+    groups = points.groupBy(*by).agg(F.count("*").alias("_n"), F.greatest(spread * F.pow(F.lit(others + 1.0) / F.count("*"), F.lit(1 / 3)), F.lit(1e-6)).alias("_first"))
+    points = settled(points.select(*by, "cell", *"xyz").join(groups, by))
+    inside = points.select(*by, "cell", F.lit(1).alias("_in"))
+    sources = sources.select(*by, "cell", *"xyz").join(groups, by).join(inside, [*by, "cell"], "left")
+    sources = settled(sources.withColumn("_need", F.least(F.col("_n") - F.coalesce("_in", F.lit(0)), F.lit(others))).drop("_n", "_in"))
     order = Window.partitionBy(*by, "src").orderBy(F.round("dist", 9), "dst")
-    parts = []
+    left, wider, parts = sources.where("_need > 0"), 1.0, []
     while not left.isEmpty():
-        pairs = in_range(points, radius, by, sources=left).where("src <> dst")
-        pairs = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).persist()
-        have = pairs.groupBy(*by, F.col("src").alias("cell")).agg(F.count("*").alias("_have"))
-        short = left.join(have, [*by, "cell"], "left").where(F.coalesce("_have", F.lit(0)) < F.col("_need")).drop("_have")
-        short = short.checkpoint() if points.sparkSession.sparkContext.getCheckpointDir() else short.localCheckpoint()
-        parts.append(pairs.join(short.select(*by, F.col("cell").alias("src")), [*by, "src"], "left_anti"))
-        left, radius = short, 2 * radius
-    none = in_range(points.limit(0), radius, by).withColumn("rank", F.lit(0))
+        pairs = in_range(points, F.col("_first") * wider, by, sources=left).where("src <> dst")
+        pairs = settled(pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= others))
+        sure = pairs.where(F.col("dist") + 1e-8 <= F.col("_radius")).groupBy(*by, F.col("src").alias("cell")).agg(F.count("*").alias("_have"))
+        short = settled(left.join(sure, [*by, "cell"], "left").where(F.coalesce("_have", F.lit(0)) < F.col("_need")).drop("_have"))
+        parts.append(pairs.drop("_radius").join(short.select(*by, F.col("cell").alias("src")), [*by, "src"], "left_anti"))
+        left, wider = short, 2 * wider
+    none = points.limit(0).select(*by, F.col("cell").alias("src"), F.col("cell").alias("dst"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))
     return functools.reduce(DataFrame.unionByName, parts, none)
 
 

@@ -63,26 +63,50 @@ def severity_slope(df: DataFrame, by: list[str], pred: str, truth: str, floor: f
 
 
 def energy_distance(cells: DataFrame, by: str, sample: int) -> DataFrame:
-    """2 E|a - b| - E|a - a'| - E|b - b'| between stages, on the first ``sample`` cells of each group by hash.
+    """2 E|a - b| - E|a - a'| - E|b - b'| between stages, on the first ``sample`` cells of each group and stage by hash.
 
-    The metric is defined on a bounded sample, as pairs grow with its square; each group's sample meets itself alone.
+    The metric is defined on a bounded sample, as pairs grow with its square; each group's sample meets itself in one task.
     """
+    import numpy as np
+    import pandas as pd
+
     at = F.row_number().over(Window.partitionBy(by, "stage").orderBy(F.md5(F.col("cell").cast("string")), "cell"))
-    s = cells.withColumn("_k", at).where(F.col("_k") <= sample).select(by, "stage", "cell", "x")
-    other = s.select(by, F.col("stage").alias("_s2"), F.col("cell").alias("_c2"), F.col("x").alias("_x2"))
-    d = F.sqrt(F.aggregate(F.zip_with("x", "_x2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v))
-    pairs = s.join(other, by).where(F.col("cell") != F.col("_c2")).withColumn("_d", d)
-    cross = F.avg(F.when(F.col("stage") != F.col("_s2"), F.col("_d")))
-    within = [F.avg(F.when((F.col("stage") == k) & (F.col("_s2") == k), F.col("_d"))) for k in (0, 1)]
-    return pairs.groupBy(by).agg((2 * cross - within[0] - within[1]).alias("energy"))
+    s = cells.withColumn("_k", at).where(F.col("_k") <= sample).select(by, "stage", "x")
+
+    def distance(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = (np.stack(v.to_list()) if len(v) else np.zeros((0, 1)) for v in (g[g.stage == k].x for k in (0, 1)))
+
+        def mean(u: np.ndarray, v: np.ndarray, pairs: int) -> float:
+            return sum(np.sqrt(((x - v) ** 2).sum(1)).sum() for x in u) / pairs if pairs else float("nan")
+
+        out = 2 * mean(a, b, len(a) * len(b)) - mean(a, a, len(a) * (len(a) - 1)) - mean(b, b, len(b) * (len(b) - 1))
+        return pd.DataFrame({by: [g[by].iloc[0]], "energy": [None if np.isnan(out) else float(out)]})
+
+    return s.groupBy(by).applyInPandas(distance, f"{by} {dict(cells.dtypes)[by]}, energy double")
+
+
+def kernel_distance(a, b, components: int, scales: tuple[float, ...] = (0.25, 0.5, 1.0, 2.0, 4.0)) -> float:
+    """Unbiased squared MMD of rows of two arrays, on principal components of the second, over kernels around the median width."""
+    import numpy as np
+
+    centre = b.mean(0)
+    axes = np.linalg.svd(b - centre, full_matrices=False)[2][:components].T
+    a, b = (a - centre) @ axes, (b - centre) @ axes
+    aa, bb, ab = (np.maximum((u * u).sum(1)[:, None] + (v * v).sum(1) - 2 * u @ v.T, 0) for u, v in ((a, a), (b, b), (a, b)))
+    n, m = len(a), len(b)
+    width = np.median(np.concatenate([aa[np.triu_indices(n, 1)], bb[np.triu_indices(m, 1)], ab.ravel()])) or 1.0
+    total = 0.0
+    for scale in scales:
+        ka, kb, kab = (np.exp(-d / (width * scale)) for d in (aa, bb, ab))
+        total += (ka.sum() - np.trace(ka)) / (n * (n - 1)) + (kb.sum() - np.trace(kb)) / (m * (m - 1)) - 2 * kab.mean()
+    return float(total / len(scales))
 
 
 def variogram_gap(entries: DataFrame, genes: list[int], power: float = 0.5) -> DataFrame:
     """Mean over gene pairs of the squared change between stages of E abs(xi - xj)^power: score and its root."""
-    wide = entries.where(F.col("gene").isin(genes)).groupBy("stage", "cell").pivot("gene", genes).agg(F.first("v"))
-    pairs = [(a, b) for i, a in enumerate(genes) for b in genes[i + 1 :]]
-    parts = [F.struct(F.lit(a * 1000 + b).alias("pair"), F.pow(F.abs(F.col(str(a)) - F.col(str(b))), F.lit(power)).alias("w")) for a, b in pairs]
-    rows = wide.select("stage", F.explode(F.array(*parts)).alias("p")).select("stage", "p.*")
+    wide = entries.where(F.col("gene").isin(genes)).groupBy("stage", "cell").agg(F.array_sort(F.collect_list(F.struct("gene", "v"))).alias("e"))
+    one = wide.select("stage", "e", F.posexplode("e").alias("i", "a")).select("stage", "a", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("b"))
+    rows = one.select("stage", (F.col("a.gene") * 1000 + F.col("b.gene")).alias("pair"), F.pow(F.abs(F.col("a.v") - F.col("b.v")), F.lit(power)).alias("w"))
     g = rows.groupBy("pair").agg(*(F.avg(F.when(F.col("stage") == s, F.col("w"))).alias(f"e{s}") for s in (0, 1)))
     gap = F.avg(F.pow(F.col("e1") - F.col("e0"), 2))
     return g.agg(gap.alias("score"), F.sqrt(gap).alias("root"))

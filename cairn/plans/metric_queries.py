@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cairn.operators import geometry, joins, metrics
 from cairn.operators import moments as mo
@@ -58,14 +59,14 @@ def q5_severity_slope(t: Tables) -> DataFrame:
     return metrics.severity_slope(_effects(t), ["state"], "pred", "truth").select("state", r("slope").alias("slope"), r("r2").alias("r2"))
 
 
-@query(f"WITH {CELLS}, k AS (SELECT cell, state, stage, list_transform(e, lambda v: greatest(CAST(v AS DOUBLE), 0)) AS x, row_number() OVER (PARTITION BY state, stage ORDER BY md5(CAST(cell AS VARCHAR)), cell) AS k FROM cells), s AS (SELECT * FROM k WHERE k <= 20), d AS (SELECT a.state, a.stage AS s1, b.stage AS s2, list_distance(a.x, b.x) AS d FROM s a JOIN s b ON a.state = b.state AND a.cell <> b.cell) SELECT state, round(2 * avg(d) FILTER (s1 <> s2) - avg(d) FILTER (s1 = 0 AND s2 = 0) - avg(d) FILTER (s1 = 1 AND s2 = 1), 6) + 0.0 AS energy FROM d GROUP BY 1")
+@query(f"WITH {CELLS}, k AS (SELECT cell, state, stage, list_transform(e, lambda v: greatest(CAST(v AS DOUBLE), 0)) AS x, row_number() OVER (PARTITION BY state, stage ORDER BY md5(CAST(cell AS VARCHAR)), cell) AS k FROM cells), s AS (SELECT * FROM k WHERE k <= 1500), d AS (SELECT a.state, a.stage AS s1, b.stage AS s2, list_distance(a.x, b.x) AS d FROM s a JOIN s b ON a.state = b.state AND a.cell <> b.cell) SELECT state, round(2 * avg(d) FILTER (s1 <> s2) - avg(d) FILTER (s1 = 0 AND s2 = 0) - avg(d) FILTER (s1 = 1 AND s2 = 1), 6) + 0.0 AS energy FROM d GROUP BY 1")
 def q7_energy_distance(t: Tables) -> DataFrame:
-    return metrics.energy_distance(t.cells(), "state", 20).select("state", r("energy").alias("energy"))
+    return metrics.energy_distance(t.cells(), "state", 1500).select("state", r("energy").alias("energy"))
 
 
-@query(f"WITH {EXPR}, p AS (SELECT a.stage, a.gene * 1000 + b.gene AS pair, avg(sqrt(abs(a.v - b.v))) AS w FROM expr a JOIN expr b ON a.cell = b.cell AND a.gene < b.gene WHERE a.gene <= 6 AND b.gene <= 6 GROUP BY ALL), g AS (SELECT pair, max(w) FILTER (stage = 1) - max(w) FILTER (stage = 0) AS d FROM p GROUP BY 1) SELECT round(avg(d * d), 8) + 0.0 AS score, round(sqrt(avg(d * d)), 6) + 0.0 AS root FROM g")
+@query(f"WITH {EXPR}, p AS (SELECT a.stage, a.gene * 1000 + b.gene AS pair, avg(sqrt(abs(a.v - b.v))) AS w FROM expr a JOIN expr b ON a.cell = b.cell AND a.gene < b.gene GROUP BY ALL), g AS (SELECT pair, max(w) FILTER (stage = 1) - max(w) FILTER (stage = 0) AS d FROM p GROUP BY 1) SELECT round(avg(d * d), 8) + 0.0 AS score, round(sqrt(avg(d * d)), 6) + 0.0 AS root FROM g")
 def q8_q9_variogram(t: Tables) -> DataFrame:
-    return metrics.variogram_gap(t.expr(), [1, 2, 3, 4, 5, 6]).select(r("score", 8).alias("score"), r("root").alias("root"))
+    return metrics.variogram_gap(t.expr(), list(range(1, 65))).select(r("score", 8).alias("score"), r("root").alias("root"))
 
 
 @query(f"WITH {EXPR}, m AS (SELECT gene, avg(v) FILTER (stage = 0) AS b, avg(v) FILTER (stage = 1) AS a, var_pop(v) FILTER (stage = 0) AS vb, var_pop(v) FILTER (stage = 1) AS va FROM expr GROUP BY 1), l AS (SELECT cell, stage, sum(exp(least(v, 50)) - 1) AS l FROM expr GROUP BY ALL) SELECT round(sqrt(sum((a - b) * (a - b)) / sum(b * b)), 8) + 0.0 AS rel_err, round(avg(va / vb), 6) + 0.0 AS variance_ratio, round((SELECT quantile_cont(l, 0.5) FILTER (stage = 1) / quantile_cont(l, 0.5) FILTER (stage = 0) FROM l), 6) + 0.0 AS library_ratio FROM m")
@@ -88,16 +89,16 @@ def q13_q14_skill_composite(t: Tables) -> DataFrame:
     return metrics.composite(s, kinds, "unit").select("unit", r("total").alias("total"))
 
 
-_NN = f"WITH {EXPR}, {POINTS}, d AS (SELECT a.cell AS src, b.cell AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS dist FROM points a JOIN points b USING (state)), n AS (SELECT src, dst, dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY (src <> dst)::INT, round(dist, 9), dst) AS k FROM d WHERE dist <= 0.2) WHERE k <= 5)"
+_NN = f"WITH {EXPR}, {POINTS}, d AS (SELECT a.cell AS src, b.cell AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS dist FROM points a JOIN points b USING (state)), n AS (SELECT src, dst, dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY (src <> dst)::INT, round(dist, 9), dst) AS k FROM d) WHERE k <= 5)"
 
 
 def _near(t: Tables, keep_self: bool = True) -> DataFrame:
-    return joins.neighbours(t.points(), 5, 0.2, ["state"], keep_self=keep_self)
+    return joins.neighbours(t.points(), 5, ["state"], keep_self=keep_self)
 
 
-@query(_NN + ", h AS (SELECT src, gene, avg(v) AS m FROM n JOIN expr ON dst = cell WHERE gene <= 10 GROUP BY ALL), j AS (SELECT src, gene, m, v FROM h JOIN expr ON src = cell AND h.gene = expr.gene) SELECT src, round(corr(m, v), 5) + 0.0 AS pearson FROM (SELECT src, j.gene, m, v FROM j) GROUP BY 1 HAVING corr(m, v) IS NOT NULL".replace("SELECT src, gene, m, v FROM h", "SELECT src, h.gene, m, v FROM h"))
+@query(_NN + ", h AS (SELECT src, gene, avg(v) AS m FROM n JOIN expr ON dst = cell GROUP BY ALL), j AS (SELECT src, gene, m, v FROM h JOIN expr ON src = cell AND h.gene = expr.gene) SELECT src, round(corr(m, v), 5) + 0.0 AS pearson FROM (SELECT src, j.gene, m, v FROM j) GROUP BY 1 HAVING corr(m, v) IS NOT NULL".replace("SELECT src, gene, m, v FROM h", "SELECT src, h.gene, m, v FROM h"))
 def q15_neighbourhood_pearson(t: Tables) -> DataFrame:
-    e = t.expr().where("gene <= 10")
+    e = t.expr()
     h = _near(t).join(e.select(F.col("cell").alias("dst"), "gene", "v"), "dst").groupBy("src", "gene").agg(F.avg("v").alias("m"))
     j = h.join(e.select(F.col("cell").alias("src"), "gene", "v"), ["src", "gene"])
     return j.groupBy("src").agg(F.corr("m", "v").alias("c")).where("c is not null and not isnan(c)").select("src", r("c", 5).alias("pearson"))
@@ -111,20 +112,20 @@ def q16_composition_distance(t: Tables) -> DataFrame:
     return both.agg(r(F.sum(F.abs(F.col("p0") - F.col("p1"))), 8).alias("l1"))
 
 
-@query(f"WITH {POINTS}, d AS (SELECT a.cell AS src, b.cell AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d3, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d2 FROM points a JOIN points b ON a.state = b.state AND a.cell <> b.cell), p AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d3, 9), dst) AS k FROM d WHERE d3 <= 0.2) WHERE k <= 5), q AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d2, 9), dst) AS k FROM d WHERE d2 <= 0.2) WHERE k <= 5), o AS (SELECT p.src, count(q.dst) / 5.0 AS o FROM p LEFT JOIN q ON p.src = q.src AND p.dst = q.dst GROUP BY 1) SELECT round(avg(o), 6) + 0.0 AS mean, round(quantile_cont(o, 0.5), 6) + 0.0 AS median, round(avg((o < 0.5)::INT), 6) + 0.0 AS below FROM o")
+@query(f"WITH {POINTS}, d AS (SELECT a.cell AS src, b.cell AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d3, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d2 FROM points a JOIN points b ON a.state = b.state AND a.cell <> b.cell), p AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d3, 9), dst) AS k FROM d) WHERE k <= 5), q AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d2, 9), dst) AS k FROM d) WHERE k <= 5), o AS (SELECT p.src, count(q.dst) / count(*) AS o FROM p LEFT JOIN q ON p.src = q.src AND p.dst = q.dst GROUP BY 1) SELECT round(avg(o), 6) + 0.0 AS mean, round(quantile_cont(o, 0.5), 6) + 0.0 AS median, round(avg((o < 0.5)::INT), 6) + 0.0 AS below FROM o")
 def q17_neighbour_overlap(t: Tables) -> DataFrame:
     flat = t.points().withColumn("z", F.lit(0.0))
-    p, q = (joins.neighbours(x, 5, 0.2, ["state"]).select("src", "dst") for x in (t.points(), flat))
-    o = p.join(q.withColumn("hit", F.lit(1)), ["src", "dst"], "left").groupBy("src").agg((F.count("hit") / 5).alias("o"))
+    p, q = (joins.neighbours(x, 5, ["state"]).select("src", "dst") for x in (t.points(), flat))
+    o = p.join(q.withColumn("hit", F.lit(1)), ["src", "dst"], "left").groupBy("src").agg((F.count("hit") / F.count("*")).alias("o"))
     return o.agg(r(F.avg("o")).alias("mean"), r(F.percentile("o", F.lit(0.5))).alias("median"), r(F.avg((F.col("o") < 0.5).cast("double"))).alias("below"))
 
 
-@query(_NN + " SELECT state, round(quantile_cont((a.v - b.v) * (a.v - b.v) / 2, 0.5), 8) + 0.0 AS median, round(avg((a.v - b.v) * (a.v - b.v) / 2), 8) + 0.0 AS mean FROM n JOIN expr a ON a.cell = src AND a.gene = 7 JOIN expr b ON b.cell = dst AND b.gene = 7 WHERE src <> dst GROUP BY 1".replace("SELECT state,", "SELECT a.state,"))
+@query(_NN + " SELECT state, gene, round(quantile_cont((a.v - b.v) * (a.v - b.v) / 2, 0.5), 8) + 0.0 AS median, round(avg((a.v - b.v) * (a.v - b.v) / 2), 8) + 0.0 AS mean FROM n JOIN expr a ON a.cell = src JOIN expr b ON b.cell = dst AND b.gene = a.gene WHERE src <> dst GROUP BY 1, 2".replace("SELECT state, gene,", "SELECT a.state, a.gene,"))
 def q19_semivariance(t: Tables) -> DataFrame:
-    e = t.expr().where("gene = 7")
-    n = _near(t).where("src <> dst").join(e.select(F.col("cell").alias("src"), F.col("v").alias("a")), "src").join(e.select(F.col("cell").alias("dst"), F.col("v").alias("b")), "dst")
+    e = t.expr()
+    n = _near(t).where("src <> dst").join(e.select(F.col("cell").alias("src"), "gene", F.col("v").alias("a")), "src").join(e.select(F.col("cell").alias("dst"), "gene", F.col("v").alias("b")), ["dst", "gene"])
     half = F.pow(F.col("a") - F.col("b"), 2) / 2
-    return n.groupBy("state").agg(r(F.percentile(half, F.lit(0.5)), 8).alias("median"), r(F.avg(half), 8).alias("mean"))
+    return n.groupBy("state", "gene").agg(r(F.percentile(half, F.lit(0.5)), 8).alias("median"), r(F.avg(half), 8).alias("mean"))
 
 
 _RUNS = "runs AS (SELECT event_type AS method, user_id % 6 AS query, avg(value) AS s FROM events GROUP BY ALL), p AS (SELECT method, query, s, max(s) FILTER (method = 'click') OVER (PARTITION BY query) AS control, max(s) FILTER (method = 'view') OVER (PARTITION BY query) AS second FROM runs)"
@@ -221,37 +222,62 @@ def o13_o14_stability_weights(t: Tables) -> DataFrame:
 
 @query()
 def j15_assignment(t: Tables) -> DataFrame:
-    """Points of stage 0 matched to points of stage 1 of their state, at the least total squared distance; 40 at most each."""
+    """Points of both stages of a state matched at the least total squared distance, all of the smaller side; a state is solved in one task."""
     import pandas as pd
 
-    from cairn.operators.alloc import stratified
-
-    p = stratified(t.points(), ["state", "stage"], "cell", 40, 3)
-
     def matched(g: pd.DataFrame) -> pd.DataFrame:
         a, b = (g[g.stage == s].sort_values("cell") for s in (0, 1))
-        b = b.head(max(len(a), len(b)))
-        a = a.head(len(b))
         cost = ((a[["x", "y", "z"]].to_numpy()[:, None] - b[["x", "y", "z"]].to_numpy()[None]) ** 2).sum(2)
-        at = geometry.assignment(cost) if len(a) else np.zeros(0, int)
-        return pd.DataFrame({"src": a.cell.to_numpy(), "dst": b.cell.to_numpy()[at], "cost": cost[np.arange(len(a)), at].round(8)})
-
-    return p.groupBy("state").applyInPandas(matched, "src long, dst long, cost double")
-
-
-@query(_NN + " SELECT src, round((v + m) / 2, 8) + 0.0 AS smooth FROM (SELECT src, sum(exp(-dist * dist / 0.02) * b.v) / sum(exp(-dist * dist / 0.02)) AS m FROM n JOIN expr b ON b.cell = dst AND b.gene = 3 WHERE src <> dst GROUP BY 1) s JOIN expr a ON a.cell = src AND a.gene = 3")
-def x19_x20_neighbour_smooth(t: Tables) -> DataFrame:
-    e = t.expr().where("gene = 3")
-    n = _near(t).where("src <> dst").join(e.select(F.col("cell").alias("dst"), F.col("v").alias("b")), "dst")
-    w = F.exp(-F.col("dist") * F.col("dist") / 0.02)
-    m = n.groupBy("src").agg((F.sum(w * F.col("b")) / F.sum(w)).alias("m"))
-    return m.join(e.select(F.col("cell").alias("src"), "v"), "src").select("src", r((F.col("v") + F.col("m")) / 2, 8).alias("smooth"))
-
-
-@query(_NN + ", dg AS (SELECT src, count(*) AS deg FROM n WHERE src <> dst GROUP BY 1), mx AS (SELECT max(deg) AS top FROM dg) SELECT src, round(a.v + 0.5 / max(top) * sum(b.v - a.v), 8) + 0.0 AS v FROM n, mx, expr a, expr b WHERE src <> dst AND a.cell = src AND a.gene = 2 AND b.cell = dst AND b.gene = 2 GROUP BY src, a.v")
-def x16_x17_graph_diffusion(t: Tables) -> DataFrame:
-    e = t.expr().where("gene = 2")
+        i, j = np.arange(min(cost.shape)), np.arange(min(cost.shape))
+        if len(a) <= len(b):
+            j = geometry.assignment(cost) if len(a) else j
+        else:
+            i = geometry.assignment(cost.T) if len(b) else i
+        return pd.DataFrame({"src": a.cell.to_numpy()[i], "dst": b.cell.to_numpy()[j], "cost": cost[i, j].round(8)})
+
+    return t.points().groupBy("state").applyInPandas(matched, "src long, dst long, cost double")
+
+
+@query(_NN + " SELECT src, s.gene, round((v + m) / 2, 8) + 0.0 AS smooth FROM (SELECT src, b.gene, sum(w * b.v) / sum(w) AS m FROM (SELECT *, exp((pow(min(dist) OVER (PARTITION BY src), 2) - dist * dist) / 0.02) AS w FROM n WHERE src <> dst) n JOIN expr b ON b.cell = dst GROUP BY 1, 2) s JOIN expr a ON a.cell = src AND a.gene = s.gene")
+def x19_neighbour_smooth(t: Tables) -> DataFrame:
+    """Each value half its own, half the mean of its neighbours, weighted by distance against the nearest one's."""
+    e = t.expr()
+    nearest = F.min("dist").over(Window.partitionBy("src"))
+    near = _near(t).where("src <> dst").withColumn("w", F.exp((nearest * nearest - F.col("dist") * F.col("dist")) / 0.02))
+    n = near.join(e.select(F.col("cell").alias("dst"), "gene", F.col("v").alias("b")), "dst")
+    m = n.groupBy("src", "gene").agg((F.sum(F.col("w") * F.col("b")) / F.sum("w")).alias("m"))
+    return m.join(e.select(F.col("cell").alias("src"), "gene", "v"), ["src", "gene"]).select("src", "gene", r((F.col("v") + F.col("m")) / 2, 8).alias("smooth"))
+
+
+_SIDES = f"WITH {EXPR}, {POINTS}, d AS (SELECT a.cell AS src, b.cell AS dst, b.stage AS side, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS dist FROM points a JOIN points b ON a.state = b.state AND a.cell <> b.cell), n AS (SELECT src, dst, side FROM (SELECT *, row_number() OVER (PARTITION BY src, side ORDER BY round(dist, 9), dst) AS k FROM d) WHERE k <= 3)"
+
+
+@query(_SIDES + ", m AS (SELECT src, side, gene, avg(v) AS m FROM n JOIN expr ON dst = cell GROUP BY ALL) SELECT src, gene, round(coalesce(0.7 * max(m) FILTER (side = 0) + 0.3 * max(m) FILTER (side = 1), max(m)), 8) + 0.0 AS expected FROM m GROUP BY 1, 2")
+def x20_position_reference(t: Tables) -> DataFrame:
+    """What is expected at a cell's place: its nearest cells of either stage, their means mixed 7 to 3; of one stage alone where the other has none."""
+    p, e = t.points(), t.expr().select(F.col("cell").alias("dst"), "gene", "v")
+    # Twice as a group of its own for each side: asked by all cells, answered by the side's.
+    near = [joins.neighbours_among(p, p.where(F.col("stage") == s), 3, ["state"]).select("src", "dst", F.lit(s).alias("side")) for s in (0, 1)]
+    m = near[0].unionByName(near[1]).join(e, "dst").groupBy("src", "side", "gene").agg(F.avg("v").alias("m"))
+    left, right = (F.max(F.when(F.col("side") == s, F.col("m"))) for s in (0, 1))
+    return m.groupBy("src", "gene").agg(r(F.coalesce(0.7 * left + 0.3 * right, F.max("m")), 8).alias("expected"))
+
+
+@query(_NN + ", l AS (SELECT cell, state, v - avg(v) OVER (PARTITION BY state) AS d FROM expr WHERE gene = 2), g AS (SELECT cell FROM expr WHERE gene = 4 AND v > 0) SELECT a.cell, round(CASE WHEN a.cell IN (SELECT cell FROM g) THEN coalesce(sum(l.d / (1 + dist)), 0) ELSE 0 END, 8) + 0.0 AS signal FROM cells a LEFT JOIN (SELECT * FROM n WHERE src <> dst) n ON n.src = a.cell LEFT JOIN l ON l.cell = dst GROUP BY a.cell")
+def x16_spatial_signal(t: Tables) -> DataFrame:
+    """Changes of a ligand (gene 2, against its state) at a cell's neighbours, weighted by nearness, where the cell has the receptor (gene 4)."""
+    e = t.expr()
+    ligand = e.where("gene = 2").withColumn("d", F.col("v") - F.avg("v").over(Window.partitionBy("state"))).select(F.col("cell").alias("dst"), "d")
+    sums = _near(t).where("src <> dst").join(ligand, "dst").groupBy(F.col("src").alias("cell")).agg(F.sum(F.col("d") / (1 + F.col("dist"))).alias("s"))
+    gate = e.where("gene = 4").select("cell", (F.col("v") > 0).alias("open"))
+    return gate.join(sums, "cell", "left").select("cell", r(F.when(F.col("open"), F.coalesce("s", F.lit(0.0))).otherwise(0.0), 8).alias("signal"))
+
+
+@query(_NN + ", dg AS (SELECT src, state, count(*) AS deg FROM n JOIN cells ON cell = src WHERE src <> dst GROUP BY ALL), mx AS (SELECT state, max(deg) AS top FROM dg GROUP BY 1) SELECT src, a.gene, round(a.v + 0.5 / max(top) * sum(b.v - a.v), 8) + 0.0 AS v FROM n JOIN expr a ON a.cell = src JOIN expr b ON b.cell = dst AND b.gene = a.gene JOIN mx ON mx.state = a.state WHERE src <> dst GROUP BY src, a.gene, a.v")
+def x17_graph_diffusion(t: Tables) -> DataFrame:
+    """One step of each gene towards its neighbours, by the largest degree of the state."""
+    e = t.expr()
     n = _near(t).where("src <> dst")
-    top = n.groupBy("src").agg(F.count("*").alias("deg")).agg(F.max("deg").alias("top"))
-    rows = n.join(e.select(F.col("cell").alias("src"), F.col("v").alias("a")), "src").join(e.select(F.col("cell").alias("dst"), F.col("v").alias("b")), "dst").crossJoin(F.broadcast(top))
-    return rows.groupBy("src", "a").agg((F.col("a") + 0.5 / F.max("top") * F.sum(F.col("b") - F.col("a"))).alias("v")).select("src", r("v", 8).alias("v"))
+    top = n.groupBy("state", "src").agg(F.count("*").alias("deg")).groupBy("state").agg(F.max("deg").alias("top"))
+    rows = n.join(top, "state").join(e.select(F.col("cell").alias("src"), "gene", F.col("v").alias("a")), "src").join(e.select(F.col("cell").alias("dst"), "gene", F.col("v").alias("b")), ["dst", "gene"])
+    return rows.groupBy("src", "gene", "a").agg((F.col("a") + 0.5 / F.max("top") * F.sum(F.col("b") - F.col("a"))).alias("v")).select("src", "gene", r("v", 8).alias("v"))

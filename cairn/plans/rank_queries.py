@@ -12,9 +12,9 @@ from cairn.operators import moments as mo
 from .registry import CELLS, EXPR, Tables, query, r
 
 
-@query(f"WITH {EXPR} SELECT cell, gene, round((rank() OVER (PARTITION BY state, gene ORDER BY v) + (count(*) OVER (PARTITION BY state, gene, v) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY state, gene), 8) + 0.0 AS u FROM expr WHERE gene <= 8")
+@query(f"WITH {EXPR} SELECT cell, gene, round((rank() OVER (PARTITION BY state, gene ORDER BY v) + (count(*) OVER (PARTITION BY state, gene, v) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY state, gene), 8) + 0.0 AS u FROM expr")
 def w1_normalised_rank(t: Tables) -> DataFrame:
-    return t.expr().where("gene <= 8").select("cell", "gene", r(ranks.normalised_rank("v", ["state", "gene"]), 8).alias("u"))
+    return t.expr().select("cell", "gene", r(ranks.normalised_rank("v", ["state", "gene"]), 8).alias("u"))
 
 
 @query("SELECT event_id, round((count(*) OVER (PARTITION BY event_type) - row_number() OVER (PARTITION BY event_type ORDER BY abs(value - 50) DESC, event_id) + 1) / (count(*) OVER (PARTITION BY event_type) + 1), 8) + 0.0 AS score FROM events")
@@ -66,11 +66,11 @@ def w15_occupancy_decode(t: Tables) -> DataFrame:
     return rows.groupBy("state", "gene").agg(F.count_if(F.col("decoded") > 0).alias("active"), r(F.sum("decoded")).alias("total"))
 
 
-@query(f"WITH {EXPR}, e AS (SELECT a.cell, a.state, a.gene, a.v, b.v AS w FROM expr a JOIN expr b ON a.cell = b.cell AND b.gene = 33 WHERE a.gene <= 6), q AS (SELECT *, rank() OVER (PARTITION BY state, gene ORDER BY v) + (count(*) OVER (PARTITION BY state, gene, v) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY state, gene ORDER BY w) + (count(*) OVER (PARTITION BY state, gene, w) - 1) / 2.0 AS rb, row_number() OVER (PARTITION BY state, gene ORDER BY v, cell) AS k0 FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY state, gene ORDER BY 0.6 * ra + 0.4 * rb, cell) AS k1 FROM q) SELECT a.cell, a.gene, round(b.v, 6) + 0.0 AS restored FROM k a JOIN k b ON a.state = b.state AND a.gene = b.gene AND a.k1 = b.k0")
+@query(f"WITH {EXPR}, e AS (SELECT a.cell, a.state, a.gene, a.v, b.v AS w FROM expr a JOIN expr b ON a.cell = b.cell AND b.gene = 33), q AS (SELECT *, rank() OVER (PARTITION BY state, gene ORDER BY v) + (count(*) OVER (PARTITION BY state, gene, v) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY state, gene ORDER BY w) + (count(*) OVER (PARTITION BY state, gene, w) - 1) / 2.0 AS rb, row_number() OVER (PARTITION BY state, gene ORDER BY v, cell) AS k0 FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY state, gene ORDER BY 0.6 * ra + 0.4 * rb, cell) AS k1 FROM q) SELECT a.cell, a.gene, round(b.v, 6) + 0.0 AS restored FROM k a JOIN k b ON a.state = b.state AND a.gene = b.gene AND a.k1 = b.k0")
 def w18_copula_restore(t: Tables) -> DataFrame:
     entries = t.expr()
     template = entries.where("gene = 33").select("cell", F.col("v").alias("w"))
-    rows = entries.where("gene <= 6").join(template, "cell")
+    rows = entries.join(template, "cell")
     return ranks.copula_restored(rows, ["state", "gene"], "v", "w", 0.4, "cell").select("cell", "gene", r("restored").alias("restored"))
 
 

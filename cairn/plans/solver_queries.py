@@ -8,20 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.operators import alloc, evidence, models, ranks, solvers
+from cairn.operators import evidence, models, ranks, solvers
 from cairn.operators import moments as mo
 
 from .join_queries import _LEDGER, _ledger
 from .registry import EXPR, Tables, query, r
 
-SAMPLE = 40
-"""Cells of a state and stage that a solver sees, the first by hash."""
 
-
-def _sampled(t: Tables) -> DataFrame:
-    """cell, state, stage, x, y, z and v: the first eight values of each sampled cell."""
-    cells = t.cells().select("cell", F.slice("x", 4, 8).alias("v"))
-    return alloc.stratified(t.points(), ["state", "stage"], "cell", SAMPLE, 6).join(cells, "cell")
+def _placed(t: Tables) -> DataFrame:
+    """cell, state, stage, x, y, z and v: eight values of each cell. A solver sees all cells of a state, in one task."""
+    return t.points().join(t.cells().select("cell", F.slice("x", 4, 8).alias("v")), "cell")
 
 
 @query("WITH plan AS (SELECT i, j, (1 + (i * 3 + j) % 4) / 40.0 AS mass FROM range(0, 4) a(i), range(0, 4) b(j)), cost AS (SELECT i, j, abs(i - j) / 3.0 AS c FROM range(0, 4) a(i), range(0, 4) b(j)), c1 AS (SELECT i, k, abs(i - k) * 1.0 AS c FROM range(0, 4) a(i), range(0, 4) b(k)), c2 AS (SELECT j, l, (j - l) * (j - l) / 4.0 AS c FROM range(0, 4) a(j), range(0, 4) b(l)), s AS (SELECT sum(pow(c1.c - c2.c, 2) * x.mass * y.mass) AS s FROM plan x, plan y, c1, c2 WHERE c1.i = x.i AND c1.k = y.i AND c2.j = x.j AND c2.l = y.j), m AS (SELECT sum(mass * c) AS m FROM plan JOIN cost USING (i, j)) SELECT round(m, 8) + 0.0 AS linear, round(s, 8) + 0.0 AS structure, round(0.6 * m + 0.4 * s, 8) + 0.0 AS total FROM s, m")
@@ -58,7 +54,7 @@ def o9_swapped_pairing(t: Tables) -> DataFrame:
         at = solvers.swapped_pairing(z, z[graph].mean(1)[::-1].copy(), graph)
         return pd.DataFrame({"cell": g.cell.to_numpy(), "row_of": g.cell.to_numpy()[at]})
 
-    return _sampled(t).groupBy("state").applyInPandas(pair, "cell long, row_of long")
+    return _placed(t).groupBy("state").applyInPandas(pair, "cell long, row_of long")
 
 
 @query()
@@ -70,7 +66,7 @@ def g8_rigid_registration(t: Tables) -> DataFrame:
         out = (x @ turn + shift).round(6)
         return pd.DataFrame({"cell": a.cell.to_numpy(), "x": out[:, 0], "y": out[:, 1], "z": out[:, 2]})
 
-    return _sampled(t).groupBy("state").applyInPandas(register, "cell long, x double, y double, z double")
+    return _placed(t).groupBy("state").applyInPandas(register, "cell long, x double, y double, z double")
 
 
 @query()
@@ -82,7 +78,7 @@ def y25_rewired_rows(t: Tables) -> DataFrame:
         at = solvers.rewired(p, s, (p, s), (q, u), 0.5)
         return pd.DataFrame({"cell": a.cell.to_numpy(), "row_of": a.cell.to_numpy()[at]})
 
-    return _sampled(t).groupBy("state").applyInPandas(rewire, "cell long, row_of long")
+    return _placed(t).groupBy("state").applyInPandas(rewire, "cell long, row_of long")
 
 
 @query(f"WITH {EXPR}, w AS (SELECT cell, max(v) FILTER (gene = 1) AS a, max(v) FILTER (gene = 2) AS b, max(v) FILTER (gene = 3) AS c FROM expr GROUP BY 1) SELECT cell, 0.0 AS a, round(b - 0.5 * a, 8) + 0.0 AS b, round(c - 0.2 * a + 0.3 * 0.5 * a, 8) + 0.0 AS c FROM w")
@@ -116,11 +112,11 @@ def l4_term_embedding(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(n, [float(v) for v in e[i].round(6)]) for i, n in enumerate(names)], "brand string, embedding array<double>")
 
 
-@query(f"WITH {EXPR}, j AS (SELECT a.state AS state, a.stage AS stage, b.gene AS gene, a.v AS x, b.v AS y FROM expr a JOIN expr b USING (cell) WHERE a.gene = 4 AND b.gene BETWEEN 5 AND 16), m AS (SELECT state, stage, gene, avg(x) AS mx, avg(y) AS my FROM j GROUP BY ALL), s AS (SELECT state, gene, round(sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)), 9) AS w FROM j JOIN m USING (state, stage, gene) GROUP BY ALL) SELECT state, gene, CAST(-sign(w) AS INTEGER) AS effect_sign, round(row_number() OVER (PARTITION BY state ORDER BY abs(w), gene) / (count(*) OVER (PARTITION BY state) + 1), 8) + 0.0 AS confidence FROM s")
+@query(f"WITH {EXPR}, j AS (SELECT a.state AS state, a.stage AS stage, b.gene AS gene, a.v AS x, b.v AS y FROM expr a JOIN expr b USING (cell) WHERE a.gene = 4 AND b.gene <> 4), m AS (SELECT state, stage, gene, avg(x) AS mx, avg(y) AS my FROM j GROUP BY ALL), s AS (SELECT state, gene, round(sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)), 9) AS w FROM j JOIN m USING (state, stage, gene) GROUP BY ALL) SELECT state, gene, CAST(-sign(w) AS INTEGER) AS effect_sign, round(row_number() OVER (PARTITION BY state ORDER BY abs(w), gene) / (count(*) OVER (PARTITION BY state) + 1), 8) + 0.0 AS confidence FROM s")
 def l9_knockout_votes(t: Tables) -> DataFrame:
     """The loss of a gene's value as a vote on the others: the slope on it within each stage, sign turned."""
     e = t.expr()
-    j = e.where("gene between 5 and 16").join(e.where("gene = 4").select("cell", F.col("v").alias("x")), "cell").withColumnRenamed("v", "y")
+    j = e.where("gene <> 4").join(e.where("gene = 4").select("cell", F.col("v").alias("x")), "cell").withColumnRenamed("v", "y")
     s = models.demeaned_slope(j, "stage", "x", "y", 1, ["state", "gene"]).withColumn("slope", F.round("slope", 9))
     w = Window.partitionBy("state")
     k = F.row_number().over(w.orderBy(F.abs("slope"), "gene")) / (F.count("*").over(w) + 1)

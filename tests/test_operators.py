@@ -5,11 +5,12 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cairn.operators import alloc, evidence, geometry, joins, matrix, ranks, solvers, trends
+from cairn.operators import alloc, evidence, geometry, joins, matrix, metrics, ranks, solvers, trends
 
 
 def long(spark, rows):
@@ -134,5 +135,64 @@ def test_nearest_are_k_however_far(spark):
     for c, g, x in at[:-1]:
         others = sorted((round(abs(x - v), 9), d) for d, h, v in at[:-1] if h == g and d != c)
         want |= {(c, d, i + 1) for i, (_, d) in enumerate(others[:3])}
-    assert {(r["src"], r["dst"], r["rank"]) for r in joins.nearest(points, 3, 0.12, ["state"]).collect()} == want
-    assert joins.nearest(points.limit(0), 3, 0.12, ["state"]).count() == 0
+    assert {(r["src"], r["dst"], r["rank"]) for r in joins.neighbours(points, 3, ["state"]).collect()} == want
+    assert joins.neighbours(points.limit(0), 3, ["state"]).count() == 0
+
+
+def test_neighbours_are_the_nearest_however_far(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 2, *(rng.standard_normal(3) * (1000 if i % 17 == 0 else 0.01)).tolist()) for i in range(90)] + [(200, 3, 0.0, 0.0, 0.0), (201, 4, 1.0, 1.0, 1.0), (202, 4, 1.0, 1.0, 1.0), (203, 0, float("nan"), 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "cell long, state int, x double, y double, z double")
+    got = {}
+    for p in joins.neighbours(points, 4, ["state"], keep_self=True).collect():
+        got.setdefault(p["src"], {})[p["rank"]] = p["dst"]
+    for i, state, *at in rows:
+        if np.isfinite(at).all():
+            others = sorted((round(float(np.linalg.norm(np.subtract(at, there))), 9), j) for j, s, *there in rows if s == state and j != i and np.isfinite(there).all())
+            assert got[i] == dict(enumerate([i, *(j for _, j in others[:3])], 1))
+    assert 203 not in got
+
+
+@pytest.mark.parametrize(("n", "m"), [(5, 5), (4, 6), (6, 4), (1, 3)])
+def test_exact_plan_is_the_cheapest(n, m):
+    """Equal masses on either side: as cheap as the best one-to-one pairing of as many copies of each as make both sides even."""
+    rng = np.random.default_rng(n * m)
+    cost = rng.random((n, m))
+    i, j, mass = geometry.exact_plan(cost, np.full(n, 1 / n), np.full(m, 1 / m))
+    assert np.allclose(np.bincount(i, mass, n), 1 / n) and np.allclose(np.bincount(j, mass, m), 1 / m)
+    size = np.lcm(n, m)
+    copies = np.repeat(np.repeat(cost, size // n, 0), size // m, 1)
+    at = geometry.assignment(copies)
+    assert abs((cost[i, j] * mass).sum() - copies[np.arange(size), at].mean()) < 1e-9
+
+
+def test_exact_plan_of_any_marginals():
+    rng = np.random.default_rng(8)
+    cost, a, b = rng.integers(0, 9, (4, 5)).astype(float), np.array([3, 1, 2, 4]) / 10, np.array([1, 1, 3, 2, 3]) / 10
+    i, j, mass = geometry.exact_plan(cost, a, b)
+    assert np.allclose(np.bincount(i, mass, 4), a) and np.allclose(np.bincount(j, mass, 5), b)
+    copies = np.repeat(np.repeat(cost, [3, 1, 2, 4], 0), [1, 1, 3, 2, 3], 1)
+    assert abs((cost[i, j] * mass).sum() - copies[np.arange(10), geometry.assignment(copies)].sum() / 10) < 1e-9
+
+
+def test_greedy_pairs_use_each_once():
+    plan = np.array([[0.2, 0.5, 0.1], [0.5, 0.5, 0.0]])
+    i, j = geometry.greedy_pairs(plan)
+    assert (i.tolist(), j.tolist()) == ([0, 1], [1, 0])
+    assert [len(x) for x in geometry.greedy_pairs(np.zeros((0, 3)))] == [0, 0]
+
+
+def test_kernel_and_energy_distance_equal_sums_over_pairs(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.standard_normal((7, 5)), rng.standard_normal((9, 5)) + 1
+    axes = np.linalg.eigh(np.cov(b.T))[1][:, ::-1][:, :3]
+    p, q = a @ axes, b @ axes
+    square = lambda x, y: float(((x - y) ** 2).sum())
+    pairs = [[square(x, y) for i, x in enumerate(u) for y in v[i + 1 :]] for u, v in ((p, p), (q, q))] + [[square(x, y) for x in p for y in q]]
+    width = np.median(np.concatenate(pairs))
+    want = np.mean([sum(w * np.mean(np.exp(-np.array(d) / (width * s))) for w, d in zip((1, 1, -2), pairs, strict=True)) for s in (0.25, 0.5, 1, 2, 4)])
+    assert abs(metrics.kernel_distance(a, b, 3) - want) < 1e-9
+    cells = spark.createDataFrame([(i, 1, int(i >= 7), x.tolist()) for i, x in enumerate([*a, *b])], "cell long, state int, stage int, x array<double>")
+    root = [[square(x, y) ** 0.5 for i, x in enumerate(u) for y in v[i + 1 :]] for u, v in ((a, a), (b, b))] + [[square(x, y) ** 0.5 for x in a for y in b]]
+    assert abs(metrics.energy_distance(cells, "state", 1500).first()["energy"] - (2 * np.mean(root[2]) - np.mean(root[0]) - np.mean(root[1]))) < 1e-9
+    assert metrics.energy_distance(cells.where("stage = 0"), "state", 1500).first()["energy"] is None
