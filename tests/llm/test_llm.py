@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import Counter
@@ -714,10 +715,10 @@ def test_quality_held_out(spark, sf_dir):
 
 
 def test_language_model_base_scores(spark):
-    rows = [(i, t) for i, t in EDGE if i != 8] + [(8, "Ünï çødé ßtring")] + [(100 + i, f"the cat number {i} sat on the mat") for i in range(60)] + [(None, "the cat")]
+    rows = [(i, t) for i, t in EDGE if i != 8] + [(8, "Ünï çødé ßtring"), (20, "one" + "x" * 70_000)] + [(100 + i, f"the cat number {i} sat on the mat") for i in range(60)] + [(None, "the cat"), (0, "zero")]
     d = docs(spark, rows)
     held = queries.crc_mod("doc_id", 7) == 2
-    model = language_model.train(d.where(~held).select("text"), own=4, burn_in=1, kept=2)
+    model = language_model.train(d.where(~held).select("text"))
     got = {r["doc_id"]: r for r in language_model.scored(d.select("doc_id", "text"), model, held).collect()}
     out = {i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, _ in rows}
     count: Counter = Counter()
@@ -733,18 +734,151 @@ def test_language_model_base_scores(spark):
         assert abs(r["base_score"] - sum(np.log10((count[w] + 1) / (n + v + 1)) for w in own)) < 1e-6 * len(own)
         assert r["score"] < 0
     cats = [r for i, r in got.items() if i is not None and i >= 100]
-    assert sum(r["score"] for r in cats) > sum(r["base_score"] for r in cats)
-
-
-def test_language_model_is_a_distribution(spark):
-    """In every context the probabilities of the known words and of one unknown word sum to 1."""
-    d = docs(spark, [(i, "a b c a b d" if i % 2 else "b a a e") for i in range(40)])
-    model = language_model.train(d.select("text"), own=3, burn_in=1, kept=2)
-    parts = [language_model.Seats.unpack(memoryview(r["seats"])).ready(model["models"]) for r in model["seats"].select("seats").collect()]
-    for context in range(len(model["frequent"]) + 3):
-        known = sum(s.probability(np.arange(len(s.word)), np.full(len(s.word), context)).sum() for s in parts)
-        unknown = parts[0].probability(np.array([-1]), np.array([context]))[0]
-        assert abs(known + unknown - 1) < 1e-9
+    assert sum(r["score"] for r in cats) > 0.4 * sum(r["base_score"] for r in cats)
+    assert language_model.scored(d.limit(0).select("doc_id", "text"), model, held).count() == 0
+
+
+def hashes_of(texts):
+    """Of each text its token hashes, the end last."""
+    out = []
+    for chunk in textvec.chunks(pa.array(texts, pa.string())):
+        token, lengths = language_model.tokens(chunk)
+        out += np.split(token, np.cumsum(lengths)[:-1])
+    return [x.tolist() for x in out]
+
+
+def brute_language_model(texts, learned, burn_in=2, kept=2):
+    """log10 probabilities of texts by seating one dish at a time in dictionaries, in one pass, with unsampled discounts."""
+    lm, end = language_model, int(textvec.END_TOKEN)
+    one = lambda x, kind=np.uint64: np.array([x], kind)
+    joint = lambda a, b: int(lm.joint(one(a), one(b))[0])
+    draw = lambda c, p, o, d, theta, key, k: int(lm.tables(one(c, np.int64), one(p, float), one(o, np.int64), d, theta, one(key), k)[0])
+
+    def triples(text):
+        v = u = end
+        for w in text:
+            yield u, v, w
+            u, v = (end, end) if w == end else (v, w)
+
+    c3: Counter = Counter(x for t, on in zip(texts, learned, strict=True) if on for x in triples(t))
+    uni: Counter = Counter()
+    for (_, _, w), n in c3.items():
+        uni[w] += n
+    n1 = {w: len({v for _, v, x in c3 if x == w}) for w in uni}
+    pairs_once = Counter((v, w) for _, v, w in c3)
+    once = Counter()
+    for (_, v, w), n in c3.items():
+        once[v, w] += n
+    guess = lambda a, b: float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a and b else 0.5
+    assert set(once) == set(pairs_once)
+    base, d0, c0 = 1 / (len(uni) + 1), guess(sum(x == 1 for x in n1.values()), sum(x == 2 for x in n1.values())), sum(n1.values())
+    d = guess(sum(x == 1 for x in uni.values()), sum(x == 2 for x in uni.values()))
+    t0, root, unknown = dict.fromkeys(uni, 1), Counter(), 0.0
+    for k in range(burn_in + kept):
+        total = sum(t0.values())
+        if k >= burn_in:
+            for w in uni:
+                root[w] += (max(n1[w] - d0 * t0[w], 0) + (1 + d0 * total) * base) / (1 + c0) / kept
+            unknown += (1 + d0 * total) * base / (1 + c0) / kept
+        t0 = {w: draw(n1[w], base, total - t0[w], d0, 1.0, w, 1000 + k) for w in uni}
+    group = {v: int(textvec.mix(one(v))[0]) for v in {v for _, v, _ in c3}}
+    top = {w: i for i, w in enumerate(sorted(uni))}
+    key2 = {x: joint(joint(group[x[1]], x[0] >> 32), top[x[2]]) for x in c3}
+    key1 = {(v, w): joint(group[v], top[w]) for _, v, w in c3}
+    t3, t2 = dict.fromkeys(c3, 1), dict.fromkeys(key1, 1)
+
+    def totals():
+        c2: Counter = Counter()
+        for (_, v, w), t in t3.items():
+            c2[v, w] += t
+        by = lambda x, f: functools.reduce(lambda m, i: m.update({f(i): x[i]}) or m, x, Counter())
+        return c2, by(c3, lambda i: i[:2]), by(t3, lambda i: i[:2]), by(c2, lambda i: i[0]), by(t2, lambda i: i[0])
+
+    def p(u, v, w):
+        c2, cp, tp, cg, tg = totals_now
+        p0 = root[w] if w in uni else unknown
+        p1 = (max(c2[v, w] - d * t2.get((v, w), 0), 0) + (1 + d * tg[v]) * p0) / (1 + cg[v])
+        return (max(c3[u, v, w] - d * t3.get((u, v, w), 0), 0) + (1 + d * tp[u, v]) * p1) / (1 + cp[u, v])
+
+    every = sorted({x for t in texts for x in triples(t)})
+    out = dict.fromkeys(every, 0.0)
+    for k in range(burn_in + kept):
+        c2, cp, tp, cg, tg = totals()
+        new = {}
+        for (u, v, w), c in c3.items():
+            t = t3[u, v, w]
+            left = c2[v, w] - t
+            stay = min(t2[v, w], left)
+            above = (max(left - d * stay, 0) + (1 + d * (tg[v] - (t2[v, w] - stay))) * root[w]) / (1 + cg[v] - t)
+            new[u, v, w] = draw(c, above, tp[u, v] - t, d, 1.0, key2[u, v, w], 2 * k)
+        t3 = new
+        c2 = totals()[0]
+        t2 = {x: draw(c2[x], root[x[1]], tg[x[0]] - t2[x], d, 1.0, key1[x], 2 * k + 1) for x in t2}
+        if k >= burn_in:
+            totals_now = totals()
+            for x in every:
+                out[x] += p(*x) / kept
+    return [sum(np.log10(out[x]) for x in triples(t)) for t in texts]
+
+
+SMALL = ["the cat sat on the mat", "the cat sat on the hat", "a dog and the cat", "the dog sat", "", "the cat sat on the mat the cat sat on the mat", "a a a a a b a a b"]
+
+
+def test_language_model_equals_brute_force(spark):
+    texts = SMALL * 3 + ["the cow sat on a mat", "unheard words here", "dog", "mat the on"]
+    learned = [i < 18 for i in range(len(texts))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = language_model.train(d.where("doc_id < 18").select("text"))
+    got = {r["doc_id"]: r["score"] for r in language_model.scored(d, model, F.col("doc_id") >= 18, passes=1).collect()}
+    want = brute_language_model(hashes_of(texts), learned)
+    assert max(abs(got[i] - x) for i, x in enumerate(want)) < 1e-5
+
+
+def test_language_model_takes_rare_and_split_contexts(spark, monkeypatch):
+    """Few frequent words, groups of few tokens, repeated triples: the same counts, and scores that stay probabilities."""
+    rows = [(i, f"the cat {i % 7} sat on the mat and the dog {i % 5} too " * 40) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = d.where("doc_id % 4 <> 0").select("text")
+    plain = {r["doc_id"]: r for r in language_model.scored(d, language_model.train(learned), F.col("doc_id") % 4 == 0).collect()}
+    monkeypatch.setattr(language_model, "TOP", 6)
+    few = language_model.train(learned)
+    assert 0 < len(few["top"]) <= 6
+    rare = {r["doc_id"]: r for r in language_model.scored(d, few, F.col("doc_id") % 4 == 0).collect()}
+    for i, r in plain.items():
+        assert abs(rare[i]["base_score"] - r["base_score"]) < 1e-6 and rare[i]["n_known"] == r["n_known"]
+        assert abs(rare[i]["score"] - r["score"]) < 0.1 * abs(r["score"])
+
+
+def test_language_model_is_the_same_on_any_partitions(spark):
+    d = spark.createDataFrame([(i, SMALL[i % 7] + f" w{i % 11}") for i in range(120)], "doc_id long, text string")
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("2", "5"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            held = queries.crc_mod("doc_id", 7) == 2
+            model = language_model.train(d.where(~held).select("text"))
+            found.append({r["doc_id"]: r["score"] for r in language_model.scored(d.repartition(int(n), "doc_id"), model, held).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert max(abs(x - found[1][i]) for i, x in found[0].items()) < 1e-4
+
+
+def test_seats_give_a_distribution():
+    """In every context the probabilities of all words and of one unknown word sum to 1."""
+    rng = np.random.default_rng(0)
+    n = 400
+    group, far, dish = rng.integers(0, 5, n).astype(np.uint64), rng.integers(0, 4, n).astype(np.uint32), rng.integers(0, 9, n).astype(np.uint64)
+    key = np.unique(np.stack([group, far.astype(np.uint64), dish]), axis=1)
+    every = np.array([(g, f, w) for g in range(6) for f in range(5) for w in range(10)], np.uint64)  # more than was seen
+    count = np.array([rng.integers(1, 40) if (key.T == x).all(1).any() else 0 for x in every])
+    root = np.array([0.1] * 10)
+    seats = language_model.Seats(every[:, 0], every[:, 1].astype(np.uint32), every[:, 2], count, root[every[:, 2].astype(int)])
+    for k in range(4):
+        seats.sweep([0.6, 0.4], [2.0, 0.5], k)
+        a, b = seats.mixture([0.6, 0.4], [2.0, 0.5])
+        p = (a + b * 0.1).reshape(30, 10)
+        assert (seats.t >= 1).all() and (seats.t <= seats.c).all() and (seats.t_low <= seats.low_customers()).all()
+        assert np.abs(p.sum(1) - 1).max() < 1e-9
 
 
 def test_language_model_without_training(spark):
@@ -755,10 +889,38 @@ def test_language_model_without_training(spark):
 
 
 @settings(max_examples=20, deadline=None)
-@given(st.floats(0.1, 0.9), st.integers(2, 20))
-def test_tables_are_drawn_from_their_range(d, n):
-    c = np.full(500, n)
-    t = language_model.tables(c, np.full(500, 0.01), np.full(500, 50), d, 1.0, np.random.default_rng(3))
-    assert t.min() >= 1 and t.max() <= n
-    many = language_model.tables(np.array([1, 100, 100_000]), np.full(3, 0.001), np.zeros(3, int), d, 1.0, np.random.default_rng(3))
-    assert many[0] == 1 and 1 <= many[1] <= 100 and many[2] <= 100_000
+@given(st.floats(0.1, 0.9), st.integers(2, 400), st.integers(0, 300), st.floats(1e-4, 1))
+def test_tables_follow_their_distribution(d, n, others, p):
+    d, m = round(d, 2), 3000
+    t = language_model.tables(np.full(m, n), np.full(m, p), np.full(m, others), d, 1.0, np.arange(m, dtype=np.uint64), 3)
+    stirling = language_model.log_stirling(d, n)[n, 1:]
+    weight = stirling + np.cumsum(np.log(1 + d * (others + np.arange(n))) + np.log(p))
+    weight = np.exp(weight - weight.max())
+    mean = (weight * np.arange(1, n + 1)).sum() / weight.sum()
+    assert 1 <= t.min() and t.max() <= n
+    assert abs(t.mean() - mean) < 0.04 * mean + 0.05
+
+
+def test_discounts_are_told_by_the_seating():
+    """Seats that follow a discount lead back to it."""
+    rng = np.random.default_rng(1)
+    d, theta = 0.6, 1.0
+    sizes = 2 * (language_model.LARGE + 1) + (language_model.EXACT + 1) ** 2
+    level = np.zeros(sizes, np.int64)
+    for _ in range(600):
+        tabs: list = []
+        for i in range(60):
+            weight = np.array([*(x - d for x, _ in tabs), theta + d * len(tabs)])
+            k = int(rng.choice(len(weight), p=weight / (theta + i)))
+            if k == len(tabs):
+                tabs.append([1, int(rng.integers(0, 40))])
+            else:
+                tabs[k][0] += 1
+        level[60] += 1
+        level[language_model.LARGE + 1 + len(tabs)] += 1
+        for w in {w for _, w in tabs}:
+            own = [x for x, y in tabs if y == w]
+            if sum(own) > 1:
+                level[2 * (language_model.LARGE + 1) + sum(own) * (language_model.EXACT + 1) + len(own)] += 1
+    found, _ = language_model.sampled(np.concatenate([level, level]), rng)
+    assert all(abs(x - d) <= 0.1 for x in found)
