@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .common import tidy
 
 BITS = 12
 WIDTH = 2 << BITS
@@ -123,6 +124,8 @@ def train(docs: DataFrame, per_language: int = 1500, total: int = 12_000, k: int
         floor.append(float(np.quantile((dense @ centre.T).max(1), quantile)) - margin)
         centres.append(centre)
         owner += [at] * len(centre)
+    del table, feature, value
+    tidy()
     return {"langs": langs, "idf": idf, "centres": np.concatenate(centres).astype(np.float32) if centres else np.zeros((0, WIDTH), np.float32), "owner": np.array(owner, int), "floor": np.array(floor)}
 
 

@@ -93,23 +93,33 @@ def _shift(direction: str, x: Column, bits: Column) -> Column:
     return F.call_function(f"shift{direction}", x, bits)
 
 
-def permuted(block: Column, mask: Column, half: Column, *key: Column) -> Column:
-    """A bijection of the numbers up to ``mask`` (a power of two less one), one for each key: steps x * odd + any and x ^ x >> half."""
-    for k in range(3):
-        factor, step = (F.xxhash64(F.lit(2 * k + j), *key).bitwiseAND(F.lit((1 << 31) - 1)) for j in (0, 1))
-        block = (block * factor.bitwiseOR(F.lit(1)) + step).bitwiseAND(mask)
-        block = block.bitwiseXOR(_shift("right", block, half))
-    return block
+ROUNDS = 3
 
 
-def _key(passes: Column, seed: int, mix: dict) -> Column:
-    """A document's place in a pass, 62 bits: its block's place, then its own in the block."""
-    bits = {s: x["bits"] for s, x in mix.items()}
-    of = lambda f, kind: _by_source({s: {"v": f(n)} for s, n in bits.items()}, "v", kind)
-    rest, mask = of(lambda n: 62 - n, "int"), of(lambda n: (1 << n) - 1, "long")
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("mix_id")), 2)
-    block = permuted(_shift("right", place, rest), mask, of(lambda n: (n + 1) // 2, "int"), F.lit(seed), passes, F.col("mix_source"))
-    return _shift("left", block, rest) + place.bitwiseAND(of(lambda n: (1 << (62 - n)) - 1, "long"))
+def stirred(block: Column, mask: Column, k: int, *key: Column) -> Column:
+    """x * odd + any, of round k and a key: a bijection of the numbers up to ``mask``, a power of two less one."""
+    factor, step = (F.xxhash64(F.lit(2 * k + j), *key).bitwiseAND(F.lit((1 << 31) - 1)) for j in (0, 1))
+    return (block * factor.bitwiseOR(F.lit(1)) + step).bitwiseAND(mask)
+
+
+def folded(block: Column, half: Column) -> Column:
+    """x ^ x >> half: another one."""
+    return block.bitwiseXOR(_shift("right", block, half))
+
+
+def keyed(rows: DataFrame, passes: Column, seed: int, mix: dict, name: str) -> DataFrame:
+    """With ``name``: a document's place in a pass, 62 bits: its block's place, then its own in the block.
+
+    Blocks are permuted step by step in columns of their own, as one expression would hold each step twice."""
+    bits = F.col("mix_bits")
+    rest, mask = 62 - bits, _shift("left", F.lit(1).cast("long"), bits) - 1
+    rows = rows.withColumns({"mix_bits": _by_source(mix, "bits", "int"), "mix_at": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("mix_id")), 2)})
+    rows = rows.withColumn("mix_block", _shift("right", F.col("mix_at"), rest))
+    for k in range(ROUNDS):
+        rows = rows.withColumn("mix_block", stirred(F.col("mix_block"), mask, k, F.lit(seed), passes, F.col("mix_source")))
+        rows = rows.withColumn("mix_block", folded(F.col("mix_block"), F.expr("(mix_bits + 1) div 2").cast("int")))
+    own = F.col("mix_at").bitwiseAND(_shift("left", F.lit(1).cast("long"), rest) - 1)
+    return rows.withColumn(name, _shift("left", F.col("mix_block"), rest) + own).drop("mix_bits", "mix_at", "mix_block")
 
 
 def plan(slim: DataFrame, target_entropy: float, max_repeats: float, seed: int) -> dict:
@@ -131,8 +141,7 @@ def plan(slim: DataFrame, target_entropy: float, max_repeats: float, seed: int)
     further = {s: x for s, x in out.items() if x["rest"] > 0}
     if further:
         rows = slim.where(F.col("mix_source").isin(list(further)))
-        key = _key(_by_source(further, "full", "int"), seed, further)
-        rows = rows.select("mix_source", key.alias("key"), "mix_tokens")
+        rows = keyed(rows, _by_source(further, "full", "int"), seed, further, "key").select("mix_source", "key", "mix_tokens")
         cut = {s: (0, x["rest"]) for s, x in further.items()}  # the first key of a range, and the tokens left for it
         level = {s: 62 for s in further}
         while any(level[s] > 62 - further[s]["bits"] for s in further):
@@ -190,10 +199,13 @@ def scheduled(docs: DataFrame, mix: dict, seed: int, places: bool = True) -> Dat
         rows = packed.limit(0).withColumns({"mix_pass": F.lit(0), "mix_place": F.lit(0.0)})
     else:
         full = _by_source(mix, "full", "int")
-        more = (_key(full, seed, mix) <= _by_source(mix, "last", "long")).cast("int")
-        rows = packed.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), full + more - 1)))
-        place = (F.col("mix_pass") + _key(F.col("mix_pass"), seed, mix) / F.lit(float(1 << 62))) / _by_source(mix, "repeats", "double")
-        rows = rows.withColumn("mix_place", F.least(place, F.lit(1.0)))
+        rows = keyed(packed, full, seed, mix, "mix_key")
+        more = (F.col("mix_key") <= _by_source(mix, "last", "long")).cast("int")
+        rows = rows.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), full + more - 1)))
+        if places:
+            rows = keyed(rows, F.col("mix_pass"), seed, mix, "mix_key")
+            place = (F.col("mix_pass") + F.col("mix_key") / F.lit(float(1 << 62))) / _by_source(mix, "repeats", "double")
+            rows = rows.withColumn("mix_place", F.least(place, F.lit(1.0)))
     own = ["mix_pass", "mix_place"] if places else []
     return rows.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in own), *own)
 

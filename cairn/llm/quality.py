@@ -133,7 +133,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> dict:
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() if len(lists) else np.zeros(1, np.int32)
     ends = ends - ends[0]
-    return fit([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], table["y"].to_numpy())
+    model = fit([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], table["y"].to_numpy())
+    del table, lists, flat
+    tidy()
+    return model
 
 
 def scored(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:

@@ -539,7 +539,9 @@ def brute_mix(rows, target, limit, seed, spark, block_rows):
         full = int(often[s] + 1e-9)
         for r in x:
             out[r[0]] += full
-        numbers = spark.range(1 << bits).select("id", mixing.permuted(F.col("id"), F.lit((1 << bits) - 1).cast("long"), F.lit((bits + 1) // 2), F.lit(seed), F.lit(full), F.lit(s)).alias("n"))
+        numbers = spark.range(1 << bits).withColumn("n", F.col("id"))
+        for k in range(mixing.ROUNDS):
+            numbers = numbers.withColumn("n", mixing.folded(mixing.stirred(F.col("n"), F.lit((1 << bits) - 1).cast("long"), k, F.lit(seed), F.lit(full), F.lit(s)), F.lit((bits + 1) // 2)))
         order = {r["id"]: r["n"] for r in numbers.collect()}
         assert sorted(order.values()) == list(range(1 << bits))
         left = int((often[s] - full) * size[s]) if often[s] - full > 1e-9 else -1

@@ -40,6 +40,17 @@ def test_rows_without_id_or_repeated_pass(spark, sf_dir):
     assert {r["doc_id"] for r in mixed.collect()} == {None, 1, 2} and mixed.columns == docs.columns
 
 
+def test_rows_of_one_id_keep_all_their_texts(spark, sf_dir):
+    """Of rows that repeat an id and a text the one of the smallest hash stays; a linked document goes with all its texts."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, "en", "b", 1), (1, long, "en", "a", 1), (1, "another text of its own here", "en", "a", 1), (2, long + " end", "en", "a", 1), (2, "the second one's further text", "en", "a", 1), (3, None, "en", "a", 1), (3, None, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted((r["doc_id"], str(r["text"])) for r in pipeline.drop_near_duplicates(spark, docs, sf_dir).collect())
+    assert left == [(1, "another text of its own here"), (1, long), (3, "None")]
+    again = pipeline.drop_near_duplicates(spark, docs.repartition(3, "source"), sf_dir)
+    assert {r["source"] for r in again.collect() if r["text"] == long} == {r["source"] for r in pipeline.drop_near_duplicates(spark, docs, sf_dir).collect() if r["text"] == long}
+
+
 def test_clashing_columns_are_kept(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30).selectExpr("*", "1 as _quality", "2 as mix_pass", "3 as mix_source", "4 as bad_id", "5 as _gone", "6 as score", "7 as row", "8 as component_id")
     for _, stage in pipeline.STAGES[:-1]:
