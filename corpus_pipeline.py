@@ -33,15 +33,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = jaccard_join.jaccard_join(docs, width=5, num=80, den=100)
-    gone = joined.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    text, row = F.xxhash64("text"), F.xxhash64(*docs.columns)
-    slim = docs.where("doc_id is not null").select(F.col("doc_id").alias("_id"), text.alias("_text"), row.alias("_row"))
-    repeated = slim.groupBy("_id", "_text").agg(F.count("*").alias("_n"), F.min("_row").alias("_row")).where("_n > 1")
-    same = (left["doc_id"] == repeated["_id"]) & (text == repeated["_text"])
-    name = free_name(docs.columns, "_key")
-    several = left.join(repeated, same & (row == repeated["_row"]), "left_semi").withColumn(name, text)
-    return left.join(repeated, same, "left_anti").unionByName(several.dropDuplicates(["doc_id", name]).drop(name))
+    ident, text, row, gone = (free_name(docs.columns, c) for c in ("_id", "_text", "_row", "_gone"))
+    hashed = {text: F.xxhash64("text"), row: F.xxhash64(*docs.columns)}
+    linked = joined.where("component_id != doc_id").select(F.col("doc_id").alias(ident), F.lit(True).alias(gone)).distinct()
+    slim = docs.where("doc_id is not null").select(F.col("doc_id").alias(ident), *(h.alias(c) for c, h in hashed.items()))
+    texts = slim.groupBy(ident, text).agg(F.count("*").alias("n"), F.min(row).alias(f"{row}_least")).join(linked, ident, "left")
+    # Only what goes, or stays as one of several rows, is looked up, by one join that both parts below share.
+    bad = texts.where((F.col("n") > 1) | F.col(gone)).select(F.col(ident).alias(f"{ident}_bad"), F.col(text).alias(f"{text}_bad"), f"{row}_least", F.coalesce(gone, F.lit(False)).alias(gone))
+    marked = docs.withColumns(hashed).join(bad, (F.col("doc_id") == F.col(f"{ident}_bad")) & (F.col(text) == F.col(f"{text}_bad")), "left")
+    several = marked.where(~F.col(gone) & (F.col(row) == F.col(f"{row}_least"))).dropDuplicates(["doc_id", text])
+    return marked.where(F.col(f"{ident}_bad").isNull()).select(*docs.columns).unionByName(several.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
