@@ -110,7 +110,8 @@ def folded(block: Column, half: Column) -> Column:
 def keyed(rows: DataFrame, passes: Column, seed: int, mix: dict, name: str) -> DataFrame:
     """With ``name``: a document's place in a pass, 62 bits: its block's place, then its own in the block.
 
-    Blocks are permuted step by step in columns of their own, as one expression would hold each step twice."""
+    Blocks are permuted step by step in columns of their own, as one expression would hold each step twice; the explosion of
+    the one key keeps filters on it from being moved below, where they would hold the steps again."""
     bits = F.col("mix_bits")
     rest, mask = 62 - bits, _shift("left", F.lit(1).cast("long"), bits) - 1
     rows = rows.withColumns({"mix_bits": _by_source(mix, "bits", "int"), "mix_at": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("mix_id")), 2)})
@@ -119,7 +120,8 @@ def keyed(rows: DataFrame, passes: Column, seed: int, mix: dict, name: str) -> D
         rows = rows.withColumn("mix_block", stirred(F.col("mix_block"), mask, k, F.lit(seed), passes, F.col("mix_source")))
         rows = rows.withColumn("mix_block", folded(F.col("mix_block"), F.expr("(mix_bits + 1) div 2").cast("int")))
     own = F.col("mix_at").bitwiseAND(_shift("left", F.lit(1).cast("long"), rest) - 1)
-    return rows.withColumn(name, _shift("left", F.col("mix_block"), rest) + own).drop("mix_bits", "mix_at", "mix_block")
+    kept = [F.col(c) for c in rows.columns if c not in ("mix_bits", "mix_at", "mix_block", name)]
+    return rows.select(*kept, F.explode(F.array(_shift("left", F.col("mix_block"), rest) + own)).alias(name))
 
 
 def plan(slim: DataFrame, target_entropy: float, max_repeats: float, seed: int) -> dict:
