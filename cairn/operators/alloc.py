@@ -75,6 +75,17 @@ def uniform(seed: int | str, *ids: Column) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def bootstrap_times(df: DataFrame, by: list[str], ident: str, rounds: int, seed: int) -> DataFrame:
+    """How often each row is drawn in each round, as many times with replacement as its group has rows: by, ident, round, times."""
+    w = Window.partitionBy(*by)
+    rows = df.select(*by, ident, (F.row_number().over(w.orderBy(ident)) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
+    draws = rows.select(*by, "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    place = F.floor(uniform(seed, *(F.col(b) for b in by), F.col("round"), F.col("_i")) * F.col("_n")).cast("int")
+    # Counted before they meet the rows: at most as many as there are rows in each round.
+    times = draws.select(*by, "round", place.alias("_i")).groupBy(*by, "round", "_i").agg(F.count("*").alias("times"))
+    return times.join(rows.select(*by, "_i", ident), [*by, "_i"]).select(*by, ident, "round", "times")
+
+
 def bootstrap_means(df: DataFrame, by: list[str], value: str, order: list[str], rounds: int, seed: int) -> DataFrame:
     """Bootstrap of group means: rounds draws with replacement, each draw an index from a hash. Groups are small."""
     w = Window.partitionBy(*by)
@@ -84,3 +95,18 @@ def bootstrap_means(df: DataFrame, by: list[str], value: str, order: list[str],
     draws = draws.withColumn("_p", F.floor(uniform(seed, *keys, F.col("round"), F.col("_i")) * F.col("_n")).cast("int"))
     picked = draws.select(*by, "round", F.col("_p").alias("_i")).join(rows.select(*by, "_i", value), [*by, "_i"])
     return picked.groupBy(*by, "round").agg(F.avg(value).alias("mean"))
+
+
+def weighted_draws(df: DataFrame, by: list[str], ident: str, weight: str, draws: int, seed: int) -> DataFrame:
+    """Rows drawn with replacement, by their weight: ``draws`` of each group, as the number of times that each row is drawn.
+
+    A draw is a place on the group's running sum of weights, from a hash; it takes the row whose stretch it falls in.
+    """
+    w = Window.partitionBy(*by)
+    rows = df.select(*by, ident, F.col(weight).cast("double").alias("_w")).where("_w > 0")
+    marks = rows.select(*by, F.col(ident).alias("_id"), F.sum("_w").over(w.orderBy(ident).rowsBetween(Window.unboundedPreceding, 0)).alias("_at"), F.lit(0).alias("_kind"))
+    total = rows.groupBy(*by).agg(F.sum("_w").alias("_total")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    places = total.select(*by, F.lit(None).cast(dict(df.dtypes)[ident]).alias("_id"), (uniform(seed, *(F.col(b) for b in by), F.col("_k")) * F.col("_total")).alias("_at"), F.lit(1).alias("_kind"))
+    taken = F.first("_id", ignorenulls=True).over(w.orderBy("_at", "_kind").rowsBetween(0, Window.unboundedFollowing))
+    drawn = marks.unionByName(places).withColumn(ident, taken).where("_kind = 1")
+    return drawn.groupBy(*by, ident).agg(F.count("*").alias("times"))

@@ -202,11 +202,46 @@ def m11_two_parent_mixture(t: Tables) -> DataFrame:
     return alloc.stratified(rows, ["event_type", "side"], "event_id", F.when(F.col("side") == 0, 30).otherwise(10), 11).select("event_type", "side", "event_id")
 
 
-@query("WITH v AS (SELECT p_brand, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part), d AS (SELECT p_brand, rd, CAST(floor(CAST('0x' || substr(md5('14:' || p_brand || ':' || rd || ':' || i), 1, 13) AS BIGINT) / 4503599627370496.0 * n) AS BIGINT) AS i FROM v, range(1, 41) g(rd)), m AS (SELECT p_brand, rd, avg(p_retailprice) AS m FROM d JOIN v USING (p_brand, i) GROUP BY ALL) SELECT p_brand, round(quantile_cont(m, 0.025), 2) + 0.0 AS low, round(quantile_cont(m, 0.975), 2) + 0.0 AS high FROM m GROUP BY 1")
-def m12_m13_m14_bootstrap_interval(t: Tables) -> DataFrame:
-    means = alloc.bootstrap_means(t("part"), ["p_brand"], "p_retailprice", ["p_partkey"], 40, 14)
+_UNIFORM = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) / 4503599627370496.0"
+
+
+@query(f"WITH c AS (SELECT label, vec_id, sum(1 + vec_id % 3) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS upto FROM embeddings), t AS (SELECT label, max(upto) AS total FROM c GROUP BY 1), d AS (SELECT label, k, {_UNIFORM.format("'12:' || label || ':' || k")} * total AS pos FROM t, range(1, 51) r(k)), h AS (SELECT d.label, k, arg_min(vec_id, upto) AS vec_id FROM d JOIN c ON c.label = d.label AND upto > pos GROUP BY 1, 2) SELECT label, vec_id, count(*) AS times FROM h GROUP BY 1, 2")
+def m12_weighted_bootstrap(t: Tables) -> DataFrame:
+    rows = t("embeddings").withColumn("w", 1 + F.col("vec_id") % 3)
+    return alloc.weighted_draws(rows, ["label"], "vec_id", "w", 50, 12)
+
+
+_PAIRED = "p AS (SELECT s_nationkey AS nation, l_suppkey AS unit, avg(l_extendedprice) FILTER (l_returnflag = 'R') - avg(l_extendedprice) FILTER (l_returnflag = 'N') AS delta FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL HAVING delta IS NOT NULL)"
+
+
+@query(f"WITH {_PAIRED}, v AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY nation) AS n FROM p), d AS (SELECT nation, rd, CAST(floor({_UNIFORM.format("'14:' || nation || ':' || rd || ':' || i")} * n) AS BIGINT) AS i FROM v, range(1, 41) g(rd)), m AS (SELECT nation, rd, avg(delta) AS m FROM d JOIN v USING (nation, i) GROUP BY ALL) SELECT nation, round(quantile_cont(m, 0.025), 4) + 0.0 AS low, round(quantile_cont(m, 0.975), 4) + 0.0 AS high FROM m GROUP BY 1")
+def m14_paired_bootstrap(t: Tables) -> DataFrame:
+    """The interval of a mean difference: differences are taken within suppliers, and suppliers of a nation drawn again."""
+    of = lambda flag: F.avg(F.when(F.col("l_returnflag") == flag, F.col("l_extendedprice")))
+    supplier = t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
+    units = t("lineitem").groupBy("l_suppkey").agg((of("R") - of("N")).alias("delta")).where("delta is not null").join(supplier, "l_suppkey")
+    means = alloc.bootstrap_means(units, ["nation"], "delta", ["l_suppkey"], 40, 14)
     q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
-    return means.groupBy("p_brand").agg(q.alias("q")).select("p_brand", r(F.col("q")[0], 2).alias("low"), r(F.col("q")[1], 2).alias("high"))
+    return means.groupBy("nation").agg(q.alias("q")).select("nation", r(F.col("q")[0], 4).alias("low"), r(F.col("q")[1], 4).alias("high"))
+
+
+_RESAMPLED = f"WITH {EXPR}, k AS (SELECT cell, state, stage, row_number() OVER (PARTITION BY state, stage ORDER BY cell) - 1 AS i, count(*) OVER (PARTITION BY state, stage) AS n FROM cells), d AS (SELECT state, stage, rd, CAST(floor({_UNIFORM.format("'13:' || state || ':' || stage || ':' || rd || ':' || i")} * n) AS BIGINT) AS i FROM k, range(1, 9) g(rd)), c AS (SELECT d.rd, k.cell, state, stage, count(*) AS times FROM d JOIN k USING (state, stage, i) GROUP BY ALL UNION ALL SELECT 0, cell, state, stage, 1 FROM k)"
+
+
+@query(_RESAMPLED + ", m AS (SELECT rd, c.state, c.stage, gene, sum(v * times) / sum(times) AS m FROM c JOIN expr USING (cell) GROUP BY ALL), p AS (SELECT a.rd, a.state AS a, b.state + 3 AS b, round(sum(a.m * b.m) / sqrt(sum(a.m * a.m) * sum(b.m * b.m)), 9) AS s FROM m a JOIN m b ON a.gene = b.gene AND a.rd = b.rd AND a.stage = 0 AND b.stage = 1 GROUP BY ALL), k2 AS (SELECT *, row_number() OVER (PARTITION BY rd, a ORDER BY s DESC, b) AS ra, row_number() OVER (PARTITION BY rd, b ORDER BY s DESC, a) AS rb FROM p), e AS (SELECT rd, a, b FROM k2 WHERE ra = 1 AND rb = 1) SELECT x.a, x.b, round(count(y.rd) / 8.0, 6) + 0.0 AS recovered FROM (SELECT * FROM e WHERE rd = 0) x LEFT JOIN (SELECT * FROM e WHERE rd > 0) y ON y.a = x.a AND y.b = x.b GROUP BY 1, 2")
+def m13_crosswalk_stability(t: Tables) -> DataFrame:
+    """How often each mutual pair of states of both stages comes back when cells are drawn again within state and stage."""
+    cells = t.cells().select("cell", "state", "stage").withColumn("one", F.lit(1))
+    times = alloc.bootstrap_times(cells, ["state", "stage"], "cell", 8, 13).unionByName(cells.select("state", "stage", "cell", F.lit(0).alias("round"), F.lit(1).cast("long").alias("times")))
+    e = t.expr().select("cell", "gene", "v")
+    m = times.join(e, "cell").groupBy("round", "state", "stage", "gene").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
+    a, b = (m.where(F.col("stage") == s).select("round", F.col("state").alias(n), "gene", F.col("m").alias(f"m{n}")) for s, n in ((0, "a"), (1, "b")))
+    s = F.round(F.sum(F.col("ma") * F.col("mb")) / F.sqrt(F.sum(F.col("ma") * F.col("ma")) * F.sum(F.col("mb") * F.col("mb"))), 9)
+    p = a.join(b, ["round", "gene"]).groupBy("round", "a", "b").agg(s.alias("s")).withColumn("b", F.col("b") + 3)
+    best = lambda side, other: F.row_number().over(Window.partitionBy("round", side).orderBy(F.desc("s"), other))
+    edges = p.withColumns({"ra": best("a", "b"), "rb": best("b", "a")}).where("ra = 1 and rb = 1").select("round", "a", "b")
+    again = edges.where("round > 0").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return edges.where("round = 0").join(again, ["a", "b"], "left").select("a", "b", r(F.coalesce("n", F.lit(0)) / 8).alias("recovered"))
 
 
 @query("WITH k AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('15:' || vec_id), vec_id) AS o, count(*) OVER (PARTITION BY label) AS n FROM embeddings) SELECT vec_id, CASE WHEN o * 2 <= n THEN 'a' ELSE 'b' END AS half FROM k")
