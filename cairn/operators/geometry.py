@@ -107,6 +107,20 @@ def sinkhorn(cost: np.ndarray, a: np.ndarray, b: np.ndarray, eps: float, rounds:
     return plan
 
 
+def unbalanced_coupling(cost: np.ndarray, a: np.ndarray, b: np.ndarray, eps: float, rho_a: float, rho_b: float, rounds: int = 2000, tol: float = 1e-10) -> np.ndarray:
+    """Entropic coupling whose marginals may leave a and b, at the price rho times their relative entropy; state-level tables."""
+    f, g = np.zeros(len(a)), np.zeros(len(b))
+    la, lb = np.log(a), np.log(b)
+    soft = lambda m, axis: m.max(axis) + np.log(np.exp(m - m.max(axis, keepdims=True)).sum(axis))
+    for _ in range(rounds):
+        before = f
+        f = rho_a / (rho_a + eps) * eps * (la - soft((g[None] - cost) / eps, 1))
+        g = rho_b / (rho_b + eps) * eps * (lb - soft((f[:, None] - cost) / eps, 0))
+        if np.abs(f - before).max(initial=0) < tol:
+            break
+    return np.exp((f[:, None] + g[None] - cost) / eps)
+
+
 def assignment(cost: np.ndarray) -> np.ndarray:
     """The cheapest assignment of rows to columns (no more rows than columns), by shortest augmenting paths."""
     n, m = cost.shape

@@ -99,3 +99,32 @@ def shrunk_covariance(c: np.ndarray, s: float) -> np.ndarray:
 def to_correlation(c: np.ndarray) -> np.ndarray:
     d = 1 / np.sqrt(np.diag(c))
     return c * d[:, None] * d[None]
+
+
+def estimated_covariance(rows: DataFrame, x: str, size: int) -> tuple[np.ndarray, float]:
+    """Covariance (divided by n) of arrays of ``size`` numbers, and how far to shrink it towards its mean variance.
+
+    The share is that of the sampling noise in what sets the covariance apart from the target (Ledoit and Wolf). Sums are made
+    in tasks; what reaches the driver is a square of ``size`` numbers.
+    """
+    import pandas as pd
+
+    n, *means = rows.agg(F.count("*"), *(F.avg(F.get(F.col(x), F.lit(i))) for i in range(size))).first()
+    centre = np.array([m or 0.0 for m in means], float)
+
+    def sums(batches):
+        total = np.zeros(size * size + 1)
+        for b in batches:
+            if len(b):
+                d = np.stack(b[x].to_list()) - centre
+                total[:-1] += (d.T @ d).ravel()
+                total[-1] += ((d * d).sum(1) ** 2).sum()
+        yield pd.DataFrame({"place": np.arange(len(total)), "v": total})
+
+    out = np.zeros(size * size + 1)
+    for r in rows.select(x).mapInPandas(sums, "place long, v double").groupBy("place").agg(F.sum("v").alias("v")).collect():
+        out[r["place"]] = r["v"]
+    c = out[:-1].reshape(size, size) / max(n, 1)
+    apart = ((c - np.eye(size) * np.trace(c) / size) ** 2).sum()
+    noise = (out[-1] / max(n, 1) - (c * c).sum()) / max(n, 1)
+    return c, float(np.clip(noise / apart, 0, 1)) if apart > 0 else 1.0

@@ -187,8 +187,35 @@ def _state_cost(t: Tables) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     return [x["state"] for x in rows], ((a[:, None] - b[None]) ** 2).sum(2), n0 / n0.sum(), n1 / n1.sum()
 
 
+_PROGRAMME = f"""WITH {EXPR}, p AS (SELECT state, stage, gene % 8 AS programme, avg(v) AS m FROM expr GROUP BY ALL), z AS (SELECT state, stage, programme, CASE WHEN stddev_pop(m) OVER w > 0 THEN (m - avg(m) OVER w) / stddev_pop(m) OVER w ELSE 0 END AS z FROM p WINDOW w AS (PARTITION BY programme)),
+d AS (SELECT a.state AS src, b.state AS dst, sqrt(sum(pow(a.z - b.z, 2))) AS d FROM z a JOIN z b USING (programme) WHERE a.stage = 0 AND b.stage = 1 GROUP BY ALL), k AS (SELECT quantile_cont(d, 0.5) AS half FROM d)"""
+
+
+@query(_PROGRAMME + " SELECT src, dst, round(d / half + CASE WHEN src // 5 <> dst // 5 THEN 0.5 ELSE 0 END, 6) + 0.0 AS cost FROM d, k")
+def o3_coupling_cost(t: Tables) -> DataFrame:
+    """What it costs to go from a state to another: how far their standardised programmes are apart, against the median, and
+    half as much again between lineages."""
+    p = t.expr().groupBy("state", "stage", (F.col("gene") % 8).alias("programme")).agg(F.avg("v").alias("m"))
+    w = Window.partitionBy("programme")
+    spread = F.stddev_pop("m").over(w)
+    z = p.withColumn("z", F.when(spread > 0, (F.col("m") - F.avg("m").over(w)) / spread).otherwise(0.0))
+    a, b = (z.where(F.col("stage") == s).select(F.col("state").alias(n), "programme", F.col("z").alias(f"z{s}")) for s, n in ((0, "src"), (1, "dst")))
+    d = a.join(b, "programme").groupBy("src", "dst").agg(F.sqrt(F.sum(F.pow(F.col("z0") - F.col("z1"), 2))).alias("d"))
+    half = F.broadcast(d.agg(F.percentile("d", F.lit(0.5)).alias("half")))  # one row
+    apart = F.when(F.floor(F.col("src") / 5) != F.floor(F.col("dst") / 5), 0.5).otherwise(0.0)
+    return d.crossJoin(half).select("src", "dst", r(F.col("d") / F.col("half") + apart).alias("cost"))
+
+
+@query()
+def o2_unbalanced_coupling(t: Tables) -> DataFrame:
+    """States of both stages coupled where their shares may grow or shrink."""
+    states, cost, a, b = _state_cost(t)
+    plan = geometry.unbalanced_coupling(cost / np.median(cost), a, b, 0.1, 1.0, 1.0)
+    return t.spark.createDataFrame([(s, d, float(round(plan[i, j], 8))) for i, s in enumerate(states) for j, d in enumerate(states)], "src int, dst int, mass double")
+
+
 @query()
-def o1_o2_o3_state_coupling(t: Tables) -> DataFrame:
+def o1_state_coupling(t: Tables) -> DataFrame:
     states, cost, a, b = _state_cost(t)
     plan = geometry.sinkhorn(cost / np.median(cost), a, b, 0.1)
     return t.spark.createDataFrame([(s, d, float(round(plan[i, j], 8))) for i, s in enumerate(states) for j, d in enumerate(states)], "src int, dst int, mass double")

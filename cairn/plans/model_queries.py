@@ -229,9 +229,10 @@ def y33_weighted_stage_mean(t: Tables) -> DataFrame:
 @query()
 def l1_kernel_ridge(t: Tables) -> DataFrame:
     """Changes of each state predicted from its centroid by the other states."""
-    m = t.expr().where("gene <= 16").groupBy("state").pivot("gene", list(range(1, 17))).agg(F.avg(F.when(F.col("stage") == 0, F.col("v"))).alias("a"), F.avg(F.when(F.col("stage") == 1, F.col("v"))).alias("b")).orderBy("state")
+    genes = list(range(1, 65))
+    m = t.expr().groupBy("state").pivot("gene", genes).agg(F.avg(F.when(F.col("stage") == 0, F.col("v"))).alias("a"), F.avg(F.when(F.col("stage") == 1, F.col("v"))).alias("b")).orderBy("state")
     rows = m.collect()  # a row for each state
-    x, y = (np.array([[row[f"{g}_{s}"] or 0.0 for g in range(1, 17)] for row in rows]) for s in "ab")
+    x, y = (np.array([[row[f"{g}_{s}"] or 0.0 for g in genes] for row in rows]) for s in "ab")
     out = []
     for i, row in enumerate(rows):
         rest = np.arange(len(rows)) != i
@@ -254,16 +255,12 @@ def l3_state_atlas(t: Tables) -> DataFrame:
 
 @query()
 def a27_y30_l6_shrunk_precision(t: Tables) -> DataFrame:
-    """Regressors of each gene on the others from a shrunk covariance of 12 genes: -P / diag(P)."""
-    genes = list(range(1, 13))
-    wide = t.expr().where("gene <= 12").groupBy("cell").pivot("gene", genes).agg(F.first("v"))
-    pairs = [(a, b) for a in genes for b in genes if a <= b]
-    row = wide.agg(*(F.covar_samp(str(a), str(b)).alias(f"{a}_{b}") for a, b in pairs)).first()
-    c = np.array([[row[f"{min(a, b)}_{max(a, b)}"] for b in genes] for a in genes])
-    c = models.to_correlation(geometry.spd_projection(models.shrunk_covariance(c, 0.1), 1e-6))
+    """Regressors of each gene on the others, -P / diag(P), from a covariance shrunk as far as its own noise tells."""
+    c, shrinkage = models.estimated_covariance(t.cells(), "x", 64)
+    c = models.to_correlation(geometry.spd_projection(models.shrunk_covariance(c, shrinkage), 1e-6))
     p = np.linalg.inv(c)
     b = -p / np.diag(p)[:, None]
-    return t.spark.createDataFrame([(a, g, float(round(b[i, j], 8))) for i, a in enumerate(genes) for j, g in enumerate(genes) if i != j], "gene int, on_gene int, weight double")
+    return t.spark.createDataFrame([(a + 1, g + 1, float(round(b[a, g], 8))) for a in range(64) for g in range(64) if a != g], "gene int, on_gene int, weight double")
 
 
 @query(f"WITH {EXPR}, s AS (SELECT gene, sum((avg_t - avg_m) * d) AS sd, sum(d * d) AS dd FROM (SELECT state, gene, avg(v) FILTER (cell % 3 = 1) AS avg_t, avg(v) FILTER (cell % 3 = 0) AS avg_m, avg(v) FILTER (cell % 3 = 2) - avg(v) FILTER (cell % 3 = 0) AS d FROM expr GROUP BY ALL) GROUP BY 1) SELECT gene, round(least(greatest(sd / dd, 0), 1), 6) + 0.0 AS weight FROM s WHERE dd > 0")
@@ -294,3 +291,11 @@ def a32_grouping_sets(t: Tables) -> DataFrame:
 def w5_gaussian_rank(t: Tables) -> DataFrame:
     u = ranks.normalised_rank("v", ["gene"])
     return t.expr().withColumn("u", u).select("cell", "gene", r(ranks.normal_quantile(F.col("u"))).alias("z"))
+
+
+@query("WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS parent_row FROM customer), o AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS out_row FROM orders) SELECT out_row, parent_row, o_orderkey AS out_name, o_custkey AS parent_name FROM o LEFT JOIN p ON c_custkey = o_custkey")
+def k4_row_provenance(t: Tables) -> DataFrame:
+    """Which customer, by place, each order comes from, orders in the order of their price."""
+    orders = t("orders").select("o_orderkey", F.col("o_custkey").alias("parent"), (-F.col("o_totalprice")).alias("price"))
+    parents = t("customer").select(F.col("c_custkey").alias("parent"))
+    return readers.provenance(orders, parents, "o_orderkey", "parent", ["price", "o_orderkey"], ["parent"])

@@ -240,9 +240,9 @@ def l5_soft_states(t: Tables) -> DataFrame:
 
 
 @query()
-def a29_a30_l8_position_ridge(t: Tables) -> DataFrame:
+def a29_a30_position_ridge(t: Tables) -> DataFrame:
     """Ridge of each gene on coordinates, by state: normal equations are sums, solved one small system a group."""
-    e = t.expr().where("gene <= 12").join(t.points().select("cell", "x", "y", "z"), "cell")
+    e = t.expr().join(t.points().select("cell", "x", "y", "z"), "cell")
     one = {"one": F.lit(1.0)}
     names = ["one", "x", "y", "z"]
     sums = e.withColumns(one).groupBy("state", "gene").agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in names for b in names), *(F.sum(F.col(a) * F.col("v")).alias(f"{a}_v") for a in names))
@@ -297,3 +297,12 @@ def o12_moment_tilt(t: Tables) -> DataFrame:
     return w.crossJoin(F.broadcast(w.agg(F.sum("w").alias("s")))).select("cell", r(F.col("w") / F.col("s"), 8).alias("weight"))
 
 
+@query(f"WITH {EXPR}, lib AS (SELECT cell, sum(v) AS l FROM expr GROUP BY 1), j AS (SELECT cell, state, gene, l - v AS x, (v > 0)::INT::DOUBLE AS y FROM expr JOIN lib USING (cell)), m AS (SELECT state, gene, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + 1) AS w FROM j GROUP BY ALL) SELECT cell, gene, round(least(greatest(my + w * (x - mx), 0), 1), 6) + 0.0 AS propensity FROM j JOIN m USING (state, gene)")
+def l8_detection_propensity(t: Tables) -> DataFrame:
+    """How likely a cell is to show a gene, from its total without that gene: a ridge of one slope for each state and gene."""
+    e = t.expr()
+    j = e.join(e.groupBy("cell").agg(F.sum("v").alias("l")), "cell").select("cell", "state", "gene", (F.col("l") - F.col("v")).alias("x"), (F.col("v") > 0).cast("double").alias("y"))
+    slope = F.covar_pop("x", "y") * F.count("*") / (F.var_pop("x") * F.count("*") + 1)
+    m = j.groupBy("state", "gene").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), slope.alias("w"))
+    p = F.col("my") + F.col("w") * (F.col("x") - F.col("mx"))
+    return j.join(m, ["state", "gene"]).select("cell", "gene", r(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))).alias("propensity"))

@@ -156,3 +156,60 @@ def archived(spark: SparkSession, path: str, pattern: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["archive", "name", "text"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, name string, text string")
+
+
+def replaced(df: DataFrame, path: str, kind: str = "csv", sep: str = "\t") -> str:
+    """Text rows (csv with a header, or json) written beside ``path`` and then put in its place, so that readers see the old
+    files or the new ones, never a part. Fails, with the old ones kept, if the rows can't be written."""
+    import uuid
+
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
+    writer = df.write.option("sep", sep).option("header", True) if kind == "csv" else df.write
+    writer.format(kind).save(fresh)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target = hadoop(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target) and not files.rename(target, hadoop(old)):
+        raise OSError(f"{path} can't be moved")
+    if not files.rename(hadoop(fresh), target):
+        files.rename(hadoop(old), target)
+        raise OSError(f"{fresh} can't be moved")
+    files.delete(hadoop(old), True)
+    return path
+
+
+def row_numbers(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
+    """Rows numbered from 0 in an order, by ranges: what is numbered together is a partition, not the table."""
+    from pyspark.sql.window import Window
+
+    from cairn.operators.lineage import settled
+
+    rows = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    # A row for each partition.
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return rows.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_before")
+
+
+def provenance(out: DataFrame, parent: DataFrame, name: str, parent_name: str, out_order: list[str], parent_order: list[str]) -> DataFrame:
+    """The ledger of rows: out_row, parent_row (null without a parent), out_name, parent_name. ``parent_name`` is a column of both."""
+    a = row_numbers(out.select(F.col(name).alias("out_name"), F.col(parent_name).alias("parent_name"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(out_order))), [f"_o{i}" for i in range(len(out_order))], "out_row")
+    b = row_numbers(parent.select(F.col(parent_name).alias("parent_name"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(parent_order))), [f"_o{i}" for i in range(len(parent_order))], "parent_row")
+    return a.join(b.select("parent_name", "parent_row"), "parent_name", "left").select("out_row", "parent_row", "out_name", "parent_name")
+
+
+def submission(cells: DataFrame, panel: list[str], path: str) -> DataFrame:
+    """A table of cells (cell, state, x; further columns go) as it is handed in: names that repeat get their number, values are
+    checked against the panel's length and sign, and the table is written once."""
+    from pyspark.sql.window import Window
+
+    again = F.row_number().over(Window.partitionBy("cell").orderBy("state", "x"))
+    named = cells.select("cell", "state", "x").withColumn("_k", again)
+    rows = named.select(F.when(F.col("_k") > 1, F.concat_ws("-", F.col("cell").cast("string"), (F.col("_k") - 1).cast("string"))).otherwise(F.col("cell").cast("string")).alias("cell"), "state", "x")
+    wrong = rows.where((F.size("x") != len(panel)) | F.coalesce(F.exists("x", lambda v: v.isNull() | F.isnan(v) | (v < 0)), F.lit(True)))
+    if wrong.limit(1).count():
+        raise ValueError("rows that don't fit the panel")
+    return published(rows, path)

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cairn.operators import alloc, evidence, geometry, joins, matrix, metrics, ranks, solvers, trends
+from cairn.operators import alloc, evidence, geometry, joins, matrix, metrics, models, ranks, solvers, trends
 
 
 def long(spark, rows):
@@ -196,3 +196,39 @@ def test_kernel_and_energy_distance_equal_sums_over_pairs(spark):
     root = [[square(x, y) ** 0.5 for i, x in enumerate(u) for y in v[i + 1 :]] for u, v in ((a, a), (b, b))] + [[square(x, y) ** 0.5 for x in a for y in b]]
     assert abs(metrics.energy_distance(cells, "state", 1500).first()["energy"] - (2 * np.mean(root[2]) - np.mean(root[0]) - np.mean(root[1]))) < 1e-9
     assert metrics.energy_distance(cells.where("stage = 0"), "state", 1500).first()["energy"] is None
+
+
+def test_estimated_covariance_equals_its_definition(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((30, 6)) @ rng.standard_normal((6, 6))
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(3)
+    c, share = models.estimated_covariance(rows, "x", 6)
+    d = x - x.mean(0)
+    want = d.T @ d / 30
+    target = np.eye(6) * np.trace(want) / 6
+    noise = sum(((np.outer(v, v) - want) ** 2).sum() for v in d) / 30**2
+    assert np.allclose(c, want) and abs(share - min(1, noise / ((want - target) ** 2).sum())) < 1e-9
+    assert 0 < share < 1 and models.estimated_covariance(rows.limit(0), "x", 6)[1] == 1.0
+
+
+def test_weighted_draws_follow_their_weights(spark):
+    rows = spark.createDataFrame([(g, i, w) for g in "ab" for i, w in enumerate((1, 0, 3, 6))], "g string, id long, w int")
+    got = {(r["g"], r["id"]): r["times"] for r in alloc.weighted_draws(rows, ["g"], "id", "w", 2000, 1).collect()}
+    assert all((g, 1) not in got and abs(got[g, i] - 200 * w) < 120 for g in "ab" for i, w in ((0, 1), (2, 3), (3, 6)))
+    assert sum(got.values()) == 4000
+
+
+def test_bootstrap_times_add_up(spark):
+    rows = spark.createDataFrame([(i % 3, i) for i in range(40)], "g int, id long")
+    out = alloc.bootstrap_times(rows, ["g"], "id", 5, 2).groupBy("g", "round").agg(F.sum("times").alias("n")).collect()
+    assert len(out) == 15 and {(r["g"], r["n"]) for r in out} == {(0, 14), (1, 13), (2, 13)}
+
+
+def test_unbalanced_coupling_is_stationary():
+    """The plan is where the objective's gradient vanishes; with a high price it is the balanced one."""
+    rng = np.random.default_rng(5)
+    cost, a, b = rng.random((4, 3)), np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.5, 0.3, 0.2])
+    plan = geometry.unbalanced_coupling(cost, a, b, 0.2, 0.7, 1.3)
+    gradient = cost + 0.2 * np.log(plan) + 0.7 * np.log(plan.sum(1) / a)[:, None] + 1.3 * np.log(plan.sum(0) / b)[None]
+    assert np.abs(gradient).max() < 1e-6
+    assert np.abs(geometry.unbalanced_coupling(cost, a, b, 0.2, 1e6, 1e6) - geometry.sinkhorn(cost, a, b, 0.2)).max() < 1e-4

@@ -85,3 +85,34 @@ def test_nested_archive(spark, tmp_path):
         z.writestr("deep.zip", inner.getvalue())
     rows = readers.archived(spark, str(tmp_path / "outer.zip"), r"cells\.csv$").collect()
     assert [tuple(r) for r in rows] == [("outer.zip", "meta/cells.csv", "k,v\n1,2\n")]
+
+
+@pytest.mark.parametrize(("kind", "read"), [("csv", lambda spark, p: readers.table(spark, p, "a int, b string")), ("json", lambda spark, p: spark.read.schema("a int, b string").json(p))])
+def test_replaced_files_are_whole(spark, tmp_path, kind, read):
+    path = str(tmp_path / "out")
+    first = spark.createDataFrame([(i, f"x{i}") for i in range(20)], "a int, b string")
+    readers.replaced(first, path, kind)
+    assert sorted(map(tuple, read(spark, path).collect())) == sorted(map(tuple, first.collect()))
+    readers.replaced(first.where("a = 3"), path, kind)
+    assert [tuple(r) for r in read(spark, path).collect()] == [(3, "x3")]
+    with pytest.raises(Exception, match="(?i)zero"):
+        readers.replaced(first.selectExpr("a div (a - 5) as a", "b"), path, kind)
+    assert [tuple(r) for r in read(spark, path).collect()] == [(3, "x3")]
+    assert [x.name for x in tmp_path.iterdir() if x.name.endswith(".old")] == []
+
+
+def test_row_numbers_are_whole_and_in_order(spark):
+    rows = spark.range(0, 500).selectExpr("cast((id * 37) % 101 as int) as v", "id").repartition(7)
+    got = [(r["row"], r["v"], r["id"]) for r in readers.row_numbers(rows, ["v", "id"]).orderBy("row").collect()]
+    assert [g[0] for g in got] == list(range(500)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
+    assert readers.row_numbers(rows.limit(0), ["v", "id"]).count() == 0
+
+
+def test_submission_is_checked_and_written_once(spark, tmp_path):
+    cells = spark.createDataFrame([("c", "a", [0.0, 1.0]), ("c", "b", [2.0, 0.0]), ("d", "a", [1.0, 1.0])], "cell string, state string, x array<double>")
+    assert {r["cell"] for r in readers.submission(cells, ["g1", "g2"], str(tmp_path / "s")).collect()} == {"c", "c-1", "d"}
+    with pytest.raises(Exception, match="(?i)exists"):
+        readers.submission(cells, ["g1", "g2"], str(tmp_path / "s"))
+    for bad in ([-1.0, 0.0], [1.0], [float("nan"), 0.0], [None, 1.0], None):
+        with pytest.raises(ValueError, match="panel"):
+            readers.submission(spark.createDataFrame([("c", "a", bad)], cells.schema), ["g1", "g2"], str(tmp_path / "t"))
