@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranks import at_quantile
+from .ranks import at_quantile, row_numbers
 
 
 def positive_transport(entries: DataFrame, grid: list[float], limit: float) -> DataFrame:
@@ -95,13 +95,22 @@ def layers(edges: DataFrame, roots: DataFrame, depth: int, parents: int) -> Data
 
 
 def axis_warp(points: DataFrame, axis: str, lam: float) -> DataFrame:
-    """Stage 0 along one axis at the blend of both stages' quantile functions."""
-    one = points.withColumn("one", F.lit(1)).withColumn("v", F.col(axis))
-    w = Window.partitionBy("one")
-    rows = one.where("stage = 0").withColumn("u", (F.row_number().over(w.orderBy(axis, "cell")) - 0.5) / F.count("*").over(w))
-    for s, name in ((0, "_l"), (1, "_r")):
-        rows = at_quantile(rows, one.where(F.col("stage") == s), ["one"], "u", name)
-    return rows.withColumn("warped", (1 - lam) * F.col("_l") + lam * F.col("_r")).drop("one", "v", "_l", "_r", "u")
+    """Stage 0 along one axis at the blend of both stages' quantile functions.
+
+    Both stages are numbered by ranges and met by number, as each is one group, however large.
+    """
+    sides = [row_numbers(points.where(F.col("stage") == s).withColumn("v", F.col(axis).cast("double")), ["v", "cell"], "_row") for s in (0, 1)]
+    sizes = [F.broadcast(side.agg(F.count("*").alias(f"_n{s}"))) for s, side in enumerate(sides)]  # one row each
+    rows = sides[0].crossJoin(sizes[0]).crossJoin(sizes[1]).withColumn("_u", (F.col("_row") + 0.5) / F.col("_n0"))
+    for s, side in enumerate(sides):
+        last = F.col(f"_n{s}") - 1
+        at = F.least(F.greatest(F.col("_u") * F.col(f"_n{s}") - 0.5, F.lit(0.0)), last.cast("double"))
+        low = F.floor(at + 1e-9)
+        rows = rows.withColumns({"_low": low, "_high": F.least(low + 1, last), "_rest": at - low})
+        for end in ("_low", "_high"):
+            rows = rows.join(side.select(F.col("_row").alias(end), F.col("v").alias(f"{end}{s}")), end, "left")
+        rows = rows.withColumn(f"_q{s}", F.col(f"_low{s}") + F.col("_rest") * (F.col(f"_high{s}") - F.col(f"_low{s}"))).drop("_low", "_high", "_rest")
+    return rows.withColumn("warped", (1 - lam) * F.col("_q0") + lam * F.col("_q1")).select(*points.columns, "warped")
 
 
 def held_trend(df: DataFrame, by: list[str], x: str, y: str, at: float, low: float, high: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from cairn.operators.ranks import row_numbers
 from pyspark.sql.window import Window
 
 
@@ -180,20 +182,6 @@ def replaced(df: DataFrame, path: str, kind: str = "csv", sep: str = "\t") -> st
     return path
 
 
-def row_numbers(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
-    """Rows numbered from 0 in an order, by ranges: what is numbered together is a partition, not the table."""
-    from pyspark.sql.window import Window
-
-    from cairn.operators.lineage import settled
-
-    rows = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    # A row for each partition.
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return rows.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_before")
-
-
 def provenance(out: DataFrame, parent: DataFrame, name: str, parent_name: str, out_order: list[str], parent_order: list[str]) -> DataFrame:
     """The ledger of rows: out_row, parent_row (null without a parent), out_name, parent_name. ``parent_name`` is a column of both."""
     a = row_numbers(out.select(F.col(name).alias("out_name"), F.col(parent_name).alias("parent_name"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(out_order))), [f"_o{i}" for i in range(len(out_order))], "out_row")
