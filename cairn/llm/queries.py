@@ -98,4 +98,22 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scored(docs, model, held_out)
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_jaccard_join": op2_jaccard_join, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_token_counts": op5_token_counts, "op6_chat_format": op6_chat_format, "op7_mixing": op7_mixing, "op8_embedding_dedup": op8_embedding_dedup, "op9_quality": op9_quality, "op10_language_model": op10_language_model}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(_read(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(_read(spark, sf_dir, "documents"))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_jaccard_join": op2_jaccard_join, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_token_counts": op5_token_counts, "op6_chat_format": op6_chat_format, "op7_mixing": op7_mixing, "op8_embedding_dedup": op8_embedding_dedup, "op9_quality": op9_quality, "op10_language_model": op10_language_model, "op11_spelling_variants": op11_spelling_variants, "op12_source_divergence": op12_source_divergence, "op13_nearest": op13_nearest}
