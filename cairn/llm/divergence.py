@@ -24,10 +24,10 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ from .common import stored, tidy
 
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 """Of bytes whose A-Z are lower-cased: letters, and all bytes of characters beyond ASCII."""
-HELD = 400_000
+HELD = 300_000
 """Leaf counters that a task holds before it hands its trie over."""
 PIECE = 4096
 """Leaf counters of a piece, about."""
@@ -60,36 +60,37 @@ class Trie:
     def counted(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Trie:
         """The trie of what a task has counted: for each group its terms' occurrences and documents."""
         groups = list(held)
-        terms = [t for n, _ in held.values() for t in n]
+        terms = pa.array(chain.from_iterable(n for n, _ in held.values()), pa.binary())
         grp = np.repeat(np.arange(len(groups), dtype=np.int32), [len(n) for n, _ in held.values()])
-        n = np.fromiter((x for c, _ in held.values() for x in c.values()), np.int64, len(terms))
-        docs = np.fromiter((d[t] for c, d in held.values() for t in c), np.int64, len(terms))
-        return Trie.of_leaves(pa.array(terms, pa.binary()), grp, n, docs, groups)
+        n = np.fromiter(chain.from_iterable(n.values() for n, _ in held.values()), np.int64, len(terms))
+        docs = np.fromiter(chain.from_iterable(map(d.__getitem__, c) for c, d in held.values()), np.int64, len(terms))
+        return Trie.of_leaves(terms, np.arange(len(terms)), grp, n, docs, groups)
 
     @staticmethod
-    def of_leaves(terms: pa.Array, grp: np.ndarray, n: np.ndarray, docs: np.ndarray, groups: list[tuple[str, str]]) -> Trie:
-        """From one term, group and counts each; counters of one term and group are added up."""
+    def of_leaves(terms: pa.Array, of: np.ndarray, grp: np.ndarray, n: np.ndarray, docs: np.ndarray, groups: list[tuple[str, str]]) -> Trie:
+        """From counters, each of the term at ``of`` and a group; terms may repeat, counters of one term and group are added up."""
         coded = terms.dictionary_encode()
-        order = pc.sort_indices(coded.dictionary).to_numpy()
+        names = coded.dictionary.to_pylist()
+        order = sorted(range(len(names)), key=names.__getitem__)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        key = place[coded.indices.to_numpy()] * max(len(groups), 1) + grp
-        key, at = np.unique(key, return_inverse=True)
-        totals = []
-        for counts in (n, docs):
-            total = np.zeros(len(key), np.int64)
-            np.add.at(total, at, counts)
-            totals.append(total)
-        fan = np.bincount(key // max(len(groups), 1), minlength=len(order))
-        return Trie(coded.dictionary.take(pa.array(order)).to_pylist(), fan, (key % max(len(groups), 1)).astype(np.int32), *totals, groups)
+        width = max(len(groups), 1)
+        key = place[coded.indices.to_numpy()][of] * width + grp
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        n, docs = (np.add.reduceat(c[by], first) if len(first) else c for c in (n, docs))
+        key = key[first]
+        return Trie([names[i] for i in order], np.bincount(key // width, minlength=len(order)), (key % width).astype(np.int32), n, docs, groups)
 
     @staticmethod
     def merged(tries: list[Trie]) -> Trie:
         groups = list(dict.fromkeys(g for t in tries for g in t.groups))
         index = {g: i for i, g in enumerate(groups)}
-        terms = pa.concat_arrays([pa.array(t.terms, pa.binary()).take(pa.array(np.repeat(np.arange(len(t.terms)), t.fan))) for t in tries])
+        terms = pa.array(chain.from_iterable(t.terms for t in tries), pa.binary())
+        of = np.repeat(np.arange(len(terms)), np.concatenate([t.fan for t in tries]))
         grp = np.concatenate([np.array([index[g] for g in t.groups], np.int32)[t.grp] for t in tries])
-        return Trie.of_leaves(terms, grp, np.concatenate([t.n for t in tries]), np.concatenate([t.docs for t in tries]), groups)
+        return Trie.of_leaves(terms, of, grp, np.concatenate([t.n for t in tries]), np.concatenate([t.docs for t in tries]), groups)
 
     def cut(self, lo: int, hi: int) -> Trie:
         """The terms from ``lo`` to ``hi``."""
@@ -164,13 +165,13 @@ def local_tries(docs: DataFrame, held: int = HELD) -> DataFrame:
         size = 0
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                terms = Counter(TERM.findall(text.as_buffer().to_pybytes().lower()))
+                terms = TERM.findall(text.as_buffer().to_pybytes().lower())
                 if not terms:
                     continue
                 n, seen = groups.setdefault((lang, source), (Counter(), Counter()))
                 size -= len(n)
                 n.update(terms)
-                seen.update(terms.keys())
+                seen.update(set(terms))
                 size += len(n)
                 if size > held:
                     yield from out()
