@@ -204,3 +204,21 @@ def exact_plan(cost: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
             right[j] -= amount
     i, j = np.nonzero(flow > tiny)
     return i, j, flow[i, j]
+
+
+def matched(plan: DataFrame) -> DataFrame:
+    """src, dst of a plan's pairs (src, dst, mass) one to one, the largest masses first, ties to lower names.
+
+    A pair that is the first of all that its source and its target have left would be taken by any greedy pass, so a round takes all
+    such pairs at once, by two aggregations, and drops what they use. Rounds end when no pair is left.
+    """
+    from .lineage import settled
+
+    left, taken = settled(plan.select("src", "dst", "mass")), None
+    order = F.struct((-F.col("mass")).alias("m"), "src", "dst")
+    while not left.isEmpty():
+        a, b = (left.groupBy(c).agg(F.min(order).alias("p")).select("p.src", "p.dst") for c in ("src", "dst"))
+        now = settled(a.join(b, ["src", "dst"]))
+        taken = now if taken is None else taken.unionByName(now)
+        left = settled(left.join(now.select("src"), "src", "left_anti").join(now.select("dst"), "dst", "left_anti"))
+    return left.select("src", "dst") if taken is None else taken

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .lineage import settled
+from .knn import finite, neighbours_among
 
 
 def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -92,43 +91,11 @@ def neighbours(points: DataFrame, k: int, by: list[str], keep_self: bool = False
     """The k nearest of each point of a group, as ``neighbours_among`` finds them; with keep_self a point is its own first neighbour."""
     found = neighbours_among(points, points, k - 1 if keep_self else k, by)
     if keep_self:
-        own = points.where(_finite()).select(*by, F.col("cell").alias("src"), F.col("cell").alias("dst"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank"))
+        own = points.where(finite()).select(*by, F.col("cell").alias("src"), F.col("cell").alias("dst"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank"))
         found = own.unionByName(found.withColumn("rank", F.col("rank") + 1))
     return found
 
 
-def _finite() -> Column:
-    return functools.reduce(lambda a, b: a & b, (F.abs(F.col(c)) < F.lit(float("inf")) for c in "xyz"))
-
-
-def neighbours_among(sources: DataFrame, points: DataFrame, others: int, by: list[str]) -> DataFrame:
-    """For each source the nearest points of its group, itself left out, however far, ties to the lower name: src, dst, dist and
-    ``rank`` from 1.
-
-    The spread and size of a group's points give a first radius; sources with fewer sure neighbours within it than asked for
-    look again within twice of it, until they have them or all points of their group. What has no finite place has no
-    neighbours and is no one's.
-    """
-    points, sources = points.where(_finite()), sources.where(_finite())
-    spread = F.sqrt(sum((F.coalesce(F.var_pop(c), F.lit(0.0)) for c in "xyz"), F.lit(0.0)))
-    groups = points.groupBy(*by).agg(F.count("*").alias("_n"), F.greatest(spread * F.pow(F.lit(others + 1.0) / F.count("*"), F.lit(1 / 3)), F.lit(1e-6)).alias("_first"))
-    points = settled(points.select(*by, "cell", *"xyz").join(groups, by))
-    inside = points.select(*by, "cell", F.lit(1).alias("_in"))
-    sources = sources.select(*by, "cell", *"xyz").join(groups, by).join(inside, [*by, "cell"], "left")
-    sources = settled(sources.withColumn("_need", F.least(F.col("_n") - F.coalesce("_in", F.lit(0)), F.lit(others))).drop("_n", "_in"))
-    order = Window.partitionBy(*by, "src").orderBy(F.round("dist", 9), "dst")
-    left, wider, parts = sources.where("_need > 0"), 1.0, []
-    while not left.isEmpty():
-        pairs = in_range(points, F.col("_first") * wider, by, sources=left).where("src <> dst")
-        pairs = settled(pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= others))
-        sure = pairs.where(F.col("dist") + 1e-8 <= F.col("_radius")).groupBy(*by, F.col("src").alias("cell")).agg(F.count("*").alias("_have"))
-        short = settled(left.join(sure, [*by, "cell"], "left").where(F.coalesce("_have", F.lit(0)) < F.col("_need")).drop("_have"))
-        parts.append(pairs.drop("_radius").join(short.select(*by, F.col("cell").alias("src")), [*by, "src"], "left_anti"))
-        left, wider = short, 2 * wider
-    none = points.limit(0).select(*by, F.col("cell").alias("src"), F.col("cell").alias("dst"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))
-    return functools.reduce(DataFrame.unionByName, parts, none)
-
-
 def bracketed(events: DataFrame, marks: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
     """For each event the last mark at or before it, by one window over both tables in order of time."""
     a = events.select(*by, time, F.lit(1).alias("_k"), F.struct(*events.columns).alias("_e"), F.lit(None).cast(dict(marks.dtypes)[value]).alias("_v"))

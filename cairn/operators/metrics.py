@@ -85,19 +85,22 @@ def energy_distance(cells: DataFrame, by: str, sample: int) -> DataFrame:
     return s.groupBy(by).applyInPandas(distance, f"{by} {dict(cells.dtypes)[by]}, energy double")
 
 
-def kernel_distance(a, b, components: int, scales: tuple[float, ...] = (0.25, 0.5, 1.0, 2.0, 4.0)) -> float:
-    """Unbiased squared MMD of rows of two arrays, on principal components of the second, over kernels around the median width."""
+def kernel_distance(a, b, centre, axes, scales: tuple[float, ...] = (0.25, 0.5, 1.0, 2.0, 4.0)) -> float:
+    """Unbiased squared MMD of rows of two arrays in a given frame, over kernels around the second's own median width.
+
+    The width is the median of the squared distances above 0 within ``b``, the truth, alone: like the frame it does not depend
+    on what is compared with it.
+    """
     import numpy as np
 
-    centre = b.mean(0)
-    axes = np.linalg.svd(b - centre, full_matrices=False)[2][:components].T
     a, b = (a - centre) @ axes, (b - centre) @ axes
     aa, bb, ab = (np.maximum((u * u).sum(1)[:, None] + (v * v).sum(1) - 2 * u @ v.T, 0) for u, v in ((a, a), (b, b), (a, b)))
     n, m = len(a), len(b)
-    width = np.median(np.concatenate([aa[np.triu_indices(n, 1)], bb[np.triu_indices(m, 1)], ab.ravel()])) or 1.0
+    within = bb[np.triu_indices(m, 1)]
+    width = (np.median(within[within > 0]) if (within > 0).any() else 0.0) + 1e-9
     total = 0.0
     for scale in scales:
-        ka, kb, kab = (np.exp(-d / (width * scale)) for d in (aa, bb, ab))
+        ka, kb, kab = (np.exp(-d * scale / width) for d in (aa, bb, ab))
         total += (ka.sum() - np.trace(ka)) / (n * (n - 1)) + (kb.sum() - np.trace(kb)) / (m * (m - 1)) - 2 * kab.mean()
     return float(total / len(scales))
 

@@ -1,4 +1,4 @@
-"""Fits with closed forms, calibrations by bisection, sampling by depth, programs and emitters."""
+"""Fits with closed forms, sampling by depth, programs and emitters."""
 
 from __future__ import annotations
 
@@ -38,25 +38,6 @@ def demeaned_slope(df: DataFrame, within: str, x: str, y: str, least: int, by: l
     return g.select(*by, F.when(F.col("_xx") > 1e-12, F.col("_xy") / F.col("_xx")).otherwise(0.0).alias("slope"))
 
 
-def calibrated_rates(df: DataFrame, by: list[str], v: str, target: str, limit: float, steps: int = 36) -> DataFrame:
-    """Per group the r with mean(log1p(expm1(v) e^r)) at the target, by bisection within +-limit; 0 if all v are 0.
-
-    Groups are of one gene; their values travel as one array, and the bisection is a fold over its steps.
-    """
-    g = df.groupBy(*by).agg(F.collect_list(F.expm1(v)).alias("_c"), F.first(target).alias("_t"))
-    mean = lambda c, r: F.aggregate(c, F.lit(0.0), lambda s, x: s + F.log1p(x * F.exp(r))) / F.size(c)
-
-    def halve(state: Column, _: Column) -> Column:
-        mid = (state["lo"] + state["hi"]) / 2
-        low = mean(F.col("_c"), mid) < F.col("_t")
-        return F.struct(F.when(low, mid).otherwise(state["lo"]).alias("lo"), F.when(low, state["hi"]).otherwise(mid).alias("hi"))
-
-    start = F.struct(F.lit(-float(limit)).alias("lo"), F.lit(float(limit)).alias("hi"))
-    ends = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
-    rate = F.when(F.exists("_c", lambda c: c > 0), (ends["lo"] + ends["hi"]) / 2).otherwise(0.0)
-    return g.select(*by, rate.alias("rate"))
-
-
 def residual_calibration(df: DataFrame, within: str, x: str, y: str, ridge: float, train: str) -> DataFrame:
     """Per group mean of y and a ridge slope of y on x, within 0 and 1, from training rows; absent groups take the overall."""
     rows = df.where(train)

@@ -1,4 +1,4 @@
-"""Solvers for small groups: couplings of structures, pairings by swaps, rigid registration, ridge fields, low-rank predictors.
+"""Solvers for small groups: couplings of structures, pairings by swaps, rigid registration, ridge fields.
 
 Each works on arrays of one state, or on one aggregated table; groups are sampled to a stated size before they come here.
 """
@@ -114,18 +114,6 @@ def rewired(points: np.ndarray, scores: np.ndarray, left: tuple, right: tuple, t
     return assignment(((scaled(expected)[:, None] - scaled(scores)[None]) ** 2).sum(2))
 
 
-def low_rank_predictor(x: np.ndarray, y: np.ndarray, new: np.ndarray, rank: int, alpha: float) -> np.ndarray:
-    """Kernel ridge on the leading response factors; scaling, bandwidth and factors come from the training rows alone."""
-    mean, sd = x.mean(0), np.maximum(x.std(0), 1e-9)
-    x, new = (x - mean) / sd, (new - mean) / sd
-    square = lambda a, b: ((a[:, None] - b[None]) ** 2).mean(2)
-    width = 2 * max(float(np.median(square(x, x)[np.triu_indices(len(x), 1)])), 1e-9)
-    centre = y.mean(0)
-    basis = np.linalg.svd(y - centre, full_matrices=False)[2][: min(rank, len(x) - 1)]
-    weights = np.linalg.solve(np.exp(-square(x, x) / width) + alpha * np.eye(len(x)), (y - centre) @ basis.T)
-    return centre + np.exp(-square(new, x) / width) @ weights @ basis
-
-
 def gram_embedding(gram: np.ndarray, rank: int) -> np.ndarray:
     """Rows of the leading singular vectors, at length 1, from the Gram matrix of the rows."""
     w, v = np.linalg.eigh(gram)

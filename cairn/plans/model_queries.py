@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.operators import geometry, matrix, models, ranks, trends
+from cairn.operators import fits, geometry, matrix, models, ranks, trends
 from cairn.operators import moments as mo
 from cairn.sources import readers
 
@@ -142,11 +142,11 @@ def y13_x13_program_application(t: Tables) -> DataFrame:
     return rows.groupBy("state", "gene").agg(r(F.avg(v), 8).alias("mean"))
 
 
-@query()
+@query(f"WITH RECURSIVE {EXPR}, g AS (SELECT gene, list(exp(v) - 1) FILTER (stage = 0) AS c, avg(v) FILTER (stage = 1) AS t FROM expr GROUP BY 1), h AS (SELECT gene, 0 AS k, -2.0::DOUBLE AS lo, 2.0::DOUBLE AS hi FROM g UNION ALL SELECT gene, k + 1, CASE WHEN m < t THEN mid ELSE lo END, CASE WHEN m < t THEN hi ELSE mid END FROM (SELECT h.gene, k, lo, hi, (lo + hi) / 2 AS mid, t, list_avg(list_transform(c, lambda x: ln(1 + x * exp((lo + hi) / 2)))) AS m FROM h JOIN g ON g.gene = h.gene WHERE k < 36)) SELECT gene, round((lo + hi) / 2, 6) + 0.0 AS rate FROM h WHERE k = 36")
 def y15_y16_calibrated_rates(t: Tables) -> DataFrame:
     e = t.expr().where("stage = 0")
     target = t.expr().where("stage = 1").groupBy("gene").agg(F.avg("v").alias("target"))
-    return models.calibrated_rates(e.join(target, "gene"), ["gene"], "v", "target", 2.0).select("gene", r("rate").alias("rate"))
+    return fits.calibrated_rates(e.join(target, "gene"), ["gene"], "v", "target", 2.0).select("gene", r("rate").alias("rate"))
 
 
 @query(f"WITH {EXPR}, m AS (SELECT state, gene, avg(v) FILTER (stage = 0) AS a, avg(v) FILTER (stage = 1) AS b FROM expr GROUP BY ALL) SELECT state, gene, round(least(greatest(ln(greatest(exp(b) - 1, 1e-3) / greatest(exp(a) - 1, 1e-3)), -1), 1), 6) + 0.0 AS ratio FROM m")
@@ -162,11 +162,11 @@ def y18_residual_calibration(t: Tables) -> DataFrame:
     return models.residual_calibration(d, "event_type", "x", "y", 10.0, "train").select("event_type", r("mean", 8).alias("mean"), r("slope", 8).alias("slope"))
 
 
-@query("WITH p AS (SELECT event_type, event_id % 6 AS part, avg(value) - 50 AS m FROM events GROUP BY ALL), s AS (SELECT event_type, avg(m) AS mu, stddev_pop(m) AS sd, abs(avg(sign(m))) AS agree FROM p GROUP BY 1) SELECT event_type, round(agree * abs(mu) / (abs(mu) + sd + 0.5), 6) + 0.0 AS weight FROM s")
+@query("WITH p AS (SELECT event_type, event_id % 6 AS part, avg(value) - 50 AS m FROM events GROUP BY ALL), s AS (SELECT event_type, avg(m) AS mu, stddev_pop(m) AS sd, abs(avg(sign(m))) AS agree, greatest(avg(abs(m)), 1e-8) AS size FROM p GROUP BY 1) SELECT event_type, round(agree * abs(mu) / (abs(mu) + sd + 0.5 * size), 6) + 0.0 AS weight FROM s")
 def y19_stability_weight(t: Tables) -> DataFrame:
     p = t("events").groupBy("event_type", (F.col("event_id") % 6).alias("part")).agg((F.avg("value") - 50).alias("m"))
-    s = p.groupBy("event_type").agg(F.avg("m").alias("mu"), F.stddev_pop("m").alias("sd"), F.abs(F.avg(F.signum("m"))).alias("agree"))
-    return s.select("event_type", r(F.col("agree") * F.abs("mu") / (F.abs("mu") + F.col("sd") + 0.5)).alias("weight"))
+    s = p.groupBy("event_type").agg(F.avg("m").alias("mu"), F.stddev_pop("m").alias("sd"), F.abs(F.avg(F.signum("m"))).alias("agree"), F.greatest(F.avg(F.abs("m")), F.lit(1e-8)).alias("size"))
+    return s.select("event_type", r(F.col("agree") * F.abs("mu") / (F.abs("mu") + F.col("sd") + 0.5 * F.col("size"))).alias("weight"))
 
 
 @query(f"WITH {EXPR}, m AS (SELECT state, gene, abs(avg(v) FILTER (stage = 1) - avg(v) FILTER (stage = 0)) AS d FROM expr GROUP BY ALL) SELECT state, gene, round(d / sqrt(sum(d * d) OVER (PARTITION BY state)), 6) + 0.0 AS shape FROM m")

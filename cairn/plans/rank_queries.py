@@ -66,7 +66,7 @@ def w15_occupancy_decode(t: Tables) -> DataFrame:
     return rows.groupBy("state", "gene").agg(F.count_if(F.col("decoded") > 0).alias("active"), r(F.sum("decoded")).alias("total"))
 
 
-@query(f"WITH {EXPR}, e AS (SELECT a.cell, a.state, a.gene, a.v, b.v AS w FROM expr a JOIN expr b ON a.cell = b.cell AND b.gene = 33), q AS (SELECT *, rank() OVER (PARTITION BY state, gene ORDER BY v) + (count(*) OVER (PARTITION BY state, gene, v) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY state, gene ORDER BY w) + (count(*) OVER (PARTITION BY state, gene, w) - 1) / 2.0 AS rb, row_number() OVER (PARTITION BY state, gene ORDER BY v, cell) AS k0 FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY state, gene ORDER BY 0.6 * ra + 0.4 * rb, cell) AS k1 FROM q) SELECT a.cell, a.gene, round(b.v, 6) + 0.0 AS restored FROM k a JOIN k b ON a.state = b.state AND a.gene = b.gene AND a.k1 = b.k0")
+@query(f"WITH {EXPR}, t AS (SELECT cell, rank() OVER (PARTITION BY state ORDER BY v) + (count(*) OVER (PARTITION BY state, v) - 1) / 2.0 AS rb FROM expr WHERE gene = 33), q AS MATERIALIZED (SELECT cell, state, gene, v, rank() OVER (PARTITION BY state, gene ORDER BY v) + (count(*) OVER (PARTITION BY state, gene, v) - 1) / 2.0 AS ra, row_number() OVER (PARTITION BY state, gene ORDER BY v, cell) AS k0 FROM expr), k AS MATERIALIZED (SELECT q.*, row_number() OVER (PARTITION BY state, gene ORDER BY 0.6 * ra + 0.4 * rb, cell) AS k1 FROM q JOIN t USING (cell)) SELECT a.cell, a.gene, round(b.v, 6) + 0.0 AS restored FROM k a JOIN k b ON a.state = b.state AND a.gene = b.gene AND a.k1 = b.k0")
 def w18_copula_restore(t: Tables) -> DataFrame:
     entries = t.expr()
     template = entries.where("gene = 33").select("cell", F.col("v").alias("w"))

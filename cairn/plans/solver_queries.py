@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.operators import evidence, models, ranks, solvers
+from cairn.operators import evidence, fits, models, ranks, solvers
 from cairn.operators import moments as mo
 
 from .join_queries import _LEDGER, _ledger
@@ -90,13 +90,10 @@ def x21_counterfactual(t: Tables) -> DataFrame:
 
 @query()
 def l2_low_rank_predictor(t: Tables) -> DataFrame:
-    """Changes of each gene over states predicted from its profile by the other half of the genes."""
-    m = t.expr().groupBy("gene").pivot("state", list(range(10))).agg(F.avg(F.when(F.col("stage") == 0, F.col("v"))).alias("a"), F.avg(F.when(F.col("stage") == 1, F.col("v"))).alias("b")).orderBy("gene").collect()  # a row for each gene
-    x, y = (np.array([[g[f"{s}_{n}"] or 0.0 for s in range(10)] for g in m]) for n in "ab")
-    odd = np.arange(len(m)) % 2 == 1
-    p = solvers.low_rank_predictor(x[~odd], (y - x)[~odd], x[odd], 4, 1.0)
-    genes = [g["gene"] for g, o in zip(m, odd, strict=True) if o]
-    return t.spark.createDataFrame([(g, s, float(round(p[i, s], 8))) for i, g in enumerate(genes) for s in range(10)], "gene long, state int, delta double")
+    """The second half of each cell of stage 1 foretold from its first half, by four response factors of the cells of stage 0."""
+    c = t.cells().select(F.col("cell").alias("id"), "stage", F.slice("x", 1, 32).alias("x"), F.slice("x", 33, 32).alias("y"))
+    out = fits.kernel_predictor(c.where("stage = 0"), c.where("stage = 1"), 1.0, rank=4)
+    return out.select(F.col("id").alias("cell"), F.transform("prediction", lambda v: r(v, 6)).alias("prediction"))
 
 
 @query()

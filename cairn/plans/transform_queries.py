@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.operators import alloc, geometry, joins, metrics, transforms
+from cairn.operators import alloc, fits, geometry, graphs, joins, metrics, transforms
 from cairn.operators import moments as mo
 from cairn.operators.lineage import settled
 from cairn.sources import readers
@@ -155,13 +155,14 @@ def q18_q25_axis_flips(t: Tables) -> DataFrame:
 
 
 def _kernel_distance(cells: DataFrame) -> DataFrame:
-    """Of each state: unbiased squared MMD between stages (cell, state, stage, x) on 30 principal components of stage 1, five
-    kernel widths around the median. Defined on 2,000 cells a side at most, the first by hash."""
+    """Of each state: unbiased squared MMD between stages (cell, state, stage, x) on 30 principal components of all cells of
+    stage 1, five kernel widths around their median. Defined on 2,000 cells a side at most, the first by hash."""
+    frames = fits.principal_frames(cells.where("stage = 1").withColumn("by", F.col("state")), 30)
     s = alloc.stratified(cells, ["state", "stage"], "cell", 2000, 0)
 
     def distance(g: pd.DataFrame) -> pd.DataFrame:
         a, b = (np.stack(v.to_list()) if len(v) > 1 else None for v in (g[g.stage == k].sort_values("cell").x for k in (0, 1)))
-        return pd.DataFrame({"state": [g.state.iloc[0]], "mmd": [round(metrics.kernel_distance(a, b, 30), 8) if a is not None and b is not None else None]})
+        return pd.DataFrame({"state": [g.state.iloc[0]], "mmd": [round(metrics.kernel_distance(a, b, *frames[g.state.iloc[0]]), 8) if a is not None and b is not None else None]})
 
     return s.groupBy("state").applyInPandas(distance, "state int, mmd double")
 
@@ -194,49 +195,41 @@ def o4_exact_plan(t: Tables) -> DataFrame:
     return t.points().groupBy("state").applyInPandas(plan, "src long, dst long, mass double")
 
 
-@query("SELECT state, least(count(*) FILTER (stage = 0), count(*) FILTER (stage = 1)) AS pairs, true AS one_to_one FROM (SELECT label AS state, vec_id % 2 AS stage FROM embeddings) GROUP BY 1")
+@query(f"WITH RECURSIVE {POINTS}, d AS (SELECT a.state, a.cell AS src, b.cell AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS dist FROM points a JOIN points b ON a.state = b.state AND a.stage = 0 AND b.stage = 1), n AS (SELECT state, src, dst, round(exp(-dist * dist / 0.05), 9) AS mass FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(dist, 9), dst) AS k FROM d) WHERE k <= 8), p AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY mass DESC, src, dst) AS k FROM n), g AS (SELECT DISTINCT state, 0::BIGINT AS k, []::BIGINT[] AS us, []::BIGINT[] AS ud FROM p UNION ALL SELECT g.state, p.k, CASE WHEN list_contains(us, src) OR list_contains(ud, dst) THEN us ELSE list_append(us, src) END, CASE WHEN list_contains(us, src) OR list_contains(ud, dst) THEN ud ELSE list_append(ud, dst) END FROM g JOIN p ON p.state = g.state AND p.k = g.k + 1) SELECT unnest(us) AS src, unnest(ud) AS dst FROM (SELECT state, arg_max(us, k) AS us, arg_max(ud, k) AS ud FROM g GROUP BY 1)")
 def o8_plan_permutation(t: Tables) -> DataFrame:
-    """A plan between both stages of each state as one-to-one pairs, the largest masses first: that each cell is used once, and all of the smaller side are."""
+    """A plan between both stages of each state, from each cell to its eight nearest, as one-to-one pairs: the largest masses first."""
+    p = t.points()
+    near = joins.neighbours_among(p.where("stage = 0"), p.where("stage = 1"), 8, ["state"])
+    return geometry.matched(near.select("src", "dst", F.round(F.exp(-F.col("dist") * F.col("dist") / 0.05), 9).alias("mass")))
 
-    def pair(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = (g[g.stage == k].sort_values("cell")[["x", "y", "z"]].to_numpy() for k in (0, 1))
-        cost = ((a[:, None] - b[None]) ** 2).sum(2)
-        plan = geometry.sinkhorn(cost / max(cost.max(initial=0), 1e-9), np.full(len(a), 1 / max(len(a), 1)), np.full(len(b), 1 / max(len(b), 1)), 0.05) if cost.size else cost
-        i, j = geometry.greedy_pairs(plan)
-        return pd.DataFrame({"state": [g.state.iloc[0]], "pairs": [len(i)], "one_to_one": [len(set(i)) == len(i) == len(set(j)) == min(cost.shape)]})
 
-    return t.points().groupBy("state").applyInPandas(pair, "state int, pairs long, one_to_one boolean")
+_GRAPH = "d AS (SELECT a.state, a.cell AS src, b.cell AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS dist FROM points a JOIN points b ON a.state = b.state AND a.cell <> b.cell), n AS (SELECT state, src, dst, dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(dist, 9), dst) AS k FROM d) WHERE k <= 6), sc AS (SELECT state, greatest(median(dist) FILTER (dist > 0), 1e-6) AS scale FROM n GROUP BY 1), h AS (SELECT src, dst, exp(-least(pow(dist / scale, 2), 700)) / 2 AS w FROM n JOIN sc USING (state)), e AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM h UNION ALL SELECT dst, src, w FROM h) GROUP BY ALL), deg AS (SELECT src, sum(w) AS d FROM e GROUP BY 1)"
 
 
-@query()
+@query(f"WITH RECURSIVE {POINTS}, {_GRAPH}, idx AS (SELECT cell, stage::DOUBLE AS y, row_number() OVER (ORDER BY cell) AS i FROM points), adj AS (SELECT list(nb ORDER BY i) AS a, list(y ORDER BY i) AS y, count(*) AS n FROM (SELECT u.i, any_value(u.y) AS y, list({{'j': v.i, 'w': e.w / d}}) AS nb FROM idx u JOIN e ON e.src = u.cell JOIN idx v ON v.cell = e.dst JOIN deg ON deg.src = u.cell GROUP BY u.i)), it AS (SELECT 0 AS k, y AS f FROM adj UNION ALL SELECT k + 1, list_transform(range(1, n + 1), lambda i: 0.8 * list_sum(list_transform(a[i], lambda q: q.w * f[q.j])) + 0.2 * y[i]) FROM it, adj WHERE k < 100) SELECT cell, round(least(greatest(f[i], 0), 1), 6) + 0.0 AS f FROM it, idx WHERE k = 100")
 def x18_label_propagation(t: Tables) -> DataFrame:
-    """Labels spread over neighbours until they stand: f = alpha S f + (1 - alpha) f0, S the row-normalised neighbour table."""
-    p = t.points().withColumn("all", F.lit(0))
-    n = joins.neighbours(p, 6, ["all"]).select("src", "dst")
-    n = settled(n.join(n.groupBy("src").agg((1 / F.count("*")).alias("w")), "src"))
-    f0 = p.select(F.col("cell").alias("dst"), (F.col("state") == 0).cast("double").alias("f0"))
-    f = f0.withColumn("f", F.col("f0"))
-    for k in range(200):
-        spread = n.join(f.select("dst", "f"), "dst").groupBy("src").agg(F.sum(F.col("w") * F.col("f")).alias("s"))
-        f = f.join(spread.withColumnRenamed("src", "dst"), "dst", "left").select("dst", "f0", (0.8 * F.coalesce("s", F.lit(0.0)) + 0.2 * F.col("f0")).alias("f"), F.col("f").alias("old"))
-        if k % 8 == 7:  # each round leaves 0.8 of the gap at most
-            f = settled(f)
-            if f.agg(F.max(F.abs(F.col("f") - F.col("old"))).alias("gap")).first()["gap"] < 1e-8:
-                break
-    return f.select(F.col("dst").alias("cell"), r("f").alias("f"))
+    """How far each cell's neighbourhood is of stage 1: f = 0.8 D^-1 W f + 0.2 y on the symmetric neighbour graph of each state."""
+    p = t.points()
+    edges, _ = graphs.neighbour_graph(p, 6, ["state"])
+    f = graphs.propagated(p.select("cell", F.col("stage").cast("double").alias("y")), settled(edges), 0.8)
+    return f.select("cell", r(F.least(F.greatest("f", F.lit(0.0)), F.lit(1.0))).alias("f"))
+
+
+def _scaled(t: Tables, size: int) -> DataFrame:
+    """cell, state, stage, z: the first values of each cell, scaled by their state's mean and spread over both stages."""
+    c = t("embeddings").select(F.col("vec_id").alias("cell"), F.col("label").alias("state"), (F.col("vec_id") % 2).alias("stage"), *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(size)))
+    m = c.groupBy("state").agg(*(f(f"e{i}").alias(f"{n}{i}") for i in range(size) for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))))
+    z = F.array(*((F.col(f"e{i}") - F.col(f"m{i}")) / F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(1.0) for i in range(size)))
+    return c.join(m, "state").select("cell", "state", "stage", z.alias("z"))
 
 
 @query()
 def l5_soft_states(t: Tables) -> DataFrame:
-    """Gaussian mixture over principal components, by the distributed library."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    x = t.cells().select("cell", array_to_vector("x").alias("x"))
-    z = PCA(k=3, inputCol="x", outputCol="z").fit(x).transform(x)
-    out = GaussianMixture(k=3, seed=1, maxIter=20, featuresCol="z").fit(z).transform(z)
-    return out.select("cell", F.col("prediction").alias("state"), r(F.array_max(vector_to_array("probability")), 4).alias("weight"))
+    """Soft states within each state: mixtures of diagonal Gaussians, as many components as cells allow."""
+    rows = settled(_scaled(t, 6).withColumnRenamed("state", "by"))
+    models = fits.diagonal_mixtures(rows, 6, 20)
+    out = fits.mixture_shares(rows, models)
+    return out.select("cell", F.col("by").alias("state"), F.size("share").alias("components"), r(F.array_max("share"), 4).alias("weight"))
 
 
 @query()
@@ -283,26 +276,38 @@ def v3_v8_route_gate(t: Tables) -> DataFrame:
     return g.select("state", gate.alias("gate"), (F.col("a") & F.col("b")).alias("can_activate"))
 
 
-@query()
+@query(f"WITH {POINTS}, m AS (SELECT state, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, stddev_pop(x) AS sx, stddev_pop(y) AS sy, stddev_pop(z) AS sz FROM points GROUP BY 1), s AS (SELECT state, stage, (x - mx) / sx AS x, (y - my) / sy AS y, (z - mz) / sz AS z FROM points JOIN m USING (state)), f AS (SELECT state, stage, unnest([x, y, z, x * x, y * y, z * z]) AS v, unnest(range(1, 7)) AS feature FROM s), g AS (SELECT state, feature, avg(v) FILTER (stage = 0) AS a, avg(v) FILTER (stage = 1) AS b FROM f GROUP BY ALL) SELECT state, CAST(feature AS INTEGER) AS feature, round(a + 0.5 * (b - a), 6) + 0.0 AS target, round(a + 0.5 * (b - a), 6) + 0.0 AS reached FROM g")
 def o12_moment_tilt(t: Tables) -> DataFrame:
-    """Weights of state 0's cells, exp(theta x), whose mean first coordinate is that of stage 1: Newton steps on sums."""
-    p = t.points()
-    goal = p.where("stage = 1").agg(F.avg("x").alias("m")).first()["m"]
-    theta, base = 0.0, p.where("stage = 0")
-    for _ in range(6):
-        w = F.exp(F.col("x") * theta)
-        row = base.agg((F.sum(w * F.col("x")) / F.sum(w)).alias("m"), (F.sum(w * F.col("x") * F.col("x")) / F.sum(w)).alias("s")).first()
-        theta += (goal - row["m"]) / max(row["s"] - row["m"] ** 2, 1e-9)
-    w = base.withColumn("w", F.exp(F.col("x") * theta))
-    return w.crossJoin(F.broadcast(w.agg(F.sum("w").alias("s")))).select("cell", r(F.col("w") / F.col("s"), 8).alias("weight"))
+    """Weights exp(theta.f) of each state's cells of stage 0 that move the means of coordinates and their squares half way to
+    stage 1: the target, and what the weights' mean (with the ridge's share) comes to over all cells."""
+    rows = settled(_scaled(t, 3).withColumn("f", F.concat("z", F.transform("z", lambda v: v * v))).withColumnRenamed("state", "by"))
+    means = rows.groupBy("by").agg(*(F.avg(F.when(F.col("stage") == s, F.col("f")[i])).alias(f"m{s}_{i}") for s in (0, 1) for i in range(6)))
+    goals = {g["by"]: np.array([g[f"m0_{i}"] + 0.5 * (g[f"m1_{i}"] - g[f"m0_{i}"]) for i in range(6)]) for g in means.collect()}  # a row for each state
+    found = fits.moment_tilt(rows.where("stage = 0"), goals, 0.01, 5.0)
+    theta = t.spark.createDataFrame([(s, [float(v) for v in x[0]], [float(v) for v in goals[s]]) for s, x in found.items()], f"by {dict(rows.dtypes)['by']}, theta array<double>, goal array<double>")
+    w = rows.where("stage = 0").join(theta, "by").withColumn("w", F.exp(F.aggregate(F.zip_with("f", "theta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)))
+    long = w.select("by", "w", F.posexplode(F.arrays_zip("f", "theta", "goal")).alias("i", "q"))
+    reached = F.sum(F.col("w") * F.col("q.f")) / F.sum("w") + 0.01 * F.max("q.theta")
+    return long.groupBy(F.col("by").alias("state"), (F.col("i") + 1).alias("feature")).agg(r(F.max("q.goal")).alias("target"), r(reached).alias("reached"))
 
 
-@query(f"WITH {EXPR}, lib AS (SELECT cell, sum(v) AS l FROM expr GROUP BY 1), j AS (SELECT cell, state, gene, l - v AS x, (v > 0)::INT::DOUBLE AS y FROM expr JOIN lib USING (cell)), m AS (SELECT state, gene, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + 1) AS w FROM j GROUP BY ALL) SELECT cell, gene, round(least(greatest(my + w * (x - mx), 0), 1), 6) + 0.0 AS propensity FROM j JOIN m USING (state, gene)")
+_AXES = "a AS (SELECT g AS gene, sqrt(2 / 64.0) * cos(pi() * (g - 0.5) / 64) AS a1, sqrt(2 / 64.0) * cos(2 * pi() * (g - 0.5) / 64) AS a2 FROM range(1, 65) r(g))"
+
+
+def _axes() -> np.ndarray:
+    """Two fixed axes of 64 genes, at right angles."""
+    return np.sqrt(2 / 64) * np.cos(np.pi * (np.arange(64)[:, None] + 0.5) * np.array([1, 2]) / 64)
+
+
+@query(f"WITH {EXPR}, {_AXES}, m AS (SELECT state, gene, avg(v) AS mx, avg((v > 0)::INT::DOUBLE) AS my FROM expr GROUP BY ALL), d AS (SELECT cell, state, gene, v - mx AS d, (v > 0)::INT - my AS y FROM expr JOIN m USING (state, gene)), z AS (SELECT cell, state, sum(d * a1) AS z1, sum(d * a2) AS z2 FROM d JOIN a USING (gene) GROUP BY ALL), zz AS (SELECT state, count(*) AS n, sum(z1 * z1) AS s11, sum(z1 * z2) AS s12, sum(z2 * z2) AS s22 FROM z GROUP BY 1), g AS (SELECT d.state, gene, sum(z1 * y) AS zy1, sum(z2 * y) AS zy2, sum(z1 * d) AS zx1, sum(z2 * d) AS zx2, sum(d * d) AS xx, sum(d * y) AS xy FROM d JOIN z USING (cell) GROUP BY ALL), c AS (SELECT *, s11 - 2 * zx1 * a1 + xx * a1 * a1 AS c11, s12 - zx1 * a2 - zx2 * a1 + xx * a1 * a2 AS c12, s22 - 2 * zx2 * a2 + xx * a2 * a2 AS c22, zy1 - a1 * xy AS r1, zy2 - a2 * xy AS r2 FROM g JOIN a USING (gene) JOIN zz USING (state)), p AS (SELECT *, c11 + 0.1 * greatest((c11 + c22) / 2, 1) AS q11, c22 + 0.1 * greatest((c11 + c22) / 2, 1) AS q22 FROM c), b AS (SELECT state, gene, n, a1, a2, (q22 * r1 - c12 * r2) / (q11 * q22 - c12 * c12) AS b1, (q11 * r2 - c12 * r1) / (q11 * q22 - c12 * c12) AS b2 FROM p) SELECT d.cell, d.gene, round(CASE WHEN n >= 20 THEN z1 * b1 + z2 * b2 - d * (a1 * b1 + a2 * b2) ELSE 0 END, 6) + 0.0 AS propensity FROM d JOIN z USING (cell) JOIN b ON b.state = d.state AND b.gene = d.gene")
 def l8_detection_propensity(t: Tables) -> DataFrame:
-    """How likely a cell is to show a gene, from its total without that gene: a ridge of one slope for each state and gene."""
-    e = t.expr()
-    j = e.join(e.groupBy("cell").agg(F.sum("v").alias("l")), "cell").select("cell", "state", "gene", (F.col("l") - F.col("v")).alias("x"), (F.col("v") > 0).cast("double").alias("y"))
-    slope = F.covar_pop("x", "y") * F.count("*") / (F.var_pop("x") * F.count("*") + 1)
-    m = j.groupBy("state", "gene").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), slope.alias("w"))
-    p = F.col("my") + F.col("w") * (F.col("x") - F.col("mx"))
-    return j.join(m, ["state", "gene"]).select("cell", "gene", r(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))).alias("propensity"))
+    """How a cell's two components, without the gene's own part, foretell that it shows a gene."""
+    out = fits.detection_propensity(t.cells(), _axes())
+    return out.select("cell", F.posexplode("propensity").alias("gene", "p")).select("cell", (F.col("gene") + 1).cast("long").alias("gene"), r("p").alias("propensity"))
+
+
+@query()
+def l8_propensity_of_components(t: Tables) -> DataFrame:
+    """The same by ten principal components of all cells."""
+    out = fits.detection_propensity(t.cells(), fits.principal_axes(t.cells(), "x", 64, 10))
+    return out.select("cell", F.transform("propensity", lambda v: r(v)).alias("propensity"))

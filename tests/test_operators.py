@@ -189,9 +189,10 @@ def test_kernel_and_energy_distance_equal_sums_over_pairs(spark):
     p, q = a @ axes, b @ axes
     square = lambda x, y: float(((x - y) ** 2).sum())
     pairs = [[square(x, y) for i, x in enumerate(u) for y in v[i + 1 :]] for u, v in ((p, p), (q, q))] + [[square(x, y) for x in p for y in q]]
-    width = np.median(np.concatenate(pairs))
-    want = np.mean([sum(w * np.mean(np.exp(-np.array(d) / (width * s))) for w, d in zip((1, 1, -2), pairs, strict=True)) for s in (0.25, 0.5, 1, 2, 4)])
-    assert abs(metrics.kernel_distance(a, b, 3) - want) < 1e-9
+    width = np.median(pairs[1]) + 1e-9
+    want = np.mean([sum(w * np.mean(np.exp(-np.array(d) * s / width)) for w, d in zip((1, 1, -2), pairs, strict=True)) for s in (0.25, 0.5, 1, 2, 4)])
+    assert abs(metrics.kernel_distance(a, b, b.mean(0), axes) - want) < 1e-9
+    assert abs(metrics.kernel_distance(10 * a, b, b.mean(0), axes) - want) > 1e-3
     cells = spark.createDataFrame([(i, 1, int(i >= 7), x.tolist()) for i, x in enumerate([*a, *b])], "cell long, state int, stage int, x array<double>")
     root = [[square(x, y) ** 0.5 for i, x in enumerate(u) for y in v[i + 1 :]] for u, v in ((a, a), (b, b))] + [[square(x, y) ** 0.5 for x in a for y in b]]
     assert abs(metrics.energy_distance(cells, "state", 1500).first()["energy"] - (2 * np.mean(root[2]) - np.mean(root[0]) - np.mean(root[1]))) < 1e-9
