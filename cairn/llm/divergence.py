@@ -1,7 +1,7 @@
 """Operator 12: divergence of a language's sources, by mergeable radix tries.
 
-1. Count. A task counts the terms of whole texts in a byte trie whose leaves hold, for each (lang, source) group, occurrences
-   and documents. A trie is written in pre-order: of each term the number of bytes that it shares with the one before, and the
+1. Count. A task counts the terms of whole texts (runs of letters a-z, A-Z lower-cased, and of bytes of characters beyond
+   ASCII) in byte tries whose leaves hold, for each (lang, source) group, occurrences and documents. A trie is written in pre-order: of each term the number of bytes that it shares with the one before, and the
    bytes after them. It is handed over in pieces of bounded size when the task holds enough, and at its end.
 2. Merge. The pieces' first terms, each standing for as many counters, give the splits that cut the order of bytes into ranges of
    about equal numbers of counters. Pieces are cut at splits and merged by range: equal terms meet, their counters add up. A
@@ -20,7 +20,6 @@ Rows: null text, lang and source are empty text. Each row is one document, repea
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -31,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textvec
 from .common import stored, tidy
 
-TERM = re.compile(rb"[a-z\x80-\xff]+")
-"""Of bytes whose A-Z are lower-cased: letters, and all bytes of characters beyond ASCII."""
-HELD = 300_000
-"""Leaf counters that a task holds before it hands its trie over."""
+HELD = 1 << 23
+"""Bytes of texts that a task counts in one trie."""
 PIECE = 4096
 """Leaf counters of a piece, about."""
 RANGE = 400_000
@@ -57,14 +55,37 @@ class Trie:
         self.terms, self.fan, self.grp, self.n, self.docs, self.groups = terms, fan, grp, n, docs, groups
 
     @staticmethod
-    def counted(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Trie:
-        """The trie of what a task has counted: for each group its terms' occurrences and documents."""
-        groups = list(held)
-        terms = pa.array(chain.from_iterable(n for n, _ in held.values()), pa.binary())
-        grp = np.repeat(np.arange(len(groups), dtype=np.int32), [len(n) for n, _ in held.values()])
-        n = np.fromiter(chain.from_iterable(n.values() for n, _ in held.values()), np.int64, len(terms))
-        docs = np.fromiter(chain.from_iterable(map(d.__getitem__, c) for c, d in held.values()), np.int64, len(terms))
-        return Trie.of_leaves(terms, np.arange(len(terms)), grp, n, docs, groups)
+    def counted(data: np.ndarray, ends: np.ndarray, group: np.ndarray, groups: list[tuple[str, str]]) -> Trie:
+        """The trie of texts that lie together in ``data``, each up to one of ``ends`` and of a group.
+
+        Terms are numbered in byte order, and each occurrence becomes one number of term, group and text: sorted, leaves lie together and the
+        texts of each leaf too, so occurrences and documents are lengths of runs."""
+        data = textvec.lowered(data)
+        letter = ((data - np.uint8(0x61)) < 26) | (data >= 0x80)
+        first = np.zeros(len(data) + 1, bool)
+        first[0] = True
+        first[ends] = True  # nothing runs over from one text to the next
+        begins = np.flatnonzero(letter & (first[:-1] | ~np.concatenate([[False], letter[:-1]])))
+        stops = np.flatnonzero(letter & (first[1:] | ~np.concatenate([letter[1:], [False]]))) + 1
+        if not len(begins):
+            return Trie([], *(np.zeros(0, np.int64) for _ in range(4)), groups)
+        offsets = np.concatenate([[0], np.cumsum(stops - begins)])
+        terms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data[letter])])
+        coded = terms.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        order = sorted(range(len(names)), key=names.__getitem__)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        text = np.searchsorted(ends, begins, "right")
+        width, texts = max(len(groups), 1), len(ends)
+        key = np.sort((place[coded.indices.to_numpy()] * width + group[text]) * texts + text)
+        leaf = key // texts
+        new = np.concatenate([[True], leaf[1:] != leaf[:-1]])
+        at = np.flatnonzero(new)
+        docs = np.add.reduceat(np.concatenate([[1], (key[1:] != key[:-1]).astype(np.int64)]), at)
+        n = np.diff(np.concatenate([at, [len(key)]]))
+        leaf = leaf[at]
+        return Trie([names[i] for i in order], np.bincount(leaf // width, minlength=len(order)), (leaf % width).astype(np.int32), n, docs, groups)
 
     @staticmethod
     def of_leaves(terms: pa.Array, of: np.ndarray, grp: np.ndarray, n: np.ndarray, docs: np.ndarray, groups: list[tuple[str, str]]) -> Trie:
@@ -151,32 +172,34 @@ def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
 
 
 def local_tries(docs: DataFrame, held: int = HELD) -> DataFrame:
-    """Pieces of the tries of all tasks."""
+    """Pieces of the tries of all tasks; a trie is of about ``held`` bytes of texts, or of one longer text."""
     schema = _types()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        parts: list[np.ndarray] = []
+        group: list[int] = []
+        groups: dict[tuple[str, str], int] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for piece in Trie.counted(groups).pieces():
-                yield _batch([piece.row()], schema)
+            ends = np.cumsum([len(p) for p in parts])
+            trie = Trie.counted(np.concatenate(parts), ends, np.array(group), list(groups))
+            parts.clear()
+            group.clear()
             groups.clear()
+            for piece in trie.pieces():
+                yield _batch([piece.row()], schema)
 
         size = 0
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                terms = TERM.findall(text.as_buffer().to_pybytes().lower())
-                if not terms:
-                    continue
-                n, seen = groups.setdefault((lang, source), (Counter(), Counter()))
-                size -= len(n)
-                n.update(terms)
-                seen.update(set(terms))
-                size += len(n)
-                if size > held:
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                if size and size + len(data) > held:
                     yield from out()
                     size = 0
-        if groups:
+                parts.append(data)
+                group.append(groups.setdefault((lang, source), len(groups)))
+                size += len(data)
+        if parts:
             yield from out()
         tidy()
 
@@ -238,15 +261,15 @@ def merge_tries(ranged: DataFrame, size: int, least: int) -> DataFrame:
 
     ranged, before = stored(ranged, "ranges"), None
     while True:
-        totals = ranged.groupBy("range").agg(F.sum("counters").alias("total")).where(F.col("total") > 2 * size)
-        heavy = totals.agg(F.sum("total")).first()[0] or 0
-        if not heavy or before is not None and 2 * heavy > before:
+        heavy = stored(ranged.groupBy("range").agg(F.sum("counters").alias("total")).where(F.col("total") > 2 * size), "heavy")
+        now = heavy.agg(F.sum("total")).first()[0] or 0
+        if not now or before is not None and 2 * now > before:
             break
-        before = heavy
-        slots = F.when(F.col("total").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("tail", "n"), F.ceil(F.col("total") / size)))
-        dealt = ranged.join(totals, "range", "left").withColumn("slot", slots)
-        parts = dealt.where("slot >= 0").select("slot", *ranged.columns).groupBy("range", "slot").applyInArrow(lambda key, table: merge(table.drop(["slot"])), "range int, " + PIECES)
-        ranged = stored(dealt.where("slot < 0").select(*ranged.columns).unionByName(parts), "ranges")
+        before = now
+        # Of heavy ranges there are fewer than splits, which all tasks have anyway; the others' pieces stay as they are.
+        dealt = ranged.join(F.broadcast(heavy), "range").withColumn("slot", F.pmod(F.xxhash64("tail", "n"), F.ceil(F.col("total") / size)))
+        parts = dealt.select("slot", *ranged.columns).groupBy("range", "slot").applyInArrow(merge, "range int, " + PIECES)
+        ranged = ranged.join(F.broadcast(heavy.select("range")), "range", "left_anti").unionByName(stored(parts, "ranges"))
     return ranged.groupBy("range").applyInArrow(keep, PIECES)
 
 
