@@ -111,7 +111,7 @@ def write_matrix(cells: DataFrame, genes: list[str], path: str, order: list[str]
     from cairn.operators.ranks import row_numbers
 
     spark, root, extra = cells.sparkSession, path.rstrip("/"), extra or {}
-    rows = settled(row_numbers(cells, order, "row").withColumn("row", F.col("row") - 1))
+    rows = settled(row_numbers(cells, order, "row"))
     arrays = [x, *extra.values()]
     wrong = F.lit(False)
     for c in arrays:

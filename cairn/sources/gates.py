@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators.lineage import settled
+
 SHA = "^[0-9a-fA-F]{64}$"
 
 
@@ -28,9 +30,10 @@ def digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 def documents(spark: SparkSession, root: str, schema: str, pattern: str) -> DataFrame:
     """Whole JSON files of a folder as ``doc``, null where a file is no such document; path below the root and sha256."""
-    texts = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", F.from_json(F.decode("content", "UTF-8"), schema).alias("doc"), F.sha2("content", 256).alias("sha256"))
+    texts = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"))
+    texts = texts.select("path", "sha256", F.when(F.get_json_object("text", "$").isNotNull(), F.from_json("text", schema)).alias("doc"))
     names = digests(spark, root, pattern).select("path", "sha256")
-    return texts.drop("path").join(names, "sha256").select("path", "sha256", "doc")
+    return texts.drop("path").dropDuplicates(["sha256"]).join(names, "sha256").select("path", "sha256", "doc")
 
 
 def safe(path: Column) -> Column:
@@ -93,7 +96,7 @@ def snapshot_edges(spark: SparkSession, root: str, pattern: str = "*.tsv") -> Da
 def audit_snapshots(spark: SparkSession, root: str, version: str, taxon: int, source: str | None = None, dataset: str | None = None, manifests: str = "*manifest.json") -> DataFrame:
     """The checks of all snapshot manifests below ``root``: declared source, license and query, taxon, bytes and digest of the data
     file, panel file, columns, flags, symbols, counts of edges and of panel symbols met."""
-    docs, files = documents(spark, root, SNAPSHOT, manifests), digests(spark, root)
+    docs, files = settled(documents(spark, root, SNAPSHOT, manifests)), settled(digests(spark, root))
     m = docs.select(F.col("path").alias("subject"), F.col("doc"), _parent(F.col("path")).alias("_dir"))
     told = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
     d = lambda c: F.col(f"doc.{c}")
@@ -173,7 +176,7 @@ class Rules:
 
 def audit_routes(spark: SparkSession, root: str, rules: Rules, reports: str = "gate_report*.json") -> DataFrame:
     """The checks of all reports below an artifact folder; subjects are a report's path, or path#route_id for one of its routes."""
-    docs, files = documents(spark, root, REPORT, reports).withColumnRenamed("path", "report"), digests(spark, root)
+    docs, files = settled(documents(spark, root, REPORT, reports).withColumnRenamed("path", "report")), settled(digests(spark, root))
     d = lambda c: F.col(f"doc.{c}")
     of = lambda status: F.size(F.filter(d("routes"), lambda r: r["status"] == status))
     n = F.size(d("routes"))
@@ -241,7 +244,7 @@ REVIEW = (
 def audit_roles(spark: SparkSession, root: str, role: str, task: str, policy: str, permits: str = "permit*.json") -> DataFrame:
     """The checks of all permits below a folder for one role and task: the permit, the review whose bytes it is bound to, and the policy
     whose bytes the review is bound to. A permit alone never overrides its review."""
-    files = digests(spark, root)
+    files = settled(digests(spark, root))
     p = documents(spark, root, PERMIT, permits).withColumnRenamed("path", "subject")
     reviews = documents(spark, root, REVIEW, "*.json").select(F.col("path").alias("_p"), F.col("sha256").alias("_s"), F.col("doc").alias("review"))
     met = p.drop("sha256").join(reviews, (F.col("doc.compliance_review.path") == F.col("_p")) & same(F.col("doc.compliance_review.sha256"), F.col("_s")) & safe(F.col("doc.compliance_review.path")), "left")

@@ -25,6 +25,7 @@ class Files:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.none = spark.sparkContext._gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         self.folder = folder.rstrip("/")
         self.files = self.path("").getFileSystem(self.conf)
 
@@ -47,7 +48,7 @@ class Files:
                 nio.Files.createLink(local(target), local(fresh))
             else:
                 context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.conf)
-                context.rename(fresh, target, self.jvm.org.apache.spark.api.python.PythonUtils.toArray([]) if False else self._no_options())
+                context.rename(fresh, target, self.none)
         except Exception as error:
             if self.files.exists(target):
                 raise Taken(name) from error
@@ -55,10 +56,6 @@ class Files:
         finally:
             self.files.delete(fresh, False)
 
-    def _no_options(self):
-        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
-        return self.jvm.java.lang.reflect.Array.newInstance(kind._java_lang_class if hasattr(kind, "_java_lang_class") else self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
-
     def read(self, name: str) -> str | None:
         """A file's text; None if there is none."""
         target = self.path(name)

@@ -161,8 +161,9 @@ def archived(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 def replaced(df: DataFrame, path: str, kind: str = "csv", sep: str = "\t") -> str:
-    """Text rows (csv with a header, or json) written beside ``path`` and then put in its place, so that readers see the old
-    files or the new ones, never a part. Fails, with the old ones kept, if the rows can't be written."""
+    """Text rows (csv with a header, or json) written beside ``path`` and then put in its place: never a part, but for
+    a moment between two renames nothing. Where readers can't wait, use ``ledger.commit``. Fails, with the old files kept, if
+    the rows can't be written."""
     import uuid
 
     spark = df.sparkSession
@@ -189,15 +190,30 @@ def provenance(out: DataFrame, parent: DataFrame, name: str, parent_name: str, o
     return a.join(b.select("parent_name", "parent_row"), "parent_name", "left").select("out_row", "parent_row", "out_name", "parent_name")
 
 
-def submission(cells: DataFrame, panel: list[str], path: str) -> DataFrame:
-    """A table of cells (cell, state, x; further columns go) as it is handed in: names that repeat get their number, values are
-    checked against the panel's length and sign, and the table is written once."""
-    from pyspark.sql.window import Window
+def submission(cells: DataFrame, panel: list[str], path: str, genes: list[str] | None = None, coords: str | None = None) -> DataFrame:
+    """A table of cells (cell, state, x and, if named, ``coords``; further columns go) as it is handed in, written once.
 
+    ``genes``: the genes of x, if they aren't the panel's; x is put in the panel's order, genes beyond it go, one that is lacking
+    or there twice is an error. Names that repeat get their number. Values are checked against the panel's length and sign,
+    coordinates for three finite numbers.
+    """
+    kept = ["cell", "state", "x", *([coords] if coords else [])]
+    rows = cells.select(*kept)
+    if genes is not None:
+        places = [[i for i, g in enumerate(genes) if g == name] for name in panel]
+        lacking = [g for g, at in zip(panel, places, strict=True) if len(at) != 1]
+        if lacking:
+            raise ValueError(f"genes that the cells lack or have twice: {lacking[:10]}")
+        if rows.where(F.coalesce(F.size("x") != len(genes), F.lit(True))).limit(1).count():
+            raise ValueError("rows that don't fit the panel")
+        order = F.array(*(F.lit(at[0]) for at in places))
+        rows = rows.withColumn("x", F.transform(order, lambda i: F.get("x", i)))
     again = F.row_number().over(Window.partitionBy("cell").orderBy("state", "x"))
-    named = cells.select("cell", "state", "x").withColumn("_k", again)
-    rows = named.select(F.when(F.col("_k") > 1, F.concat_ws("-", F.col("cell").cast("string"), (F.col("_k") - 1).cast("string"))).otherwise(F.col("cell").cast("string")).alias("cell"), "state", "x")
+    named = rows.withColumn("_k", again)
+    rows = named.select(F.when(F.col("_k") > 1, F.concat_ws("-", F.col("cell").cast("string"), (F.col("_k") - 1).cast("string"))).otherwise(F.col("cell").cast("string")).alias("cell"), *kept[1:])
     wrong = rows.where((F.size("x") != len(panel)) | F.coalesce(F.exists("x", lambda v: v.isNull() | F.isnan(v) | (v < 0)), F.lit(True)))
     if wrong.limit(1).count():
         raise ValueError("rows that don't fit the panel")
+    if coords and rows.where(F.coalesce((F.size(coords) < 3) | F.exists(F.slice(coords, 1, 3), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True))).limit(1).count():
+        raise ValueError("rows without three finite coordinates")
     return published(rows, path)
