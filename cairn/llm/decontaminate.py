@@ -108,10 +108,25 @@ def benchmark_windows(benchmark: DataFrame, width: int, least: int) -> DataFrame
     return rows.select("item_id", "text_id", "k", "n_windows", "n_templates", "n_wides", best["word"].alias("anchor"), best["offset"].alias("offset"), "second", "size", F.size("item_words").alias("span"), "template", "wide", plain.alias("plain"), "item_words")
 
 
+def _fits(df: DataFrame, row_bytes: Column) -> bool:
+    """Whether the rows come to ``BROADCAST_BYTES`` at most."""
+    return (df.agg(F.sum(row_bytes + 32).alias("n")).first()["n"] or 0) <= BROADCAST_BYTES
+
+
 def _small(df: DataFrame, row_bytes: Column) -> DataFrame:
     """``df`` with a broadcast hint if its rows come to ``BROADCAST_BYTES`` at most."""
-    size = df.agg(F.sum(row_bytes + 32).alias("n")).first()["n"] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if _fits(df, row_bytes) else df
+
+
+def _met(words: DataFrame, by_anchor: DataFrame) -> DataFrame:
+    """Words that are anchors, with their document's words and the anchor's places.
+
+    A benchmark too large to be broadcast is met by the words' hashes alone; what is hit then fetches its document's words, by
+    one shuffle of the documents, whatever their length. Documents of equal id and text are fetched once."""
+    if _fits(by_anchor, F.size("places") * 64):
+        return words.join(F.broadcast(by_anchor), "anchor")
+    hits = words.select("doc_key", "place", "anchor").join(by_anchor, "anchor").drop("anchor")
+    return words.select("doc_id", "doc_key", "words").where("place = 0").dropDuplicates(["doc_key"]).join(hits.distinct(), "doc_key")
 
 
 def _forms(plain: Column, template: Column, wide: Column) -> Column:
@@ -129,7 +144,7 @@ def _matches(words: DataFrame, windows: DataFrame) -> DataFrame:
     by_anchor = windows.groupBy(F.xxhash64("anchor").alias("anchor")).agg(F.collect_set(F.struct("offset", "second", "size", "span")).alias("places"), *reach)
     begin = F.greatest(F.col("place") - F.col("back"), F.lit(0))
     around = F.slice("words", begin + 1, F.col("place") - begin + F.col("ahead"))
-    near = words.join(_small(by_anchor, F.size("places") * 64), "anchor").select("doc_id", "doc_key", "place", begin.alias("begin"), around.alias("around"), "places")
+    near = _met(words, by_anchor).select("doc_id", "doc_key", "place", begin.alias("begin"), around.alias("around"), "places")
     near = near.select("doc_id", "doc_key", "begin", "around", "place", F.explode("places").alias("p"))  # apart, so that what is around is made once a hit
     near = near.select("doc_id", "doc_key", "begin", "around", (F.col("place") - F.col("p.offset")).alias("at"), "p.*").where("at >= 0")
     start = F.col("at") - F.col("begin")

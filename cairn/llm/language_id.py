@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
@@ -84,15 +84,16 @@ def clustered(x: np.ndarray, k: int, seed: int = 5, rounds: int = 15) -> np.ndar
 def train(docs: DataFrame, per_language: int = 1500, total: int = 12_000, k: int = 4, quantile: float = 0.01, margin: float = 0.2) -> dict:
     """Learns from docs (doc_id, text, lang). The sample, at most ``total`` rows, is all that reaches the driver.
 
-    Of each language about ``per_language`` rows are taken, or its share of ``total``, by a hash of the id.
+    Of each language ``per_language`` rows at most are taken, or its share of ``total``: those of the smallest hashes of the id,
+    of rows that repeat an id those of the smallest hashes of the text. Rows are cut by rank in the tasks before they are collected.
     """
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    sizes = {r["lang"]: (r["n"], r["least"]) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.min(slot).alias("least")).collect()}
     if not sizes:
         return {"langs": []}
     each = max(1, min(per_language, total // len(sizes)))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    limit = F.create_map(*(F.lit(y) for lang, n in sizes.items() for y in (lang, min(1 << 30, int((1 << 30) * 1.1 * each / n) + 1))))
+    limit = F.create_map(*(F.lit(y) for lang, (n, least) in sizes.items() for y in (lang, max(least + 1, min(1 << 30, int((1 << 30) * 1.1 * each / n) + 1)))))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,9 +102,12 @@ def train(docs: DataFrame, per_language: int = 1500, total: int = 12_000, k: int
                 row, feature = np.nonzero(x)
                 ends = pa.array(np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (feature.astype(np.int32), x[row, feature])]
-                yield pa.RecordBatch.from_arrays([*lists, *(c.slice(chunk.lo, len(x)) for c in batch.columns[1:])], ["feature", "value", "lang", "slot"])
+                yield pa.RecordBatch.from_arrays([*lists, *(c.slice(chunk.lo, len(x)) for c in batch.columns[1:])], ["feature", "value", "lang", "slot", "tie"])
 
-    table = known.withColumn("slot", slot).where(F.col("slot") < limit[F.col("lang")]).select("text", "lang", "slot").mapInArrow(rows, "feature array<int>, value array<float>, lang string, slot long").toArrow()
+    near = known.withColumns({"slot": slot, "tie": F.xxhash64("text")}).where(F.col("slot") < limit[F.col("lang")])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("slot", "tie"))
+    featured = near.select("text", "lang", "slot", "tie").mapInArrow(rows, "feature array<int>, value array<float>, lang string, slot long, tie long")
+    table = featured.withColumn("rank", first).where(F.col("rank") <= each).drop("rank", "tie").toArrow()
     table = table.sort_by([("slot", "ascending")])
     lang = np.array(table["lang"].to_pylist(), object)
     feature, value = table["feature"], table["value"]

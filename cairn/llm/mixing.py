@@ -10,7 +10,7 @@ blocks by a keyed bijection; a document's key in the pass is its block's new num
 budget ends is found by token sums of ranges of keys, from coarse to fine down to one block, and then by running sums inside
 that block. So no window holds a source, however large, and no document is shuffled: its passes follow from its key.
 
-Rows: a null source is a source of its own (``null``); a null text has no tokens; repeated rows are documents each, with one
+Rows: a null source is a source of its own, apart from one that is named ``null``; a null text has no tokens; repeated rows are documents each, with one
 hash, and come or stay away together; a null doc_id is hashed by its text instead. Without tokens all weights are equal and
 every document comes once.
 """
@@ -187,7 +187,8 @@ def slim(docs: DataFrame) -> DataFrame:
 
 
 def _source() -> Column:
-    return F.coalesce(F.col("source"), F.lit("null"))
+    """The source's name; ``null`` for none, so what is named that, with any NULs after it, gets one more NUL."""
+    return F.when(F.col("source").isNull(), F.lit("null")).when(F.col("source").rlike("^null\\x00*$"), F.concat("source", F.lit("\x00"))).otherwise(F.col("source"))
 
 
 def scheduled(docs: DataFrame, mix: dict, seed: int, places: bool = True) -> DataFrame:

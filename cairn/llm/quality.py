@@ -125,10 +125,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> dict:
                 row, feature = np.nonzero(marks(chunk))
                 ends = np.searchsorted(row, np.arange(chunk.hi - chunk.lo + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(chunk.lo, chunk.hi - chunk.lo)], ["features", "y"])
+                yield pa.RecordBatch.from_arrays([lists, *(c.slice(chunk.lo, chunk.hi - chunk.lo) for c in batch.columns[1:])], ["features", "y", "h", "tie"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").limit(sample)
-    table = texts.mapInArrow(rows, "features array<int>, y int").toArrow()
+    # Features are taken before rows are put in order: no task gets the sample's texts.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("tie"))
+    table = texts.mapInArrow(rows, "features array<int>, y int, h long, tie long").orderBy("h", "tie").select("features", "y").limit(sample).toArrow()
     lists = table["features"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() if len(lists) else np.zeros(1, np.int32)
