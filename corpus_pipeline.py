@@ -34,7 +34,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = jaccard_join.jaccard_join(docs, width=5, num=80, den=100)
     ident, text, row, gone = (free_name(docs.columns, c) for c in ("_id", "_text", "_row", "_gone"))
-    hashed = {text: F.xxhash64("text"), row: F.xxhash64(*docs.columns)}
+    # Maps have no hash, but their text has.
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    hashed = {text: F.xxhash64("text"), row: F.xxhash64(*plain)}
     linked = joined.where("component_id != doc_id").select(F.col("doc_id").alias(ident), F.lit(True).alias(gone)).distinct()
     slim = docs.where("doc_id is not null").select(F.col("doc_id").alias(ident), *(h.alias(c) for c, h in hashed.items()))
     texts = slim.groupBy(ident, text).agg(F.count("*").alias("n"), F.min(row).alias(f"{row}_least")).join(linked, ident, "left")
@@ -42,7 +44,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     bad = texts.where((F.col("n") > 1) | F.col(gone)).select(F.col(ident).alias(f"{ident}_bad"), F.col(text).alias(f"{text}_bad"), f"{row}_least", F.coalesce(gone, F.lit(False)).alias(gone))
     marked = docs.withColumns(hashed).join(bad, (F.col("doc_id") == F.col(f"{ident}_bad")) & (F.col(text) == F.col(f"{text}_bad")), "left")
     several = marked.where(~F.col(gone) & (F.col(row) == F.col(f"{row}_least"))).dropDuplicates(["doc_id", text])
-    return marked.where(F.col(f"{ident}_bad").isNull()).select(*docs.columns).unionByName(several.select(*docs.columns))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where(F.col(f"{ident}_bad").isNull()).select(*kept).unionByName(several.select(*kept))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
