@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -156,20 +158,29 @@ def row_numbers(df: DataFrame, order: list[str], name: str = "row") -> DataFrame
     return rows.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_before")
 
 
-def medians(df: DataFrame, by: list[str], value: str, out: str = "median") -> DataFrame:
-    """The exact median of each group (the mean of both middle values), without sorting the group.
+def order_statistics(df: DataFrame, by: list[str], value: str, share: float, places: dict) -> DataFrame:
+    """Values of each group at given places of their order, without sorting the group. Nulls do not count.
 
-    Approximate percentiles bracket the middle; values within the bracket are counted and passed in order, all others only
-    counted. Nulls do not count. Rank errors of the bracket stay below its width, whatever the size.
+    places: names, and for each a function of the group's size that gives a place from 1, no less than ``share`` of the size.
+    Approximate percentiles bracket the places; values within the bracket are counted and passed in order, all others only
+    counted. Rank errors of the percentiles stay below the bracket's margin, whatever the size.
     """
+    ends = [max(share - 5e-4, 0.0), *sorted({min(share + d, 1.0) for d in (5e-4, 5e-3, 5e-2)} | {1.0})]
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    ends = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", F.array(F.lit(0.4995), F.lit(0.5005)), 10_000).alias("_p"))
-    ends = settled(ends.select(*by, "_n", F.col("_p")[0].alias("_lo"), F.col("_p")[1].alias("_hi")))
-    met = rows.join(ends, by).where(F.col("_v") <= F.col("_hi"))
+    found = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*map(F.lit, ends)), 10_000).alias("_p"))
+    last = functools.reduce(F.greatest, (f(F.col("_n")) for f in places.values()))
+    # The first end that lies beyond the last place, the margin of error taken off.
+    high = F.coalesce(*(F.when(F.col("_n") * (e - 1e-4) >= last, F.col("_p")[i]) for i, e in enumerate(ends) if i), F.col("_p")[len(ends) - 1])
+    found = settled(found.select(*by, "_n", F.col("_p")[0].alias("_lo"), high.alias("_hi")))
+    met = rows.join(found, by).where(F.col("_v") <= F.col("_hi"))
     least = F.when(F.col("_v") < F.col("_lo"), F.lit(None)).otherwise(F.col("_v"))  # all below the bracket count as one
     counts = met.groupBy(*by, least.alias("_v")).agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
-    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("_v")))
-    placed = counts.withColumn("_to", upto)
-    covers = lambda k: (F.col("_to") - F.col("_c") < k) & (F.col("_to") >= k)
-    middle = [F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1]
-    return placed.groupBy(*by).agg(((F.max(F.when(covers(middle[0]), F.col("_v"))) + F.max(F.when(covers(middle[1]), F.col("_v")))) / 2).alias(out))
+    placed = counts.withColumn("_to", F.sum("_c").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("_v"))))
+    at = lambda k: F.max(F.when((F.col("_to") - F.col("_c") < k) & (F.col("_to") >= k), F.col("_v")))
+    return placed.groupBy(*by).agg(*(at(f(F.col("_n"))).alias(name) for name, f in places.items()))
+
+
+def medians(df: DataFrame, by: list[str], value: str, out: str = "median") -> DataFrame:
+    """The exact median of each group: the mean of both middle values."""
+    two = order_statistics(df, by, value, 0.5, {"_a": lambda n: F.floor((n + 1) / 2), "_b": lambda n: F.floor(n / 2) + 1})
+    return two.select(*by, ((F.col("_a") + F.col("_b")) / 2).alias(out))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (  # noqa: F401  registered on import
     file_queries,
+    invariant_queries,
     join_queries,
     matrix_queries,
     metric_queries,

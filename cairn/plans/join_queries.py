@@ -215,13 +215,16 @@ def a23_board_maximum(t: Tables) -> DataFrame:
     return evidence.board_maximum(_ledger(t), ["scored", "final"]).select("board", "version", "idx", r("score").alias("score"))
 
 
-_EDGES = "e AS (SELECT DISTINCT 'P' || l_partkey % 40 AS src, 'p' || (l_suppkey * 7 + l_linenumber) % 40 AS dst, CASE WHEN l_returnflag <> 'N' AND l_linestatus = 'O' THEN 1 WHEN l_returnflag <> 'N' THEN -1 END AS sign FROM lineitem)"
+_EDGES = "e AS (SELECT DISTINCT 'P' || a.l_partkey AS src, 'p' || b.l_partkey AS dst, CASE WHEN a.l_returnflag <> 'N' AND a.l_linestatus = 'O' THEN 1 WHEN a.l_returnflag <> 'N' THEN -1 END AS sign FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"
 
 
 def _edges(t: Tables) -> DataFrame:
-    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    """Parts that follow each other in an order, as signed edges: a graph that grows with the table."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     directed, up = F.col("l_returnflag") != "N", F.col("l_linestatus") == "O"
-    return t("lineitem").select(name("P", F.col("l_partkey") % 40).alias("src"), name("p", (F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 40).alias("dst"), evidence.edge_sign(directed, up, ~up).alias("sign")).distinct()
+    a = t("lineitem").select("l_orderkey", F.col("l_linenumber").alias("at"), name("P", "l_partkey").alias("src"), evidence.edge_sign(directed, up, ~up).alias("sign"))
+    b = t("lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("at"), name("p", "l_partkey").alias("dst"))
+    return a.join(b, ["l_orderkey", "at"]).select("src", "dst", "sign").distinct()
 
 
 @query(f"WITH RECURSIVE {_EDGES}, s AS (SELECT DISTINCT lower(src) AS src, lower(dst) AS dst, sign FROM e WHERE sign IS NOT NULL), p AS (SELECT DISTINCT src AS source, src AS target, 0 AS hops, [src] AS path, 1 AS sign FROM s WHERE src IN ('p1', 'p2', 'p3') UNION ALL SELECT source, s.dst, hops + 1, list_append(path, s.dst), p.sign * s.sign FROM p JOIN s ON s.src = p.target WHERE hops < 3 AND NOT list_contains(path, s.dst)) SELECT source, target, hops, array_to_string(path, '>') AS path, sign FROM p WHERE hops > 0")
@@ -230,9 +233,9 @@ def x22_signed_paths(t: Tables) -> DataFrame:
     return evidence.signed_paths(_edges(t), sources, 3)
 
 
-@query(f"WITH {_EDGES} SELECT lower(src) AS src, lower(dst) AS dst, -max(sign) AS effect, count(DISTINCT sign) > 1 AS conflict, count(*) FILTER (sign IS NULL) > 0 AS unresolved FROM e WHERE lower(src) IN ('p1', 'p2', 'p3', 'p4', 'p5') GROUP BY 1, 2")
+@query(f"WITH {_EDGES} SELECT lower(src) AS src, lower(dst) AS dst, -max(sign) AS effect, count(DISTINCT sign) > 1 AS conflict, count(*) FILTER (sign IS NULL) > 0 AS unresolved FROM e GROUP BY 1, 2")
 def x23_x24_edge_evidence(t: Tables) -> DataFrame:
-    rows = _edges(t).withColumns({"src": F.lower("src"), "dst": F.lower("dst")}).where(F.col("src").isin("p1", "p2", "p3", "p4", "p5"))
+    rows = _edges(t).withColumns({"src": F.lower("src"), "dst": F.lower("dst")})
     return rows.groupBy("src", "dst").agg((-F.max("sign")).alias("effect"), (F.count_distinct("sign") > 1).alias("conflict"), (F.count_if(F.col("sign").isNull()) > 0).alias("unresolved"))
 
 

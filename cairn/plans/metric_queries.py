@@ -232,12 +232,10 @@ def o5_o6_barycentric(t: Tables) -> DataFrame:
 
 @query("WITH k AS (SELECT event_type, abs(value - 50) AS s, row_number() OVER (PARTITION BY event_type ORDER BY abs(value - 50), event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(s, 6) + 0.0 AS radius FROM k WHERE k = least(n, ceil((n + 1) * 0.9))")
 def o11_conformal_radius(t: Tables) -> DataFrame:
-    from cairn.operators.ranks import top_k
+    from cairn.operators.ranks import order_statistics
 
     e = t("events").withColumn("s", F.abs(F.col("value") - 50))
-    n = e.groupBy("event_type").agg(F.count("*").alias("n"))
-    k = top_k(e, ["event_type"], ["s", "event_id"], 1 << 30).join(n, "event_type")
-    return k.where(F.col("position") == F.least(F.col("n"), F.ceil((F.col("n") + 1) * 0.9))).select("event_type", r("s").alias("radius"))
+    return order_statistics(e, ["event_type"], "s", 0.9, {"radius": lambda n: F.least(n, F.ceil((n + 1) * 0.9))}).select("event_type", r("radius").alias("radius"))
 
 
 @query("WITH p AS (SELECT event_type, event_id % 8 AS part, avg(value) - 50 AS m FROM events GROUP BY ALL), s AS (SELECT event_type, avg(m) AS mu, var_samp(m) AS v, min(m) AS lo, max(m) AS hi, avg(sign(m)) AS agree FROM p GROUP BY 1) SELECT event_type, round(mu * mu / (mu * mu + v), 6) + 0.0 AS weight, lo * hi > 0 AS same_sign, round(abs(agree), 6) + 0.0 AS stability FROM s")

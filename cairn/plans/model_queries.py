@@ -19,7 +19,7 @@ def s4_panel(t: Tables) -> DataFrame:
     lines = t("part").select(F.concat(F.lit(" "), "p_type").alias("value"), F.col("p_partkey").alias("line"))
     rows = readers.panel(lines)
     first = rows.groupBy("gene").agg(F.min("gene_pos").alias("p"), F.max("occurs").alias("occurs"))
-    return first.withColumn("gene_pos", F.row_number().over(Window.orderBy("p")).cast("long")).select("gene", "gene_pos", "occurs")
+    return ranks.row_numbers(first, ["p"], "gene_pos").select("gene", (F.col("gene_pos") + 1).alias("gene_pos"), "occurs")
 
 
 _MM = "mm AS (SELECT l_orderkey % 500 + 1 AS row, l_partkey % 90 + 1 AS col, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"

@@ -133,14 +133,18 @@ def l14_joint_donors(t: Tables) -> DataFrame:
     return a.join(donors, ["state", "at"]).select("cell", "donor")
 
 
-@query()
-def y23_rank_gaussian_blend(t: Tables) -> DataFrame:
-    """Entries dealt out by a blend of their own rank and that of a neighbour-gene prediction; multisets stay."""
+def blended(t: Tables) -> DataFrame:
+    """Entries dealt out by a blend of their own rank and that of a neighbour-gene prediction."""
     e = t.expr().withColumn("z", ranks.normal_quantile(ranks.normalised_rank("v", ["state", "gene"])))
     b = t.spark.range(1, 65).select(F.col("id").alias("gene")).crossJoin(F.broadcast(t.spark.range(1, 65).select(F.col("id").alias("to"))))
     b = b.where("gene <> to").withColumn("w", F.lit(0.4) / F.abs(F.col("gene") - F.col("to")))
     c = e.join(F.broadcast(b), "gene").groupBy("cell", F.col("to").alias("gene")).agg(F.round(F.sum(F.col("z") * F.col("w")), 9).alias("conditional"))
-    return ranks.copula_restored(e.join(c, ["cell", "gene"]), ["state", "gene"], "v", "conditional", 0.5, "cell").select("cell", "gene", r("restored").alias("restored"))
+    return ranks.copula_restored(e.join(c, ["cell", "gene"]), ["state", "gene"], "v", "conditional", 0.5, "cell")
+
+
+@query()
+def y23_rank_gaussian_blend(t: Tables) -> DataFrame:
+    return blended(t).select("cell", "gene", r("restored").alias("restored"))
 
 
 @query()

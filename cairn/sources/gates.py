@@ -226,7 +226,7 @@ def audit_routes(spark: SparkSession, root: str, rules: Rules, reports: str = "g
 
 def active_routes(spark: SparkSession, root: str, checks: DataFrame, reports: str = "gate_report*.json") -> DataFrame:
     """report, route_id and files of the routes that may be used: their own checks and their report's passed, and their status is PASS."""
-    good = verdicts(checks).where("passed").select("subject")
+    good = settled(verdicts(checks).where("passed").select("subject"))
     routes = documents(spark, root, REPORT, reports).select(F.col("path").alias("report"), F.explode("doc.routes").alias("r")).where("r.status = 'PASS'")
     routes = routes.withColumn("subject", F.concat_ws("#", "report", "r.route_id")).join(good, "subject").join(good.withColumnRenamed("subject", "report"), "report")
     return routes.select("report", "r.route_id", *(f"r.{x}_{y}" for x in ("prior", "evidence", "artifact_manifest") for y in ("path", "sha256")))

@@ -29,15 +29,14 @@ def panel(lines: DataFrame) -> DataFrame:
     """gene, gene_pos of a list of one symbol a line, with how often each occurs (1 in a sound panel)."""
     rows = lines.select(F.trim("value").alias("gene"), "line").where("gene <> ''")
     n = rows.groupBy("gene").agg(F.count("*").alias("occurs"))
-    # A panel is a list of columns, some ten thousand at most: one window over it is its order.
-    return rows.join(F.broadcast(n), "gene").withColumn("gene_pos", F.row_number().over(Window.orderBy("line"))).select("gene", "gene_pos", "occurs")
+    return row_numbers(rows.join(n, "gene"), ["line"], "gene_pos").select("gene", (F.col("gene_pos") + 1).alias("gene_pos"), "occurs")
 
 
 def aligned(entries: DataFrame, names: DataFrame, wanted: DataFrame) -> DataFrame:
     """Entries in the panel's order; genes that the panel lacks go. names: gene_pos, gene; wanted: gene, gene_pos."""
     target = wanted.select("gene", F.col("gene_pos").alias("target"))
     mapping = names.join(target, "gene").select(F.col("gene_pos").alias("gene"), "target")
-    return entries.join(F.broadcast(mapping), "gene").drop("gene").withColumnRenamed("target", "gene")
+    return entries.join(mapping, "gene").drop("gene").withColumnRenamed("target", "gene")
 
 
 def matrix_market(lines: DataFrame, nnz: int | None = None) -> DataFrame:

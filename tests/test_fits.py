@@ -176,3 +176,38 @@ def test_matching_is_the_greedy_one(spark):
     df = spark.createDataFrame(plan, "src long, dst long, mass double").repartition(3)
     assert sorted(tuple(r) for r in geometry.matched(df).collect()) == sorted(want)
     assert geometry.matched(df.limit(0)).count() == 0
+
+
+def test_position_ridge_and_spline_hurdle_solve_their_equations(spark, sf_dir):
+    """The registered fits against normal equations over all cells."""
+    from cairn.plans import catalog
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.maximum(np.array([r["embedding"] for r in rows], float), 0)
+    at = np.array([r["embedding"][:3] for r in rows], float)
+    state = np.array([r["label"] for r in rows])
+    for r in catalog.QUERIES["a29_a30_position_ridge"](spark, sf_dir).where("gene <= 3").collect():
+        mine = state == r["state"]
+        b = np.column_stack([np.ones(mine.sum()), at[mine]])
+        w = np.array([r["w0"], r["wx"], r["wy"], r["wz"]])
+        assert np.abs(b.T @ (x[mine, r["gene"] - 1] - b @ w) - 0.1 * np.array([0, 1, 1, 1]) * w).max() < 1e-5
+    a = x[:, 0]
+    b = np.column_stack([np.ones(len(a)), a, *(np.maximum(a - k, 0) for k in (0.05, 0.1, 0.2))])
+    for r in catalog.QUERIES["y27_spline_hurdle"](spark, sf_dir).where("gene <= 4").collect():
+        v = x[:, r["gene"] - 1]
+        on = v > 0
+        for w, y, use in ((r["presence"], on.astype(float), np.ones(len(v), bool)), (r["mean"], v, on)):
+            assert np.abs(b[use].T @ (y[use] - b[use] @ w) - w).max() < 1e-5
+
+
+def test_interpolated_clouds_have_the_interpolated_mean(spark, sf_dir):
+    from cairn.plans import catalog
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    at = {s: np.array([r["embedding"][:3] for r in rows if r["vec_id"] % 2 == s], float) for s in (0, 1)}
+    got = np.array([[r["x"], r["y"], r["z"]] for r in catalog.QUERIES["g5_o10_bures_interpolation"](spark, sf_dir).collect()])
+    assert np.allclose(got.mean(0), (at[0].mean(0) + at[1].mean(0)) / 2, atol=1e-5)
+    a, b = (np.cov(at[s].T, bias=True) for s in (0, 1))
+    power = lambda c, p: (np.linalg.eigh(c)[1] * np.linalg.eigh(c)[0] ** p) @ np.linalg.eigh(c)[1].T
+    half = 0.5 * np.eye(3) + 0.5 * power(a, -0.5) @ power(power(a, 0.5) @ b @ power(a, 0.5), 0.5) @ power(a, -0.5)
+    assert np.allclose(np.cov(got.T, bias=True), half @ a @ half.T, atol=1e-5)
