@@ -37,7 +37,7 @@ HELD = 1 << 23
 """Bytes of texts that a task counts in one trie."""
 PIECE = 4096
 """Leaf counters of a piece, about."""
-RANGE = 400_000
+RANGE = 250_000
 """Leaf counters that meet in one range, about, before they are merged."""
 SPLIT_BYTES = 64
 """A split is cut after so many bytes; terms alike for longer stay in one range."""

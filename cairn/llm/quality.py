@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
@@ -115,7 +115,8 @@ def score(model: dict, chunk: textvec.Chunk) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> dict:
-    """Fits on documents (doc_id, text) with labels (doc_id, quality); ``sample`` bounds the rows, sent to the driver."""
+    """Fits on documents (doc_id, text) with labels (doc_id, quality); ``sample`` bounds the rows, sent to the driver: as
+    many ids of the smallest hashes at most, and of each id the row of the smallest hash of the text."""
     mean = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"))
     chosen = mean.select("doc_id", (F.col("q") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -125,11 +126,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> dict:
                 row, feature = np.nonzero(marks(chunk))
                 ends = np.searchsorted(row, np.arange(chunk.hi - chunk.lo + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([lists, *(c.slice(chunk.lo, chunk.hi - chunk.lo) for c in batch.columns[1:])], ["features", "y", "h", "tie"])
-
-    # Features are taken before rows are put in order: no task gets the sample's texts.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("tie"))
-    table = texts.mapInArrow(rows, "features array<int>, y int, h long, tie long").orderBy("h", "tie").select("features", "y").limit(sample).toArrow()
+                yield pa.RecordBatch.from_arrays([lists, *(c.slice(chunk.lo, chunk.hi - chunk.lo) for c in batch.columns[1:])], ["features", "y", "h", "tie", "doc_id"])
+
+    # Features are taken before rows are put in order: no task gets the sample's texts. Of an id's rows one is learned from.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("tie"), "doc_id")
+    kind = dict(texts.dtypes)["doc_id"]
+    featured = texts.mapInArrow(rows, f"features array<int>, y int, h long, tie long, doc_id {kind}")
+    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("tie"))
+    table = featured.withColumn("nth", once).where("nth = 1").select("features", "y", "h", "doc_id").toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
     lists = table["features"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() if len(lists) else np.zeros(1, np.int32)
