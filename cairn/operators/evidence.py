@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import settled
+
 
 def conflicts(votes: DataFrame, keys: list[str]) -> DataFrame:
     """A group with both signs is in conflict: its signed rows become 0, the raw sign stays beside."""
@@ -57,20 +59,29 @@ def edge_sign(directed: Column, stimulates: Column, inhibits: Column) -> Column:
     return F.when(directed & stimulates & ~inhibits, 1).when(directed & inhibits & ~stimulates, -1)
 
 
-def signed_paths(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
-    """Paths without revisits (names in lower case) from the sources, with the product of signs.
+def signed_paths(edges: DataFrame, sources: DataFrame, max_hops: int, targets: DataFrame | None = None) -> DataFrame:
+    """Paths without revisits (names in lower case) from the sources, with the product of signs; to the targets, if named.
 
-    edges: src, dst, sign; sources: src. One equi-join a hop; the number of hops is a small parameter.
+    edges: src, dst, sign; sources: src; targets: dst. One equi-join a hop; the number of hops is a small parameter. With targets
+    a path goes on only where one of them is within the hops that are left: what leads nowhere is never made.
     """
     step = edges.select(F.lower("src").alias("src"), F.lower("dst").alias("dst"), "sign").where("sign is not null").distinct()
     at = sources.select(F.lower("src").alias("source")).distinct()
     paths = at.select("source", F.col("source").alias("end"), F.array("source").alias("path"), F.lit(1).alias("sign"))
     out = None
-    for _ in range(max_hops):
-        e = step.select(F.col("src").alias("end"), F.col("dst"), F.col("sign").alias("s"))
+    goals = None if targets is None else settled(targets.select(F.lower("dst").alias("dst")).distinct())
+    # Of nodes those from which a target is at most so many hops away.
+    near = [] if goals is None else [goals]
+    while near and len(near) < max_hops:
+        back = step.join(near[-1], "dst", "left_semi").select(F.col("src").alias("dst"))
+        near.append(settled(near[-1].union(back).distinct()))
+    for hop in range(max_hops):
+        on = step if goals is None else step.join(near[max_hops - 1 - hop], "dst", "left_semi")
+        e = on.select(F.col("src").alias("end"), F.col("dst"), F.col("sign").alias("s"))
         paths = paths.join(e, "end").where(~F.array_contains("path", F.col("dst")))
         paths = paths.select("source", F.col("dst").alias("end"), F.array_append("path", F.col("dst")).alias("path"), (F.col("sign") * F.col("s")).alias("sign"))
         out = paths if out is None else out.unionByName(paths)
+    out = out if goals is None else out.join(goals.withColumnRenamed("dst", "end"), "end", "left_semi")
     return out.select("source", F.col("end").alias("target"), (F.size("path") - 1).alias("hops"), F.array_join("path", ">").alias("path"), "sign")
 
 

@@ -361,3 +361,49 @@ def kernel_predictor(train: DataFrame, new: DataFrame, alpha: float, rank: int |
                 yield pd.DataFrame({"id": batch["id"], "prediction": (level + features.of(np.stack(batch["x"].to_list())) @ weights).tolist()})
 
     return new.select("id", "x").mapInPandas(predict, f"id {dict(new.dtypes)['id']}, prediction array<double>")
+
+
+def term_embedding(entries: DataFrame, rank: int, tolerance: float = 1e-9, rounds: int = 200, spare: int = 8, seed: int = 7) -> DataFrame:
+    """row, embedding: rows of a sparse table (row, term, v) on its leading ``rank`` left singular vectors, times the singular
+    values, at length 1; zeros for a row without weight there.
+
+    Subspace iteration: a block of vectors goes through the table to the terms and back, by two joins with sums, and is made
+    orthonormal by its Gram matrix, a small square of numbers that alone reaches the driver. ``spare`` vectors more than are asked for
+    go along, so that it ends sooner: when the leading singular values stand still; raises if they do not. A vector's
+    largest component is positive.
+    """
+    block = rank + spare
+    entries = settled(entries.select("row", "term", F.col("v").cast("double").alias("v")))
+    start = [F.hash("row", F.lit(seed + k)) / float(1 << 31) for k in range(block)]
+    q = entries.select("row").distinct().select("row", *(c.alias(f"q{k}") for k, c in enumerate(start)))
+    names, values = [f"q{k}" for k in range(block)], None
+
+    def gram(df: DataFrame) -> np.ndarray:
+        pairs = [(i, j) for i in range(block) for j in range(i, block)]
+        row = df.agg(*(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"g{i}_{j}") for i, j in pairs)).first()
+        return np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(block)] for i in range(block)])
+
+    def turned(df: DataFrame, m: np.ndarray) -> DataFrame:
+        return df.select("row", *(sum((F.col(f"q{i}") * float(m[i, k]) for i in range(len(m))), F.lit(0.0)).alias(f"q{k}") for k in range(m.shape[1])))
+
+    for _ in range(rounds):
+        size, axes = np.linalg.eigh(gram(q))
+        q = turned(q, axes / np.sqrt(np.maximum(size, 1e-300)) * (size > 1e-14 * size.max()))
+        terms = entries.join(q, "row").groupBy("term").agg(*(F.sum(F.col("v") * F.col(n)).alias(n) for n in names))
+        z = settled(entries.join(terms, "term").groupBy("row").agg(*(F.sum(F.col("v") * F.col(n)).alias(n) for n in names)))
+        g = gram(z)
+        now = np.sqrt(np.maximum(np.linalg.eigvalsh(g)[::-1], 0))[:rank]  # squares of singular values, near the end
+        if values is not None and np.abs(now - values).max() <= tolerance * max(now[0], 1e-300):
+            break
+        q, values = z, now
+    else:
+        raise ValueError("singular values still move")
+    # At the end z = A A' q with q orthonormal in the space of the leading vectors: its own axes are the singular vectors.
+    size, axes = np.linalg.eigh(g)
+    size, axes, whole = size[::-1][:rank], axes[:, ::-1][:, :rank], size.max()
+    u = settled(turned(z, axes / np.sqrt(np.maximum(size, 1e-300)) * (size > 1e-14 * whole)))
+    names = names[:rank]
+    top = u.agg(*(F.max_by(n, F.struct(F.round(F.abs(n), 9), "row")).alias(n) for n in names)).first()
+    scaled = turned(u, np.diag([np.sign(top[n] or 1.0) * np.sqrt(np.sqrt(max(s, 0.0))) for n, s in zip(names, size, strict=True)]))
+    length = F.sqrt(sum((F.col(n) * F.col(n) for n in names), F.lit(0.0)))
+    return scaled.select("row", F.array(*(F.when(length > 1e-12, F.col(n) / length).otherwise(0.0) for n in names)).alias("embedding"))

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import portions
+
 AXES = ("x", "y", "z")
 
 
@@ -71,10 +73,12 @@ def warped(points: DataFrame, aspect: tuple[float, float, float]) -> DataFrame:
 
 
 def gaussian_field(points: DataFrame, anchors: DataFrame, beta: float) -> DataFrame:
-    """Sum over anchors (x, y, z, w) of w exp(-d^2 / 2 beta^2); anchors are few and travel as one array."""
-    every = F.broadcast(anchors.agg(F.collect_list(F.struct(*AXES, "w")).alias("_a")))
+    """Sum over anchors (x, y, z, w) of w exp(-d^2 / 2 beta^2); anchors travel as arrays of bounded size, one after the other."""
     term = lambda a: a["w"] * F.exp(-sum((F.pow(F.col(c) - a[c], 2) for c in AXES), F.lit(0.0)) / (2 * beta * beta))
-    return points.crossJoin(every).withColumn("field", F.aggregate(F.transform("_a", term), F.lit(0.0), lambda s, v: s + v)).drop("_a")
+    out = points.withColumn("field", F.lit(0.0))
+    for every in portions(anchors, AXES, F.struct(*AXES, "w"), "_a"):
+        out = out.crossJoin(every).withColumn("field", F.col("field") + F.aggregate(F.transform("_a", term), F.lit(0.0), lambda s, v: s + v)).drop("_a")
+    return out
 
 
 def psd_root(c: np.ndarray, power: float = 0.5) -> np.ndarray:

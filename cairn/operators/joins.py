@@ -48,13 +48,26 @@ def squared_distance(a: Column, b: Column) -> Column:
 def nearest(rows: DataFrame, centres: DataFrame, x: str, name: str, centre: str, score, ident: str, largest_name: bool = False) -> DataFrame:
     """For each row the centre of the largest score; ties to the lowest name, or the largest.
 
-    Centres are one array per state and far fewer than rows, so they travel as one array and each row keeps the best.
+    Centres travel as arrays of about ``CENTRES`` at a time, and each row keeps the best: of many centres one array after the
+    other passes the rows, so what is broadcast is bounded whatever their number.
     """
-    every = F.broadcast(centres.agg(F.collect_list(F.struct(name, centre)).alias("_all")))
     order = (lambda s: s) if largest_name else (lambda s: -s)
-    options = F.transform("_all", lambda c: F.struct(F.round(score(F.col(x), c[centre]), 9).alias("score"), order(c[name]).alias("_o"), c[name].alias(name)))
-    best = F.array_max(options)
-    return rows.crossJoin(every).select(ident, best[name].alias(f"nearest_{name}"), best["score"].alias("score"))
+    out = rows
+    for k, every in enumerate(portions(centres, name, F.struct(name, centre))):
+        options = F.transform("_all", lambda c: F.struct(F.round(score(F.col(x), c[centre]), 9).alias("score"), order(c[name]).alias("_o"), c[name].alias(name)))
+        best = F.array_max(options) if not k else F.array_max(F.array_append(options, F.col("_best")))
+        out = out.crossJoin(every).withColumn("_best", best).drop("_all")
+    return out.select(ident, F.col(f"_best.{name}").alias(f"nearest_{name}"), F.col("_best.score").alias("score"))
+
+
+CENTRES = 2048
+
+
+def portions(table: DataFrame, names: str | tuple, row: Column, column: str = "_all") -> list[DataFrame]:
+    """A table as arrays of about ``CENTRES`` rows, dealt by a hash of ``names``: one-row tables, each to be broadcast."""
+    parts = max(1, -(-table.count() // CENTRES))
+    dealt = table.withColumn("_part", F.pmod(F.xxhash64(*([names] if isinstance(names, str) else names)), F.lit(parts)))
+    return [F.broadcast(dealt.where(F.col("_part") == k).agg(F.collect_list(row).alias(column))) for k in range(parts)]
 
 
 def crosswalk(pairs: DataFrame, a: str, b: str, score: str, least: float) -> DataFrame:

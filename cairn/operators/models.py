@@ -17,7 +17,7 @@ def depth_matched(df: DataFrame, side: str, value: str, ident: str, bins: int, s
     rows = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_e", lambda e: e <= F.col(value)))).drop("_e")
     sizes = rows.groupBy("bin").agg(*(F.count_if(F.col(side) == s).alias(f"_{s}") for s in (0, 1))).select("bin", F.least("_0", "_1").alias("_k"))
     at = F.row_number().over(Window.partitionBy("bin", side).orderBy(hash_order(seed, ident), ident))
-    return rows.join(F.broadcast(sizes), "bin").withColumn("_r", at).where(F.col("_r") <= F.col("_k")).drop("_r", "_k")
+    return rows.join(sizes, "bin").withColumn("_r", at).where(F.col("_r") <= F.col("_k")).drop("_r", "_k")
 
 
 def sparsified(df: DataFrame, by: list[str], value: str, k: int, tie: str) -> DataFrame:
@@ -60,19 +60,10 @@ def program_scores(entries: DataFrame, weights: DataFrame) -> DataFrame:
 
     n = F.count("*").over(Window.partitionBy("cell"))
     ranked = entries.withColumn("_r", average_rank("v", ["cell"]) / n - (n + 1) / (2 * n))
-    rows = ranked.join(F.broadcast(weights), "gene")
+    rows = ranked.join(weights, "gene")
     return rows.groupBy("cell", "program").agg((F.sum(F.col("_r") * F.col("weight")) / F.sum(F.abs("weight"))).alias("score"))
 
 
-def kernel_ridge(x: np.ndarray, y: np.ndarray, new: np.ndarray, alpha: float) -> np.ndarray:
-    """RBF kernel ridge with the median distance as bandwidth, around the mean. For some dozens of aggregated rows."""
-    square = lambda a, b: ((a[:, None] - b[None]) ** 2).sum(2)
-    d = square(x, x)
-    width = np.median(d[np.triu_indices(len(x), 1)]) or 1.0
-    mean = y.mean(0)
-    return mean + np.exp(-square(new, x) / width) @ np.linalg.solve(np.exp(-d / width) + alpha * np.eye(len(x)), y - mean)
-
-
 def shrunk_covariance(c: np.ndarray, s: float) -> np.ndarray:
     return (1 - s) * c + s * np.trace(c) / len(c) * np.eye(len(c))
 

@@ -114,15 +114,6 @@ def rewired(points: np.ndarray, scores: np.ndarray, left: tuple, right: tuple, t
     return assignment(((scaled(expected)[:, None] - scaled(scores)[None]) ** 2).sum(2))
 
 
-def gram_embedding(gram: np.ndarray, rank: int) -> np.ndarray:
-    """Rows of the leading singular vectors, at length 1, from the Gram matrix of the rows."""
-    w, v = np.linalg.eigh(gram)
-    top = np.argsort(-w)[:rank]
-    e = v[:, top] * np.sqrt(np.maximum(w[top], 0))
-    e *= np.sign(e[np.abs(e).argmax(0), np.arange(len(top))])
-    return e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-12)
-
-
 def counterfactual(df: DataFrame, target: str, value: float, models: dict[str, dict[str, float]]) -> DataFrame:
     """Sets one column and lets the change pass through linear models in topological order; residuals stay as observed."""
     change: dict[str, Column] = {target: F.lit(value) - F.col(target)}

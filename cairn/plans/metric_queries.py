@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.operators import geometry, joins, metrics
+from cairn.operators import couplings, geometry, joins, metrics
 from cairn.operators import moments as mo
+from cairn.operators.lineage import settled
 
 from .registry import CELLS, EXPR, POINTS, Tables, query, r
 
@@ -206,19 +207,40 @@ def o3_coupling_cost(t: Tables) -> DataFrame:
     return d.crossJoin(half).select("src", "dst", r(F.col("d") / F.col("half") + apart).alias("cost"))
 
 
-@query()
+def _state_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The cost of moving between the centroids of states, against the median, and their shares in both stages, as tables."""
+    g = t.points().groupBy("state").agg(*(F.avg(F.when(F.col("stage") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in "xyz"), *(F.count_if(F.col("stage") == s).alias(f"n{s}") for s in (0, 1)))
+    g = settled(g.where("n0 > 0 and n1 > 0"))
+    right = g.select(F.col("state").alias("j"), *(F.col(f"{c}1") for c in "xyz"))
+    c = g.select(F.col("state").alias("i"), *(f"{c}0" for c in "xyz")).crossJoin(right).select("i", "j", sum((F.pow(F.col(f"{c}0") - F.col(f"{c}1"), 2) for c in "xyz"), F.lit(0.0)).alias("c"))
+    half = c.agg(F.percentile("c", F.lit(0.5)).alias("half"))  # one row
+    share = lambda n, k: g.crossJoin(g.agg(F.sum(n).alias("all"))).select(F.col("state").alias(k), (F.col(n) / F.col("all")).alias("p"))
+    return c.crossJoin(half).select("i", "j", (F.col("c") / F.col("half")).alias("c")), share("n0", "i"), share("n1", "j")
+
+
+def _coupling_sql(rho: float | None) -> str:
+    """The same updates on lists of one row, 400 times."""
+    factor = 0.1 if rho is None else rho / (rho + 0.1) * 0.1
+    soft = lambda x: f"list_transform([{x}], lambda q: list_max(q) + ln(list_sum(list_transform(q, lambda v: exp(v - list_max(q))))))[1]"
+    return f"""WITH RECURSIVE {POINTS}, g AS (SELECT state, count(*) FILTER (stage = 0) AS n0, count(*) FILTER (stage = 1) AS n1, avg(x) FILTER (stage = 0) AS x0, avg(y) FILTER (stage = 0) AS y0, avg(z) FILTER (stage = 0) AS z0, avg(x) FILTER (stage = 1) AS x1, avg(y) FILTER (stage = 1) AS y1, avg(z) FILTER (stage = 1) AS z1 FROM points GROUP BY 1),
+s AS (SELECT *, row_number() OVER (ORDER BY state) AS k FROM g WHERE n0 > 0 AND n1 > 0), c AS (SELECT a.k AS i, b.k AS j, pow(a.x0 - b.x1, 2) + pow(a.y0 - b.y1, 2) + pow(a.z0 - b.z1, 2) AS c FROM s a, s b), h AS (SELECT median(c) AS h FROM c),
+m AS (SELECT list(r ORDER BY i) AS m, count(*) AS n FROM (SELECT i, list(c / h ORDER BY j) AS r FROM c, h GROUP BY i)), p AS (SELECT list(ln(n0 / (SELECT sum(n0) FROM s)) ORDER BY k) AS la, list(ln(n1 / (SELECT sum(n1) FROM s)) ORDER BY k) AS lb FROM s),
+it AS (SELECT 0 AS round, list_transform(la, lambda x: 0.0::DOUBLE) AS f, list_transform(lb, lambda x: 0.0::DOUBLE) AS g FROM p UNION ALL
+SELECT round + 1, nf, list_transform(range(1, n + 1), lambda j: {factor} * (lb[j] - {soft("list_transform(range(1, n + 1), lambda i: (nf[i] - m[i][j]) / 0.1)")})) FROM (
+SELECT *, list_transform(range(1, n + 1), lambda i: {factor} * (la[i] - {soft("list_transform(range(1, n + 1), lambda j: (g[j] - m[i][j]) / 0.1)")})) AS nf FROM it, m, p WHERE round < 400))
+SELECT a.state AS src, b.state AS dst, round(exp((f[a.k] + g[b.k] - m[a.k][b.k]) / 0.1), 6) + 0.0 AS mass FROM it, m, s a, s b WHERE round = 400"""
+
+
+@query(_coupling_sql(1.0))
 def o2_unbalanced_coupling(t: Tables) -> DataFrame:
     """States of both stages coupled where their shares may grow or shrink."""
-    states, cost, a, b = _state_cost(t)
-    plan = geometry.unbalanced_coupling(cost / np.median(cost), a, b, 0.1, 1.0, 1.0)
-    return t.spark.createDataFrame([(s, d, float(round(plan[i, j], 8))) for i, s in enumerate(states) for j, d in enumerate(states)], "src int, dst int, mass double")
+    return couplings.coupled(*_state_tables(t), 0.1, rho=(1.0, 1.0)).select(F.col("i").alias("src"), F.col("j").alias("dst"), r("mass").alias("mass"))
 
 
-@query()
+@query(_coupling_sql(None))
 def o1_state_coupling(t: Tables) -> DataFrame:
-    states, cost, a, b = _state_cost(t)
-    plan = geometry.sinkhorn(cost / np.median(cost), a, b, 0.1)
-    return t.spark.createDataFrame([(s, d, float(round(plan[i, j], 8))) for i, s in enumerate(states) for j, d in enumerate(states)], "src int, dst int, mass double")
+    """States of both stages coupled, their shares kept."""
+    return couplings.coupled(*_state_tables(t), 0.1).select(F.col("i").alias("src"), F.col("j").alias("dst"), r("mass").alias("mass"))
 
 
 @query(f"WITH {EXPR}, n AS (SELECT state, count(*) FILTER (stage = 0) AS n0 FROM cells GROUP BY 1), c AS (SELECT a.state AS src, b.state AS dst, a.n0 * exp(-abs(a.state - b.state)) AS mass FROM n a, n b), m AS (SELECT state, gene, avg(v) AS m FROM expr WHERE stage = 0 GROUP BY ALL) SELECT dst, gene, round(sum(mass * m) / sum(mass), 8) + 0.0 AS v FROM c JOIN m ON src = state GROUP BY ALL")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from cairn.operators import fits, geometry, matrix, models, ranks, trends
 from cairn.operators import moments as mo
+from cairn.operators.lineage import settled
 from cairn.sources import readers
 
 from .registry import EXPR, POINTS, Tables, query, r
@@ -136,7 +137,7 @@ def y12_program_aggregation(t: Tables) -> DataFrame:
 @query(f"WITH {EXPR}, g AS (SELECT state, avg(v) AS m FROM expr WHERE gene = 5 GROUP BY 1), w AS (SELECT state, least(greatest(m / max(m) OVER (), 0), 1) AS gate FROM g) SELECT state, gene, round(avg(CASE WHEN gene = 5 THEN 0 ELSE greatest(v + gate * CASE WHEN gene % 2 = 0 THEN 0.05 ELSE -0.05 END, 0) END), 8) + 0.0 AS mean FROM expr JOIN w USING (state) GROUP BY ALL")
 def y13_x13_program_application(t: Tables) -> DataFrame:
     entries = t.expr()
-    rows = entries.join(F.broadcast(trends.state_gates(entries, 5)), "state")
+    rows = entries.join(trends.state_gates(entries, 5), "state")
     step = F.when(F.col("gene") % 2 == 0, 0.05).otherwise(-0.05)
     v = F.when(F.col("gene") == 5, 0.0).otherwise(F.greatest(F.col("v") + F.col("gate") * step, F.lit(0.0)))
     return rows.groupBy("state", "gene").agg(r(F.avg(v), 8).alias("mean"))
@@ -173,7 +174,7 @@ def y19_stability_weight(t: Tables) -> DataFrame:
 def y20_unsigned_shape(t: Tables) -> DataFrame:
     m = t.expr().groupBy("state", "gene").agg(F.abs(F.avg(F.when(F.col("stage") == 1, F.col("v"))) - F.avg(F.when(F.col("stage") == 0, F.col("v")))).alias("d"))
     norm = m.groupBy("state").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("n"))
-    return m.join(F.broadcast(norm), "state").select("state", "gene", r(F.col("d") / F.col("n")).alias("shape"))
+    return m.join(norm, "state").select("state", "gene", r(F.col("d") / F.col("n")).alias("shape"))
 
 
 @query(f"WITH {EXPR}, m AS (SELECT state, gene, avg(v) FILTER (stage = 1) - avg(v) FILTER (stage = 0) AS d, least(count(*) FILTER (stage = 0), count(*) FILTER (stage = 1)) AS n FROM expr GROUP BY ALL) SELECT state, gene, round(CASE WHEN gene IN (1, 2) OR n < 20 THEN 0 ELSE d * n / (n + 50.0) END, 8) + 0.0 AS delta FROM m")
@@ -201,7 +202,7 @@ def y24_program_scores(t: Tables) -> DataFrame:
 def y26_activity_gate(t: Tables) -> DataFrame:
     e = t.expr().where("gene = 9")
     m = e.groupBy("state").agg(F.percentile(F.when(F.col("v") > 0, F.col("v")), F.lit(0.5)).alias("m"))
-    rows = e.join(F.broadcast(m), "state").crossJoin(F.broadcast(m.agg(F.percentile("m", F.lit(0.5)).alias("f"))))
+    rows = e.join(m, "state").crossJoin(F.broadcast(m.agg(F.percentile("m", F.lit(0.5)).alias("f"))))
     return rows.select("cell", r(F.least(F.greatest(F.col("v") / F.coalesce("m", "f"), F.lit(0.0)), F.lit(1.0))).alias("gate"))
 
 
@@ -228,17 +229,14 @@ def y33_weighted_stage_mean(t: Tables) -> DataFrame:
 
 @query()
 def l1_kernel_ridge(t: Tables) -> DataFrame:
-    """Changes of each state predicted from its centroid by the other states."""
-    genes = list(range(1, 65))
-    m = t.expr().groupBy("state").pivot("gene", genes).agg(F.avg(F.when(F.col("stage") == 0, F.col("v"))).alias("a"), F.avg(F.when(F.col("stage") == 1, F.col("v"))).alias("b")).orderBy("state")
-    rows = m.collect()  # a row for each state
-    x, y = (np.array([[row[f"{g}_{s}"] or 0.0 for g in genes] for row in rows]) for s in "ab")
-    out = []
-    for i, row in enumerate(rows):
-        rest = np.arange(len(rows)) != i
-        p = models.kernel_ridge(x[rest], (y - x)[rest], x[[i]], 0.1)[0]
-        out += [(row["state"], g + 1, float(round(v, 8))) for g, v in enumerate(p)]
-    return t.spark.createDataFrame(out, "state int, gene int, delta double")
+    """Changes of the odd genes over states, foretold from their profiles by the even genes: all of these are landmarks."""
+    on = lambda s: F.coalesce(F.avg(F.when(F.col("stage") == s, F.col("v"))), F.lit(0.0))
+    m = t.expr().groupBy("gene", "state").agg(on(0).alias("a"), on(1).alias("b"))
+    rows = m.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("state", "a", "b"))).alias("s"))  # a gene's states
+    rows = settled(rows.select(F.col("gene").alias("id"), F.col("s.a").alias("x"), F.transform("s", lambda v: v["b"] - v["a"]).alias("y"), F.col("s.state").alias("states")))
+    out = fits.kernel_predictor(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), 0.1)
+    long = out.join(rows.select("id", "states"), "id").select("id", F.posexplode("prediction").alias("i", "delta"), "states")
+    return long.select(F.col("id").alias("gene"), F.get("states", F.col("i")).alias("state"), r("delta", 6).alias("delta"))
 
 
 @query()

@@ -10,9 +10,10 @@ from pyspark.sql.window import Window
 
 from cairn.operators import evidence, fits, models, ranks, solvers
 from cairn.operators import moments as mo
+from cairn.operators.lineage import settled
 
 from .join_queries import _LEDGER, _ledger
-from .registry import EXPR, Tables, query, r
+from .registry import EXPR, POINTS, Tables, query, r
 
 
 def _placed(t: Tables) -> DataFrame:
@@ -20,15 +21,21 @@ def _placed(t: Tables) -> DataFrame:
     return t.points().join(t.cells().select("cell", F.slice("x", 4, 8).alias("v")), "cell")
 
 
-@query("WITH plan AS (SELECT i, j, (1 + (i * 3 + j) % 4) / 40.0 AS mass FROM range(0, 4) a(i), range(0, 4) b(j)), cost AS (SELECT i, j, abs(i - j) / 3.0 AS c FROM range(0, 4) a(i), range(0, 4) b(j)), c1 AS (SELECT i, k, abs(i - k) * 1.0 AS c FROM range(0, 4) a(i), range(0, 4) b(k)), c2 AS (SELECT j, l, (j - l) * (j - l) / 4.0 AS c FROM range(0, 4) a(j), range(0, 4) b(l)), s AS (SELECT sum(pow(c1.c - c2.c, 2) * x.mass * y.mass) AS s FROM plan x, plan y, c1, c2 WHERE c1.i = x.i AND c1.k = y.i AND c2.j = x.j AND c2.l = y.j), m AS (SELECT sum(mass * c) AS m FROM plan JOIN cost USING (i, j)) SELECT round(m, 8) + 0.0 AS linear, round(s, 8) + 0.0 AS structure, round(0.6 * m + 0.4 * s, 8) + 0.0 AS total FROM s, m")
+@query(f"WITH {POINTS}, g AS (SELECT state, count(*) FILTER (stage = 0) AS n0, count(*) FILTER (stage = 1) AS n1, avg(x) FILTER (stage = 0) AS x0, avg(y) FILTER (stage = 0) AS y0, avg(z) FILTER (stage = 0) AS z0, avg(x) FILTER (stage = 1) AS x1, avg(y) FILTER (stage = 1) AS y1, avg(z) FILTER (stage = 1) AS z1 FROM points GROUP BY 1 HAVING count(*) FILTER (stage = 0) > 0 AND count(*) FILTER (stage = 1) > 0), p AS (SELECT a.state AS i, b.state AS j, a.n0 * exp(-abs(a.state - b.state)) AS w FROM g a, g b), plan AS (SELECT i, j, w / (SELECT sum(w) FROM p) AS mass FROM p), cost AS (SELECT a.state AS i, b.state AS j, pow(a.x0 - b.x1, 2) + pow(a.y0 - b.y1, 2) + pow(a.z0 - b.z1, 2) AS c FROM g a, g b), c1 AS (SELECT a.state AS i, b.state AS k, pow(a.x0 - b.x0, 2) + pow(a.y0 - b.y0, 2) + pow(a.z0 - b.z0, 2) AS c FROM g a, g b), c2 AS (SELECT a.state AS j, b.state AS l, pow(a.x1 - b.x1, 2) + pow(a.y1 - b.y1, 2) + pow(a.z1 - b.z1, 2) AS c FROM g a, g b), s AS (SELECT sum(pow(c1.c - c2.c, 2) * x.mass * y.mass) AS s FROM plan x, plan y, c1, c2 WHERE c1.i = x.i AND c1.k = y.i AND c2.j = x.j AND c2.l = y.j), m AS (SELECT sum(mass * c) AS m FROM plan JOIN cost USING (i, j)) SELECT round(m, 8) + 0.0 AS linear, round(s, 8) + 0.0 AS structure, round(0.6 * m + 0.4 * s, 8) + 0.0 AS total FROM s, m")
 def o7_fused_loss(t: Tables) -> DataFrame:
-    side = lambda n: t.spark.range(0, 4).select(F.col("id").alias(n))
-    grid = lambda a, b: side(a).crossJoin(F.broadcast(side(b)))
-    plan = grid("i", "j").withColumn("mass", (1 + (F.col("i") * 3 + F.col("j")) % 4) / 40)
-    cost = grid("i", "j").withColumn("c", F.abs(F.col("i") - F.col("j")) / 3)
-    c1 = grid("i", "k").withColumn("c", F.abs(F.col("i") - F.col("k")).cast("double"))
-    c2 = grid("j", "l").withColumn("c", F.pow(F.col("j") - F.col("l"), 2) / 4)
-    loss = solvers.fused_loss(plan, cost, c1, c2, 0.4)
+    """What a plan between states costs by their centroids, and by the distances among the centroids of each stage."""
+    g = t.points().groupBy("state").agg(*(F.avg(F.when(F.col("stage") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in "xyz"), *(F.count_if(F.col("stage") == s).alias(f"n{s}") for s in (0, 1)))
+    g = settled(g.where("n0 > 0 and n1 > 0"))
+
+    def pairs(one: int, other: int, a: str, b: str) -> DataFrame:
+        left = g.select(F.col("state").alias(a), F.col("n0").alias("n"), *(F.col(f"{c}{one}").alias(c) for c in "xyz"))
+        right = g.select(F.col("state").alias(b), *(F.col(f"{c}{other}").alias(f"{c}_") for c in "xyz"))
+        return left.crossJoin(right).select(a, b, "n", sum((F.pow(F.col(c) - F.col(f"{c}_"), 2) for c in "xyz"), F.lit(0.0)).alias("c"))  # states by states
+
+    cost = pairs(0, 1, "i", "j")
+    w = cost.select("i", "j", (F.col("n") * F.exp(-F.abs(F.col("i") - F.col("j")))).alias("w"))
+    plan = settled(w.crossJoin(w.agg(F.sum("w").alias("all"))).select("i", "j", (F.col("w") / F.col("all")).alias("mass")))
+    loss = solvers.fused_loss(plan, cost.drop("n"), pairs(0, 0, "i", "k").drop("n"), pairs(1, 1, "j", "l").drop("n"), 0.4)
     return loss.select(*(r(c, 8).alias(c) for c in ("linear", "structure", "total")))
 
 
@@ -98,15 +105,9 @@ def l2_low_rank_predictor(t: Tables) -> DataFrame:
 
 @query()
 def l4_term_embedding(t: Tables) -> DataFrame:
-    """Brands embedded by the sizes they come in: the Gram matrix is a join over shared terms."""
-    m = t("part").select("p_brand", "p_size").distinct()
-    gram = m.join(m.withColumnRenamed("p_brand", "other"), "p_size").groupBy("p_brand", "other").agg(F.count("*").alias("n")).collect()  # brands by brands
-    names = sorted({x["p_brand"] for x in gram})
-    g = np.zeros((len(names), len(names)))
-    for x in gram:
-        g[names.index(x["p_brand"]), names.index(x["other"])] = x["n"]
-    e = solvers.gram_embedding(g, 8)
-    return t.spark.createDataFrame([(n, [float(v) for v in e[i].round(6)]) for i, n in enumerate(names)], "brand string, embedding array<double>")
+    """Parts' brands embedded by the sizes they come in, on four singular vectors of how often they do."""
+    m = t("part").groupBy(F.col("p_brand").alias("row"), F.col("p_size").alias("term")).agg(F.count("*").alias("v"))
+    return fits.term_embedding(m, 4, 1e-7, 400).select(F.col("row").alias("brand"), F.transform("embedding", lambda v: r(v, 4)).alias("embedding"))
 
 
 @query(f"WITH {EXPR}, j AS (SELECT a.state AS state, a.stage AS stage, b.gene AS gene, a.v AS x, b.v AS y FROM expr a JOIN expr b USING (cell) WHERE a.gene = 4 AND b.gene <> 4), m AS (SELECT state, stage, gene, avg(x) AS mx, avg(y) AS my FROM j GROUP BY ALL), s AS (SELECT state, gene, round(sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)), 9) AS w FROM j JOIN m USING (state, stage, gene) GROUP BY ALL) SELECT state, gene, CAST(-sign(w) AS INTEGER) AS effect_sign, round(row_number() OVER (PARTITION BY state ORDER BY abs(w), gene) / (count(*) OVER (PARTITION BY state) + 1), 8) + 0.0 AS confidence FROM s")

@@ -18,22 +18,25 @@ from cairn.operators.lineage import settled
 SHA = "^[0-9a-fA-F]{64}$"
 
 
-def digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """path (below the root), bytes, sha256 of all files of a folder."""
+def below(spark: SparkSession, root: str, path: Column, encoded: bool = False) -> Column:
+    """A file's path below the root."""
     top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     top = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    below = F.substring(plain(F.col("path")), F.length(plain(F.lit(top))) + 1, F.lit(1 << 20))
-    return files.select(below.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))) if encoded else path
+    return F.substring(plain(path), F.length(plain(F.lit(top))) + 1, F.lit(1 << 20))
+
+
+def digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """path (below the root), bytes, sha256 of all files of a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    return files.select(below(spark, root, F.col("path")).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def documents(spark: SparkSession, root: str, schema: str, pattern: str) -> DataFrame:
     """Whole JSON files of a folder as ``doc``, null where a file is no such document; path below the root and sha256."""
-    texts = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"))
-    texts = texts.select("path", "sha256", F.when(F.get_json_object("text", "$").isNotNull(), F.from_json("text", schema)).alias("doc"))
-    names = digests(spark, root, pattern).select("path", "sha256")
-    return texts.drop("path").dropDuplicates(["sha256"]).join(names, "sha256").select("path", "sha256", "doc")
+    texts = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select(below(spark, root, F.col("path")).alias("path"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"))
+    return texts.select("path", "sha256", F.when(F.get_json_object("text", "$").isNotNull(), F.from_json("text", schema)).alias("doc"))
 
 
 def safe(path: Column) -> Column:
@@ -82,10 +85,7 @@ def _parent(path: Column) -> Column:
 
 def snapshot_edges(spark: SparkSession, root: str, pattern: str = "*.tsv") -> DataFrame:
     """path, header and the columns of edges of all edge files below a folder; flags are null where they are no booleans."""
-    top = digests(spark, root, pattern).select("path")
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root).select(F.col("_metadata.file_path").alias("_full"), "value")
-    names = top.select("path").distinct()
-    lines = raw.join(F.broadcast(names), F.expr("endswith(_full, concat('/', path))")).select("path", "value")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root).select(below(spark, root, F.col("_metadata.file_path"), True).alias("path"), "value")
     header = "\t".join(EDGE_COLUMNS)
     parts = F.split("value", "\t", -1)
     flag = lambda i: F.when(F.lower(F.trim(F.get(parts, F.lit(i)))).isin("true", "1"), True).when(F.lower(F.trim(F.get(parts, F.lit(i)))).isin("false", "0"), False)
@@ -117,8 +117,8 @@ def audit_snapshots(spark: SparkSession, root: str, version: str, taxon: int, so
     counted = m.select("subject", d("directed_edges").alias("want"), d("target_mapping.panel_gene_count").alias("genes"), d("target_mapping.edge_symbols_overlapping_panel").alias("overlap"), d("target_mapping.panel_reference").alias("panel"))
     stats = rows.groupBy("subject").agg(F.count("*").alias("n"), F.bool_and(F.col("whole") & flags).alias("flags"), F.bool_and((F.col("source_genesymbol") != "") & (F.col("target_genesymbol") != "")).alias("symbols"), F.bool_and("is_directed").alias("directed"))
     heads = mine.groupBy("subject").agg(F.count_if("header").alias("heads"))
-    symbols = spark.read.option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("_full"), F.trim("value").alias("gene")).where("gene <> ''")
-    named = symbols.join(F.broadcast(counted.select("subject", "panel")), F.expr("endswith(_full, concat('/', panel))")).select("subject", "gene").distinct()
+    symbols = spark.read.option("recursiveFileLookup", True).text(root).select(below(spark, root, F.col("_metadata.file_path"), True).alias("panel"), F.trim("value").alias("gene")).where("gene <> ''")
+    named = symbols.join(counted.select("subject", "panel"), "panel").select("subject", "gene").distinct()
     met = rows.select("subject", F.explode(F.array("source_genesymbol", "target_genesymbol")).alias("gene")).distinct().join(named, ["subject", "gene"]).groupBy("subject").agg(F.count("*").alias("met"))
     table = counted.join(stats, "subject", "left").join(heads, "subject", "left").join(named.groupBy("subject").agg(F.count("*").alias("panel_n")), "subject", "left").join(met, "subject", "left")
     content = long(table, "subject", {

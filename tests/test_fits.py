@@ -211,3 +211,26 @@ def test_interpolated_clouds_have_the_interpolated_mean(spark, sf_dir):
     power = lambda c, p: (np.linalg.eigh(c)[1] * np.linalg.eigh(c)[0] ** p) @ np.linalg.eigh(c)[1].T
     half = 0.5 * np.eye(3) + 0.5 * power(a, -0.5) @ power(power(a, 0.5) @ b @ power(a, 0.5), 0.5) @ power(a, -0.5)
     assert np.allclose(np.cov(got.T, bias=True), half @ a @ half.T, atol=1e-5)
+
+
+def test_term_embedding_equals_the_singular_vectors(spark):
+    rng = np.random.default_rng(10)
+    m = (rng.random((18, 12)) < 0.5) * rng.integers(1, 4, (18, 12))
+    entries = spark.createDataFrame([(f"r{i:02}", j, float(m[i, j])) for i in range(18) for j in range(12) if m[i, j]], "row string, term int, v double").repartition(3)
+    got = {r["row"]: np.array(r["embedding"]) for r in fits.term_embedding(entries, 3).collect()}
+    u, s, _ = np.linalg.svd(m)
+    e = u[:, :3] * s[:3]
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    out = np.array([got[f"r{i:02}"] for i in range(18)])
+    assert np.allclose(np.abs(out), np.abs(e), atol=1e-4) and np.allclose(np.abs((out * e).sum(0)), (e * e).sum(0), atol=1e-3)
+
+
+def test_paths_to_targets_are_those_of_all_paths(spark):
+    from cairn.operators import evidence
+
+    rng = np.random.default_rng(13)
+    edges = [(f"N{i}", f"n{j}", int(rng.choice([-1, 1]))) for i in range(12) for j in rng.choice(12, 3, replace=False)]
+    e = spark.createDataFrame(edges, "src string, dst string, sign int")
+    s, t = spark.createDataFrame([("n0",), ("N3",)], "src string"), spark.createDataFrame([("N7",), ("n9",)], "dst string")
+    every = evidence.signed_paths(e, s, 3).where("target in ('n7', 'n9')")
+    assert sorted(map(tuple, evidence.signed_paths(e, s, 3, t).collect())) == sorted(map(tuple, every.collect())) != []

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cairn.operators import alloc, evidence, geometry, joins, matrix, metrics, models, ranks, solvers, trends
+from cairn.operators import alloc, couplings, evidence, geometry, joins, matrix, metrics, models, ranks, solvers, trends
 
 
 def long(spark, rows):
@@ -233,3 +233,38 @@ def test_unbalanced_coupling_is_stationary():
     gradient = cost + 0.2 * np.log(plan) + 0.7 * np.log(plan.sum(1) / a)[:, None] + 1.3 * np.log(plan.sum(0) / b)[None]
     assert np.abs(gradient).max() < 1e-6
     assert np.abs(geometry.unbalanced_coupling(cost, a, b, 0.2, 1e6, 1e6) - geometry.sinkhorn(cost, a, b, 0.2)).max() < 1e-4
+
+
+def test_many_centres_and_anchors_pass_in_portions(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    c, x = rng.standard_normal((40, 3)), rng.standard_normal((25, 3))
+    centres = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "state int, c array<double>")
+    rows = spark.createDataFrame([(i, v.tolist(), *map(float, v)) for i, v in enumerate(x)], "cell int, x array<double>, px double, py double, pz double")
+    near = {i: int(((c - v) ** 2).sum(1).argmin()) for i, v in enumerate(x)}
+    points = rows.select("cell", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"))
+    anchors = spark.createDataFrame([(*map(float, v), float(i % 3)) for i, v in enumerate(c)], "x double, y double, z double, w double")
+    field = [float(sum(i % 3 * np.exp(-((v - u) ** 2).sum() / 0.5) for i, u in enumerate(c))) for v in x]
+    for size in (2048, 7):
+        monkeypatch.setattr(joins, "CENTRES", size)
+        got = joins.nearest(rows, centres, "x", "state", "c", lambda a, b: -joins.squared_distance(a, b), "cell").collect()
+        assert {r["cell"]: r["nearest_state"] for r in got} == near
+        out = {r["cell"]: r["field"] for r in geometry.gaussian_field(points, anchors, 0.5).collect()}
+        assert np.allclose([out[i] for i in range(25)], field)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_couplings_of_tables_equal_dense_ones(spark, monkeypatch, limit):
+    monkeypatch.setattr(couplings, "IN_TASK", limit)
+    rng = np.random.default_rng(12)
+    cost, a, b = rng.random((4, 3)), rng.random(4), rng.random(3)
+    a, b = a / a.sum(), b / b.sum()
+    table = spark.createDataFrame([(g, i, j, float(cost[i, j])) for g in (0, 1) for i in range(4) for j in range(3)], "g int, i int, j int, c double").repartition(3)
+    left, right = (spark.createDataFrame([(g, k, float(p)) for g in (0, 1) for k, p in enumerate(m)], f"g int, {n} int, p double") for n, m in (("i", a), ("j", b)))
+    for rho, want in ((None, geometry.sinkhorn(cost, a, b, 0.5, 5000, 1e-12)), ((0.5, 2.0), geometry.unbalanced_coupling(cost, a, b, 0.5, 0.5, 2.0))):
+        got = np.zeros((2, 4, 3))
+        for r in couplings.coupled(table, left, right, 0.5, ["g"], rho).collect():
+            got[r["g"], r["i"], r["j"]] = r["mass"]
+        assert np.abs(got - want).max() < 1e-6
+    if not limit:
+        with pytest.raises(ValueError):
+            couplings.coupled(table, left, right, 0.001, ["g"], rounds=2, together=2)
