@@ -71,6 +71,7 @@ def verdicts(checks: DataFrame) -> DataFrame:
 
 # Snapshots of directed edges
 
+# The field names and status words of the documents, below and in the other sections.
 SNAPSHOT = (
     "schema_version string, source_name string, source_url string, license string, source_query struct<datasets string, organisms string, partners_panel_sha256 string>, "
     "schema struct<organism_taxon_id long>, data_path string, bytes long, sha256 string, directed_edges long, target_mapping struct<panel_reference string, panel_gene_count long, edge_symbols_overlapping_panel long>"
