@@ -234,3 +234,30 @@ def test_paths_to_targets_are_those_of_all_paths(spark):
     s, t = spark.createDataFrame([("n0",), ("N3",)], "src string"), spark.createDataFrame([("N7",), ("n9",)], "dst string")
     every = evidence.signed_paths(e, s, 3).where("target in ('n7', 'n9')")
     assert sorted(map(tuple, evidence.signed_paths(e, s, 3, t).collect())) == sorted(map(tuple, every.collect())) != []
+
+
+def test_tasks_without_rows(spark, tmp_path):
+    """Tables read in more splits than they have row groups give tasks without rows, whose sums have no type of their own."""
+    rng = np.random.default_rng(3)
+    rows = [(i, 0, rng.normal(size=4).tolist(), rng.normal(size=2).tolist()) for i in range(30)]
+    t = spark.createDataFrame(rows, "id long, state int, x array<double>, y array<double>").coalesce(1)
+    t.write.parquet(str(tmp_path / "t"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, "500")
+    thin = spark.read.parquet(str(tmp_path / "t"))
+    sizes = thin.rdd.glom().map(len).collect()
+    assert sum(sizes) == 30 and 0 in sizes
+    x = np.array([r[2] for r in rows])
+    mean, axes = fits.principal_frames(thin.select(F.col("state").alias("by"), "x"), 2)[0]
+    assert np.allclose(mean, x.mean(0)) and np.allclose(np.abs(axes), np.abs(np.linalg.eigh(np.cov(x.T, bias=True))[1][:, ::-1][:, :2]))
+    same = lambda f: [sorted((tuple(np.round(v, 9)) for v in d.select(d.columns[-1]).toPandas().iloc[:, 0]), key=str) for d in (f(t), f(thin))]
+    one, other = same(lambda d: fits.kernel_predictor(d.select("id", "x", "y"), d.select("id", "x"), 1.0, rank=1))
+    assert np.allclose(one, other)
+    one, other = same(lambda d: fits.detection_propensity(d.select(F.col("id").alias("cell"), "state", "x"), np.eye(4)[:, :2]))
+    assert np.allclose(one, other) and np.abs(one).max() > 0
+    goals = {0: np.full(4, 0.1)}
+    (a, *_), (b, *_) = (fits.moment_tilt(d.select(F.col("state").alias("by"), F.col("x").alias("f")), goals, 0.1, 5.0)[0] for d in (t, thin))
+    assert np.allclose(a, b)
+    for k, v in before.items():
+        spark.conf.set(k, v)
