@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import stored, tidy
+from .common import stored, stored_at, tidy
 
 HELD = 1 << 23
 """Bytes of texts that a task counts in one trie."""
 PIECE = 4096
 """Leaf counters of a piece, about."""
+BATCH = 32
+"""Pieces handed to Python at a time: one is about 0.1 MB, so that a full batch of short rows would be 100 MB, on both sides."""
 RANGE = 250_000
 """Leaf counters that meet in one range, about, before they are merged."""
 SPLIT_BYTES = 64
@@ -206,6 +208,11 @@ def local_tries(docs: DataFrame, held: int = HELD) -> DataFrame:
     return _filled(docs).where("text != ''").mapInArrow(rows, PIECES)
 
 
+def _pieces_stored(df: DataFrame, name: str) -> DataFrame:
+    """``df``, which is made of pieces, written and read again; few pieces are handed over at a time."""
+    return stored_at(df, name, rows=BATCH)[0]
+
+
 def _filled(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
@@ -259,7 +266,7 @@ def merge_tries(ranged: DataFrame, size: int, least: int) -> DataFrame:
         rows = [p.row() for p in trie.pieces()]
         return pa.Table.from_batches([_batch(rows, _types())])
 
-    ranged, before = stored(ranged, "ranges"), None
+    ranged, before = _pieces_stored(ranged, "ranges"), None
     while True:
         heavy = stored(ranged.groupBy("range").agg(F.sum("counters").alias("total")).where(F.col("total") > 2 * size), "heavy")
         now = heavy.agg(F.sum("total")).first()[0] or 0
@@ -269,7 +276,7 @@ def merge_tries(ranged: DataFrame, size: int, least: int) -> DataFrame:
         # Of heavy ranges there are fewer than splits, which all tasks have anyway; the others' pieces stay as they are.
         dealt = ranged.join(F.broadcast(heavy), "range").withColumn("slot", F.pmod(F.xxhash64("tail", "n"), F.ceil(F.col("total") / size)))
         parts = dealt.select("slot", *ranged.columns).groupBy("range", "slot").applyInArrow(merge, "range int, " + PIECES)
-        ranged = ranged.join(F.broadcast(heavy.select("range")), "range", "left_anti").unionByName(stored(parts, "ranges"))
+        ranged = ranged.join(F.broadcast(heavy.select("range")), "range", "left_anti").unionByName(_pieces_stored(parts, "ranges"))
     return ranged.groupBy("range").applyInArrow(keep, PIECES)
 
 
@@ -319,7 +326,7 @@ def totals(kept: DataFrame) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["lang", "source", "n", "terms"])
 
-    found = kept.mapInArrow(rows, "lang string, source string, n long, terms long")
+    found = _pieces_stored(kept.mapInArrow(rows, "lang string, source string, n long, terms long"), "totals")
     return found.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.sum("terms").alias("terms"))
 
 
@@ -390,7 +397,7 @@ def divergence(docs: DataFrame, least: int = 30, best: int = 50, held: int = HEL
     probabilities over the kept terms; ``term``: the ``best`` kept terms that the source has more of than its language."""
     spark = docs.sparkSession
     pieces = stored(local_tries(docs, held), "tries")
-    kept = stored(merge_tries(cut_pieces(pieces, split_terms(pieces, size)), size, least), "kept")
+    kept = _pieces_stored(merge_tries(cut_pieces(pieces, split_terms(pieces, size)), size, least), "kept")
     groups = stored(_filled(docs).select("lang", "source").distinct(), "groups")
     terms, counts = {}, {}
     for r in groups.join(totals(kept), ["lang", "source"], "full").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("terms", F.lit(0)).alias("terms")).toLocalIterator():
@@ -418,7 +425,7 @@ def divergence(docs: DataFrame, least: int = 30, best: int = 50, held: int = HEL
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in ([lang] * n, [name] * n, ["term"] * n, [t.decode() for _, t in found])] + [pa.array([-v for v, _ in found], pa.int64())], ["lang", "source", "part", "item", "value"])
         tidy()
 
-    met = stored(kept.mapInArrow(rows, OUT), "met")
+    met = _pieces_stored(kept.mapInArrow(rows, OUT), "met")
     once = met.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     both = once.unionByName(once.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value"))
     others = groups.join(groups.withColumnRenamed("source", "item"), "lang").where("source != item")

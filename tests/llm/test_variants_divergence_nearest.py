@@ -132,6 +132,22 @@ def test_divergence(spark, held, size, cells):
     assert sorted(tuple(r[c] for c in ("lang", "source", "part", "item", "value", "rank")) for r in got) == brute_divergence(rows, 4, 3)
 
 
+def test_pieces_are_handed_over_by_few(spark, monkeypatch):
+    """A piece is about 0.1 MB: batches of as many as of short rows would grow with the input."""
+    from cairn.llm import common
+
+    rows = {}
+
+    def noted(df, name, limit=common.BATCH_ROWS, write=common.stored_at):
+        rows[name] = limit
+        return write(df, name, limit)
+
+    monkeypatch.setattr(common, "stored_at", noted)
+    monkeypatch.setattr(divergence, "stored_at", lambda df, name, rows: noted(df, name, rows), raising=False)
+    assert divergence.divergence(docs(spark, divergence_rows()), least=4, best=3, held=200, size=20).count() > 0
+    assert all(rows[name] <= 64 for name in ("ranges", "kept", "met")) and rows["tries"] == common.BATCH_ROWS
+
+
 def test_divergence_of_nothing(spark):
     assert divergence.divergence(docs(spark, [])).count() == 0
     got = divergence.divergence(docs(spark, [(1, None, None, None), (2, "x", None, "s")])).collect()
