@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cairn.operators import contracts, evidence, joins
 
@@ -44,10 +45,12 @@ def j5_prioritised_fallback(t: Tables) -> DataFrame:
 
 @query("WITH f AS (SELECT p_partkey, s_suppkey, n_name FROM part JOIN supplier ON p_size % 25 = s_nationkey JOIN nation ON s_nationkey = n_nationkey) SELECT p_partkey, s_suppkey, n_name, count(*) OVER (PARTITION BY p_partkey) > 1 AS mapping_collision FROM f")
 def j6_fan_out(t: Tables) -> DataFrame:
-    s = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_name")
-    rows = t("part").join(s, F.col("p_size") % 25 == F.col("s_nationkey"))
-    size = rows.groupBy("p_partkey").agg((F.count("*") > 1).alias("mapping_collision"))
-    return rows.join(size, "p_partkey").select("p_partkey", "s_suppkey", "n_name", "mapping_collision")
+    """Parts by their nation's suppliers: how many a part meets is known before it meets them, so that only parts are shuffled."""
+    s = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_nationkey").alias("_k"), "s_suppkey", "n_name")
+    met = s.groupBy("_k").agg(F.count("*").alias("_n"))
+    parts = t("part").select("p_partkey", (F.col("p_size") % 25).alias("_k")).join(met, "_k")
+    parts = parts.withColumn("mapping_collision", F.sum("_n").over(Window.partitionBy("p_partkey")) > 1)
+    return parts.join(s, "_k").select("p_partkey", "s_suppkey", "n_name", "mapping_collision")
 
 
 _CENTRES = f"WITH {EXPR}, cen AS (SELECT state, gene, avg(v) AS m FROM expr WHERE stage = 0 GROUP BY ALL)"

@@ -32,3 +32,20 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 64
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_fan_out_of_odd_parts(spark, tmp_path):
+    """Parts without a key or size, parts that stand twice, nations with one supplier or none."""
+    import os
+
+    import duckdb
+
+    os.symlink("/root/testdata/sf0.001/nation.parquet", tmp_path / "nation.parquet")
+    parts = [(1, 1), (2, 2), (2, 27), (3, 3), (4, 3), (4, 28), (None, 1), (None, 4), (5, None), (6, 29), (7, 24)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    suppliers = [(10, 1), (11, 1), (12, 2), (13, 3), (14, 4), (15, None)]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    for name in ("nation", "part", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet{'' if name == 'nation' else '/*.parquet'}'")
+    assert difference(catalog.QUERIES["j6_fan_out"](spark, str(tmp_path)), con, catalog.ORACLE_SQL["j6_fan_out"]) == ""
