@@ -261,3 +261,18 @@ def test_tasks_without_rows(spark, tmp_path):
     assert np.allclose(a, b)
     for k, v in before.items():
         spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("rounds", [3, 30])
+def test_propagation_by_rounds_stops_there(spark, rounds):
+    rng = np.random.default_rng(5)
+    w = np.triu(rng.random((12, 12)) * (rng.random((12, 12)) < 0.4), 1)
+    w[:, 11] = 0
+    w, y = w + w.T, rng.random(12)
+    nodes = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "cell long, y double")
+    edges = spark.createDataFrame([(int(i), int(j), float(w[i, j])) for i, j in np.argwhere(w)], "src long, dst long, w double")
+    f, d = y.copy(), w.sum(1)
+    for _ in range(rounds):
+        f = np.where(d > 0, 0.8 * (w @ f) / np.maximum(d, 1e-300) + 0.2 * y, y)
+    got = {r["cell"]: r["f"] for r in graphs.propagated_rounds(nodes, edges, 0.8, rounds).collect()}
+    assert np.abs(np.array([got[i] for i in range(12)]) - f).max() < 1e-13
