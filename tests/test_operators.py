@@ -268,3 +268,20 @@ def test_couplings_of_tables_equal_dense_ones(spark, monkeypatch, limit):
     if not limit:
         with pytest.raises(ValueError):
             couplings.coupled(table, left, right, 0.001, ["g"], rounds=2, together=2)
+
+
+def test_digest_is_a_chain_of_all_hashes(spark):
+    """All 256 bits of each row's hash enter, in order, however many batches a group passes in."""
+    import hashlib
+
+    rows = [(g, i % 17) for i in range(60) for g in ("a", "b", None)] + [("c", 1)]
+    want = {}
+    for g, k in rows:
+        want.setdefault(g, []).append(hashlib.sha256(f"{k}|{g or '~'}".encode()).hexdigest())
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = {r["g"]: (r["digest"], r["n_rows"]) for r in matrix.digest(spark.createDataFrame(rows, "g string, k int"), ["k", "g"], ["g"]).collect()}
+    none = matrix.digest(spark.createDataFrame([], "g string, k int"), ["k"]).first()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {g: (hashlib.sha256("".join(sorted(v)).encode()).hexdigest(), len(v)) for g, v in want.items()}
+    assert tuple(none) == (hashlib.sha256(b"").hexdigest(), 0)
