@@ -274,13 +274,13 @@ def j15_assignment(t: Tables) -> DataFrame:
 
     def matched(g: pd.DataFrame) -> pd.DataFrame:
         a, b = (g[g.stage == s].sort_values("cell") for s in (0, 1))
-        cost = ((a[["x", "y", "z"]].to_numpy()[:, None] - b[["x", "y", "z"]].to_numpy()[None]) ** 2).sum(2)
-        i, j = np.arange(min(cost.shape)), np.arange(min(cost.shape))
+        p, q = (v[["x", "y", "z"]].to_numpy() for v in (a, b))
+        i, j = np.arange(min(len(p), len(q))), np.arange(min(len(p), len(q)))
         if len(a) <= len(b):
-            j = geometry.assignment(cost) if len(a) else j
+            j = geometry.assignment(geometry.SquaredGaps(p, q)) if len(a) else j
         else:
-            i = geometry.assignment(cost.T) if len(b) else i
-        return pd.DataFrame({"src": a.cell.to_numpy()[i], "dst": b.cell.to_numpy()[j], "cost": cost[i, j].round(8)})
+            i = geometry.assignment(geometry.SquaredGaps(q, p)) if len(b) else i
+        return pd.DataFrame({"src": a.cell.to_numpy()[i], "dst": b.cell.to_numpy()[j], "cost": ((p[i] - q[j]) ** 2).sum(1).round(8)})
 
     return t.points().groupBy("state").applyInPandas(matched, "src long, dst long, cost double")
 

@@ -285,3 +285,62 @@ def test_digest_is_a_chain_of_all_hashes(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == {g: (hashlib.sha256("".join(sorted(v)).encode()).hexdigest(), len(v)) for g, v in want.items()}
     assert tuple(none) == (hashlib.sha256(b"").hexdigest(), 0)
+
+
+def _held(f) -> float:
+    """MB that a call holds at most."""
+    import tracemalloc
+
+    tracemalloc.start()
+    f()
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return most
+
+
+def _clouds(n, m, d=3, seed=0):
+    rng = np.random.default_rng(seed)
+    return rng.standard_normal((n, d)), rng.standard_normal((m, d))
+
+
+def test_rigid_em_holds_few_correspondences():
+    x, y = _clouds(2000, 2000)
+    assert _held(lambda: solvers.rigid_em(x, y, rounds=2)) < 40  # all squares would be 96
+    (turn, shift), (again, there) = (solvers.rigid_em(x[:60], y[:50], held=h) for h in (1 << 20, 100))
+    assert np.allclose(turn, again) and np.allclose(shift, there)
+    assert np.isfinite(solvers.rigid_em(x[:1], y[:1])[1]).all()
+
+
+def test_swaps_hold_few_distances():
+    z, p = _clouds(1200, 1200, 8)
+    graph = geometry.first_gaps(p, p, 4)
+    assert _held(lambda: solvers.swapped_pairing(z, z[graph].mean(1)[::-1].copy(), graph)) < 45  # all squares would be 92
+    gap = ((p[:90, None] - p[None, :90]) ** 2).sum(2)
+    assert (geometry.first_gaps(p[:90], p[:90], 4, held=200) == np.argsort(gap, 1, kind="stable")[:, :4]).all()
+
+
+def test_assignment_of_points_holds_no_matrix():
+    a, b = _clouds(600, 640)
+    assert _held(lambda: geometry.assignment(geometry.SquaredGaps(a, b))) < 1  # the matrix is 3
+    a, b = a[:40].round(0), b[:45].round(0)
+    cost = ((a[:, None] - b[None]) ** 2).sum(2)
+    one, other = geometry.assignment(cost), geometry.assignment(geometry.SquaredGaps(a, b))
+    assert abs(cost[np.arange(40), one].sum() - cost[np.arange(40), other].sum()) < 1e-9 and len(set(other.tolist())) == 40
+
+
+def test_rewired_holds_no_matrix():
+    a, b = _clouds(500, 500)
+    assert _held(lambda: solvers.rewired(a, b, (a, b), (b, a), 0.5)) < 2  # all squares would be 6
+    assert sorted(solvers.rewired(a, b, (a, b), (b, a), 0.5).tolist()) == list(range(500))
+
+
+def test_exact_plan_of_points_holds_no_matrix():
+    a, b = _clouds(150, 170)
+    n, m = np.full(150, 1 / 150), np.full(170, 1 / 170)
+    found = []
+    assert _held(lambda: found.append(geometry.exact_plan(geometry.SquaredGaps(a, b), n, m))) < 0.35  # flow and cost would be 0.4
+    i, j, mass = found[0]
+    assert np.allclose(np.bincount(i, mass, 150), n) and np.allclose(np.bincount(j, mass, 170), m) and len(i) < 340
+    cost = ((a[:, None] - b[None]) ** 2).sum(2)
+    p, q, other = geometry.exact_plan(cost, n, m)
+    assert abs((cost[i, j] * mass).sum() - (cost[p, q] * other).sum()) < 1e-12
