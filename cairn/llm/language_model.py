@@ -7,7 +7,7 @@ in the parent.
 
 Seating is sampled by Gibbs sweeps: all customers of one dish in one restaurant are taken out and seated anew. Up to ``EXACT``
 customers the number of tables is drawn from its exact conditional distribution, by generalised Stirling numbers; beyond that
-from the same distribution with the numbers' ratios at their saddle points, a few per cent off at most. All dishes
+too where tables are few, and where they are many from the normal distribution about the likeliest number. All dishes
 of a sweep see the restaurants' totals of the sweep before. Each draw depends on its dish, restaurant and sweep alone, not
 on where it runs. Predictive probabilities are averaged over the sweeps kept.
 
@@ -15,10 +15,10 @@ The corpus is gone through in ``passes`` passes, each for a share of the context
 tokens are dealt out by context, so that a context's restaurants are together with all that is asked of them; sweeps run
 there. The restaurant of a word that is the context of very many tokens is split into several by the word before, each of
 about ``GROUP`` tokens. Discounts and strengths of both levels are sampled between the passes from their likelihood over
-the restaurants seated so far. The root is seated first, from the numbers of different words before each word.
+all restaurants seated so far. The root is seated first, from the numbers of different words before each word.
 
 A probability is A + B p, with A and B from the context and p the word's probability in the root. The ``TOP`` most frequent
-words' p is known everywhere. For other words A and B go on to where the words are counted. Seating takes their mean p for each.
+words' p is known everywhere. Tokens of other words go to where the words are counted first, and from there, with p, to their contexts.
 
 Rows: null and empty texts are the end alone. Repeated rows count, and are scored, each. Without training texts N and V are
 0, and every token has the base probability 1 / (V + 1) = 1. The texts must come in the same order whenever they are read.
@@ -39,8 +39,10 @@ from . import textvec
 from .common import discard, stored, stored_at, tidy, worker_keeps
 
 EXACT = 256
+FEW = 192
+"""Tables from 1 to this many are drawn by their exact weights, between ratios that are interpolated over customers."""
 LARGE = 4096
-"""Restaurants of up to this many customers, none of whose dishes has more than ``EXACT``, tell discounts and strengths."""
+"""Restaurants of up to this many customers, and dishes of up to ``EXACT``, are counted by size; the likelihood of larger ones is summed."""
 DISCOUNTS, STRENGTHS = np.arange(1, 20) / 20, np.array([0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0])
 TOP = 65_535
 RARE = 65_535
@@ -48,8 +50,8 @@ GROUP = 1 << 18
 SLICE_TOKENS, SLICE_DOCS = 1_600_000, 30_000
 MERGE = 1_200_000
 """Entries that a task holds before it merges them."""
-FORWARD_TOKENS = 4_000_000
-"""Tokens that a task answers together."""
+LOOKED_TOKENS = 4_000_000
+"""Tokens that a task looks up together."""
 CROWD = 64
 """Times that a slice has three words in a row from which on they are asked about once."""
 LEARNED = np.uint16(1 << 15)
@@ -214,6 +216,55 @@ def _saddle(m: np.ndarray, c: np.ndarray, d: float) -> tuple[np.ndarray, np.ndar
     return c * f / np.maximum(-np.expm1(m), 1e-300) * np.exp((1 - d) * m), np.log(np.maximum(f, 1e-300))
 
 
+@functools.lru_cache(maxsize=32)
+def _saddle_table(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of one customer, in order: log t, and the m of ``_saddle`` there."""
+    m = -np.geomspace(800.0, 1e-12, 1 << 15)
+    return np.log(np.maximum(_saddle(m, np.ones(len(m)), d)[0], 1e-320)), m
+
+
+def large_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S_d(c, t) for many customers: the integral for the coefficient of z ** c in its generating function, along a
+    parabola about the branch point 1 that crosses the axis at the saddle point, or 1 / c left of 1 if that is nearer."""
+    place, m = _saddle_table(d)
+    out = np.zeros(len(c))
+    some = np.flatnonzero(t < c)
+    for lo in range(0, len(some), 2048):
+        who = some[lo : lo + 2048]
+        n, k = c[who].astype(float), t[who].astype(float)
+        left = np.clip(np.exp(np.interp(np.log(k / n), place, m)), 1 / n, 1 - 1e-9)
+        wide = n * (1 - d + left / (1 - left) - d * left**d / (1 - left**d)) * (1 - left) / left
+        step = np.minimum(1, (1 - left) / np.sqrt(np.maximum(wide, 1e-300)) / left) / 4
+        at = step[:, None] * np.arange(80)
+        from_one = left[:, None] * (1 - 1j * at - at * at / 4)
+        f = k[:, None] * np.log((1 - from_one**d) / d) - (n[:, None] + 1) * np.log1p(-from_one)
+        most = f[:, 0].real
+        value = (np.exp(f - most[:, None]) * (1j + at / 2)).imag
+        area = (value.sum(1) - value[:, 0] / 2) * step * left / np.pi
+        out[who] = log_gamma(n + 1) - log_gamma(k + 1) + most + np.log(np.maximum(area, 1e-300))
+    return out
+
+
+@functools.lru_cache(maxsize=8)
+def _few_ratios(d: float) -> np.ndarray:
+    """log S_d(c, t + 1) / S_d(c, t) for t from 1 to ``FEW`` - 1 (across), c from ``EXACT`` on in sixths of a power of e (down)."""
+    c, t = np.repeat(EXACT * np.exp(np.arange(96) / 6), FEW), np.tile(np.arange(1, FEW + 1), 96)
+    return np.diff(large_stirling(c, t, d).reshape(96, FEW), axis=1)
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function of positive numbers, by its series from 16 on."""
+    x = np.asarray(x, float)
+    up = np.where(x < 16, x + 16, x)
+    down = np.log(np.where(x[..., None] < 16, x[..., None] + np.arange(16), 1.0)).sum(-1)
+    return (up - 0.5) * np.log(up) - up + np.log(2 * np.pi) / 2 + 1 / (12 * up) - 1 / (360 * up**3) + 1 / (1260 * up**5) - down
+
+
+def log_rise(start: float, step: float, n: np.ndarray) -> np.ndarray:
+    """log of (start + step) (start + 2 step) ... (start + (n - 1) step)."""
+    return (n - 1) * np.log(step) + log_gamma(start / step + n) - log_gamma(np.array(start / step + 1))
+
+
 def _bisected(c: np.ndarray, rises) -> np.ndarray:
     """The m below 0 up to which ``rises(m)`` holds."""
     low, high = np.full(len(c), -800.0), np.full(len(c), -1e-12)
@@ -225,7 +276,7 @@ def _bisected(c: np.ndarray, rises) -> np.ndarray:
 
 
 def large_tables(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, theta: float, key: np.ndarray, sweep: int) -> np.ndarray:
-    """The same draw for many customers: log S(c, t + 1) / S(c, t) is taken from its saddle point at t + 1/2, less log t."""
+    """The same draw for many customers; where more than 64 tables are likely, by a normal distribution about the likeliest number."""
 
     def log_ratio(m: np.ndarray, c=c, p=p, others=others) -> tuple[np.ndarray, np.ndarray]:
         half, f = _saddle(m, c, d)
@@ -236,16 +287,19 @@ def large_tables(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, the
     t, r = log_ratio(m)
     t_next, r_next = log_ratio(m + 1e-5 * np.abs(m))
     wide = np.sqrt(np.maximum((t_next - t) / np.maximum(r - r_next, 1e-300), 0))
+    far = np.flatnonzero((t >= 64) & (t < c - 4))
+    for _ in range(2):  # from there, Newton steps by the numbers themselves
+        ratio = large_stirling(c[far], t[far] + 1, d) - large_stirling(c[far], t[far], d) + np.log(theta + d * (others[far] + t[far])) + np.log(p[far])
+        t[far] = np.clip(t[far] + wide[far] ** 2 * ratio, 32, c[far] - 2)
     z = np.sqrt(-2 * np.log(np.maximum(uniform(key, sweep, 1), 1e-300))) * np.cos(2 * np.pi * uniform(key, sweep, 2))
     out = np.clip(np.rint(t + 0.5 + wide * z), 1, c).astype(np.int64)
     few = np.flatnonzero(t < 64)
     for lo in range(0, len(few), 2048):
         who = few[lo : lo + 2048]
-        steps = np.arange(1, 192)
-        at = np.repeat(who, len(steps))
-        want = np.tile(steps + 0.5, len(who))
-        m = _bisected(c[at], lambda m, at=at, want=want: _saddle(m, c[at], d)[0] < want)
-        ratio = log_ratio(m, c[at], p[at], others[at])[1].reshape(len(who), -1)
+        at = np.minimum(np.log(c[who] / EXACT) * 6, len(_few_ratios(d)) - 1.001)
+        low, share = at.astype(np.int64), (at % 1)[:, None]
+        ratio = (1 - share) * _few_ratios(d)[low] + share * _few_ratios(d)[low + 1]
+        ratio += np.log(theta + d * (others[who][:, None] + np.arange(1, FEW))) + np.log(p[who])[:, None]
         weight = np.cumsum(np.concatenate([np.zeros((len(who), 1)), ratio], 1), 1)
         weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
         out[who] = 1 + (uniform(key[who], sweep)[:, None] * weight[:, -1:] > weight).sum(1)
@@ -332,34 +386,38 @@ class Seats:
         a2, b2 = share(self.c, self.t, self.total[self.of_pair], of_pair[self.of_pair], d[0], theta[0])
         return a2 + b2 * a1[self.up], b2 * b1[self.up]
 
-    def histograms(self) -> tuple[np.ndarray, np.ndarray]:
-        """What discounts and strengths are told by: places and counts, of both levels customers and tables of restaurants, then of dishes."""
-        out = []
+    def histograms(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What discounts and strengths are told by: places and counts, of both levels customers and tables of restaurants, then of
+        dishes; and the log likelihood, by level, discount and strength, of all that is larger."""
+        out, more = [], np.zeros((2, len(DISCOUNTS), len(STRENGTHS)))
         of_pair, c_group, t_group = self.totals()
-        for c, t, at, customers, tabs in ((self.c, self.t, self.of_pair, self.total, of_pair), (self.low_customers(), self.t_low, self.of_group, c_group, t_group)):
-            small = customers <= LARGE
-            small[at[c > EXACT]] = False
-            dishes = small[at] & (c > 1)
+        for level, (c, t, at, customers, tabs) in enumerate(((self.c, self.t, self.of_pair, self.total, of_pair), (self.low_customers(), self.t_low, self.of_group, c_group, t_group))):
+            small, dishes, large = customers <= LARGE, (c > 1) & (c <= EXACT), c > EXACT
             out += [np.bincount(customers[small].astype(np.int64), minlength=LARGE + 1), np.bincount(tabs[small].astype(np.int64), minlength=LARGE + 1), np.bincount(c[dishes] * (EXACT + 1) + t[dishes], minlength=(EXACT + 1) ** 2)]
+            for x, dx in enumerate(DISCOUNTS.tolist()):
+                if large.any():
+                    more[level, x] += large_stirling(c[large], t[large], dx).sum()
+                for y, ty in enumerate(STRENGTHS.tolist() if not small.all() else []):
+                    more[level, x, y] += log_rise(ty, dx, tabs[~small]).sum() - log_rise(ty, 1.0, customers[~small]).sum()
         out = np.concatenate(out)
         place = np.flatnonzero(out)
-        return place, out[place]
+        return place, out[place], more
 
 
-def sampled(histogram: np.ndarray, rng: np.random.Generator) -> tuple[list[float], list[float]]:
-    """Discounts and strengths of both levels, drawn from their posterior on a grid, given seats."""
+def sampled(histogram: np.ndarray, rng: np.random.Generator, more: np.ndarray | None = None) -> tuple[list[float], list[float]]:
+    """Discounts and strengths of both levels, drawn from their posterior on a grid, given seats; more: what larger ones add."""
     d, theta = [], []
     sizes = [LARGE + 1, LARGE + 1, (EXACT + 1) ** 2]
     i = np.arange(LARGE + 1)
-    for level in histogram.reshape(2, -1):
+    for number, level in enumerate(histogram.reshape(2, -1)):
         customers, tabs, dishes = np.split(level, np.cumsum(sizes)[:-1])
-        loglik = np.zeros((len(DISCOUNTS), len(STRENGTHS)))
+        loglik = np.zeros((len(DISCOUNTS), len(STRENGTHS))) if more is None else more[number].copy()
         used = np.flatnonzero(dishes)
         for x, dx in enumerate(DISCOUNTS):
             seated = (dishes[used] * _stirling(float(dx)).ravel()[used]).sum()
             for y, ty in enumerate(STRENGTHS):
                 rise = lambda step, ty=ty: np.concatenate([[0, 0], np.cumsum(np.log(ty + step * i[1:-1]))])
-                loglik[x, y] = seated + (tabs * rise(dx)).sum() - (customers * rise(1.0)).sum()
+                loglik[x, y] += seated + (tabs * rise(dx)).sum() - (customers * rise(1.0)).sum()
         weight = np.exp(loglik - loglik.max()).ravel().cumsum()
         x, y = np.divmod(int((weight < rng.random() * weight[-1]).sum()), len(STRENGTHS))
         d.append(float(DISCOUNTS[x]))
@@ -411,7 +469,7 @@ def train(learn: DataFrame, burn_in: int = 2, kept: int = 2) -> dict:
 
 def _top(words: DataFrame, model: dict) -> dict:
     """The words that more often occur than any count that over ``TOP`` words exceed: hash, count and probability in the root,
-    in order of hash, at most ``TOP``; and the mean probability of all others."""
+    in order of hash, at most ``TOP``."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -441,7 +499,7 @@ def _top(words: DataFrame, model: dict) -> dict:
     key = key.view(np.uint64)
     order = np.argsort(key)
     key, c, p = key[order], c[order], p[order]
-    return {"top": key, "top_count": c, "top_p": p, "rare_p": max((1 - float(p.sum())) / max(model["v"] - len(key) + 1, 1), 1e-12)}
+    return {"top": key, "top_count": c, "top_p": p}
 
 
 class Top:
@@ -500,8 +558,100 @@ def _scored_tokens(batch: pa.RecordBatch, top: Top) -> Iterator[tuple]:
         yield slice(chunk.lo, chunk.hi), token, lengths, place, group, far
 
 
-#: Kinds of rows between stages: a slice's texts; its repeated triples' texts; tokens; triples; sums by text; values of triples; tokens with A and B; histogram.
-TEXTS, TIMES, TOKENS, TRIPLES, SUMS, VALUES, FORWARD, HISTOGRAM = range(8)
+#: Kinds of rows between stages: a slice's texts; its repeated triples' texts; tokens; triples; tokens that were looked up; sums by text; values of triples; counts of looked up words by text; histogram.
+TEXTS, TIMES, TOKENS, TRIPLES, LOOKED, SUMS, VALUES, KNOWN, HISTOGRAM = range(9)
+
+
+class Slices:
+    """Cuts the texts that a task reads into slices, in the same way whatever is read of them."""
+
+    def __init__(self) -> None:
+        self.part, self.count, self.size, self.docs = TaskContext.get().partitionId(), 0, 0, 0
+
+    def numbers(self, lengths: np.ndarray, held_out: np.ndarray) -> np.ndarray:
+        """Of the next texts' tokens the text's number in the slice, with the bit of training texts."""
+        return np.repeat(np.arange(self.docs, self.docs + len(lengths), dtype=np.uint16) | np.where(held_out, np.uint16(0), LEARNED), lengths)
+
+    def full(self, lengths: np.ndarray) -> bool:
+        self.size, self.docs = self.size + int(lengths.sum()), self.docs + len(lengths)
+        return self.size >= SLICE_TOKENS or self.docs + textvec.CHUNK_ROWS > SLICE_DOCS
+
+    def ended(self) -> int:
+        """The slice's id; the next one begins."""
+        slice_id = (self.part << 32) + self.count
+        self.count, self.size, self.docs = self.count + 1, 0, 0
+        return slice_id
+
+
+def _looked(docs: DataFrame, top, model: dict, passes: int, partitions: int) -> DataFrame:
+    """pass, bucket, blob: of all tokens beyond the most frequent words, their words' counts and probabilities in the root."""
+    slim = {k: model[k] for k in ("burn_in", "root_customers", "root_discount", "base", "root_tables")}
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t: Top = worker_keeps(("top", id(top)), lambda: Top(top.value))
+        slices, held = Slices(), []
+
+        def flush() -> pa.RecordBatch:
+            whole, group, far, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(whole)
+            whole, group, far, doc = whole[order], group[order], far[order], doc[order]
+            cuts = _cuts(_bucket(whole, partitions))
+            blobs = [_head(b - a) + whole[a:b].tobytes() + group[a:b].tobytes() + far[a:b].tobytes() + doc[a:b].tobytes() for _, a, b in cuts]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in cuts], pa.int32()), pa.array(np.full(len(cuts), slices.ended())), pa.array(blobs, pa.binary())], ["bucket", "slice", "blob"])
+
+        for batch in batches:
+            held_out = batch.column(3).to_numpy(zero_copy_only=False)
+            for at, token, lengths, place, group, far in _scored_tokens(batch, t):
+                rare = place == RARE
+                held.append((token[rare], group[rare], far[rare], slices.numbers(lengths, held_out[at])[rare]))
+                if slices.full(lengths):
+                    yield flush()
+        if held:
+            yield flush()
+        tidy()
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps(None)
+        none = _root(np.zeros(1, np.int64), np.zeros(1, np.uint64), slim)
+        for _, received in _by_bucket(batches):
+            key, count, p, held, size = np.zeros(0, np.uint64), np.zeros(1, np.int64), none, [], 0
+
+            def flush(held: list, key: np.ndarray, count: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+                names = np.array([x[0] for x in held], np.int64)
+                slices = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[1]) for x in held])
+                whole, group, far, doc = (np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
+                to = ((group & _U(0xFFFFFFFF)) % _U(passes)).astype(np.int64) * partitions + _bucket(group, partitions)
+                order = np.argsort(to, kind="stable")
+                whole, group, far, doc, slices, to = whole[order], group[order], far[order], doc[order], slices[order], to[order]
+                place = _place(key, whole)
+                chance, times = p[place], count[place].astype(np.uint32)
+                cuts = _cuts(to)
+                blobs = []
+                for _, a, b in cuts:
+                    own, of = np.unique(slices[a:b], return_inverse=True)
+                    blobs.append(_head(b - a, len(own)) + whole[a:b].tobytes() + group[a:b].tobytes() + chance[a:b].tobytes() + names[own].tobytes() + far[a:b].tobytes() + times[a:b].tobytes() + of.astype(np.uint32).tobytes() + doc[a:b].tobytes())
+                number, bucket = np.divmod(np.array([x[0] for x in cuts], np.int64), partitions)
+                return pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(blobs, pa.binary())], ["pass", "bucket", "blob"])
+
+            for slice_id, blob in received:  # the bucket's words come first
+                data = memoryview(blob.as_buffer())
+                if slice_id.as_py() < 0:
+                    key, count, n1 = _unpacked(blob)
+                    count, p = np.append(count, 0), np.append(_root(n1, key, slim), none)
+                    continue
+                (m,) = np.frombuffer(data[:8], np.int64).tolist()
+                held.append((slice_id.as_py(), *_arrays(data[8:], (np.uint64, m), (np.uint64, m), (np.uint32, m), (np.uint16, m))))
+                size += m
+                if size >= LOOKED_TOKENS:
+                    yield flush(held, key, count, p)
+                    held, size = [], 0
+            if held:
+                yield flush(held, key, count, p)
+        tidy()
+
+    all_ = docs.mapInArrow(asked, "bucket int, slice long, blob binary").unionByName(model["words"].select("bucket", F.lit(-1).cast("long").alias("slice"), "blob"))
+    return all_.repartition(partitions, "bucket").sortWithinPartitions("bucket", "slice").mapInArrow(met, "pass int, bucket int, blob binary")
 
 
 def _asked(docs: DataFrame, top, number: int, passes: int, partitions: int) -> DataFrame:
@@ -509,27 +659,22 @@ def _asked(docs: DataFrame, top, number: int, passes: int, partitions: int) -> D
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Top = worker_keeps(("top", id(top)), lambda: Top(top.value))
-        part, count, held, facts, size, docs_held = TaskContext.get().partitionId(), 0, [], [], 0, 0
+        slices, held, facts = Slices(), [], []
 
         def flush() -> pa.RecordBatch:
-            nonlocal count
-            group, far, place, doc, rare = (np.concatenate(x) for x in zip(*held, strict=True))
-            slice_id = (part << 32) + count
-            count += 1
+            group, far, place, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            slice_id = slices.ended()
             order = np.argsort((group & ~_U(0xFFFFF)) | (joint(far.astype(np.uint64), place) & _U(0xFFFFF)))
             group, far, place, doc = group[order], far[order], place[order], doc[order]
-            whole = np.zeros(len(group), np.uint64)
-            whole[place == RARE] = rare[order[place == RARE]]
             at = runs(group, far, place)
             often = np.diff(np.append(at, len(group)))
-            crowd = (often >= CROWD) & (place[at] != RARE)
+            crowd = often >= CROWD
             in_crowd = np.repeat(crowd, often)
             out: list[tuple[int, int, bytes]] = []
-            g, f, p, n, w = group[~in_crowd], far[~in_crowd], place[~in_crowd], doc[~in_crowd], whole[~in_crowd]
+            g, f, p, n = group[~in_crowd], far[~in_crowd], place[~in_crowd], doc[~in_crowd]
             for bucket, a, b in _cuts(_bucket(g, partitions)):
                 first = runs(g[a:b])
-                lone = w[a:b][p[a:b] == RARE]
-                out.append((bucket, TOKENS, _head(len(first), b - a, len(lone)) + g[a:b][first].tobytes() + lone.tobytes() + first.astype(np.uint32).tobytes() + f[a:b].tobytes() + p[a:b].astype(np.uint16).tobytes() + n[a:b].tobytes()))
+                out.append((bucket, TOKENS, _head(len(first), b - a) + g[a:b][first].tobytes() + first.astype(np.uint32).tobytes() + f[a:b].tobytes() + p[a:b].astype(np.uint16).tobytes() + n[a:b].tobytes()))
             if crowd.any():
                 top_at = at[crowd]
                 learned = np.add.reduceat(doc[in_crowd] >> 15, np.cumsum(often[crowd]) - often[crowd]).astype(np.uint32)
@@ -548,16 +693,14 @@ def _asked(docs: DataFrame, top, number: int, passes: int, partitions: int) -> D
         for batch in batches:
             ids, null, held_out = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
             for at, token, lengths, place, group, far in _scored_tokens(batch, t):
-                doc = np.repeat(np.arange(docs_held, docs_held + len(lengths), dtype=np.uint16) | np.where(held_out[at], np.uint16(0), LEARNED), lengths)
-                now = (group & _U(0xFFFFFFFF)) % _U(passes) == number
-                held.append((group[now], far[now], place[now], doc[now], token[now]))
+                often = place != RARE
+                now = ((group & _U(0xFFFFFFFF)) % _U(passes) == number) & often
+                held.append((group[now], far[now], place[now], slices.numbers(lengths, held_out[at])[now]))
                 if number == 0:
-                    row, often = np.repeat(np.arange(len(lengths)), lengths), place != RARE
+                    row = np.repeat(np.arange(len(lengths)), lengths)
                     facts.append((ids[at], null[at], held_out[at], lengths, np.bincount(row[often], t.base[place[often]] if len(t.base) else None, len(lengths)).astype(float), np.bincount(row[often], minlength=len(lengths))))
-                size, docs_held = size + len(token), docs_held + len(lengths)
-                if size >= SLICE_TOKENS or docs_held + textvec.CHUNK_ROWS > SLICE_DOCS:
+                if slices.full(lengths):
                     yield flush()
-                    size = docs_held = 0
         if held:
             yield flush()
         tidy()
@@ -566,128 +709,103 @@ def _asked(docs: DataFrame, top, number: int, passes: int, partitions: int) -> D
 
 
 def _answered(asked: DataFrame, top, settings: dict, partitions: int) -> DataFrame:
-    """bucket, slice, kind, blob: the contexts' seating, and what it answers to slices and forwards to words."""
+    """slice, kind, blob: the contexts' seating, and what it answers to slices."""
     d, theta, burn_in, kept = (settings[x] for x in ("d", "theta", "burn_in", "kept"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_keeps(None)
-        root = np.append(top.value["top_p"], np.full(RARE + 1 - len(top.value["top_p"]), top.value["rare_p"]))
+        root = top.value["top_p"]
         for _, received in _by_bucket(batches):
-            out: list[tuple[int, int, int, bytes]] = []
-            parts: dict[int, list] = {TOKENS: [], TRIPLES: []}
+            out: list[tuple[int, int, bytes]] = []
+            tok, tri, seen = [], [], []
             for slice_id, kind, blob in received:
                 kind, slice_id = kind.as_py(), slice_id.as_py()
                 if kind in (TEXTS, TIMES):
-                    out.append((-1, slice_id, kind, blob.as_py()))
+                    out.append((slice_id, kind, blob.as_py()))
                     continue
                 data = memoryview(blob.as_buffer())
                 if kind == TOKENS:
-                    k, n, lone = np.frombuffer(data[:24], np.int64).tolist()
-                    group, whole, first, far, place, doc = _arrays(data[24:], (np.uint64, k), (np.uint64, lone), (np.uint32, k), (np.uint32, n), (np.uint16, n), (np.uint16, n))
-                    parts[TOKENS].append((slice_id, np.repeat(group, np.diff(np.append(first, n))), far, place, doc, whole))
-                else:
+                    k, n = np.frombuffer(data[:16], np.int64).tolist()
+                    group, first, far, place, doc = _arrays(data[16:], (np.uint64, k), (np.uint32, k), (np.uint32, n), (np.uint16, n), (np.uint16, n))
+                    tok.append((slice_id, np.repeat(group, np.diff(np.append(first, n))), far, place, doc))
+                elif kind == TRIPLES:
                     (n,) = np.frombuffer(data[:8], np.int64).tolist()
-                    parts[TRIPLES].append((slice_id, *_arrays(data[8:], (np.uint64, n), (np.uint32, n), (np.uint32, n), (np.uint32, n), (np.uint16, n))))
-            tok, tri = parts[TOKENS], parts[TRIPLES]
-            group = np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in tok), *(x[1] for x in tri)])
+                    tri.append((slice_id, *_arrays(data[8:], (np.uint64, n), (np.uint32, n), (np.uint32, n), (np.uint32, n), (np.uint16, n))))
+                else:
+                    n, k = np.frombuffer(data[:16], np.int64).tolist()
+                    whole, group, p, names, far, times, of, doc = _arrays(data[16:], (np.uint64, n), (np.uint64, n), (np.float64, n), (np.int64, k), (np.uint32, n), (np.uint32, n), (np.uint32, n), (np.uint16, n))
+                    seen.append((group, far, whole | _U(1 << 63), p, doc, names[of], times))
+            group = np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in tok), *(x[1] for x in tri), *(x[0] for x in seen)])
             if len(group):
-                far = np.concatenate([*(x[2] for x in tok), *(x[2] for x in tri)])
-                place = np.concatenate([*(x[3] for x in tok), *(x[5] for x in tri)]).astype(np.int64)
-                count = np.concatenate([*(x[4] >> 15 for x in tok), *(x[3] for x in tri)]).astype(np.int64)
-                dish = place.astype(np.uint64)
-                dish[place == RARE] = np.concatenate([np.zeros(0, np.uint64), *(x[5] for x in tok)]) | _U(1 << 63)
+                far = np.concatenate([*(x[2] for x in tok), *(x[2] for x in tri), *(x[1] for x in seen)])
+                place = np.concatenate([np.zeros(0, np.uint16), *(x[3] for x in tok), *(x[5] for x in tri)])
+                dish = np.concatenate([place.astype(np.uint64), *(x[2] for x in seen)])
+                p = np.concatenate([root[place], *(x[3] for x in seen)])
+                count = np.concatenate([*(x[4] >> 15 for x in tok), *(x[3] for x in tri), *(x[4] >> 15 for x in seen)]).astype(np.int64)
                 _, one, which = textvec.distinct(joint(joint(group, far), dish))
-                seats = Seats(group[one], far[one], dish[one], np.bincount(which, count, len(one)).astype(np.int64), root[place[one]])
+                seats = Seats(group[one], far[one], dish[one], np.bincount(which, count, len(one)).astype(np.int64), p[one])
                 a, b = np.zeros(len(one)), np.zeros(len(one))
                 for k in range(burn_in + kept):
                     seats.sweep(d, theta, k)
                     if k >= burn_in:
                         x, y = seats.mixture(d, theta)
                         a, b = a + x / kept, b + y / kept
-                value = np.log10(a + b * root[place[one]])
+                value = np.log10(a + b * p[one])[which]
                 at = 0
-                rare: list[tuple] = []
-                for slice_id, _, _, own, doc, whole in tok:
-                    n = len(own)
-                    here, doc, often = which[at : at + n], doc & ~LEARNED, own != RARE
-                    at += n
-                    sums = np.bincount(doc[often], value[here[often]])
-                    texts = np.flatnonzero(np.bincount(doc[often]))
-                    out.append((-1, slice_id, SUMS, _head(len(texts)) + sums[texts].tobytes() + texts.astype(np.uint16).tobytes()))
-                    here = here[~often]
-                    rare.append((whole, np.full(len(whole), slice_id), a[here].astype(np.float32), b[here].astype(np.float32), doc[~often]))
+
+                def summed(slice_id: int, doc: np.ndarray, value: np.ndarray, kind: int = SUMS, times: np.ndarray | None = None) -> None:
+                    texts = np.flatnonzero(np.bincount(doc))
+                    more = b"" if times is None else np.bincount(doc, times > 0)[texts].astype(np.int64).tobytes()
+                    out.append((slice_id, kind, _head(len(texts)) + np.bincount(doc, value)[texts].tobytes() + more + texts.astype(np.uint16).tobytes()))
+
+                for slice_id, _, _, _, doc in tok:
+                    summed(slice_id, doc & ~LEARNED, value[at : at + len(doc)])
+                    at += len(doc)
                 for slice_id, _, _, _, index, _ in tri:
                     n = len(index)
-                    out.append((-1, slice_id, VALUES, _head(n) + value[which[at : at + n]].tobytes() + index.tobytes()))
+                    out.append((slice_id, VALUES, _head(n) + value[at : at + n].tobytes() + index.tobytes()))
                     at += n
-                if rare:
-                    whole, slices, x, y, doc = (np.concatenate(v) for v in zip(*rare, strict=True))
-                    order = np.argsort(whole)
-                    whole, slices, x, y, doc = whole[order], slices[order], x[order], y[order], doc[order]
-                    names, slices = np.unique(slices, return_inverse=True)
-                    for bucket, i, j in _cuts(_bucket(whole, partitions)):
-                        out.append((bucket, -1, FORWARD, _head(j - i, len(names)) + whole[i:j].tobytes() + names.tobytes() + slices[i:j].astype(np.uint32).tobytes() + x[i:j].tobytes() + y[i:j].tobytes() + doc[i:j].tobytes()))
-                index, n = seats.histograms()
-                out.append((-1, -1, HISTOGRAM, _head(len(index)) + index.astype(np.int64).tobytes() + n.astype(np.int64).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.binary())], ["bucket", "slice", "kind", "blob"])
+                if seen:
+                    doc, slices, times = (np.concatenate(x) for x in list(zip(*seen, strict=True))[4:])
+                    order = np.argsort(slices, kind="stable")
+                    doc, slices, times, rare = doc[order] & ~LEARNED, slices[order], times[order], value[at:][order]
+                    base = np.log10((times.astype(np.int64) + 1) / (top.value["n"] + top.value["v"] + 1))
+                    starts = runs(slices).tolist()
+                    for i, j in zip(starts, [*starts[1:], len(slices)], strict=True):
+                        summed(int(slices[i]), doc[i:j], rare[i:j])
+                        summed(int(slices[i]), doc[i:j], base[i:j], KNOWN, times[i:j])
+                index, n, more = seats.histograms()
+                out.append((-1, HISTOGRAM, _head(len(index)) + index.astype(np.int64).tobytes() + n.astype(np.int64).tobytes() + more.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["slice", "kind", "blob"])
         tidy()
 
     dealt = asked.repartition(partitions, "bucket").sortWithinPartitions("bucket", "slice", "kind")
-    return dealt.mapInArrow(rows, "bucket int, slice long, kind int, blob binary")
+    return dealt.mapInArrow(rows, "slice long, kind int, blob binary")
 
 
-def _histogram(answered: DataFrame) -> np.ndarray:
-    """The sums of the pass: at most as many numbers as a histogram has places."""
+def _histogram(answered: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of the pass, at most as many numbers as a histogram has places, and the log likelihood of all that is larger."""
+    shape = (2, len(DISCOUNTS), len(STRENGTHS))
+    places, values = 2 * (2 * (LARGE + 1) + (EXACT + 1) ** 2), int(np.prod(shape))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0):
                 data = memoryview(blob.as_buffer())
                 (n,) = np.frombuffer(data[:8], np.int64).tolist()
-                place, count = _arrays(data[8:], (np.int64, n), (np.int64, n))
+                place, count, more = _arrays(data[8:], (np.int64, n), (np.int64, n), (np.float64, values))
+                place, count = np.append(place, np.arange(places, places + values)), np.append(count.astype(float), more)
                 yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(count)], ["place", "n"])
 
-    out = np.zeros(2 * (2 * (LARGE + 1) + (EXACT + 1) ** 2), np.int64)
-    table = answered.where(F.col("kind") == HISTOGRAM).select("blob").mapInArrow(rows, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(places + values)
+    table = answered.where(F.col("kind") == HISTOGRAM).select("blob").mapInArrow(rows, "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     out[table["place"].to_numpy()] = table["n"].to_numpy()
-    return out
+    return out[:places].astype(np.int64), out[places:].reshape(shape)
 
 
 def _finished(answered: DataFrame, model: dict, partitions: int) -> DataFrame:
-    """The scores: forwarded tokens meet their words, then all of a slice comes together."""
-    n, v = model["n"], model["v"]
-    slim = {k: model[k] for k in ("burn_in", "root_customers", "root_discount", "base", "root_tables")}
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = _root(np.zeros(1, np.int64), np.zeros(1, np.uint64), slim)
-        for _, received in _by_bucket(batches):
-            key, count, p, held, size = np.zeros(0, np.uint64), np.zeros(1, np.int64), none, [], 0
-
-            def flush(held: list) -> pa.RecordBatch:
-                slices, c, value, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-                order = np.argsort(slices, kind="stable")
-                value, c, doc, slices = value[order], c[order], doc[order], slices[order]
-                at = runs(slices).tolist()
-                blobs = [_head(j - i) + c[i:j].astype(np.uint32).tobytes() + value[i:j].tobytes() + doc[i:j].tobytes() for i, j in zip(at, [*at[1:], len(doc)], strict=True)]
-                return pa.RecordBatch.from_arrays([pa.array(slices[at]), pa.array(np.full(len(at), FORWARD, np.int32)), pa.array(blobs, pa.binary())], ["slice", "kind", "blob"])
-
-            for kind, blob in received:  # the bucket's words come first
-                if kind.as_py() < 0:
-                    key, count, n1 = _unpacked(blob)
-                    count, p = np.append(count, 0), np.append(_root(n1, key, slim), none)
-                    continue
-                data = memoryview(blob.as_buffer())
-                m, k = np.frombuffer(data[:16], np.int64).tolist()
-                whole, names, slices, a, b, doc = _arrays(data[16:], (np.uint64, m), (np.int64, k), (np.uint32, m), (np.float32, m), (np.float32, m), (np.uint16, m))
-                place = _place(key, whole)
-                held.append((names[slices], count[place], np.log10(a.astype(float) + b.astype(float) * p[place]).astype(np.float32), doc))
-                size += m
-                if size >= FORWARD_TOKENS:
-                    yield flush(held)
-                    held, size = [], 0
-            if size:
-                yield flush(held)
-        tidy()
+    """The scores: all of a slice comes together."""
+    n = model["n"]
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, received in _by_bucket(batches):
@@ -706,12 +824,10 @@ def _finished(answered: DataFrame, model: dict, partitions: int) -> DataFrame:
                     score[doc] += sums
                 elif kind == VALUES:
                     values.setdefault(number, []).append(_arrays(data[8:], (np.float64, m), (np.uint32, m)))
-                else:
-                    c, value, doc = _arrays(data[8:], (np.uint32, m), (np.float32, m), (np.uint16, m))
-                    c = c.astype(np.int64)  # of words beyond the most frequent ones
-                    score += np.bincount(doc, value.astype(float), len(score))
-                    base += np.bincount(doc, np.log10((c + 1) / (n + v + 1)), len(score))
-                    known += np.bincount(doc, c > 0, len(score)).astype(np.int64)
+                else:  # of words beyond the most frequent ones
+                    sums, times, doc = _arrays(data[8:], (np.float64, m), (np.int64, m), (np.uint16, m))
+                    base[doc] += sums
+                    known[doc] += times
             for number, index, doc in waiting:
                 value, at = (np.concatenate(x) for x in zip(*values[number], strict=True))
                 score += np.bincount(doc, value[np.argsort(at)][index], len(score))
@@ -719,9 +835,7 @@ def _finished(answered: DataFrame, model: dict, partitions: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         tidy()
 
-    forward = answered.where(F.col("kind") == FORWARD).select("bucket", "kind", "blob").unionByName(model["words"].select("bucket", F.lit(-1).alias("kind"), "blob"))
-    replies = forward.repartition(partitions, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(words, "slice long, kind int, blob binary")
-    all_ = answered.where(~F.col("kind").isin(FORWARD, HISTOGRAM)).select("slice", "kind", "pass", "blob").unionByName(replies.select("slice", "kind", F.lit(-1).alias("pass"), "blob"))
+    all_ = answered.where(F.col("kind") != HISTOGRAM).select("slice", "kind", "pass", "blob")
     out = all_.repartition(partitions, "slice").sortWithinPartitions("slice", "kind", "pass").mapInArrow(texts, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return stored(out, "scores")
 
@@ -732,18 +846,21 @@ def scored(docs: DataFrame, model: dict, held_out: Column, passes: int = 3, seed
     The texts that aren't held out are those that ``model`` was trained on; contexts are seated from them here.
     """
     spark, partitions = docs.sparkSession, model["partitions"]
-    top = spark.sparkContext.broadcast({k: model[k] for k in ("top", "top_count", "top_p", "rare_p", "n", "v")})
+    top = spark.sparkContext.broadcast({k: model[k] for k in ("top", "top_count", "top_p", "n", "v")})
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text", held_out.alias("held_out"))
     rng = np.random.default_rng(seed)
     settings = {"d": [model["discount"]] * 2, "theta": [1.0, 1.0], "burn_in": model["burn_in"], "kept": model["kept"]}
-    told, parts, paths = 0, [], []
+    told, more, parts, paths = 0, 0, [], []
+    looked, path = stored_at(_looked(rows, top, model, passes, partitions), "looked", rows=64)
+    paths.append(path)
     for number in range(passes):
-        part, path = stored_at(_answered(_asked(rows, top, number, passes, partitions), top, settings, partitions), "answers", rows=64)
+        now = looked.where(F.col("pass") == number).select("bucket", F.lit(-1).cast("long").alias("slice"), F.lit(LOOKED).alias("kind"), "blob")
+        part, path = stored_at(_answered(_asked(rows, top, number, passes, partitions).unionByName(now), top, settings, partitions), "answers", rows=64)
         parts.append(part.withColumn("pass", F.lit(number)))
         paths.append(path)
         if number + 1 < passes:
-            told = told + _histogram(part)
-            settings["d"], settings["theta"] = sampled(told, rng)
+            told, more = (x + y for x, y in zip((told, more), _histogram(part), strict=True))
+            settings["d"], settings["theta"] = sampled(told, rng, more)
     out = _finished(functools.reduce(DataFrame.unionByName, parts), model, partitions)
     for path in paths:
         discard(spark, path)

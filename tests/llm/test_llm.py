@@ -851,6 +851,24 @@ def test_language_model_takes_rare_and_split_contexts(spark, monkeypatch):
         assert abs(rare[i]["score"] - r["score"]) < 0.1 * abs(r["score"])
 
 
+def test_language_model_seats_rare_words_by_their_own_probability(spark, monkeypatch):
+    """With few frequent words all others are seated as by brute force too, each with its own probability in the root."""
+    texts = SMALL * 3 + ["the cow sat on a mat", "unheard words here", "dog mat the on"]
+    learned = [i < 18 for i in range(len(texts))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(language_model, "TOP", 4)
+    model = language_model.train(d.where("doc_id < 18").select("text"))
+    assert 0 < len(model["top"]) <= 4
+    got = {r["doc_id"]: r["score"] for r in language_model.scored(d, model, F.col("doc_id") >= 18, passes=1).collect()}
+    # A dish is told by its word's place among the frequent, or by its word's hash.
+    trained = sorted({w for t, on in zip(hashes_of(texts), learned, strict=True) if on for w in t})
+    top, joint = model["top"].tolist(), language_model.joint
+    dish = {i: top.index(w) if w in top else w | 1 << 63 for i, w in enumerate(trained)}
+    monkeypatch.setattr(language_model, "joint", lambda a, b: joint(a, np.array([dish.get(int(x), int(x)) for x in b], np.uint64)))
+    want = brute_language_model(hashes_of(texts), learned)
+    assert max(abs(got[i] - x) for i, x in enumerate(want)) < 1e-5
+
+
 def test_language_model_is_the_same_on_any_partitions(spark):
     d = spark.createDataFrame([(i, SMALL[i % 7] + f" w{i % 11}") for i in range(120)], "doc_id long, text string")
     found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
@@ -903,6 +921,36 @@ def test_tables_follow_their_distribution(d, n, others, p):
     assert abs(t.mean() - mean) < 0.04 * mean + 0.05
 
 
+@settings(max_examples=20, deadline=None)
+@given(st.floats(0.05, 0.95), st.integers(257, 600), st.integers(1, 600))
+def test_large_stirling_numbers(d, c, t):
+    d, t = round(d, 2), min(t, c)
+    found = language_model.large_stirling(np.array([c]), np.array([t]), d)[0]
+    assert abs(found - language_model.log_stirling(d, c)[c, t]) < 0.01
+    rise = sum(np.log(0.3 + d * i) for i in range(1, c))
+    assert abs(language_model.log_rise(0.3, d, np.array([c]))[0] - rise) < 1e-8 * (1 + abs(rise))
+
+
+def test_large_restaurants_tell_discounts(monkeypatch):
+    """What restaurants and dishes beyond the bounds of the counts say is what it says within them."""
+    rng = np.random.default_rng(2)
+    n = 60
+    seats = language_model.Seats(np.zeros(n, np.uint64), np.arange(n, dtype=np.uint32) // 20, np.arange(n, dtype=np.uint64) % 20, rng.integers(1, 120, n), np.full(n, 0.05))
+    for k in range(3):
+        seats.sweep([0.6, 0.4], [1.0, 1.0], k)
+
+    def drawn():
+        place, count, more = seats.histograms()
+        told = np.zeros(2 * (2 * (language_model.LARGE + 1) + (language_model.EXACT + 1) ** 2), np.int64)
+        told[place] = count
+        return [language_model.sampled(told, np.random.default_rng(i), more) for i in range(50)]
+
+    whole = drawn()
+    assert len({str(x) for x in whole}) > 5
+    monkeypatch.setattr(language_model, "LARGE", 100)
+    assert seats.total.min() > 100 and drawn() == whole
+
+
 def test_discounts_are_told_by_the_seating():
     """Seats that follow a discount lead back to it."""
     rng = np.random.default_rng(1)
