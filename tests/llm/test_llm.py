@@ -853,13 +853,14 @@ def test_language_model_takes_rare_and_split_contexts(spark, monkeypatch):
 
 def test_language_model_seats_rare_words_by_their_own_probability(spark, monkeypatch):
     """With few frequent words all others are seated as by brute force too, each with its own probability in the root."""
-    texts = SMALL * 3 + ["the cow sat on a mat", "unheard words here", "dog mat the on"]
-    learned = [i < 18 for i in range(len(texts))]
+    texts = SMALL * 30 + [f"{w} {v} {w} w{k % 9}" for k in range(90) for w, v in (("cat", "hat"), ("dog", "mat"))] + ["the cow sat on a mat", "unheard words here", "dog mat the on"]
+    n = len(texts) - 3
+    learned = [i < n for i in range(len(texts))]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     monkeypatch.setattr(language_model, "TOP", 4)
-    model = language_model.train(d.where("doc_id < 18").select("text"))
+    model = language_model.train(d.where(f"doc_id < {n}").select("text"))
     assert 0 < len(model["top"]) <= 4
-    got = {r["doc_id"]: r["score"] for r in language_model.scored(d, model, F.col("doc_id") >= 18, passes=1).collect()}
+    got = {r["doc_id"]: r["score"] for r in language_model.scored(d, model, F.col("doc_id") >= n, passes=1).collect()}
     # A dish is told by its word's place among the frequent, or by its word's hash.
     trained = sorted({w for t, on in zip(hashes_of(texts), learned, strict=True) if on for w in t})
     top, joint = model["top"].tolist(), language_model.joint
