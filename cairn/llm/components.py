@@ -30,10 +30,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         for old in (path, large_path):
             discard(spark, old)
         path = after_path
-        # Done when all edges are stars with their least node at the centre: no node is both an end and a centre.
-        ends = after.select("u").distinct()
-        twice = after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-        if not twice and not after.join(ends.withColumnRenamed("u", "c"), F.col("v") == F.col("c"), "left_semi").limit(1).count():
+        # Done when all edges are stars with their least node at the centre: no node is both an end and a centre, or an end twice.
+        # One aggregation over the nodes tells, so that a round plans no further join and the driver holds less.
+        ends = after.select(F.col("u").alias("node"), F.lit(1).alias("end"), F.lit(0).alias("centre"))
+        centres = after.select(F.col("v").alias("node"), F.lit(0).alias("end"), F.lit(1).alias("centre"))
+        held = ends.unionByName(centres).groupBy("node").agg(F.sum("end").alias("end"), F.max("centre").alias("centre"))
+        if not held.where("end + centre > 1").limit(1).count():
             return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
         pairs = after
 

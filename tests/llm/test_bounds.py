@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import decontaminate, language_id, mixing, quality
+from cairn.llm import common, components, decontaminate, language_id, mixing, quality
 
 
 @pytest.fixture
@@ -75,6 +75,37 @@ def test_a_large_benchmark_shuffles_documents_once(spark, sf_dir, monkeypatch):
     assert shuffled < 5 * size
 
 
+def test_components_plan_one_check_a_round(spark, monkeypatch):
+    rounds, own = [], components.stored_at
+    monkeypatch.setattr(components, "stored_at", lambda df, name: rounds.append(name) or own(df, name))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(60, 61), (62, 61), (7, 7)], "a long, b long")
+    queries = spark._jsparkSession.sharedState().statusStore()
+    before = queries.executionsCount()
+    found = components.components(edges)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert queries.executionsCount() - before <= 1 + 3 * (len(rounds) // 2)
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(1, 41)} | {(61, 60), (62, 60)}
+
+
+def test_stored_tables_leave_no_freed_memory_with_the_driver(spark):
+    jvm = spark.sparkContext._jvm
+
+    def resident():
+        with open(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("Rss:")) / 1024
+
+    if not common.tidy_driver(spark):
+        pytest.skip("this JVM has no such command")
+    common.stored(spark.range(3), "first")
+    made = [jvm.java.util.zip.Deflater() for _ in range(1500)]
+    for i, x in enumerate(made):  # some stay, so that no block of memory is free as a whole
+        if i % 8:
+            x.end()
+    before = resident()
+    common.stored(spark.range(3), "again")
+    assert before - resident() > 100
+
+
 def _stages(store):
     found = store.stageList(None, False, False, spark_doubles(store), None)
     return [found.apply(i) for i in range(found.size())]
