@@ -38,17 +38,20 @@ BATCH_ROWS = 1024
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, limit: int = BATCH_ROWS) -> Iterator[None]:
-    """Jobs run inside hand over at most ``limit`` rows at a time, and their shuffle files go when they end."""
-    rows, files = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(rows), spark.conf.get(files, "false")
+def small_batches(spark: SparkSession, limit: int = BATCH_ROWS, size: int | None = None) -> Iterator[None]:
+    """Jobs run inside hand over at most ``limit`` rows at a time, of about ``size`` bytes if given, and their shuffle files go when they end."""
+    rows, files, most = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(rows), spark.conf.get(files, "false"), spark.conf.get(most)
     spark.conf.set(rows, str(min(limit, int(before[0])) if int(before[0]) > 0 else limit))
     spark.conf.set(files, "true")
+    if size is not None:
+        spark.conf.set(most, str(size))
     try:
         yield
     finally:
         spark.conf.set(rows, before[0])
         spark.conf.set(files, before[1])
+        spark.conf.set(most, before[2])
 
 
 _kept: dict = {}
@@ -91,13 +94,13 @@ def tidy_driver(spark: SparkSession) -> bool:
     return False
 
 
-def stored_at(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> tuple[DataFrame, str]:
+def stored_at(df: DataFrame, name: str, rows: int = BATCH_ROWS, size: int | None = None) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder and read again, and where: lineage is cut, lost executors cost nothing.
 
-    ``rows``: how many at most are handed to Python at a time, fewer where they are long."""
+    ``rows``: how many at most are handed to Python at a time, fewer where they are long; ``size``: of how many bytes."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    with small_batches(spark, rows):
+    with small_batches(spark, rows, size):
         df.write.parquet(path)
     tidy_driver(spark)
     return spark.read.schema(df.schema).parquet(path), path

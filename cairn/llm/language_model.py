@@ -36,9 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import discard, stored, stored_at, tidy, worker_keeps
+from .common import discard, stored_at, tidy, worker_keeps
 
 EXACT = 256
+WIDTHS = np.array([2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, EXACT])
+"""Dishes of up to so many customers are drawn together."""
 FEW = 192
 """Tables from 1 to this many are drawn by their exact weights, between ratios that are interpolated over customers."""
 LARGE = 4096
@@ -52,6 +54,10 @@ MERGE = 1_200_000
 """Entries that a task holds before it merges them."""
 LOOKED_TOKENS = 4_000_000
 """Tokens that a task looks up together."""
+PART, SHELVES = 1 << 18, 1 << 12
+"""A bucket's contexts lie on so many shelves, by hash; whole shelves of about ``PART`` tokens are seated together."""
+BATCH_BYTES = 4 << 20
+"""Bytes of blobs that are handed between Spark and Python at a time, or one larger blob."""
 CROWD = 64
 """Times that a slice has three words in a row from which on they are asked about once."""
 LEARNED = np.uint16(1 << 15)
@@ -110,20 +116,32 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (((hashes >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int32)
 
 
+def _shelf(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Shelves are ranges of a bucket's hashes: what is in order of hash is in order of shelf too."""
+    return ((((hashes >> _U(32)) * _U(buckets)) & _U(0xFFFFFFFF)) // _U((1 << 32) // SHELVES)).astype(np.uint16)
+
+
 def _cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     """The runs of equal buckets: bucket, begin, end."""
     at = runs(bucket).tolist() if len(bucket) else []
     return [(int(bucket[a]), a, b) for a, b in zip(at, [*at[1:], len(bucket)], strict=False)]
 
 
+def _batches(blobs: list[bytes], **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of columns and a blob, about ``BATCH_BYTES`` at a time."""
+    at = runs(np.cumsum([len(x) for x in blobs], dtype=np.int64) // BATCH_BYTES).tolist()
+    for a, b in zip(at, [*at[1:], len(blobs)], strict=False):
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[a:b]) for c in columns.values()), pa.array(blobs[a:b], pa.binary())], [*columns, "blob"])
+
+
 def _counted(learn: DataFrame, partitions: int) -> DataFrame:
     """bucket, blob of distinct (token, half a hash of the one before) with counts, merged within each task. learn: text."""
 
-    def blobs(key: np.ndarray, second: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    def blobs(key: np.ndarray, second: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(key)
         key, second, count = key[order], second[order], count[order].astype(np.uint32)
         cuts = _cuts(_bucket(key, partitions))
-        return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in cuts], pa.int32()), pa.array([key[a:b].tobytes() + second[a:b].tobytes() + count[a:b].tobytes() for _, a, b in cuts], pa.binary())], ["bucket", "blob"])
+        yield from _batches([key[a:b].tobytes() + second[a:b].tobytes() + count[a:b].tobytes() for _, a, b in cuts], bucket=np.array([c for c, _, _ in cuts], np.int32))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_keeps(None)
@@ -140,23 +158,23 @@ def _counted(learn: DataFrame, partitions: int) -> DataFrame:
                     held = tuple([x] for x in grouped(*held))
                     size = len(held[0][0])
                     if size > MERGE // 2:
-                        yield blobs(*(x[0] for x in held))
+                        yield from blobs(*(x[0] for x in held))
                         held, size = ([], [], []), 0
         if size:
-            yield blobs(*grouped(*held))
+            yield from blobs(*grouped(*held))
         tidy()
 
     return learn.mapInArrow(rows, "bucket int, blob binary").repartition(partitions, "bucket").sortWithinPartitions("bucket")
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
-    """The rows of each bucket (the first column), whose rows follow one another."""
+    """The rows of each bucket (the first column), whose rows follow one another; they are dropped when the next bucket is asked for."""
     now, rows = None, []
     for batch in batches:
         for key, *values in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
             if key != now and now is not None:
                 yield now, rows
-                rows = []
+                rows.clear()
             now = key
             rows.append(values)
     if now is not None:
@@ -181,7 +199,7 @@ def _words(learn: DataFrame, partitions: int) -> tuple[DataFrame, str]:
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
         tidy()
 
-    return stored_at(_counted(learn, partitions).mapInArrow(merged, "bucket int, blob binary"), "words")
+    return stored_at(_counted(learn, partitions).mapInArrow(merged, "bucket int, blob binary"), "words", size=BATCH_BYTES)
 
 
 def _unpacked(blob: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -312,17 +330,18 @@ def tables(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, theta: fl
     some = np.flatnonzero((c > 1) & (c <= EXACT))
     if len(some):
         stirling = _stirling(d)
-        some = some[np.argsort(c[some], kind="stable")]
-        sizes = c[some]
-        at = runs(sizes)
-        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(sizes)], strict=True):
-            n = int(sizes[a])
-            for lo in range(a, b, max(1, (1 << 20) // n)):
-                who = some[lo : min(b, lo + max(1, (1 << 20) // n))]
+        width = np.searchsorted(WIDTHS, c[some])
+        order = np.argsort(width, kind="stable")
+        some, width = some[order], width[order]
+        at = runs(width)
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(width)], strict=True):
+            n = int(WIDTHS[width[a]])
+            for lo in range(a, b, max(1, (1 << 17) // n)):
+                who = some[lo : min(b, lo + max(1, (1 << 17) // n))]
                 step = np.log(theta + d * (others[who][:, None] + np.arange(n))) + np.log(p[who])[:, None]
-                weight = stirling[n, 1 : n + 1] + np.cumsum(step, 1)
+                weight = stirling[c[who], 1 : n + 1] + np.cumsum(step, 1)
                 weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
-                t[who] = np.minimum(1 + (uniform(key[who], sweep)[:, None] * weight[:, -1:] > weight).sum(1), n)
+                t[who] = np.minimum(1 + (uniform(key[who], sweep)[:, None] * weight[:, -1:] > weight).sum(1), c[who])
     many = np.flatnonzero(c > EXACT)
     if len(many):
         t[many] = large_tables(c[many], p[many], others[many], d, theta, key[many], sweep)
@@ -591,14 +610,14 @@ def _looked(docs: DataFrame, top, model: dict, passes: int, partitions: int) ->
         t: Top = worker_keeps(("top", id(top)), lambda: Top(top.value))
         slices, held = Slices(), []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             whole, group, far, doc = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.argsort(whole)
             whole, group, far, doc = whole[order], group[order], far[order], doc[order]
             cuts = _cuts(_bucket(whole, partitions))
             blobs = [_head(b - a) + whole[a:b].tobytes() + group[a:b].tobytes() + far[a:b].tobytes() + doc[a:b].tobytes() for _, a, b in cuts]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in cuts], pa.int32()), pa.array(np.full(len(cuts), slices.ended())), pa.array(blobs, pa.binary())], ["bucket", "slice", "blob"])
+            yield from _batches(blobs, bucket=np.array([x[0] for x in cuts], np.int32), slice=np.full(len(cuts), slices.ended()))
 
         for batch in batches:
             held_out = batch.column(3).to_numpy(zero_copy_only=False)
@@ -606,9 +625,9 @@ def _looked(docs: DataFrame, top, model: dict, passes: int, partitions: int) ->
                 rare = place == RARE
                 held.append((token[rare], group[rare], far[rare], slices.numbers(lengths, held_out[at])[rare]))
                 if slices.full(lengths):
-                    yield flush()
+                    yield from flush()
         if held:
-            yield flush()
+            yield from flush()
         tidy()
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -617,7 +636,7 @@ def _looked(docs: DataFrame, top, model: dict, passes: int, partitions: int) ->
         for _, received in _by_bucket(batches):
             key, count, p, held, size = np.zeros(0, np.uint64), np.zeros(1, np.int64), none, [], 0
 
-            def flush(held: list, key: np.ndarray, count: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+            def flush(held: list, key: np.ndarray, count: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
                 names = np.array([x[0] for x in held], np.int64)
                 slices = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[1]) for x in held])
                 whole, group, far, doc = (np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
@@ -632,7 +651,7 @@ def _looked(docs: DataFrame, top, model: dict, passes: int, partitions: int) ->
                     own, of = np.unique(slices[a:b], return_inverse=True)
                     blobs.append(_head(b - a, len(own)) + whole[a:b].tobytes() + group[a:b].tobytes() + chance[a:b].tobytes() + names[own].tobytes() + far[a:b].tobytes() + times[a:b].tobytes() + of.astype(np.uint32).tobytes() + doc[a:b].tobytes())
                 number, bucket = np.divmod(np.array([x[0] for x in cuts], np.int64), partitions)
-                return pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(blobs, pa.binary())], ["pass", "bucket", "blob"])
+                yield from _batches(blobs, **{"pass": number.astype(np.int32), "bucket": bucket.astype(np.int32)})
 
             for slice_id, blob in received:  # the bucket's words come first
                 data = memoryview(blob.as_buffer())
@@ -644,10 +663,10 @@ def _looked(docs: DataFrame, top, model: dict, passes: int, partitions: int) ->
                 held.append((slice_id.as_py(), *_arrays(data[8:], (np.uint64, m), (np.uint64, m), (np.uint32, m), (np.uint16, m))))
                 size += m
                 if size >= LOOKED_TOKENS:
-                    yield flush(held, key, count, p)
+                    yield from flush(held, key, count, p)
                     held, size = [], 0
             if held:
-                yield flush(held, key, count, p)
+                yield from flush(held, key, count, p)
         tidy()
 
     all_ = docs.mapInArrow(asked, "bucket int, slice long, blob binary").unionByName(model["words"].select("bucket", F.lit(-1).cast("long").alias("slice"), "blob"))
@@ -661,7 +680,7 @@ def _asked(docs: DataFrame, top, number: int, passes: int, partitions: int) -> D
         t: Top = worker_keeps(("top", id(top)), lambda: Top(top.value))
         slices, held, facts = Slices(), [], []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             group, far, place, doc = (np.concatenate(x) for x in zip(*held, strict=True))
             slice_id = slices.ended()
             order = np.argsort((group & ~_U(0xFFFFF)) | (joint(far.astype(np.uint64), place) & _U(0xFFFFF)))
@@ -688,7 +707,7 @@ def _asked(docs: DataFrame, top, number: int, passes: int, partitions: int) -> D
                 out.append((slice_id % partitions, TEXTS, _head(len(ids)) + ids.astype(np.int64).tobytes() + lengths.astype(np.int64).tobytes() + known.astype(np.int64).tobytes() + base.tobytes() + null.astype(np.uint8).tobytes() + held_out.astype(np.uint8).tobytes()))
             held.clear()
             facts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array(np.full(len(out), slice_id)), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "slice", "kind", "blob"])
+            yield from _batches([x[2] for x in out], bucket=np.array([x[0] for x in out], np.int32), slice=np.full(len(out), slice_id), kind=np.array([x[1] for x in out], np.int32))
 
         for batch in batches:
             ids, null, held_out = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
@@ -700,9 +719,9 @@ def _asked(docs: DataFrame, top, number: int, passes: int, partitions: int) -> D
                     row = np.repeat(np.arange(len(lengths)), lengths)
                     facts.append((ids[at], null[at], held_out[at], lengths, np.bincount(row[often], t.base[place[often]] if len(t.base) else None, len(lengths)).astype(float), np.bincount(row[often], minlength=len(lengths))))
                 if slices.full(lengths):
-                    yield flush()
+                    yield from flush()
         if held:
-            yield flush()
+            yield from flush()
         tidy()
 
     return docs.mapInArrow(rows, "bucket int, slice long, kind int, blob binary")
@@ -712,71 +731,118 @@ def _answered(asked: DataFrame, top, settings: dict, partitions: int) -> DataFra
     """slice, kind, blob: the contexts' seating, and what it answers to slices."""
     d, theta, burn_in, kept = (settings[x] for x in ("d", "theta", "burn_in", "kept"))
 
+    def seated(group: np.ndarray, far: np.ndarray, dish: np.ndarray, p: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Of all that is asked of some contexts: its logarithms, and the histograms of the contexts' restaurants."""
+        _, one, which = textvec.distinct(joint(joint(group, far), dish))
+        seats, p = Seats(group[one], far[one], dish[one], np.bincount(which, count, len(one)).astype(np.int64), p[one]), p[one]
+        a, b = np.zeros(len(one)), np.zeros(len(one))
+        for k in range(burn_in + kept):
+            seats.sweep(d, theta, k)
+            if k >= burn_in:
+                x, y = seats.mixture(d, theta)
+                a, b = a + x / kept, b + y / kept
+        return np.log10(a + b * p)[which], seats.histograms()
+
+    def valued(tok: list, tri: list, seen: list, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The logarithms of all that a bucket is asked, and its histograms; its contexts are seated some shelves at a time."""
+        shelf = [_shelf(x[1], partitions) for x in (*tok, *tri, *seen)]
+        sizes = np.zeros(SHELVES, np.int64)
+        for i, s in enumerate(shelf):
+            sizes += np.bincount(s, np.diff(tok[i][2]) if i < len(tok) else None, SHELVES).astype(np.int64)
+        edges = np.append(runs((np.cumsum(sizes) - sizes) // PART), SHELVES)
+        # Only what was looked up is not in order of its contexts yet.
+        order = [np.argsort(s, kind="stable") for s in shelf[len(tok) + len(tri) :]]
+        shelf[len(tok) + len(tri) :] = [s[o] for s, o in zip(shelf[len(tok) + len(tri) :], order, strict=True)]
+        cuts = [np.searchsorted(s, edges) for s in shelf]
+        value, histogram, more = np.zeros(int(sizes.sum())), np.zeros(2 * (2 * (LARGE + 1) + (EXACT + 1) ** 2), np.int64), 0.0
+        for part in range(len(edges) - 1):
+            where, pieces, begin = [], [], 0
+            for i, cut in enumerate(cuts):
+                a, b = int(cut[part]), int(cut[part + 1])
+                if i < len(tok):
+                    _, group, first, far, place, doc = tok[i]
+                    at, size = slice(int(first[a]), int(first[b])), len(doc)
+                    if a < b:
+                        pieces.append((np.repeat(group[a:b], np.diff(first[a : b + 1])), far[at], place[at].astype(np.uint64), root[place[at]], doc[at] >> 15))
+                elif i < len(tok) + len(tri):
+                    _, group, far, learned, _, place = tri[i - len(tok)]
+                    at, size = slice(a, b), len(group)
+                    if a < b:
+                        pieces.append((group[at], far[at], place[at].astype(np.uint64), root[place[at]], learned[at]))
+                else:
+                    _, group, far, dish, p, doc, _ = seen[i - len(tok) - len(tri)]
+                    at, size = order[i - len(tok) - len(tri)][a:b], len(group)
+                    if a < b:
+                        pieces.append((group[at], far[at], dish[at] | _U(1 << 63), p[at], doc[at] >> 15))
+                if a < b:
+                    where.append((begin, begin + size, at, len(pieces[-1][0])))
+                begin += size
+            if not pieces:
+                continue
+            group, far, dish, p, count = (np.concatenate(x) for x in zip(*pieces, strict=True))
+            del pieces
+            found, (index, n, larger) = seated(group, far, dish, p, count.astype(np.int64))
+            histogram[index] += n
+            more = more + larger
+            at = 0
+            for lo, hi, to, size in where:
+                value[lo:hi][to] = found[at : at + size]
+                at += size
+        return value, histogram, more
+
+    def answers(received: list) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, bytes]] = []
+        tok, tri, seen = [], [], []
+        for slice_id, kind, blob in received:
+            kind, slice_id = kind.as_py(), slice_id.as_py()
+            if kind in (TEXTS, TIMES):
+                out.append((slice_id, kind, blob.as_py()))
+                continue
+            data = memoryview(blob.as_buffer())
+            if kind == TOKENS:
+                k, n = np.frombuffer(data[:16], np.int64).tolist()
+                group, first, *rest = _arrays(data[16:], (np.uint64, k), (np.uint32, k), (np.uint32, n), (np.uint16, n), (np.uint16, n))
+                tok.append((slice_id, group, np.append(first, n).astype(np.int64), *rest))
+            elif kind == TRIPLES:
+                (n,) = np.frombuffer(data[:8], np.int64).tolist()
+                tri.append((slice_id, *_arrays(data[8:], (np.uint64, n), (np.uint32, n), (np.uint32, n), (np.uint32, n), (np.uint16, n))))
+            else:
+                n, k = np.frombuffer(data[:16], np.int64).tolist()
+                whole, group, p, names, far, times, of, doc = _arrays(data[16:], (np.uint64, n), (np.uint64, n), (np.float64, n), (np.int64, k), (np.uint32, n), (np.uint32, n), (np.uint32, n), (np.uint16, n))
+                seen.append(((names, of), group, far, whole, p, doc, times))
+        if tok or tri or seen:
+            value, histogram, more = valued(tok, tri, seen, top.value["top_p"])
+            at = 0
+
+            def summed(slice_id: int, doc: np.ndarray, value: np.ndarray, kind: int = SUMS, times: np.ndarray | None = None) -> None:
+                texts = np.flatnonzero(np.bincount(doc))
+                more = b"" if times is None else np.bincount(doc, times > 0)[texts].astype(np.int64).tobytes()
+                out.append((slice_id, kind, _head(len(texts)) + np.bincount(doc, value)[texts].tobytes() + more + texts.astype(np.uint16).tobytes()))
+
+            for slice_id, *_, doc in tok:
+                summed(slice_id, doc & ~LEARNED, value[at : at + len(doc)])
+                at += len(doc)
+            for slice_id, _, _, _, index, _ in tri:
+                n = len(index)
+                out.append((slice_id, VALUES, _head(n) + value[at : at + n].tobytes() + index.tobytes()))
+                at += n
+            if seen:
+                slices, doc, times = (np.concatenate(x) for x in zip(*((names[of], doc, times) for (names, of), *_, doc, times in seen), strict=True))
+                order = np.argsort(slices, kind="stable")
+                doc, slices, times, rare = doc[order] & ~LEARNED, slices[order], times[order], value[at:][order]
+                base = np.log10((times.astype(np.int64) + 1) / (top.value["n"] + top.value["v"] + 1))
+                starts = runs(slices).tolist()
+                for i, j in zip(starts, [*starts[1:], len(slices)], strict=True):
+                    summed(int(slices[i]), doc[i:j], rare[i:j])
+                    summed(int(slices[i]), doc[i:j], base[i:j], KNOWN, times[i:j])
+            index = np.flatnonzero(histogram)
+            out.append((-1, HISTOGRAM, _head(len(index)) + index.astype(np.int64).tobytes() + histogram[index].tobytes() + more.tobytes()))
+        yield from _batches([x[2] for x in out], slice=np.array([x[0] for x in out], np.int64), kind=np.array([x[1] for x in out], np.int32))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_keeps(None)
-        root = top.value["top_p"]
         for _, received in _by_bucket(batches):
-            out: list[tuple[int, int, bytes]] = []
-            tok, tri, seen = [], [], []
-            for slice_id, kind, blob in received:
-                kind, slice_id = kind.as_py(), slice_id.as_py()
-                if kind in (TEXTS, TIMES):
-                    out.append((slice_id, kind, blob.as_py()))
-                    continue
-                data = memoryview(blob.as_buffer())
-                if kind == TOKENS:
-                    k, n = np.frombuffer(data[:16], np.int64).tolist()
-                    group, first, far, place, doc = _arrays(data[16:], (np.uint64, k), (np.uint32, k), (np.uint32, n), (np.uint16, n), (np.uint16, n))
-                    tok.append((slice_id, np.repeat(group, np.diff(np.append(first, n))), far, place, doc))
-                elif kind == TRIPLES:
-                    (n,) = np.frombuffer(data[:8], np.int64).tolist()
-                    tri.append((slice_id, *_arrays(data[8:], (np.uint64, n), (np.uint32, n), (np.uint32, n), (np.uint32, n), (np.uint16, n))))
-                else:
-                    n, k = np.frombuffer(data[:16], np.int64).tolist()
-                    whole, group, p, names, far, times, of, doc = _arrays(data[16:], (np.uint64, n), (np.uint64, n), (np.float64, n), (np.int64, k), (np.uint32, n), (np.uint32, n), (np.uint32, n), (np.uint16, n))
-                    seen.append((group, far, whole | _U(1 << 63), p, doc, names[of], times))
-            group = np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in tok), *(x[1] for x in tri), *(x[0] for x in seen)])
-            if len(group):
-                far = np.concatenate([*(x[2] for x in tok), *(x[2] for x in tri), *(x[1] for x in seen)])
-                place = np.concatenate([np.zeros(0, np.uint16), *(x[3] for x in tok), *(x[5] for x in tri)])
-                dish = np.concatenate([place.astype(np.uint64), *(x[2] for x in seen)])
-                p = np.concatenate([root[place], *(x[3] for x in seen)])
-                count = np.concatenate([*(x[4] >> 15 for x in tok), *(x[3] for x in tri), *(x[4] >> 15 for x in seen)]).astype(np.int64)
-                _, one, which = textvec.distinct(joint(joint(group, far), dish))
-                seats = Seats(group[one], far[one], dish[one], np.bincount(which, count, len(one)).astype(np.int64), p[one])
-                a, b = np.zeros(len(one)), np.zeros(len(one))
-                for k in range(burn_in + kept):
-                    seats.sweep(d, theta, k)
-                    if k >= burn_in:
-                        x, y = seats.mixture(d, theta)
-                        a, b = a + x / kept, b + y / kept
-                value = np.log10(a + b * p[one])[which]
-                at = 0
-
-                def summed(slice_id: int, doc: np.ndarray, value: np.ndarray, kind: int = SUMS, times: np.ndarray | None = None) -> None:
-                    texts = np.flatnonzero(np.bincount(doc))
-                    more = b"" if times is None else np.bincount(doc, times > 0)[texts].astype(np.int64).tobytes()
-                    out.append((slice_id, kind, _head(len(texts)) + np.bincount(doc, value)[texts].tobytes() + more + texts.astype(np.uint16).tobytes()))
-
-                for slice_id, _, _, _, doc in tok:
-                    summed(slice_id, doc & ~LEARNED, value[at : at + len(doc)])
-                    at += len(doc)
-                for slice_id, _, _, _, index, _ in tri:
-                    n = len(index)
-                    out.append((slice_id, VALUES, _head(n) + value[at : at + n].tobytes() + index.tobytes()))
-                    at += n
-                if seen:
-                    doc, slices, times = (np.concatenate(x) for x in list(zip(*seen, strict=True))[4:])
-                    order = np.argsort(slices, kind="stable")
-                    doc, slices, times, rare = doc[order] & ~LEARNED, slices[order], times[order], value[at:][order]
-                    base = np.log10((times.astype(np.int64) + 1) / (top.value["n"] + top.value["v"] + 1))
-                    starts = runs(slices).tolist()
-                    for i, j in zip(starts, [*starts[1:], len(slices)], strict=True):
-                        summed(int(slices[i]), doc[i:j], rare[i:j])
-                        summed(int(slices[i]), doc[i:j], base[i:j], KNOWN, times[i:j])
-                index, n, more = seats.histograms()
-                out.append((-1, HISTOGRAM, _head(len(index)) + index.astype(np.int64).tobytes() + n.astype(np.int64).tobytes() + more.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["slice", "kind", "blob"])
+            yield from answers(received)
         tidy()
 
     dealt = asked.repartition(partitions, "bucket").sortWithinPartitions("bucket", "slice", "kind")
@@ -837,7 +903,7 @@ def _finished(answered: DataFrame, model: dict, partitions: int) -> DataFrame:
 
     all_ = answered.where(F.col("kind") != HISTOGRAM).select("slice", "kind", "pass", "blob")
     out = all_.repartition(partitions, "slice").sortWithinPartitions("slice", "kind", "pass").mapInArrow(texts, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return stored(out, "scores")
+    return stored_at(out, "scores", size=BATCH_BYTES)[0]
 
 
 def scored(docs: DataFrame, model: dict, held_out: Column, passes: int = 3, seed: int = 23) -> DataFrame:
@@ -851,11 +917,11 @@ def scored(docs: DataFrame, model: dict, held_out: Column, passes: int = 3, seed
     rng = np.random.default_rng(seed)
     settings = {"d": [model["discount"]] * 2, "theta": [1.0, 1.0], "burn_in": model["burn_in"], "kept": model["kept"]}
     told, more, parts, paths = 0, 0, [], []
-    looked, path = stored_at(_looked(rows, top, model, passes, partitions), "looked", rows=64)
+    looked, path = stored_at(_looked(rows, top, model, passes, partitions), "looked", rows=64, size=BATCH_BYTES)
     paths.append(path)
     for number in range(passes):
         now = looked.where(F.col("pass") == number).select("bucket", F.lit(-1).cast("long").alias("slice"), F.lit(LOOKED).alias("kind"), "blob")
-        part, path = stored_at(_answered(_asked(rows, top, number, passes, partitions).unionByName(now), top, settings, partitions), "answers", rows=64)
+        part, path = stored_at(_answered(_asked(rows, top, number, passes, partitions).unionByName(now), top, settings, partitions), "answers", rows=64, size=BATCH_BYTES)
         parts.append(part.withColumn("pass", F.lit(number)))
         paths.append(path)
         if number + 1 < passes:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import tracemalloc
+import types
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import common, components, decontaminate, language_id, mixing, quality
+from cairn.llm import common, components, decontaminate, language_id, language_model, mixing, quality, textvec
+from cairn.llm.common import stored_at
 
 
 @pytest.fixture
@@ -116,3 +122,83 @@ def spark_doubles(store):
 
     context = SparkContext._active_spark_context
     return context._gateway.new_array(context._jvm.double, 0)
+
+
+class Rows:
+    """Stands for a table whose tasks' function is wanted."""
+
+    def repartition(self, *_):
+        return self
+
+    sortWithinPartitions = repartition
+
+    def mapInArrow(self, f, _):
+        return f
+
+
+def asked_of_a_bucket(n, groups, slices=4):
+    """Tokens, a few repeated triples and looked up tokens of n in all, as the answering task of one bucket gets them."""
+    rng, lm = np.random.default_rng(5), language_model
+    names = textvec.mix(np.arange(1, groups + 1, dtype=np.uint64))
+    rows = []
+    for s in range(slices):
+        m = n // slices
+        group = names[(rng.random(m) ** 2 * groups).astype(int)]
+        far, place, doc = rng.integers(0, 400, m).astype(np.uint32), (rng.random(m) ** 3 * 5000).astype(np.uint16), rng.integers(0, 2000, m).astype(np.uint16) | rng.choice([lm.LEARNED, np.uint16(0)], m)
+        order = np.argsort(group)
+        group, far, place, doc = group[order], far[order], place[order], doc[order]
+        first = lm.runs(group)
+        rows.append((0, s, lm.TOKENS, lm._head(len(first), m) + group[first].tobytes() + first.astype(np.uint32).tobytes() + far.tobytes() + place.tobytes() + doc.tobytes()))
+        at, k = np.arange(0, m, 50), len(range(0, m, 50))
+        rows.append((0, s, lm.TRIPLES, lm._head(k) + group[at].tobytes() + far[at].tobytes() + np.full(k, 70, np.uint32).tobytes() + at.astype(np.uint32).tobytes() + place[at].tobytes()))
+    k = n // 20
+    word = rng.integers(0, 500, k)
+    more = (textvec.mix(word.astype(np.uint64)), names[rng.integers(0, groups, k)], rng.random(500)[word] * 1e-6, np.arange(slices), rng.integers(0, 400, k).astype(np.uint32), rng.integers(0, 3, k).astype(np.uint32), rng.integers(0, slices, k).astype(np.uint32), rng.integers(0, 2000, k).astype(np.uint16))
+    rows.insert(0, (0, -1, lm.LOOKED, lm._head(k, slices) + b"".join(x.tobytes() for x in more)))
+    bucket, slice_id, kind, blob = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(slice_id, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "slice", "kind", "blob"])
+
+
+def test_language_model_seats_a_bucket_in_parts(monkeypatch):
+    """A task's memory follows its input's bytes, not the seating of a whole bucket; its answers are those of the whole."""
+    n, lm = 1_500_000, language_model
+    batch = asked_of_a_bucket(n, 3000)
+    top = types.SimpleNamespace(value={"top_p": np.full(5000, 1e-4), "n": n, "v": 6000})
+    settings = {"d": [0.7, 0.8], "theta": [1.0, 1.0], "burn_in": 1, "kept": 1}
+
+    def answered():
+        tracemalloc.start()
+        out = list(lm._answered(Rows(), top, settings, 1)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak, [x for b in out for x in zip(*(c.to_pylist() for c in b.columns), strict=True)], out
+
+    peak, got, out = answered()
+    assert peak < 90 * n
+    monkeypatch.setattr(lm, "PART", 1 << 40)
+    peak, want, _ = answered()
+    assert peak > 140 * n
+    assert len(got) == len(want) == 4 + 4 + 2 * 4 + 1
+    for (*x, found), (*y, expected) in zip(got, want, strict=True):
+        m = int(np.frombuffer(found[:8], np.int64)[0])
+        at, end = (8 + 16 * m, len(found)) if x[1] == lm.HISTOGRAM else (8, 8 + 8 * m)  # where the logarithms are
+        assert x == y and found[:at] + found[end:] == expected[:at] + expected[end:]
+        np.testing.assert_allclose(np.frombuffer(found[at:end]), np.frombuffer(expected[at:end]), rtol=1e-9)
+
+
+def test_language_model_hands_over_few_bytes(spark):
+    blobs = [bytes(700_000)] * 20 + [bytes(9_000_000), b""]
+    out = list(language_model._batches(blobs, bucket=np.arange(22, dtype=np.int32)))
+    assert [x for b in out for x in b.column(0).to_pylist()] == list(range(22))
+    assert max(sum(map(len, b.column(1).to_pylist())) for b in out[:-1]) <= language_model.BATCH_BYTES + 700_000
+    assert list(language_model._batches([], bucket=np.zeros(0, np.int32))) == []
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    d = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 1000000) as t").mapInArrow(sizes, "n long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = [r["n"] for r in stored_at(d, "sizes", size=language_model.BATCH_BYTES)[0].collect()]
+    assert sum(rows) == 40 and max(rows) <= 5
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
