@@ -54,7 +54,7 @@ MERGE = 1_200_000
 """Entries that a task holds before it merges them."""
 LOOKED_TOKENS = 4_000_000
 """Tokens that a task looks up together."""
-PART, SHELVES = 1 << 18, 1 << 12
+PART, SHELVES = 1 << 16, 1 << 12
 """A bucket's contexts lie on so many shelves, by hash; whole shelves of about ``PART`` tokens are seated together."""
 BATCH_BYTES = 4 << 20
 """Bytes of blobs that are handed between Spark and Python at a time, or one larger blob."""
@@ -745,49 +745,41 @@ def _answered(asked: DataFrame, top, settings: dict, partitions: int) -> DataFra
 
     def valued(tok: list, tri: list, seen: list, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The logarithms of all that a bucket is asked, and its histograms; its contexts are seated some shelves at a time."""
-        shelf = [_shelf(x[1], partitions) for x in (*tok, *tri, *seen)]
-        sizes = np.zeros(SHELVES, np.int64)
-        for i, s in enumerate(shelf):
-            sizes += np.bincount(s, np.diff(tok[i][2]) if i < len(tok) else None, SHELVES).astype(np.int64)
-        edges = np.append(runs((np.cumsum(sizes) - sizes) // PART), SHELVES)
-        # Only what was looked up is not in order of its contexts yet.
-        order = [np.argsort(s, kind="stable") for s in shelf[len(tok) + len(tri) :]]
-        shelf[len(tok) + len(tri) :] = [s[o] for s, o in zip(shelf[len(tok) + len(tri) :], order, strict=True)]
-        cuts = [np.searchsorted(s, edges) for s in shelf]
-        value, histogram, more = np.zeros(int(sizes.sum())), np.zeros(2 * (2 * (LARGE + 1) + (EXACT + 1) ** 2), np.int64), 0.0
-        for part in range(len(edges) - 1):
-            where, pieces, begin = [], [], 0
-            for i, cut in enumerate(cuts):
-                a, b = int(cut[part]), int(cut[part + 1])
-                if i < len(tok):
-                    _, group, first, far, place, doc = tok[i]
-                    at, size = slice(int(first[a]), int(first[b])), len(doc)
-                    if a < b:
-                        pieces.append((np.repeat(group[a:b], np.diff(first[a : b + 1])), far[at], place[at].astype(np.uint64), root[place[at]], doc[at] >> 15))
-                elif i < len(tok) + len(tri):
-                    _, group, far, learned, _, place = tri[i - len(tok)]
-                    at, size = slice(a, b), len(group)
-                    if a < b:
-                        pieces.append((group[at], far[at], place[at].astype(np.uint64), root[place[at]], learned[at]))
-                else:
-                    _, group, far, dish, p, doc, _ = seen[i - len(tok) - len(tri)]
-                    at, size = order[i - len(tok) - len(tri)][a:b], len(group)
-                    if a < b:
-                        pieces.append((group[at], far[at], dish[at] | _U(1 << 63), p[at], doc[at] >> 15))
-                if a < b:
-                    where.append((begin, begin + size, at, len(pieces[-1][0])))
-                begin += size
-            if not pieces:
+        sizes = [*(len(x[-1]) for x in tok), *(len(x[-1]) for x in tri), *(len(x[-1]) for x in seen)]
+        frequent = sum(sizes[: len(tok) + len(tri)])
+        group, far, count = np.empty(sum(sizes), np.uint64), np.empty(sum(sizes), np.uint32), np.empty(sum(sizes), np.uint32)
+        place = np.empty(frequent, np.uint16)
+        at = 0
+        for i, (x, size) in enumerate(zip((*tok, *tri, *seen), sizes, strict=True)):
+            to = slice(at, at + size)
+            if i < len(tok):
+                _, groups, first, far[to], place[to], doc = x
+                group[to], count[to] = np.repeat(groups, np.diff(first)), doc >> 15
+            elif i < len(tok) + len(tri):
+                _, group[to], far[to], count[to], _, place[to] = x
+            else:
+                _, group[to], far[to], _, _, _, doc = x
+                count[to] = doc >> 15
+            at += size
+        whole, p = (np.concatenate([np.zeros(0, kind), *(x[i] for x in seen)]) for i, kind in ((3, np.uint64), (4, np.float64)))
+        shelf = _shelf(group, partitions)
+        held = np.bincount(shelf, minlength=SHELVES)
+        order = np.argsort(shelf, kind="stable").astype(np.uint32)
+        del shelf
+        ends = np.cumsum(held)
+        starts = runs((ends - held) // PART)
+        value, histogram, more = np.empty(len(group)), np.zeros(2 * (2 * (LARGE + 1) + (EXACT + 1) ** 2), np.int64), 0.0
+        for a, b in zip((ends - held)[starts].tolist(), [*(ends - held)[starts[1:]].tolist(), len(group)], strict=True):
+            if a == b:
                 continue
-            group, far, dish, p, count = (np.concatenate(x) for x in zip(*pieces, strict=True))
-            del pieces
-            found, (index, n, larger) = seated(group, far, dish, p, count.astype(np.int64))
+            of = order[a:b]
+            rare = of >= frequent
+            dish, chance = np.empty(b - a, np.uint64), np.empty(b - a)
+            dish[~rare], dish[rare] = place[of[~rare]], whole[of[rare] - frequent] | _U(1 << 63)
+            chance[~rare], chance[rare] = root[place[of[~rare]]], p[of[rare] - frequent]
+            value[of], (index, n, larger) = seated(group[of], far[of], dish, chance, count[of].astype(np.int64))
             histogram[index] += n
             more = more + larger
-            at = 0
-            for lo, hi, to, size in where:
-                value[lo:hi][to] = found[at : at + size]
-                at += size
         return value, histogram, more
 
     def answers(received: list) -> Iterator[pa.RecordBatch]:
@@ -809,7 +801,7 @@ def _answered(asked: DataFrame, top, settings: dict, partitions: int) -> DataFra
             else:
                 n, k = np.frombuffer(data[:16], np.int64).tolist()
                 whole, group, p, names, far, times, of, doc = _arrays(data[16:], (np.uint64, n), (np.uint64, n), (np.float64, n), (np.int64, k), (np.uint32, n), (np.uint32, n), (np.uint32, n), (np.uint16, n))
-                seen.append(((names, of), group, far, whole, p, doc, times))
+                seen.append((names[of], group, far, whole, p, times, doc))
         if tok or tri or seen:
             value, histogram, more = valued(tok, tri, seen, top.value["top_p"])
             at = 0
@@ -827,7 +819,7 @@ def _answered(asked: DataFrame, top, settings: dict, partitions: int) -> DataFra
                 out.append((slice_id, VALUES, _head(n) + value[at : at + n].tobytes() + index.tobytes()))
                 at += n
             if seen:
-                slices, doc, times = (np.concatenate(x) for x in zip(*((names[of], doc, times) for (names, of), *_, doc, times in seen), strict=True))
+                slices, times, doc = (np.concatenate([x[i] for x in seen]) for i in (0, 5, 6))
                 order = np.argsort(slices, kind="stable")
                 doc, slices, times, rare = doc[order] & ~LEARNED, slices[order], times[order], value[at:][order]
                 base = np.log10((times.astype(np.int64) + 1) / (top.value["n"] + top.value["v"] + 1))
