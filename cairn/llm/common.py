@@ -54,6 +54,22 @@ def small_batches(spark: SparkSession, limit: int = BATCH_ROWS, size: int | None
         spark.conf.set(most, before[2])
 
 
+@contextlib.contextmanager
+def long_rows(spark: SparkSession, rows: int, group: int) -> Iterator[None]:
+    """Jobs run inside decode ``rows`` rows of a Parquet file at a time, and write row groups of about ``group`` bytes.
+
+    By default up to 4,096 rows are decoded at once, and up to 128 MB encoded held by a writer, in each task: of rows of 0.1 MB that is most of a heap."""
+    settings = {"spark.sql.parquet.columnarReaderBatchSize": str(rows), "parquet.block.size": str(group)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 _kept: dict = {}
 
 

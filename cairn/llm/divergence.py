@@ -22,8 +22,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import stored, stored_at, tidy
+from .common import long_rows, stored, stored_at, tidy
 
 HELD = 1 << 23
 """Bytes of texts that a task counts in one trie."""
@@ -39,6 +38,8 @@ PIECE = 4096
 """Leaf counters of a piece, about."""
 BATCH = 32
 """Pieces handed to Python at a time: one is about 0.1 MB, so that a full batch of short rows would be 100 MB, on both sides."""
+GROUP = 1 << 23
+"""Bytes of a row group of pieces, encoded; decoded they are some times as many."""
 RANGE = 250_000
 """Leaf counters that meet in one range, about, before they are merged."""
 SPLIT_BYTES = 64
@@ -71,22 +72,32 @@ class Trie:
         stops = np.flatnonzero(letter & (first[1:] | ~np.concatenate([letter[1:], [False]]))) + 1
         if not len(begins):
             return Trie([], *(np.zeros(0, np.int64) for _ in range(4)), groups)
-        offsets = np.concatenate([[0], np.cumsum(stops - begins)])
-        terms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data[letter])])
-        coded = terms.dictionary_encode()
+        text = np.searchsorted(ends, begins, "right").astype(np.int32)
+        offsets = np.zeros(len(begins) + 1, np.int64)
+        np.cumsum(stops - begins, out=offsets[1:])
+        data = data[letter]
+        del begins, stops, first, letter  # what is not needed any more goes at once: it is as much as what follows
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(text), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        del data, offsets
         names = coded.dictionary.to_pylist()
         order = sorted(range(len(names)), key=names.__getitem__)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        text = np.searchsorted(ends, begins, "right")
         width, texts = max(len(groups), 1), len(ends)
-        key = np.sort((place[coded.indices.to_numpy()] * width + group[text]) * texts + text)
-        leaf = key // texts
-        new = np.concatenate([[True], leaf[1:] != leaf[:-1]])
-        at = np.flatnonzero(new)
-        docs = np.add.reduceat(np.concatenate([[1], (key[1:] != key[:-1]).astype(np.int64)]), at)
-        n = np.diff(np.concatenate([at, [len(key)]]))
-        leaf = leaf[at]
+        key = place[coded.indices.to_numpy()]
+        del coded
+        key *= width
+        key += group[text]
+        key *= texts
+        key += text
+        del text
+        key.sort()
+        each = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))  # a leaf's texts
+        key //= texts
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        docs = np.diff(np.searchsorted(each, at), append=len(each))
+        n = np.diff(at, append=len(key))
+        leaf = key[at]
         return Trie([names[i] for i in order], np.bincount(leaf // width, minlength=len(order)), (leaf % width).astype(np.int32), n, docs, groups)
 
     @staticmethod
@@ -107,26 +118,30 @@ class Trie:
         return Trie([names[i] for i in order], np.bincount(key // width, minlength=len(order)), (key % width).astype(np.int32), n, docs, groups)
 
     @staticmethod
-    def merged(tries: list[Trie]) -> Trie:
-        groups = list(dict.fromkeys(g for t in tries for g in t.groups))
-        index = {g: i for i, g in enumerate(groups)}
-        terms = pa.array(chain.from_iterable(t.terms for t in tries), pa.binary())
-        of = np.repeat(np.arange(len(terms)), np.concatenate([t.fan for t in tries]))
-        grp = np.concatenate([np.array([index[g] for g in t.groups], np.int32)[t.grp] for t in tries])
-        return Trie.of_leaves(terms, of, grp, np.concatenate([t.n for t in tries]), np.concatenate([t.docs for t in tries]), groups)
-
-    def cut(self, lo: int, hi: int) -> Trie:
-        """The terms from ``lo`` to ``hi``."""
-        at = np.concatenate([[0], np.cumsum(self.fan)])
+    def merged(tries: Iterable[Trie]) -> Trie:
+        """Of each trie that comes its terms are kept as an array, and its names of groups not at all: many tries meet in a range."""
+        index, parts = {}, []
+        for t in tries:
+            of = np.array([index.setdefault(g, len(index)) for g in t.groups], np.int32)
+            parts.append((pa.array(t.terms, pa.binary()), t.fan, of[t.grp], t.n, t.docs))
+        terms, *counters = zip(*parts, strict=True)
+        del parts
+        terms, (fan, grp, n, docs) = pa.concat_arrays(terms), (np.concatenate(c) for c in counters)
+        return Trie.of_leaves(terms, np.repeat(np.arange(len(terms)), fan), grp, n, docs, list(index))
+
+    def cut(self, lo: int, hi: int, at: np.ndarray | None = None) -> Trie:
+        """The terms from ``lo`` to ``hi``; ``at``: where each term's counters begin, if that is known."""
+        if at is None:
+            at = np.concatenate([[0], np.cumsum(self.fan)])
         a, b = at[lo], at[hi]
         used, grp = np.unique(self.grp[a:b], return_inverse=True)
         return Trie(self.terms[lo:hi], self.fan[lo:hi], grp.astype(np.int32), self.n[a:b], self.docs[a:b], [self.groups[i] for i in used])
 
     def pieces(self, size: int = PIECE) -> Iterator[Trie]:
-        at, lo = np.cumsum(self.fan), 0
+        at, lo = np.concatenate([[0], np.cumsum(self.fan)]), 0
         while lo < len(self.terms):
-            hi = max(lo + 1, int(np.searchsorted(at, (at[lo - 1] if lo else 0) + size, "right")))
-            yield self.cut(lo, hi)
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, "right")) - 1)
+            yield self.cut(lo, hi, at)
             lo = hi
 
     def row(self) -> dict:
@@ -183,9 +198,9 @@ def local_tries(docs: DataFrame, held: int = HELD) -> DataFrame:
         groups: dict[tuple[str, str], int] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            ends = np.cumsum([len(p) for p in parts])
-            trie = Trie.counted(np.concatenate(parts), ends, np.array(group), list(groups))
+            ends, whole = np.cumsum([len(p) for p in parts]), [np.concatenate(parts)]
             parts.clear()
+            trie = Trie.counted(whole.pop(), ends, np.array(group, np.int32), list(groups))
             group.clear()
             groups.clear()
             for piece in trie.pieces():
@@ -209,8 +224,9 @@ def local_tries(docs: DataFrame, held: int = HELD) -> DataFrame:
 
 
 def _pieces_stored(df: DataFrame, name: str) -> DataFrame:
-    """``df``, which is made of pieces, written and read again; few pieces are handed over at a time."""
-    return stored_at(df, name, rows=BATCH)[0]
+    """``df``, which is made of pieces, written and read again; few pieces are read and handed over at a time."""
+    with long_rows(df.sparkSession, BATCH, GROUP):
+        return stored_at(df, name, rows=BATCH)[0]
 
 
 def _filled(docs: DataFrame) -> DataFrame:
@@ -223,14 +239,16 @@ def split_terms(pieces: DataFrame, size: int, sample: int = 1 << 15) -> list[byt
     ranges = -(-total // size)
     if ranges < 2:
         return []
-    share = int(min(1.0, max(sample, 4 * ranges) / count) * (1 << 30))
-    found = pieces.where(F.pmod(F.xxhash64("tail", "n"), F.lit(1 << 30)) < share).select("low", "counters").collect()
-    if not found:
+    share = int(min(1.0, max(sample, 32 * ranges) / count) * (1 << 30))
+    with long_rows(pieces.sparkSession, BATCH, GROUP):
+        found = pieces.where(F.pmod(F.xxhash64("tail", "n"), F.lit(1 << 30)) < share).select("low", "counters").toArrow()
+    if not found.num_rows:
         return []
-    found.sort(key=lambda r: r["low"])
-    upto = np.cumsum([r["counters"] for r in found])
+    low, counters = found.column("low").to_pylist(), found.column("counters").to_numpy()
+    order = sorted(range(len(low)), key=low.__getitem__)
+    upto = np.cumsum(counters[order])
     at = np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges)
-    return sorted({bytes(found[i]["low"]) for i in at} - {b""})
+    return sorted({low[order[i]] for i in at} - {b""})
 
 
 def cut_pieces(pieces: DataFrame, splits: list[bytes]) -> DataFrame:
@@ -257,12 +275,12 @@ def merge_tries(ranged: DataFrame, size: int, least: int) -> DataFrame:
     schema = _types("range int, ")
 
     def merge(table: pa.Table) -> pa.Table:
-        trie = Trie.merged([Trie.read(r) for r in _rows(table)])
+        trie = Trie.merged(Trie.read(r) for r in _rows(table))
         where = table.column("range")[0].as_py()
         return pa.Table.from_batches([_batch([p.row() | {"range": where} for p in trie.pieces()], schema)])
 
     def keep(table: pa.Table) -> pa.Table:
-        trie = kept_terms(Trie.merged([Trie.read(r) for r in _rows(table)]), least)
+        trie = kept_terms(Trie.merged(Trie.read(r) for r in _rows(table)), least)
         rows = [p.row() for p in trie.pieces()]
         return pa.Table.from_batches([_batch(rows, _types())])
 
@@ -396,7 +414,8 @@ def divergence(docs: DataFrame, least: int = 30, best: int = 50, held: int = HEL
     """lang, source, part, item, value, rank. Part ``pair``: each other source of the language, by summed difference of
     probabilities over the kept terms; ``term``: the ``best`` kept terms that the source has more of than its language."""
     spark = docs.sparkSession
-    pieces = stored(local_tries(docs, held), "tries")
+    with long_rows(spark, BATCH, GROUP):
+        pieces = stored(local_tries(docs, held), "tries")
     kept = _pieces_stored(merge_tries(cut_pieces(pieces, split_terms(pieces, size)), size, least), "kept")
     groups = stored(_filled(docs).select("lang", "source").distinct(), "groups")
     terms, counts = {}, {}

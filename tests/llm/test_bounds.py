@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import common, components, decontaminate, language_id, language_model, mixing, quality, textvec
+from cairn.llm import common, components, decontaminate, divergence, language_id, language_model, mixing, quality, textvec
 from cairn.llm.common import stored_at
 
 
@@ -202,3 +202,34 @@ def test_language_model_hands_over_few_bytes(spark):
     rows = [r["n"] for r in stored_at(d, "sizes", size=language_model.BATCH_BYTES)[0].collect()]
     assert sum(rows) == 40 and max(rows) <= 5
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_tries_are_counted_in_little_memory():
+    """A task's memory is a few times its texts, most of whose terms occur once."""
+    rng = np.random.default_rng(4)
+    data = rng.choice(np.frombuffer(b"abcdefghijklmnopqrst       ", np.uint8), 1 << 21)
+    ends, groups = np.arange(2048, len(data) + 1, 2048), [("en", f"s{i}") for i in range(20)]
+    group = rng.integers(0, 20, len(ends)).astype(np.int32)
+    tracemalloc.start()
+    trie = divergence.Trie.counted(data, ends, group, groups)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(trie.terms) > 150_000 and peak < 20 * len(data)  # 25 when all was kept to the end
+
+
+def test_few_pieces_are_decoded_and_written_at_a_time(spark, sf_dir, monkeypatch):
+    """Stored pieces lie in small row groups, and are scanned a few rows at a time."""
+    seen, own = [], common.stored_at
+    names = "spark.sql.parquet.columnarReaderBatchSize", "parquet.block.size"
+
+    def noted(df, name, *a, **k):
+        seen.append((name, *(int(spark.conf.get(x, "-1")) for x in names)))
+        return own(df, name, *a, **k)
+
+    monkeypatch.setattr(common, "stored_at", noted)
+    monkeypatch.setattr(divergence, "stored_at", noted)
+    before = [spark.conf.get(x, None) for x in names]
+    assert divergence.divergence(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=4, best=3, held=20_000, size=500).count() > 0
+    found = {name: (rows, group) for name, rows, group in seen}
+    assert all(0 < found[x][0] <= 64 and 0 < found[x][1] <= 1 << 24 for x in ("tries", "ranges", "kept", "met"))
+    assert [spark.conf.get(x, None) for x in names] == before
