@@ -344,3 +344,42 @@ def test_exact_plan_of_points_holds_no_matrix():
     cost = ((a[:, None] - b[None]) ** 2).sum(2)
     p, q, other = geometry.exact_plan(cost, n, m)
     assert abs((cost[i, j] * mass).sum() - (cost[p, q] * other).sum()) < 1e-12
+
+
+class _Read:
+    """A matrix that counts how often a row of it is read."""
+
+    def __init__(self, cost):
+        self.cost, self.shape, self.reads = cost, cost.shape, 0
+
+    def __getitem__(self, i):
+        self.reads += 1
+        return self.cost[i]
+
+
+def test_exact_plan_reads_few_rows():
+    """A path looks at a row's nearest columns, not at the whole row again."""
+    a, b = _clouds(150, 170)
+    b[:20] = b[0]  # ties
+    cost = _Read(((a[:, None] - b[None]) ** 2).sum(2))
+    i, j, mass = geometry.exact_plan(cost, np.full(150, 1 / 150), np.full(170, 1 / 170))
+    assert cost.reads < 30 * 150
+    assert np.allclose(np.bincount(i, mass, 150), 1 / 150) and np.allclose(np.bincount(j, mass, 170), 1 / 170)
+    for near in (1, 170):
+        p, q, other = geometry.exact_plan(cost.cost, np.full(150, 1 / 150), np.full(170, 1 / 170), near)
+        assert abs((cost.cost[i, j] * mass).sum() - (cost.cost[p, q] * other).sum()) < 1e-12
+    u, v = _prices(cost.cost, i, j)
+    assert (cost.cost - u[:, None] - v > -1e-9).all() and np.allclose(cost.cost[i, j], u[i] + v[j], atol=1e-9)  # no plan is cheaper
+
+
+def _prices(cost, i, j):
+    """Prices of rows and columns that make each entry of a plan tight, by shortest paths over its entries and all costs."""
+    n, m = cost.shape
+    u, v = np.zeros(n), cost.min(0)
+    for _ in range(n + m):
+        before = v.copy()
+        np.maximum.at(u, i, cost[i, j] - v[j])
+        v = np.minimum(v, (cost - u[:, None]).min(0))
+        if (v == before).all():
+            break
+    return u, v
